@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from logsieve.llm.bpe import op4_bpe
+from logsieve.llm.packing import op5_packing
 from logsieve.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_bpe": op4_bpe,
+    "op5_packing": op5_packing,
 }
 
 ORACLES: dict[str, str] = {}
