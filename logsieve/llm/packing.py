@@ -105,6 +105,8 @@ def _step(bins: Bins, a: int, budget: list[int]) -> bool:
         while fitting:
             gap = (fitting & -fitting).bit_length() - 1
             b = next((b for b in bins.by_gap[gap] if b != a), None)
+            if b is not None and bins.fill[b] + x[0] <= bins.fill[a]:
+                break  # it would only level the two, and wider gaps even more
             if b is not None:
                 bins.change(a, [x], [])
                 bins.change(b, [], [x])
