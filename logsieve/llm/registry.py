@@ -5,11 +5,13 @@ from __future__ import annotations
 from logsieve.llm.bpe import op4_bpe
 from logsieve.llm.packing import op5_packing
 from logsieve.llm.simhash import op1_simhash
+from logsieve.llm.suffix_dedup import op9_suffix_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}

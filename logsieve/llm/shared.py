@@ -58,7 +58,7 @@ def count_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what a Python worker holds at once: few rows and few bytes to an Arrow batch."""
+def small_batches(spark: SparkSession, rows: int = 10_000) -> None:
+    """Bound what a Python worker holds at once: few bytes to an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
