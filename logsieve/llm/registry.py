@@ -6,11 +6,13 @@ from logsieve.llm.bpe import op4_bpe
 from logsieve.llm.packing import op5_packing
 from logsieve.llm.simhash import op1_simhash
 from logsieve.llm.suffix_dedup import op9_suffix_dedup
+from logsieve.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 
