@@ -20,6 +20,8 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,6 @@ from logsieve.llm.shared import small_batches, table
 #: Fixed values of the tokenizer: its word pattern and the characters it takes as white space.
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-NOT_SPACE = regex.compile(rf"[^{SPACE}]+")
-#: str.split() also splits at these, which are no white space to the tokenizer.
-SEPARATORS = regex.compile(r"[\x1C-\x1F]")
 
 NONE = np.int64(1) << 40
 _CACHE_BYTES = 96 << 20
@@ -69,8 +68,10 @@ class WordBpe:
         self.keys, self.ranks, self.merged = keys, first.astype(np.int64), made[first]
         self.by_rank = np.zeros(len(pairs), np.int64)
         self.by_rank[first] = made[first]
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
-        self.cached, self.cache_bytes = 0, cache_bytes
+        self.token_bytes = [self.tokens.get(i, "").encode() for i in range(max(self.tokens) + 1)]
+        self.ids: dict[str, bytes] = {}
+        self.texts: dict[str, bytes] = {}
+        self.cached, self.cache_bytes, self.decoded = 0, cache_bytes, True
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -118,12 +119,13 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return symbol[order], np.bincount(word, minlength=len(words))
 
-    def _learn(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids (little-endian, 32 bits) and decoded text of chunks without white space."""
-        parts = [WORDS.findall(c) for c in chunks]
-        new = list({w for p in parts for w in p})
-        known: dict[str, tuple[bytes, list[str]]] = {}
-        at, tokens = 0, self.tokens
+    def _learn(self, chunks: list[str], decoded: bool) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids (little-endian, 32 bits) and, if asked for, decoded text of chunks without white space."""
+        mixed = {c: WORDS.findall(c) for c in chunks if not c.isalpha()}
+        new = list({c for c in chunks if c not in mixed}.union(*mixed.values()))
+        ids_of: dict[str, bytes] = {}
+        text_of: dict[str, bytes] = {}
+        at, tokens = 0, self.token_bytes
         while at < len(new):
             raw, size, start = [], 0, at
             while at < len(new) and (size < _ROUND_BYTES or not raw):
@@ -131,48 +133,72 @@ class WordBpe:
                 size += len(raw[-1])
                 at += 1
             ids, counts = self.merge(raw)
-            data, ids, offset = ids.astype("<u4").tobytes(), ids.tolist(), 0
-            for w, n in zip(new[start:at], counts.tolist(), strict=True):
-                known[w] = data[4 * offset : 4 * (offset + n)], [tokens[i] for i in ids[offset : offset + n]]
-                offset += n
-        return {c: (b"".join(known[w][0] for w in p), " ".join(t for w in p for t in known[w][1]).encode()) for c, p in zip(chunks, parts, strict=True)}
-
-    def _pieces(self, text: str) -> list[str | list[str]]:
-        """A special token's string, or the list of chunks of a stretch of ordinary text."""
-        out: list[str | list[str]] = []
-        for i, part in enumerate(self.special_split.split(text) if "<|" in text else [text]):
-            if i % 2:
-                out.append(part)
+            data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
+            spans = list(zip((ends - counts).tolist(), ends.tolist(), strict=True))
+            words = new[start:at]
+            ids_of.update(zip(words, [data[4 * a : 4 * b] for a, b in spans], strict=True))
+            if decoded:
+                shown = [tokens[i] for i in ids.tolist()]
+                text_of.update(zip(words, [b" ".join(shown[a:b]) for a, b in spans], strict=True))
+        for c, parts in mixed.items():
+            ids_of[c] = b"".join([ids_of[w] for w in parts])
+            if decoded:
+                text_of[c] = b" ".join([text_of[w] for w in parts])
+        return ids_of, text_of
+
+    def _normal(self, text: str) -> str:
+        text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        return text.replace("Σ", "σ").lower()
+
+    def _known(self, chunks: list[str], decoded: bool) -> tuple[list[bytes], list[bytes]]:
+        """Ids and decoded text of distinct chunks, from the cache or newly merged."""
+        if decoded != self.decoded:
+            self.ids, self.texts, self.cached, self.decoded = {}, {}, 0, decoded
+        new = [c for c in chunks if c not in self.ids]
+        if new:
+            ids, shown = self._learn(new, decoded)
+            size = sum(map(len, ids)) + sum(map(len, ids.values())) + sum(map(len, shown.values())) + 250 * len(ids)
+            if self.cached + size > self.cache_bytes:
+                self.ids = {c: self.ids[c] for c in chunks if c in self.ids} | ids
+                self.texts = {c: self.texts[c] for c in chunks if c in self.texts} | shown
+                self.cached = 0
             else:
-                part = part if unicodedata.is_normalized("NFC", part) else unicodedata.normalize("NFC", part)
-                part = part.replace("Σ", "σ").lower()
-                out.append(NOT_SPACE.findall(part) if SEPARATORS.search(part) else part.split())
-        return out
+                self.ids.update(ids)
+                self.texts.update(shown)
+            self.cached += size
+        return list(map(self.ids.__getitem__, chunks)), list(map(self.texts.__getitem__, chunks)) if decoded else []
+
+    def _encode_plain(self, texts: list[str], decoded: bool) -> list[tuple[bytes, bytes]]:
+        """Texts without special tokens: their distinct chunks are encoded, then dealt out to the texts."""
+        lists = pc.ascii_split_whitespace(pa.array([self._normal(t) for t in texts], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        ids, shown = self._known(coded.dictionary.to_pylist(), decoded)
+        word = coded.indices.to_numpy()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        many = size[word]
+        done = np.concatenate(([0], np.cumsum(many)))
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[word] - done[:-1], many) + np.arange(done[-1])].tobytes()
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        cuts = (4 * done[bounds]).tolist()
+        out = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        if not decoded:
+            return [(a, b"") for a in out]
+        bounds, word = bounds.tolist(), word.tolist()
+        return [(a, b" ".join([x for i in word[p:q] if (x := shown[i])])) for a, p, q in zip(out, bounds, bounds[1:], strict=False)]
 
     def encode_batch(self, texts: list[str | None], decoded: bool = True) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian 32-bit integers, and its decoded text in UTF-8."""
-        split = [self._pieces(t or "") for t in texts]
-        known = self.cache
-        new = list({c for pieces in split for p in pieces if type(p) is list for c in p if c not in known})
-        if new:
-            found = self._learn(new)
-            size = sum(len(c) + len(a) + len(b) + 250 for c, (a, b) in found.items())
-            if self.cached + size > self.cache_bytes:
-                used = {c for pieces in split for p in pieces if type(p) is list for c in p if c in known}
-                known = {c: known[c] for c in used} | found
-                self.cache, self.cached = ({}, 0) if size > self.cache_bytes else (known, sum(len(c) + len(a) + len(b) + 250 for c, (a, b) in known.items()))
-            else:
-                known |= found
-                self.cached += size
-        out = []
-        for pieces in split:
-            pairs = []
-            for p in pieces:
-                if type(p) is list:
-                    pairs += [known[c] for c in p]
-                else:
-                    pairs.append((self.special[p].to_bytes(4, "little"), p.encode()))
-            out.append((b"".join([a for a, _ in pairs]), b" ".join([b for _, b in pairs if b]) if decoded else b""))
+        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and "<|" not in t]
+        if plain:
+            for i, found in zip(plain, self._encode_plain([texts[i] for i in plain], decoded), strict=True):
+                out[i] = found
+        for i, t in enumerate(texts):
+            if t and "<|" in t:  # a special token's own string cuts the text before all else
+                parts = self.special_split.split(t)
+                found = [(self.special[p].to_bytes(4, "little"), p.encode()) if k % 2 else self._encode_plain([p], decoded)[0] for k, p in enumerate(parts)]
+                out[i] = b"".join([a for a, _ in found]), b" ".join([b for _, b in found if b]) if decoded else b""
         return out
 
     def decode(self, ids: np.ndarray) -> str:
