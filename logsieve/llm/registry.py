@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from logsieve.llm.bpe import op4_bpe
 from logsieve.llm.packing import op5_packing
+from logsieve.llm.repetition import op7_quality_rules
 from logsieve.llm.simhash import op1_simhash
 from logsieve.llm.suffix_dedup import op9_suffix_dedup
 from logsieve.llm.toxicity import op6_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_quality_rules": op7_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 
