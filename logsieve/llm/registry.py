@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logsieve.llm.bpe import op4_bpe
+from logsieve.llm.kneser_ney import op10_quality_lm
 from logsieve.llm.packing import op5_packing
 from logsieve.llm.repetition import op7_quality_rules
 from logsieve.llm.simhash import op1_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_quality_lm": op10_quality_lm,
 }
 
 ORACLES: dict[str, str] = {}
