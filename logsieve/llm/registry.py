@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from logsieve.llm.bpe import op4_bpe
 from logsieve.llm.kneser_ney import op10_quality_lm
+from logsieve.llm.nearest import op3_nearest
 from logsieve.llm.packing import op5_packing
 from logsieve.llm.repetition import op7_quality_rules
 from logsieve.llm.simhash import op1_simhash
@@ -12,6 +13,7 @@ from logsieve.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_nearest": op3_nearest,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
