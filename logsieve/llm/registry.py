@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logsieve.llm.bpe import op4_bpe
+from logsieve.llm.html_extract import op2_html_extract
 from logsieve.llm.kneser_ney import op10_quality_lm
 from logsieve.llm.nearest import op3_nearest
 from logsieve.llm.packing import op5_packing
@@ -13,6 +14,7 @@ from logsieve.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_html_extract": op2_html_extract,
     "op3_nearest": op3_nearest,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
