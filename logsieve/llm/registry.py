@@ -8,6 +8,7 @@ from logsieve.llm.kneser_ney import op10_quality_lm
 from logsieve.llm.nearest import op3_nearest
 from logsieve.llm.packing import op5_packing
 from logsieve.llm.repetition import op7_quality_rules
+from logsieve.llm.secrets_scan import op8_secret_scan
 from logsieve.llm.simhash import op1_simhash
 from logsieve.llm.suffix_dedup import op9_suffix_dedup
 from logsieve.llm.toxicity import op6_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_lm": op10_quality_lm,
 }
