@@ -189,16 +189,17 @@ def compare_sorted(rows: DataFrame, bucket_rows: int = 300_000) -> DataFrame:
     n = rows.count()
     ranged = rows.repartitionByRange(max(1, -(-n // bucket_rows)), "h", "s", "k1", "k2", "pos")
     near = materialize(ranged.mapInPandas(run, f"{SUFFIX}, same_h boolean, same_s boolean, first boolean, mixed boolean, edge boolean, bucket int"), "buckets")
-    # One row a bucket: where the last suffix of one and the first of the next begin alike.
+    # Where the last suffix of one bucket and the first of the next begin alike: at most a row a bucket,
+    # so one for every ``bucket_rows`` suffixes, which bounds what is broadcast.
     ends = near.where("edge").groupBy("bucket").agg(F.min(F.struct("h", "s")).alias("low"), F.max(F.struct("h", "s")).alias("high"))
     met = ends.select("low", F.lag("high").over(Window.orderBy("bucket")).alias("before")).where(F.col("low.h") == F.col("before.h"))
-    over_h = met.select(F.col("low.h").alias("h")).distinct().withColumn("over_h", F.lit(True))
-    over_s = met.where(F.col("low.s") == F.col("before.s")).select("low.h", "low.s").distinct().withColumn("over_s", F.lit(True))
-    edges = near.where("edge").join(over_h, "h", "left").join(over_s, ["h", "s"], "left").select(
-        *[F.col(c) for c in ("h", "s", "k1", "k2", "pos")], (F.col("same_h") | F.coalesce("over_h", F.lit(False))).alias("same_h"),
+    met = materialize(met.select(F.col("low.h").alias("h"), F.when(F.col("low.s") == F.col("before.s"), F.col("low.s")).alias("s")), "boundaries")
+    over_h = met.select("h").distinct().withColumn("over_h", F.lit(True))
+    over_s = met.where("s is not null").distinct().withColumn("over_s", F.lit(True))
+    every = near.join(F.broadcast(over_h), "h", "left").join(F.broadcast(over_s), ["h", "s"], "left").select(
+        "h", "s", "k1", "k2", "pos", (F.col("same_h") | F.coalesce("over_h", F.lit(False))).alias("same_h"),
         (F.col("same_s") | F.coalesce("over_s", F.lit(False))).alias("same_s"), "first", (F.col("mixed") | F.coalesce("over_h", F.lit(False))).alias("mixed"),
-    )
-    every = near.where("not edge").select(edges.columns).unionByName(edges).where("same_h")
+    ).where("same_h")
     return every.select("h", "s", "k1", "k2", "pos", "same_s", (F.col("first") & F.col("same_s") & F.col("mixed")).alias("rep"))
 
 
