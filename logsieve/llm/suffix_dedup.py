@@ -37,8 +37,8 @@ KEY = ["k1", "k2"]
 SUFFIX = "h long, s long, k1 long, k2 long, pos long"
 _PLACE = np.uint64((1 << 30) - 1)
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 20
-_SEGMENT = 1 << 21
+_CHUNK = 1 << 18
+_SEGMENT = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -171,7 +171,7 @@ def _compare(h: np.ndarray, s: np.ndarray) -> dict[str, np.ndarray]:
     return {"same_h": same_h, "same_s": same_s, "first": first, "mixed": mixed, "edge": edge}
 
 
-def compare_sorted(rows: DataFrame, bucket_rows: int = 300_000) -> DataFrame:
+def compare_sorted(rows: DataFrame, bucket_rows: int = 200_000) -> DataFrame:
     """``rows`` that share ``h`` with another, and ``same_s``: whether ``s`` too; ``rep``: first of equal ones
     in a group that holds others as well."""
 
@@ -282,7 +282,7 @@ def _key(text: F.Column) -> list[F.Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, group_limit: int = 20_000, bucket_rows: int = 300_000) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, group_limit: int = 20_000, bucket_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(contents, cut): folded texts of at least ``length`` bytes, and what is cut from those that occur once.
 
     contents: k1, k2, copies; all windows of contents with more copies than one repeat. cut: k1, k2,
