@@ -29,7 +29,10 @@ from logsieve.llm.shared import WORD, held_out, materialize, small_batches, tabl
 PER_CLASS = 1500
 LONGEST = 20_000
 WINDOW = 64
-AFFIXES = 2048
+#: Lengths of the beginnings that count as features, and buckets that each is hashed into.
+PREFIXES = (3, 4, 5, 6)
+AFFIXES = 8192
+FAINT = 0.2
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _CACHE_WORDS = 400_000
 
@@ -61,8 +64,7 @@ class Crf:
     right: dict[str, float] = field(default_factory=dict)
     other: tuple[float, float, float] = (0.0, 0.0, 0.0)
     outside: tuple[float, float] = (0.0, 0.0)
-    prefix: np.ndarray = field(default_factory=lambda: np.zeros(AFFIXES))
-    suffix: np.ndarray = field(default_factory=lambda: np.zeros(AFFIXES))
+    affix: np.ndarray = field(default_factory=lambda: np.zeros((len(PREFIXES) + 1) * AFFIXES))
     shape: np.ndarray = field(default_factory=lambda: np.zeros(16))
     moves: np.ndarray = field(default_factory=lambda: np.ones((2, 2)))
     document: np.ndarray = field(default_factory=lambda: np.array([-20.0, 0.0, 0.0, 0.0]))
@@ -70,8 +72,7 @@ class Crf:
 
     def _word(self, token: str) -> tuple[float, float, float]:
         word = core(token)
-        a, b = affixes(word)
-        own = self.own.get(word, self.other[0]) + self.prefix[a] + self.suffix[b] + self.shape[shape(token, word)]
+        own = self.own.get(word, self.other[0]) + self.affix[affixes(word)].sum() + self.shape[shape(token, word)]
         return own, self.left.get(word, self.other[1]), self.right.get(word, self.other[2])
 
     def factors(self, words: list[str], index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -97,8 +98,15 @@ class Crf:
         return 1 / (1 + np.exp(-np.clip(x @ self.document, -30, 30)))
 
 
-def affixes(word: str) -> tuple[int, int]:
-    return zlib.crc32(word[:3].encode()) % AFFIXES, zlib.crc32(word[-3:].encode()) % AFFIXES
+def affixes(word: str) -> list[int]:
+    """Buckets of the word's beginnings, each length in a range of its own, and of its last three letters."""
+    parts = [word[:k] for k in PREFIXES] + [word[-3:]]
+    return [n * AFFIXES + zlib.crc32(x.encode()) % AFFIXES for n, x in enumerate(parts)]
+
+
+def units(word: str) -> set[str]:
+    """What may mark a word as toxic: itself, and its beginnings of three to seven letters."""
+    return {word} | {word[:k] + "*" for k in range(3, 8) if len(word) > k}
 
 
 def shape(token: str, word: str) -> int:
@@ -142,12 +150,15 @@ def chain(factor: np.ndarray, bounds: np.ndarray, moves: np.ndarray, pairs: bool
 
 
 def summary(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(1, greatest, log of 1 + sum, share) of the marginals of each text; a text without words has 1, 0, 0, 0."""
+    """(1, greatest, log of 1 + sum, share) of the marginals of each text; a text without words has 1, 0, 0, 0.
+
+    Sum and share leave out marginals below ``FAINT``, which would add up in long texts.
+    """
     out = np.zeros((len(bounds) - 1, 4))
     out[:, 0] = 1
     has = np.flatnonzero(np.diff(bounds))
     if len(has):
-        total = np.add.reduceat(p, bounds[has])
+        total = np.add.reduceat(np.where(p >= FAINT, p, 0.0), bounds[has])
         out[has, 1] = np.maximum.reduceat(p, bounds[has])
         out[has, 2] = np.log1p(total)
         out[has, 3] = total / np.diff(bounds)[has]
@@ -168,14 +179,29 @@ def _without_copies(texts: list[str]) -> list[int]:
     return kept
 
 
-def _toxic_words(words: list[str], index: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> set[str]:
-    """Words in at least three and 0.4 % of the toxic texts that are eight times commoner there than in clean ones."""
+def _toxic_units(words: list[str], index: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> set[str]:
+    """Words and beginnings of toxic texts that are eight times commoner there than in clean ones, beyond chance.
+
+    Chance: were labels dealt at random over the pairs of text and unit, a unit as uneven as this would
+    be expected less than once in a hundred samples, counting all units of the sample (Chernoff's bound).
+    """
+    of = [units(core(w)) for w in words]
     inside: list[Counter] = [Counter(), Counter()]
     for d in range(len(label)):
-        inside[label[d]].update({core(words[i]) for i in set(index[bounds[d] : bounds[d + 1]].tolist())})
+        inside[label[d]].update(set().union(*[of[i] for i in set(index[bounds[d] : bounds[d + 1]].tolist())]))
     n = np.bincount(label, minlength=2)
-    least = max(3, 0.004 * n[1])
-    return {w for w, k in inside[1].items() if k >= least and k / n[1] > 8 * (inside[0][w] + 1) / (n[0] + 1)}
+    pairs = [sum(c.values()) for c in inside]
+    share = pairs[1] / max(1, sum(pairs))
+    least = np.log(100.0 * max(1, len(inside[0] | inside[1])))
+    found = set()
+    for w, k in inside[1].items():
+        clean = inside[0][w]
+        if k >= 3 and k / n[1] > 8 * (clean + 0.5) / (n[0] + 0.5):
+            part = k / (k + clean)
+            far = part * np.log(part / share) + (0 if part == 1 else (1 - part) * np.log((1 - part) / (1 - share)))
+            if (k + clean) * far > least:
+                found.add(w)
+    return found
 
 
 def train(texts: list[str], label: list[int], weights: tuple[float, float] | None = None, rounds: int = 60, penalty: float = 0.3) -> Crf:
@@ -189,9 +215,9 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
         return model
     words, index, bounds = tokens(texts)
     cores = [core(w) for w in words]
-    toxic = _toxic_words(words, index, bounds, marks)
+    toxic = _toxic_units(words, index, bounds, marks)
     doc = np.repeat(np.arange(len(marks)), np.diff(bounds))
-    truth = np.array([c in toxic for c in cores])[index] & (marks[doc] == 1)
+    truth = np.array([not toxic.isdisjoint(units(c)) for c in cores])[index] & (marks[doc] == 1)
 
     # All windows with toxic tokens, and as many others again, from texts of both classes.
     first, size = windows(bounds)
@@ -204,7 +230,7 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
     common = {w: k for k, w in enumerate((w for w, n in often.items() if n > 1), 1)}
     number = np.array([common.get(c, 0) for c in cores])
     v = len(common) + 1
-    prefix, suffix = np.array([affixes(c) for c in cores]).T
+    ends_of = np.array([affixes(c) for c in cores]).T
     form = np.array([shape(w, c) for w, c in zip(words, cores, strict=True)])
     ends = np.zeros(len(index) + 2, np.int64)
     ends[1:-1] = number[index]
@@ -214,8 +240,9 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
     after[bounds[has + 1] - 1] = v
     w = v + 1
     i = index[take]
-    feature = np.stack([number[i], w + before[take], 2 * w + after[take], 3 * w + prefix[i], 3 * w + AFFIXES + suffix[i], 3 * w + 2 * AFFIXES + form[i]])
-    theta, seen = np.zeros(3 * w + 2 * AFFIXES + 16), truth[take].astype(float)
+    a = len(ends_of) * AFFIXES
+    feature = np.stack([number[i], w + before[take], 2 * w + after[take], *(3 * w + ends_of[:, i]), 3 * w + a + form[i]])
+    theta, seen = np.zeros(3 * w + a + 16), truth[take].astype(float)
     log_moves, first_moment, second = np.zeros((2, 2)), np.zeros(len(theta) + 4), np.zeros(len(theta) + 4)
     y = truth[take].astype(np.int64)
     inner = np.ones(len(y), bool)
@@ -234,7 +261,7 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
     model = Crf(
         {c: float(theta[k]) for c, k in named.items()}, {c: float(theta[w + k]) for c, k in named.items()}, {c: float(theta[2 * w + k]) for c, k in named.items()},
         (float(theta[0]), float(theta[w]), float(theta[2 * w])), (float(theta[w + v]), float(theta[2 * w + v])),
-        theta[3 * w : 3 * w + AFFIXES].copy(), theta[3 * w + AFFIXES : 3 * w + 2 * AFFIXES].copy(), theta[3 * w + 2 * AFFIXES :].copy(), np.exp(log_moves),
+        theta[3 * w : 3 * w + a].copy(), theta[3 * w + a :].copy(), np.exp(log_moves),
     )
     x = summary(model.marginals(words, index, bounds), bounds)
     share = np.bincount(marks, minlength=2)
