@@ -30,11 +30,13 @@ PER_CLASS = 1500
 LONGEST = 20_000
 WINDOW = 64
 #: Lengths of the beginnings that count as features, and buckets that each is hashed into.
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6)
 AFFIXES = 8192
 FAINT = 0.2
+#: Windows of either kind that the chain is fitted to.
+MOST_WINDOWS = 4000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 def tokens(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -104,11 +106,6 @@ def affixes(word: str) -> list[int]:
     return [n * AFFIXES + zlib.crc32(x.encode()) % AFFIXES for n, x in enumerate(parts)]
 
 
-def units(word: str) -> set[str]:
-    """What may mark a word as toxic: itself, and its beginnings of three to seven letters."""
-    return {word} | {word[:k] + "*" for k in range(3, 8) if len(word) > k}
-
-
 def shape(token: str, word: str) -> int:
     return min(len(word), 15) // 2 * 2 + (token != word)
 
@@ -179,29 +176,30 @@ def _without_copies(texts: list[str]) -> list[int]:
     return kept
 
 
-def _toxic_units(words: list[str], index: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> set[str]:
-    """Words and beginnings of toxic texts that are eight times commoner there than in clean ones, beyond chance.
+def _toxic_tokens(cores: list[str], index: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which distinct tokens are a toxic word, or begin like one (four to seven letters).
 
-    Chance: were labels dealt at random over the pairs of text and unit, a unit as uneven as this would
-    be expected less than once in a hundred samples, counting all units of the sample (Chernoff's bound).
+    Toxic are words and beginnings that are eight times commoner in toxic texts than in clean ones, beyond
+    chance: were labels dealt at random over the pairs of text and word, one as uneven as this would be
+    expected less than once in a hundred samples, counting all words of the sample (Chernoff's bound).
     """
-    of = [units(core(w)) for w in words]
-    inside: list[Counter] = [Counter(), Counter()]
-    for d in range(len(label)):
-        inside[label[d]].update(set().union(*[of[i] for i in set(index[bounds[d] : bounds[d + 1]].tolist())]))
-    n = np.bincount(label, minlength=2)
-    pairs = [sum(c.values()) for c in inside]
-    share = pairs[1] / max(1, sum(pairs))
-    least = np.log(100.0 * max(1, len(inside[0] | inside[1])))
-    found = set()
-    for w, k in inside[1].items():
-        clean = inside[0][w]
-        if k >= 3 and k / n[1] > 8 * (clean + 0.5) / (n[0] + 0.5):
-            part = k / (k + clean)
-            far = part * np.log(part / share) + (0 if part == 1 else (1 - part) * np.log((1 - part) / (1 - share)))
-            if (k + clean) * far > least:
-                found.add(w)
-    return found
+    doc = np.repeat(np.arange(len(label)), np.diff(bounds))
+    texts, out = np.bincount(label, minlength=2), np.zeros(len(cores), bool)
+    shorter = lambda k: [c if k is None else c[:k] if len(c) > k else "" for c in cores]
+    kinds = (None, *range(4, 8))
+    least = np.log(100.0 * max(1, sum(len(set(shorter(k))) for k in kinds)))
+    for kind in kinds:
+        unit, names = pd.factorize(np.array(shorter(kind), object))
+        pair = np.unique(doc * len(names) + unit[index])
+        of, toxic = pair % len(names), label[pair // len(names)]
+        bad, clean = (np.bincount(of[toxic == t], minlength=len(names)).astype(float) for t in (1, 0))
+        share = bad.sum() / max(1.0, bad.sum() + clean.sum())
+        both = np.maximum(bad + clean, 1)
+        part = np.clip(bad / both, 1e-12, 1 - 1e-12)
+        far = part * np.log(part / share) + (1 - part) * np.log((1 - part) / (1 - share))
+        found = (bad >= 3) & (bad / texts[1] > 8 * (clean + 0.5) / (texts[0] + 0.5)) & (both * far > least) & (names != "")
+        out |= found[unit]
+    return out
 
 
 def train(texts: list[str], label: list[int], weights: tuple[float, float] | None = None, rounds: int = 60, penalty: float = 0.3) -> Crf:
@@ -215,23 +213,23 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
         return model
     words, index, bounds = tokens(texts)
     cores = [core(w) for w in words]
-    toxic = _toxic_units(words, index, bounds, marks)
-    doc = np.repeat(np.arange(len(marks)), np.diff(bounds))
-    truth = np.array([not toxic.isdisjoint(units(c)) for c in cores])[index] & (marks[doc] == 1)
+    truth = _toxic_tokens(cores, index, bounds, marks)[index] & np.repeat(marks == 1, np.diff(bounds))
 
-    # All windows with toxic tokens, and as many others again, from texts of both classes.
+    # Windows with toxic tokens, and as many others again, from texts of both classes.
     first, size = windows(bounds)
     hits = np.add.reduceat(truth, first) > 0
     rest = np.flatnonzero(~hits)
-    chosen = np.sort(np.concatenate((np.flatnonzero(hits)[:6000], np.random.default_rng(7).permutation(rest)[: max(1000, min(6000, int(hits.sum())))])))
+    chosen = np.sort(np.concatenate((np.flatnonzero(hits)[:MOST_WINDOWS], np.random.default_rng(7).permutation(rest)[: max(1000, min(MOST_WINDOWS, int(hits.sum())))])))
     take = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in chosen])
     limits = np.concatenate(([0], np.cumsum(size[chosen])))
     often = Counter(cores[i] for i in index[take].tolist())
     common = {w: k for k, w in enumerate((w for w, n in often.items() if n > 1), 1)}
     number = np.array([common.get(c, 0) for c in cores])
     v = len(common) + 1
-    ends_of = np.array([affixes(c) for c in cores]).T
-    form = np.array([shape(w, c) for w, c in zip(words, cores, strict=True)])
+    used = np.unique(index[take])
+    ends_of, form = np.zeros((len(PREFIXES) + 1, len(cores)), np.int32), np.zeros(len(cores), np.int32)
+    for k in used.tolist():
+        ends_of[:, k], form[k] = affixes(cores[k]), shape(words[k], cores[k])
     ends = np.zeros(len(index) + 2, np.int64)
     ends[1:-1] = number[index]
     before, after = ends[:-2].copy(), ends[2:].copy()
@@ -241,7 +239,7 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
     w = v + 1
     i = index[take]
     a = len(ends_of) * AFFIXES
-    feature = np.stack([number[i], w + before[take], 2 * w + after[take], *(3 * w + ends_of[:, i]), 3 * w + a + form[i]])
+    feature = [f.astype(np.int32) for f in (number[i], w + before[take], 2 * w + after[take], *(3 * w + ends_of[:, i]), 3 * w + a + form[i])]
     theta, seen = np.zeros(3 * w + a + 16), truth[take].astype(float)
     log_moves, first_moment, second = np.zeros((2, 2)), np.zeros(len(theta) + 4), np.zeros(len(theta) + 4)
     y = truth[take].astype(np.int64)
@@ -249,8 +247,8 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
     inner[limits[:-1]] = False
     observed = np.bincount(2 * y[:-1][inner[1:]] + y[1:][inner[1:]], minlength=4).reshape(2, 2)
     for step in range(1, rounds + 1):
-        p, expected = chain(np.clip(theta[feature].sum(axis=0), -25, 25), limits, np.exp(log_moves), pairs=True)
-        slope = np.bincount(feature.ravel(), np.tile(seen - p, len(feature)), len(theta)) - penalty * theta
+        p, expected = chain(np.clip(sum(theta[f] for f in feature), -25, 25), limits, np.exp(log_moves), pairs=True)
+        slope = sum(np.bincount(f, seen - p, len(theta)) for f in feature) - penalty * theta
         slope = np.concatenate((slope, (observed - expected).ravel() - penalty * log_moves.ravel()))
         first_moment = 0.9 * first_moment + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
@@ -263,7 +261,12 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
         (float(theta[0]), float(theta[w]), float(theta[2 * w])), (float(theta[w + v]), float(theta[2 * w + v])),
         theta[3 * w : 3 * w + a].copy(), theta[3 * w + a :].copy(), np.exp(log_moves),
     )
-    x = summary(model.marginals(words, index, bounds), bounds)
+    rows = []
+    for at in range(0, len(texts), 200):
+        words, index, bounds = tokens(texts[at : at + 200])
+        rows.append(summary(model.marginals(words, index, bounds), bounds))
+        model.known.clear()
+    x = np.concatenate(rows)
     share = np.bincount(marks, minlength=2)
     each = (np.array(weights if weights and min(weights) > 0 else share) / share)[marks]
     model.document = _logistic(x, marks, each / each.mean())
