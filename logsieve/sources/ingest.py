@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +30,9 @@ BATCH_ROWS = 2000
 COLUMNS = [f.split(" ")[0] for f in EVENTS.split(", ")]
 OUTCOME = "file_status string, file_note string, malformed long"
 
+_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
+_SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split(" ") for f in f"{EVENTS}, {OUTCOME}".split(", "))])
+
 
 @dataclass
 class Outcome:
@@ -149,13 +152,10 @@ def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str
     """
     mapping, ids = FieldMap(overrides), {c.path: c for c in candidates}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(rows: list[dict[str, Any]]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=[*COLUMNS, "file_status", "file_note", "malformed"]).astype({"event_id": "Int64", "file_id": "Int64", "record_index": "Int64", "malformed": "Int64"})
-            return out.assign(event_time=pd.to_datetime(out.event_time).astype("datetime64[us]"))
-
-        for part in batches:
-            for path, content in zip(part.path, part.content, strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = lambda rows: pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 candidate, outcome, rows = ids[path], Outcome(), []
                 log_type = detect(path, content).log_type
                 for event in read_events(candidate, log_type, content, mapping, outcome):
@@ -167,7 +167,7 @@ def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str
                 rows.append({"file_id": candidate.file_id, "record_index": outcome.records, "log_type": log_type, "file_status": outcome.status, "file_note": outcome.note, "malformed": outcome.malformed})
                 yield frame(rows)
 
-    return read_files(spark, list(ids)).mapInPandas(run, f"{EVENTS}, {OUTCOME}")
+    return read_files(spark, list(ids)).mapInArrow(run, f"{EVENTS}, {OUTCOME}")
 
 
 def with_companions(events: DataFrame) -> DataFrame:
