@@ -20,23 +20,31 @@ NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|inf
 
 @dataclass
 class Field:
-    """``text`` is null where the field is absent; ``kind`` is None if it can only be text."""
+    """``text`` is null where the field is absent; ``kind`` is None if it can only be text.
+
+    ``quick`` is the same but for the order of keys in objects, without a look at the kind.
+    """
 
     text: Column
     flag: Column | None = None
     kind: Column | None = None
     plain: bool = False
+    quick: Column | None = None
+
+    def __post_init__(self) -> None:
+        if self.quick is None:
+            self.quick = self.text
 
     @property
     def present(self) -> Column:
-        return self.text.isNotNull()
+        return self.quick.isNotNull()
 
     @property
     def number(self) -> Column:
         """The text as a number, null if it is none; flags and containers never are."""
         if self.flag is not None:
             return F.lit(None).cast("double")
-        return F.when(self.text.rlike(NUMBER), self.text.try_cast("double"))
+        return F.when(self.quick.rlike(NUMBER), self.quick.try_cast("double"))
 
 
 def time_text(time: Column) -> Column:
@@ -72,8 +80,9 @@ def resolve(field: str, columns: list[str]) -> Field | None:
     body = F.col(f"{name}_v") if f"{name}_v" in columns else F.try_parse_json(F.col(name))
     value = F.try_variant_get(body, _steps(path), "variant")
     kind = F.schema_of_variant(value)
-    sorted_text = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(value)).otherwise(text) if name == "raw" else text
-    return Field(sorted_text, kind=kind)
+    container = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+    rendered = F.when((text.startswith("{") | text.startswith("[")) & container, F.to_json(value)).otherwise(text)
+    return Field(rendered, kind=kind, quick=text)
 
 
 def with_variants(events: DataFrame, columns: set[str]) -> DataFrame:

@@ -31,7 +31,7 @@ def _equal(found: Field, value: str | float | bool) -> Column:
         text = str(value).lower()
         if found.flag is not None:
             return found.flag == value
-        return found.text == text
+        return found.quick == text
     if isinstance(value, float):
         if found.kind is None:
             return F.lit(False)
@@ -39,7 +39,7 @@ def _equal(found: Field, value: str | float | bool) -> Column:
         return number & (found.number == value)
     if found.flag is not None:
         return F.lit(False)
-    same = found.text == value
+    same = found.quick == value
     if found.kind is not None and (value in ("true", "false") or value[:1] in ("{", "[")):
         same = same & (found.kind == "STRING")  # a boolean or a container is rendered alike
     return same
@@ -66,7 +66,7 @@ def _test(test: Test, found: Field | None) -> Column:
     if op == "matches":
         return found.text.rlike(to_java(value))
     if op == "in":
-        return found.text.isin(*value)
+        return (found.text if any(v[:1] in ("{", "[") for v in value) else found.quick).isin(*value)
     if not isinstance(value, str):
         return F.lit(False)
     text = found.text
@@ -164,14 +164,15 @@ class Compiler:
     def compile(self, rule: Rule) -> Compiled:
         matches, pruning = self.condition(rule, rule.condition), self.weaker(rule, rule.condition)
         if rule.log_type is not None and "log_type" in self.columns:
-            own = F.coalesce(F.col("log_type") == rule.log_type, F.lit(False))
-            matches, pruning = own & matches, own if pruning is None else own & pruning
+            own = F.col("log_type") == rule.log_type  # a partition filter where tables are split by type
+            matches, pruning = F.coalesce(own, F.lit(False)) & matches, own if pruning is None else own & pruning
         return Compiled(rule, matches, pruning, self.evidence(rule))
 
 
 def _needs_kind(test: Test) -> bool:
+    """Whether the test parses the body into a VARIANT for each row it looks at."""
     if "." not in test.field or test.operator not in ("==", "!="):
-        return test.field.startswith("raw.")
+        return False
     return isinstance(test.value, float) or (isinstance(test.value, str) and (test.value in ("true", "false") or test.value[:1] in ("{", "[")))
 
 
