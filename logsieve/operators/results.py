@@ -147,7 +147,7 @@ def _shown_order(window: Window) -> list[Column]:
 
 
 def raw_record(events: DataFrame, event_id: int) -> str | None:
-    row = events.where(F.col("event_id") == event_id).select("raw").first()
+    row = canonical(events).where(F.col("event_id") == event_id).select("raw").first()
     return row.raw if row else None
 
 
