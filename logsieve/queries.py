@@ -280,3 +280,72 @@ _table_rule("rule_pages_url", "pages", {"event_name": "url"}, 'event_name matche
 _table_rule("rule_orders", "orders", {"event_name": "o_orderstatus", "event_source": "o_orderpriority"}, 'event_name in ("F", "O") and event_source startswith "1-"', "o_orderkey, o_orderstatus", "o_orderstatus in ('F', 'O') and starts_with(o_orderpriority, '1-')")
 _table_rule("rule_conversations", "conversations", {"event_name": "role", "error_message": "text"}, 'event_name != "user" and error_message icontains "THE "', "conv_id, turn", "role <> 'user' and contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the ')")
 _table_rule("rule_documents", "documents", {"event_name": "lang", "raw": "text"}, 'event_name == "en" and raw contains "token = " and raw matches /[0-9a-f]{40}/', "doc_id, lang", "lang = 'en' and contains(text, 'token = ') and regexp_matches(text, '[0-9a-f]{40}')")
+
+
+# Normalizers: log lines made from the events table, and the columns they must give ------------------
+
+
+def _normalized(name: str, log_type: str, line: str, columns: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from logsieve.sources.lines import normalize_lines
+
+        rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(3).alias("file_id"), F.col("event_id").alias("record_index"), F.expr(line).alias("line"))
+        return normalize_lines(rows, log_type).select(*[F.expr(c) for c in columns.split("; ")])
+
+    query(name, sql)(run)
+
+
+_K = "json_extract_string(props, '$.k')"
+_ID = "(3::bigint << 32) | event_id as event_id"
+_TIME = "strftime({} + interval 9 hour, '%Y-%m-%d %H:%M:%S.%g') as shown"
+_SHOW = "event_id; date_format(event_time + INTERVAL 9 HOURS, 'yyyy-MM-dd HH:mm:ss.SSS') as shown"
+
+_normalized(
+    "normalize_alb", "alb_access",
+    """if(event_type = 'signup', concat('junk ', event_id), concat('https ', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), ' app/lb/1 10.0.0.', user_id, ':443 ', if(event_type = 'view', '-', '10.1.1.1:80'), ' 0.1 0.2 0.3 ',
+       400 + cast(get_json_object(props, '$.k') as int), ' 200 1 2 "', if(event_type = 'click', 'POST', 'GET'), ' https://h.example/', event_type, '?u=', user_id, ' HTTP/1.1" "ua \\\\"x\\\\" y" - - arn:aws:elb:eu-west-1:000000000000:tg/', user_id, ' "t" "d" "-" 0 - "-" "-" "-"'))""",
+    f"{_SHOW}; event_name; source_ip; aws_region; error_code; read_only; get_json_object(request, '$.url') as url; cast(get_json_object(response, '$.elb_status_code') as int) as status; get_json_object(resources, '$.target') as target; user_agent",
+    f"""select {_ID}, {_TIME.format('ts')}, case event_type when 'click' then 'POST' else 'GET' end as event_name, '10.0.0.' || user_id as source_ip, 'eu-west-1' as aws_region, 'HTTP ' || (400 + {_K}::int) as error_code, event_type <> 'click' as read_only,
+      'https://h.example/' || event_type || '?u=' || user_id as url, 400 + {_K}::int as status, case when event_type <> 'view' then '10.1.1.1:80' end as target, 'ua ' || chr(92) || '"x' || chr(92) || '" y' as user_agent from events where event_type <> 'signup'""",
+)
+
+_normalized(
+    "normalize_waf", "waf_acl",
+    """to_json(named_struct('timestamp', unix_millis(cast(ts as timestamp)), 'webaclId', concat('arn:aws:wafv2:us-east-1:', user_id, ':x'), 'terminatingRuleId', concat('r', user_id), 'action', if(event_type = 'error', 'BLOCK', 'ALLOW'),
+       'httpRequest', named_struct('clientIp', concat('10.0.0.', user_id), 'country', 'NL', 'uri', concat('/', event_type), 'args', if(event_type = 'view', '', 'a=1'), 'httpMethod', 'GET', 'headers', array(named_struct('name', 'HOST', 'value', event_type)))))""",
+    f"{_SHOW}; event_name; account_id; source_ip; error_code; get_json_object(request, '$.url') as url; get_json_object(request, '$.country') as country; get_json_object(resources, '$.host') as host",
+    f"""select {_ID}, {_TIME.format("date_trunc('millisecond', ts)")}, case event_type when 'error' then 'BLOCK' else 'ALLOW' end as event_name, user_id::varchar as account_id, '10.0.0.' || user_id as source_ip, case event_type when 'error' then 'r' || user_id end as error_code,
+      '/' || event_type || case event_type when 'view' then '' else '?a=1' end as url, 'NL' as country, event_type as host from events""",
+)
+
+_normalized(
+    "normalize_apigw", "apigw_access",
+    """to_json(named_struct('request_id', concat('q', event_id), 'resource_path', '/v', 'http_method', if(event_type = 'click', 'DELETE', 'HEAD'), 'request_time', concat(date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000'), 'status', cast(350 + cast(get_json_object(props, '$.k') as int) as string),
+       'path', concat('/', event_type), 'ip', concat('10.0.0.', user_id), 'response_length', '-'))""",
+    f"{_SHOW}; event_name; source_ip; error_code; read_only; cast(get_json_object(response, '$.status') as int) as status; get_json_object(response, '$.response_length') as length; get_json_object(request, '$.url') as url",
+    f"""select {_ID}, {_TIME.format("date_trunc('second', ts)")}, case event_type when 'click' then 'DELETE' else 'HEAD' end as event_name, '10.0.0.' || user_id as source_ip, case when {_K}::int >= 50 then 'HTTP ' || (350 + {_K}::int) end as error_code, event_type <> 'click' as read_only,
+      350 + {_K}::int as status, null::varchar as length, '/' || event_type as url from events""",
+)
+
+_normalized(
+    "normalize_nginx", "nginx_access",
+    """to_json(named_struct('_source', named_struct('@timestamp', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+09:00'"), 'birdview', named_struct('request_method', 'PUT', 'status', 350 + cast(get_json_object(props, '$.k') as int), 'client_ip', concat('10.0.0.', user_id),
+       'host', if(event_type = 'view', null, 'h.example'), 'request_uri', concat('/', event_type), 'http_referer', '-'))))""",
+    f"{_SHOW}; event_name; source_ip; error_code; get_json_object(request, '$.url') as url; get_json_object(request, '$.referer') as referer",
+    f"""select {_ID}, {_TIME.format("ts - interval 9 hour")}, 'PUT' as event_name, '10.0.0.' || user_id as source_ip, case when {_K}::int >= 50 then 'HTTP ' || (350 + {_K}::int) end as error_code, case event_type when 'view' then '' else 'h.example' end || '/' || event_type as url, null::varchar as referer from events""",
+)
+
+_normalized(
+    "normalize_gateway", "gateway_request",
+    """to_json(named_struct('requestedtimeutc', date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), 'httpmethod', 'GET', 'apipath', concat('/', event_type), 'memberid', user_id % 5, 'sourceip', concat(' 10.0.0.', user_id, ' , 10.9.9.9'), 'requestheaders', concat('{"user-agent":"', event_type, '","host":"g"}')))""",
+    f"{_SHOW}; identity_type; identity_name; source_ip; user_agent; get_json_object(request, '$.headers.host') as host; response",
+    f"""select {_ID}, {_TIME.format('ts')}, case user_id % 5 when 0 then 'anonymous' else 'member' end as identity_type, case user_id % 5 when 0 then null else (user_id % 5)::varchar end as identity_name, '10.0.0.' || user_id as source_ip, event_type as user_agent, 'g' as host, '{{}}' as response from events""",
+)
+
+_normalized(
+    "normalize_audit", "cloudtrail",
+    """to_json(named_struct('eventTime', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), 'eventName', event_type, 'readOnly', if(event_type = 'view', 'Yes', 'no'), 'userIdentity', named_struct('type', 'T', 'userName', if(event_type = 'click', null, concat('u', user_id)), 'sessionContext', named_struct('sessionIssuer', named_struct('userName', 'issuer'))),
+       'additionalEventData', named_struct('MFAUsed', if(user_id % 2 = 0, 'Yes', 'No')), 'requestParameters', named_struct('b', 1, 'a', array(user_id))))""",
+    f"{_SHOW}; event_name; identity_name; mfa_authenticated; read_only; request",
+    f"""select {_ID}, {_TIME.format("date_trunc('second', ts)")}, event_type as event_name, case event_type when 'click' then 'issuer' else 'u' || user_id end as identity_name, user_id % 2 = 0 as mfa_authenticated, case event_type when 'view' then true end as read_only, '{{"a":[' || user_id || '],"b":1}}' as request from events""",
+)
