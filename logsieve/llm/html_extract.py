@@ -23,6 +23,8 @@ from logsieve.llm.shared import materialize, small_batches, table
 
 #: Elements that are nested deeper share the path of the one at this depth.
 DEEPEST = 60
+#: Characters of a tag with its classes that count; with ``DEEPEST`` this bounds a path.
+LONGEST_STEP = 80
 #: Winning paths kept for a host, and the hosts up to which they are broadcast.
 PATHS = 5
 BROADCAST_HOSTS = 100_000
@@ -78,7 +80,7 @@ def _node(tag: str, attributes: str, parent: Node | None, at: int) -> Node:
     found = _attributes(attributes) if attributes.strip(" /\n\t") else {}
     classes = found.get("class", "").lower().split()
     words = {w for c in [*classes, found.get("id", "").lower()] for w in _WORDS.findall(c)}
-    step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
+    step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})])[:LONGEST_STEP]
     noise = tag in ASIDE or tag in NOT_TEXT or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
     noise = noise or (tag not in ("body", "html", "article", "main") and bool(words & NOISE)) or "display:none" in found.get("style", "").replace(" ", "").lower()
     good = tag in ("article", "main") or (tag in CONTAINERS and bool(words & GOOD))
