@@ -183,8 +183,10 @@ def detect_all(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content) of whole files, one to an Arrow batch; local paths come back as they were given."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    """(path, content) of whole files; local paths come back as they were given.
+
+    Arrow batches are bounded in bytes by Spark, so a task holds one file or a few small ones.
+    """
     if not paths:
         return spark.createDataFrame([], "path string, content binary")
     files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
