@@ -26,12 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are; ``clean`` removes them."""
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables. Results that weren't written yet still need them."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("logsieve_contents_"):
+            spark.sql(f"DROP TABLE {t.name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread of the table, not the work behind it.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -54,10 +68,6 @@ def held_out_py(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def count_bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
 def small_batches(spark: SparkSession, rows: int = 10_000) -> None:
     """Bound what a Python worker holds at once: few bytes to an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsieve.llm.shared import materialize, shared_dir, small_batches, table
+from logsieve.llm.shared import materialize, small_batches, table, tables_dir
 
 LENGTH = 200
 GRAM = 48
@@ -293,9 +293,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text:
     small_batches(spark)
     text = F.coalesce(docs["text"], F.lit(""))
     folded = docs.select(text.alias("text")).where(F.octet_length("text") >= length).select(*_key(F.col("text")), "text").groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    name = f"contents_{uuid.uuid4().hex}"
+    name = f"logsieve_contents_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folded.write.option("path", f"{shared_dir(spark)}/tables/{name}").option("compression", "zstd").bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+    folded.write.option("path", f"{tables_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(name)
     contents = spark.table(name)
 
     near = materialize(compare_sorted(materialize(suffixes(contents, length, gram), "suffixes"), bucket_rows), "near")
