@@ -1,0 +1,70 @@
+"""Load balancer lines as column expressions: the same events as the file reader's, without Python."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from logsieve.functions.schema import EVENTS
+from logsieve.sources.normalize import PROTOCOLS, READ_METHODS
+
+_QUOTED = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+_TOKEN = rf'{_QUOTED}|[^\s"]\S*+'
+_LINE = rf"^\s*+(?:(?:{_TOKEN})(?:\s++|\z))*+\z"
+_TIME = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(?:\.\d+)?(?:[Zz]|[+-]\d\d:\d\d)\z"
+_FLOAT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+
+
+def _micros(text: Column) -> Column:
+    """Microseconds since 1970 of an RFC 3339 time; null for anything else. Digits beyond the sixth are cut."""
+    cut = F.regexp_replace(F.upper(text), r"(\.\d{6})\d+", "$1")
+    return F.unix_micros(F.when(text.rlike(_TIME), cut.try_cast("timestamp")))
+
+
+def _host(text: Column) -> Column:
+    six = F.regexp_extract(text, r"^\[([\s\S]*?)\]:", 1)
+    plain = F.regexp_extract(text, r"^([\s\S]*):", 1)
+    return F.when(text.rlike(r"^\[[\s\S]*?\]:"), six).when(text.contains(":"), plain)
+
+
+def _whole(text: Column, most: int) -> Column:
+    return F.when(text.rlike(r"^\+?[0-9]{1,20}\z"), F.when(text.try_cast("decimal(20,0)") <= F.lit(str(most)).cast("decimal(20,0)"), text.try_cast("decimal(20,0)")))
+
+
+def alb_events(lines: DataFrame) -> DataFrame:
+    """Canonical events of (file_id, record_index, line) rows; malformed and null lines give none."""
+    tokens = F.transform(F.regexp_extract_all("line", F.lit(_TOKEN), F.lit(0)), lambda t: F.when(t.startswith('"'), F.substring(t, F.lit(2), F.char_length(t) - 2)).otherwise(t))
+    rows = lines.select(F.col("file_id").cast("long").alias("file_id"), F.col("record_index").cast("long").alias("record_index"), F.col("line").cast("string").alias("line"))
+    rows = rows.where(F.col("line").rlike(_LINE)).withColumn("t", tokens).where(F.size("t") >= 17)
+    at = lambda i: F.get("t", F.lit(i))
+    present = lambda i: F.nullif(at(i), F.lit("-"))
+    rows = rows.withColumns({"micros": _micros(at(1)), "client": _host(at(3))})
+    rows = rows.where(at(0).isin(*sorted(PROTOCOLS)) & at(2).startswith("app/") & F.col("micros").isNotNull() & F.col("client").isNotNull())
+    request = F.split(present(12), " ", 3)
+    method, arn, status = F.get(request, F.lit(0)), F.split(present(16), ":"), _whole(present(8), 65535)
+    number = lambda i: F.when(present(i).rlike(_FLOAT), present(i).try_cast("double"))
+    body = lambda **parts: F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()]), {"ignoreNullFields": "false"})
+    found = {
+        "event_id": F.shiftleft(F.col("file_id"), 32).bitwiseOR(F.col("record_index")),
+        "log_type": F.lit("alb_access"),
+        "event_time": F.expr("timestampadd(MICROSECOND, micros, timestamp_ntz'1970-01-01 00:00:00')"),
+        "event_source": F.lit("elasticloadbalancing.amazonaws.com"),
+        "event_name": method,
+        "aws_region": F.get(arn, F.lit(3)),
+        "account_id": F.get(arn, F.lit(4)),
+        "source_ip": F.col("client"),
+        "user_agent": present(13),
+        "error_code": F.when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string"))),
+        "error_message": F.coalesce(present(24), present(28)),
+        "read_only": method.isin(*sorted(READ_METHODS)),
+        "management_event": F.lit(False),
+        "request": body(method=method, url=F.get(request, F.lit(1)), protocol=F.get(request, F.lit(2)), trace_id=present(17), domain_name=present(18), request_creation_time=present(21), actions_executed=present(22), redirect_url=present(23)),
+        "response": body(
+            request_processing_time=number(5), target_processing_time=number(6), response_processing_time=number(7), elb_status_code=status, target_status_code=_whole(present(9), 65535),
+            received_bytes=_whole(present(10), 2**64 - 1), sent_bytes=_whole(present(11), 2**64 - 1), error_reason=present(24), classification=present(27), classification_reason=present(28),
+        ),
+        "resources": body(load_balancer=at(2), target=present(4), target_group_arn=present(16), ssl_cipher=present(14), ssl_protocol=present(15), chosen_cert_arn=present(19)),
+        "raw": body(log_type=F.lit("alb_access"), line=F.col("line")),
+    }
+    kinds = [f.split(" ") for f in EVENTS.split(", ")]
+    return rows.select(*[found.get(n, F.col(n) if n in ("file_id", "record_index") else F.lit(None)).cast(k).alias(n) for n, k in kinds])

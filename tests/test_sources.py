@@ -166,3 +166,39 @@ def test_damage_within_the_head():
     whole = gzip.compress("".join(X.alb(i) + "\n" for i in range(200)).encode())
     found = detect("x.gz", whole[: len(whole) // 2])
     assert found.log_type == "alb_access" and "damaged" in found.note
+
+
+def _odd_lines(n=400):
+    import random
+
+    rnd = random.Random(8)
+    out = ["", " ", '"', X.alb(), "\t" + X.alb() + "  ", X.alb().replace(" ", "\t"), X.alb(extra=False), X.alb(target="[2001:db8::1]:80"), X.alb().replace("198.51.100.0:2817", "[2001:db8::2]:9"), X.alb().replace("198.51.100.0:2817", "noport"),
+        X.alb(time="2024-03-01T00:00:00.123456789+05:30"), X.alb(time="2024-02-30T00:00:00Z"), X.alb(time="2024-03-01 00:00:00Z"), X.alb(time="2024-03-01T00:00:00"), X.alb(status="99999999999999999999999"), X.alb(status="+404"), X.alb(method="")]
+    base = X.alb()
+    for _ in range(n):
+        chars = list(base)
+        for _ in range(rnd.randrange(1, 4)):
+            i = rnd.randrange(len(chars))
+            chars[i] = rnd.choice(['"', " ", "\\", "-", "é", "x", "", "9", ":"])
+        out.append("".join(chars))
+    return out
+
+
+def test_native_lines_equal_the_reader(spark):
+    from logsieve.sources.lines import normalize_lines
+
+    lines = _odd_lines()
+    want = {}
+    for i, line in enumerate(lines):
+        event = N.alb_event(line)
+        if event is not None:
+            want[i] = {k: (json.loads(v) if k in ("request", "response", "resources", "raw") else v) for k, v in event.items()}
+    rows = normalize_lines(spark.createDataFrame([(2, i, x) for i, x in enumerate(lines)] + [(2, 9999, None)], "file_id int, record_index int, line string"), "alb_access")
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString() and "InArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in rows.collect():
+        assert r.event_id == 2 << 32 | r.record_index
+        got[r.record_index] = {k: (json.loads(r[k]) if k in ("request", "response", "resources", "raw") else r[k]) for k in want.get(r.record_index, {"event_time": 0})}
+    assert len(want) > 100 and len(want) < len(lines) and got.keys() == want.keys()
+    for i, event in want.items():
+        assert got[i] == event, lines[i]
