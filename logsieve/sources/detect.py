@@ -189,5 +189,4 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     if not paths:
         return spark.createDataFrame([], "path string, content binary")
-    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    return files.repartition(min(len(paths), max(1, spark.sparkContext.defaultParallelism * 4)))
+    return spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")

@@ -34,6 +34,10 @@ _KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "tim
 _SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split(" ") for f in f"{EVENTS}, {OUTCOME}".split(", "))])
 
 
+def columns_of(rows: list[dict[str, Any]], schema: pa.Schema = _SCHEMA) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+
 @dataclass
 class Outcome:
     """How a file ended: parsed, skipped or failed; ``records`` counts what was stored."""
@@ -153,7 +157,7 @@ def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str
     mapping, ids = FieldMap(overrides), {c.path: c for c in candidates}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame = lambda rows: pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+        frame = columns_of
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 candidate, outcome, rows = ids[path], Outcome(), []

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions.schema import EVENTS
-from logsieve.sources.ingest import _KINDS
+from logsieve.sources.ingest import _KINDS, columns_of
 from logsieve.sources.mapping import FieldMap
-from logsieve.sources.native import alb_events
-from logsieve.sources.normalize import audit_event, json_event
+from logsieve.sources.normalize import alb_event, audit_event, json_event
 
 _SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split(" ") for f in EVENTS.split(", "))])
 
@@ -21,14 +20,13 @@ _SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split(" ") for f
 def normalize_lines(lines: DataFrame, log_type: str, overrides: dict[str, list[str]] | None = None) -> DataFrame:
     """Canonical events of (file_id, record_index, line) rows; malformed and null lines give none.
 
-    A line of an audit trail is one record. One narrow pass, so it runs on a stream as well; load balancer
-    lines are taken apart by column expressions.
+    A line of an audit trail is one record. One narrow pass in Arrow batches, so it runs on a stream as well.
     """
-    if log_type == "alb_access":
-        return alb_events(lines)
     mapping = FieldMap(overrides)
 
     def one(line: str):
+        if log_type == "alb_access":
+            return alb_event(line)
         if log_type != "cloudtrail":
             return json_event(line, log_type)
         try:
@@ -43,7 +41,7 @@ def normalize_lines(lines: DataFrame, log_type: str, overrides: dict[str, list[s
                 event = one(line) if line else None
                 if event is not None:
                     rows.append(event | {"event_id": file_id << 32 | index, "file_id": file_id, "record_index": index, "log_type": log_type})
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+            yield columns_of(rows, _SCHEMA)
 
     wanted = lines.select(F.col("file_id").cast("long"), F.col("record_index").cast("long"), F.col("line").cast("string"))
     return wanted.mapInArrow(run, EVENTS)

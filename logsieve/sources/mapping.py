@@ -23,9 +23,13 @@ AUDIT_MAPPING: dict[str, tuple[str, ...]] = {
 }
 
 
+_SORTED = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+_ORDERED = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
+
+
 def compact(value: Any, ordered: bool = False) -> str:
     """Compact JSON; keys are sorted unless the order of ``value`` is meant."""
-    return json.dumps(value, sort_keys=not ordered, separators=(",", ":"), ensure_ascii=False)
+    return _ORDERED(value) if ordered else _SORTED(value)
 
 
 def at(value: Any, path: str) -> Any:
