@@ -6,6 +6,7 @@ from logsieve.llm.bpe import op4_bpe
 from logsieve.llm.html_extract import op2_html_extract
 from logsieve.llm.kneser_ney import op10_quality_lm
 from logsieve.llm.nearest import op3_nearest
+from logsieve.llm.oracles import ORACLES
 from logsieve.llm.packing import op5_packing
 from logsieve.llm.repetition import op7_quality_rules
 from logsieve.llm.secrets_scan import op8_secret_scan
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_quality_lm": op10_quality_lm,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -187,4 +187,4 @@ def quality_rules(docs: DataFrame, least: int = 6, most_covered: float = 0.25, l
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("spans")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("spans", "longest_repeat")
