@@ -246,9 +246,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are replaced in the texts; every document stays. ``n_chars`` follows the text."""
-    text = F.when(F.col("text").rlike(PATTERN), redacted(F.col("text"), train(spark))).otherwise(F.col("text"))
-    new = docs.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        same = F.coalesce(docs["text"], F.lit("")) == F.coalesce(F.col("new_text"), F.lit(""))
-        new = docs.withColumn("new_text", text).withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("new_text").cast(docs.schema["n_chars"].dataType))).drop("text").withColumnRenamed("new_text", "text")
-    return new.select(docs.columns)
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of ours can clash with the table's
+    rows = docs.select(*[docs[c].alias(n) for c, n in inner.items()])
+    old = F.col(inner["text"])
+    rows = rows.withColumn("new", F.when(old.rlike(PATTERN), redacted(old, train(spark))).otherwise(old))
+    out = {c: F.col(n) for c, n in inner.items()} | {"text": F.col("new")}
+    if "n_chars" in inner:
+        out["n_chars"] = F.when(old.eqNullSafe(F.col("new")), out["n_chars"]).otherwise(F.char_length("new").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[out[c].alias(c) for c in docs.columns])

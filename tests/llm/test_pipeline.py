@@ -58,3 +58,25 @@ def test_run_equals_its_stages(spark):
     one = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert one.count() > 0 and "sequence_id" in one.columns
     assert removed_bytes(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).count() == 200
+
+
+def test_stages_on_odd_rows_and_on_none(spark):
+    """Nulls in every column, empty texts, repeated rows, a long text, and columns that clash with our own names."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    secret = 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y'
+    rows = [(1, None, None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0), (3, "some plain words here", "en", "s", 21), (3, "some plain words here", "en", "s", 21), (None, "other plain words", None, None, 17), (4, long, "de", None, len(long)), (5, secret, None, "s", len(secret))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("k1", "k2", "kept", "copies", "fp", "score", "new", "c0", "row", "component_id", "toxic", "predicted", "length", "shard"):
+        docs = docs.selectExpr("*", f"'{name}' as {name}")
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            was, now = now, corpus_pipeline.materialize(stage(spark, now, "/root/testdata/sf0.001"), "odd")
+            if name != "packing":
+                assert now.columns == docs.columns and all(r[c] == c for r in now.collect() for c in docs.columns[5:])
+        if empty:
+            assert now.count() == 0
+            continue
+        left = sorted((r.doc_id or 0, r.text, r.n_chars) for r in was.collect() if r.text and len(r.text) < 100)
+        assert left == [(0, "other plain words", 17), (3, "some plain words here", 21), (5, 'x token = "[SECRET:assignment]" y', 33)]
+        assert {r.doc_id for r in was.collect()} == {None, 1, 3, 4, 5} and sum(r.length for r in now.where("doc_id = 4").collect()) > 60_000
