@@ -19,7 +19,7 @@ from logsieve.plans.explain import explain
 from logsieve.plans.model import Rule
 from logsieve.plans.parser import parse_condition, parse_rules
 from logsieve.sources.detect import detect_all
-from logsieve.sources.discovery import Scan, scan_folder
+from logsieve.sources.discovery import Scan, scan
 from logsieve.sources.mapping import AUDIT_MAPPING, FieldMap
 from logsieve.sources.preview import Preview, preview
 
@@ -45,18 +45,18 @@ def with_clause(text: str, clause: str) -> str:
 
 
 class Engine:
-    """Cases under ``root``, the analyst's rules in ``root/rules``."""
+    """Cases under ``root``, which may be in any file system that Spark reaches; the analyst's rules in a local folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.rules_folder = spark, root, os.path.join(root, "rules")
+    def __init__(self, spark: SparkSession, root: str, rules_folder: str | None = None):
+        self.spark, self.root, self.rules_folder = spark, root, rules_folder or os.path.join(root, "rules")
 
     # Folders and files ---------------------------------------------------------------------------
 
     def scan_directory(self, folder: str) -> Scan:
-        return scan_folder(folder)
+        return scan(self.spark, folder)
 
     def detect_logs(self, folder: str) -> DataFrame:
-        return detect_all(self.spark, [c.path for c in scan_folder(folder).candidates])
+        return detect_all(self.spark, [c.path for c in scan(self.spark, folder).candidates])
 
     def default_mapping(self) -> dict[str, tuple[str, ...]]:
         return dict(AUDIT_MAPPING)
@@ -81,10 +81,10 @@ class Engine:
         return Case(self.spark, f"{self.root}/{cases.safe_id(case_id)}")
 
     def list_cases(self) -> list[dict[str, object]]:
-        return cases.list_cases(self.root)
+        return cases.list_cases(self.spark, self.root)
 
     def delete_case(self, case_id: str) -> None:
-        cases.delete_case(self.root, case_id)
+        cases.delete_case(self.spark, self.root, case_id)
 
     @contextmanager
     def cancellable(self, tag: str) -> Iterator[None]:

@@ -15,9 +15,7 @@ evaluation leaves the rule pending and without matches.
 from __future__ import annotations
 
 import json
-import os
 import re
-import shutil
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -32,8 +30,9 @@ from logsieve.operators.rulesets import RuleSet
 from logsieve.operators.window import Window
 from logsieve.plans.model import Rule
 from logsieve.plans.parser import parse_condition
-from logsieve.sources.discovery import scan_folder
+from logsieve.sources.discovery import scan
 from logsieve.sources.ingest import COLUMNS, ingest, with_companions
+from logsieve.sources.storage import Storage
 
 MATCHES = "event_id long, event_time timestamp_ntz, log_type string, " + ", ".join(f"{c} string" for c in SUMMARY) + ", matched_fields string, rule_id string"
 _SAFE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,127}")
@@ -50,27 +49,26 @@ def _now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _write_json(path: str, value: object) -> None:
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "w", encoding="utf-8") as out:
-        json.dump(value, out, indent=1)
-    os.replace(part, path)
-
-
 @dataclass
 class Case:
+    """``path`` may be in any file system that Spark reaches; executors must reach it, too."""
+
     spark: SparkSession
     path: str
 
+    @property
+    def disk(self) -> Storage:
+        return Storage(self.spark)
+
     # Tables --------------------------------------------------------------------------------------
 
     @property
     def meta(self) -> dict[str, object]:
-        with open(f"{self.path}/case.json", encoding="utf-8") as file:
-            return json.load(file)
+        return json.loads(self.disk.read(f"{self.path}/case.json"))
 
     def _set(self, **values: object) -> None:
-        _write_json(f"{self.path}/case.json", (self.meta if os.path.exists(f"{self.path}/case.json") else {}) | values)
+        before = self.meta if self.disk.exists(f"{self.path}/case.json") else {}
+        self.disk.write(f"{self.path}/case.json", json.dumps(before | values, indent=1))
 
     @property
     def files(self) -> DataFrame:
@@ -88,11 +86,11 @@ class Case:
         """Matches of one rule, or of all; reading one rule's reads its folder alone."""
         folder = f"{self.path}/matches"
         if rule_id is not None:
-            own = f"{folder}/rule_id={quote(rule_id, safe='')}"
-            if not os.path.isdir(own):
+            own = self._folder(rule_id)
+            if not self.disk.exists(own):
                 return self.spark.createDataFrame([], MATCHES)
             return self.spark.read.schema(MATCHES.rpartition(",")[0]).parquet(own).withColumn("rule_id", F.lit(rule_id))
-        if not os.path.isdir(folder) or not os.listdir(folder):
+        if not self.disk.names(folder):
             return self.spark.createDataFrame([], MATCHES)
         return self.spark.read.schema(MATCHES).parquet(folder)
 
@@ -102,23 +100,25 @@ class Case:
     def create(cls, spark: SparkSession, root: str, case_id: str, folder: str, selected: set[str] | None = None, overrides: dict[str, list[str]] | None = None) -> Case:
         """Ingest a folder into a new case. The parse runs once; events and file outcomes are cut from it."""
         case = cls(spark, f"{root}/{safe_id(case_id)}")
-        os.makedirs(case.path)
+        if case.disk.exists(case.path):
+            raise FileExistsError(case.path)
+        case.disk.make(case.path)
         case._set(case_id=case_id, folder=folder, started_at=_now(), finished_at=None, status="running", mapping=overrides or {})
         try:
-            candidates = scan_folder(folder).candidates
+            candidates = scan(spark, folder).candidates
             wanted = [c for c in candidates if selected is None or c.path in selected]
             staged = f"{case.path}/staged"
             ingest(spark, wanted, overrides).write.option("compression", "zstd").parquet(staged)
             parsed = spark.read.parquet(staged)
             with_companions(parsed.where("file_status is null").select(COLUMNS)).sortWithinPartitions("log_type", "event_id").write.partitionBy("log_type").option("compression", "zstd").parquet(f"{case.path}/events")
-            if not any(x.startswith("log_type=") for x in os.listdir(f"{case.path}/events")):
+            if not any(x.startswith("log_type=") for x in case.disk.names(f"{case.path}/events")):
                 with_companions(parsed.limit(0).select(COLUMNS)).write.mode("overwrite").parquet(f"{case.path}/events")
             known = spark.createDataFrame([(c.file_id, c.path, c.size) for c in candidates], "file_id long, path string, size long")
             outcome = parsed.where("file_status is not null").select("file_id", "log_type", F.col("file_status").alias("status"), F.col("record_index").alias("records"), "malformed", F.col("file_note").alias("note"))
             rows = known.join(outcome, "file_id", "left").withColumns({"status": F.coalesce("status", F.lit("skipped")), "note": F.when(F.col("status").isNull(), F.lit("not selected")).otherwise(F.col("note"))})
             rows.coalesce(1).write.parquet(f"{case.path}/files")
             results.payload_keys(case.events).write.parquet(f"{case.path}/payload_keys")
-            shutil.rmtree(staged)
+            case.disk.delete(staged)
             case._set(status="done", finished_at=_now())
         except BaseException:
             case._set(status="failed", finished_at=_now())
@@ -129,10 +129,11 @@ class Case:
 
     @property
     def rules(self) -> dict[str, dict[str, object]]:
-        if not os.path.exists(f"{self.path}/rules.json"):
-            return {}
-        with open(f"{self.path}/rules.json", encoding="utf-8") as file:
-            return json.load(file)
+        path = f"{self.path}/rules.json"
+        return json.loads(self.disk.read(path)) if self.disk.exists(path) else {}
+
+    def _keep(self, rules: dict[str, dict[str, object]]) -> None:
+        self.disk.write(f"{self.path}/rules.json", json.dumps(rules, indent=1))
 
     def rules_table(self) -> DataFrame:
         rows = [(i, r["name"], r["severity"], r["description"], r["log_type"], r["evaluated"]) for i, r in self.rules.items()]
@@ -142,29 +143,34 @@ class Case:
         """Take the rules in as pending, and keep their texts; rules that are gone lose their matches."""
         for gone in self.rules.keys() - {r.id for r in rules.rules}:
             self._drop_matches(gone)
-        _write_json(f"{self.path}/rules.json", {r.id: {"name": r.name, "severity": r.severity, "description": r.description, "log_type": r.log_type, "evaluated": False} for r in rules.rules})
+        self._keep({r.id: {"name": r.name, "severity": r.severity, "description": r.description, "log_type": r.log_type, "evaluated": False} for r in rules.rules})
         for rule in rules.rules:
             self._drop_matches(rule.id)
-        rules.snapshot(f"{self.path}/rules")
+        self.disk.delete(f"{self.path}/rules")
+        for name, text in rules.files():
+            self.disk.write(f"{self.path}/rules/{name}", text)
+
+    def _folder(self, rule_id: str) -> str:
+        return f"{self.path}/matches/rule_id={quote(rule_id, safe='')}"
 
     def _drop_matches(self, rule_id: str) -> None:
-        shutil.rmtree(f"{self.path}/matches/rule_id={quote(rule_id, safe='')}", ignore_errors=True)
+        self.disk.delete(self._folder(rule_id))
 
     def _mark(self, rule_id: str, evaluated: bool) -> None:
         rules = self.rules
         if rule_id in rules:
             rules[rule_id]["evaluated"] = evaluated
-            _write_json(f"{self.path}/rules.json", rules)
+            self._keep(rules)
 
     def _store(self, rule: Rule) -> None:
         staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         try:
             results.evaluate(self.events, rule).drop("rule_id").write.option("compression", "zstd").parquet(staged)
-            os.makedirs(f"{self.path}/matches", exist_ok=True)
+            self.disk.make(f"{self.path}/matches")
             self._drop_matches(rule.id)
-            os.rename(staged, f"{self.path}/matches/rule_id={quote(rule.id, safe='')}")
+            self.disk.move(staged, self._folder(rule.id))
         finally:
-            shutil.rmtree(staged, ignore_errors=True)
+            self.disk.delete(staged)
 
     def evaluate(self, rule: Rule) -> None:
         """Pending until all matches are in place; on failure pending with none."""
@@ -175,7 +181,7 @@ class Case:
 
     def remove(self, rule_id: str) -> None:
         self._drop_matches(rule_id)
-        _write_json(f"{self.path}/rules.json", {k: v for k, v in self.rules.items() if k != rule_id})
+        self._keep({k: v for k, v in self.rules.items() if k != rule_id})
 
     def search(self, text: str, within: Rule | None = None) -> str | None:
         """Run a typed condition as a rule and return its id, or None if the text is no condition.
@@ -196,20 +202,19 @@ class Case:
         return results.rule_groups(rules, self.matches(), window or Window())
 
 
-def list_cases(root: str) -> list[dict[str, object]]:
+def list_cases(spark: SparkSession, root: str) -> list[dict[str, object]]:
     """Newest first; folders that hold no readable case are passed over."""
-    out = []
-    for name in sorted(os.listdir(root)) if os.path.isdir(root) else []:
+    disk, out = Storage(spark), []
+    for name in disk.names(root):
         try:
-            with open(f"{root}/{name}/case.json", encoding="utf-8") as file:
-                out.append(json.load(file))
+            out.append(json.loads(disk.read(f"{root}/{name}/case.json")))
         except (OSError, ValueError):
             continue
     return sorted(out, key=lambda c: (str(c.get("started_at")), str(c.get("case_id"))), reverse=True)
 
 
-def delete_case(root: str, case_id: str) -> None:
-    path = f"{root}/{safe_id(case_id)}"
-    if not os.path.exists(f"{path}/case.json"):
+def delete_case(spark: SparkSession, root: str, case_id: str) -> None:
+    disk, path = Storage(spark), f"{root}/{safe_id(case_id)}"
+    if not disk.exists(f"{path}/case.json"):
         raise FileNotFoundError(path)
-    shutil.rmtree(path)
+    disk.delete(path)

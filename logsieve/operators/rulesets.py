@@ -50,15 +50,9 @@ class RuleSet:
         rules = [mine.get(r.id, r) for r in self.rules] + [r for r in upper.rules if r.id not in known]
         return RuleSet(rules, self.sources | upper.sources, self.origin | upper.origin, self.errors + upper.errors)
 
-    def snapshot(self, folder: str) -> None:
-        """Keep the texts in a folder, one file a rule, in place of what was there."""
-        os.makedirs(folder, exist_ok=True)
-        for name in os.listdir(folder):
-            if name.endswith(SUFFIX):
-                os.unlink(os.path.join(folder, name))
-        for rule in self.rules:
-            with open(os.path.join(folder, f"{self.origin[rule.id]}-{rule.id}{SUFFIX}"), "w", encoding="utf-8") as out:
-                out.write(self.sources[rule.id] + "\n")
+    def files(self) -> list[tuple[str, str]]:
+        """(file name, text) of every rule, as a case keeps them."""
+        return [(f"{self.origin[r.id]}-{r.id}{SUFFIX}", self.sources[r.id] + "\n") for r in self.rules]
 
 
 def shipped() -> RuleSet:

@@ -79,3 +79,11 @@ def list_folder(spark: SparkSession, root: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     wanted = F.lower(name).endswith(".gz") | F.lower(name).endswith(".parquet")
     return files.where(wanted & (F.col("size") > 0) & ~name.startswith("._"))
+
+
+def scan(spark: SparkSession, root: str) -> Scan:
+    """A local folder with what is skipped, or the candidates of a folder in another file system."""
+    if "://" not in root or root.startswith("file://"):
+        return scan_folder(root.removeprefix("file://"))
+    rows = list_folder(spark, root).orderBy("path").collect()  # names and sizes of files, not records
+    return Scan([Candidate(i, r.path, r.size) for i, r in enumerate(rows)])

@@ -122,6 +122,19 @@ def test_case_tables(case):
     assert results.file_spans(case.files.drop("records"), case.events).where("n = 0").count() == 3
 
 
+def test_case_in_another_file_system(spark, case, tmp_path):
+    """By a mount that only Spark's readers know."""
+    os.makedirs(tmp_path / "far")
+    X.write_folder(str(tmp_path / "far" / "logs"))
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.caselog.link./in", f"file://{tmp_path}/far")
+    one = C.Case.create(spark, "viewfs://caselog/in", "far", "viewfs://caselog/in/logs")
+    assert one.events.count() == case.events.count() and one.files.count() == 10
+    one.register(shipped())
+    one.evaluate(next(r for r in shipped().rules if r.id == "audit_root_login"))
+    assert one.matches("audit_root_login").count() == 5 and one.rules["audit_root_login"]["evaluated"]
+    assert [c["case_id"] for c in C.list_cases(spark, "viewfs://caselog/in")] == ["far"]
+
+
 def test_lazy_evaluation(case, monkeypatch):
     rules = {r.id: r for r in shipped().rules}
     assert not case.rules["audit_root_login"]["evaluated"] and case.matches().count() == 0
@@ -155,20 +168,22 @@ def test_search_is_no_rule(case):
 
 def test_case_folders(spark, case, tmp_path):
     root = os.path.dirname(case.path)
-    assert [c["case_id"] for c in C.list_cases(root)] == ["one"] and C.list_cases(str(tmp_path / "no")) == []
+    assert [c["case_id"] for c in C.list_cases(spark, root)] == ["one"] and C.list_cases(spark, str(tmp_path / "no")) == []
     for bad in ("../x", "", "a/b", ".hidden", "a..b", "x" * 200):
         with pytest.raises(ValueError):
             C.safe_id(bad)
     with pytest.raises(FileNotFoundError):
-        C.delete_case(root, "two")
+        C.delete_case(spark, root, "two")
     os.makedirs(tmp_path / "empty")
-    empty = C.Case.create(spark, str(tmp_path), "none", str(tmp_path / "empty"))
+    empty = C.Case.create(spark, f"file://{tmp_path}", "none", f"file://{tmp_path}/empty")
+    with pytest.raises(FileExistsError):
+        C.Case.create(spark, str(tmp_path), "none", str(tmp_path / "empty"))
     assert empty.events.count() == 0 and empty.files.count() == 0
     empty.register(RuleSet())
-    C.delete_case(str(tmp_path), "none")
+    C.delete_case(spark, str(tmp_path), "none")
     with pytest.raises(NotADirectoryError):
         C.Case.create(spark, str(tmp_path), "bad", str(tmp_path / "nowhere"))
-    assert C.list_cases(str(tmp_path))[0]["status"] == "failed"
+    assert C.list_cases(spark, str(tmp_path))[0]["status"] == "failed"
 
 
 def test_stream(spark, events, tmp_path):
