@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions.fields import Field, resolve, with_variants
-from logsieve.plans.model import ORDERED, And, AtLeast, Condition, Not, Or, Rule, Test, Variable
+from logsieve.plans.model import ORDERED, And, AtLeast, Condition, Not, Rule, Test, Variable
 from logsieve.plans.regex import to_java
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -100,12 +100,9 @@ def text_of(content: bytes) -> Iterator[str]:
 def lines_of(text: Iterator[str]) -> Iterator[str]:
     """Non-empty lines without their ends; what was read before damage comes out before the error."""
     held = ""
-    try:
-        for piece in text:
-            *whole, held = (held + piece).split("\n")
-            yield from (x.rstrip("\r") for x in whole if x.rstrip("\r"))
-    except (zlib.error, EOFError):
-        raise
+    for piece in text:
+        *whole, held = (held + piece).split("\n")
+        yield from (x.rstrip("\r") for x in whole if x.rstrip("\r"))
     if held.rstrip("\r"):
         yield held.rstrip("\r")
 
