@@ -2,7 +2,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from logsieve.llm import repetition as R
