@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.llm.components import connected_components
+from logsieve.llm.near_copies import groups
 from logsieve.llm.shared import materialize, small_batches, table
 
 BITS = 64
@@ -133,12 +134,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest doc_id stays.
+    """Pipeline stage: of each group of near copies the row with the smallest doc_id stays.
 
-    Rows that share a doc_id are one document and one of them stays; rows without a doc_id stay.
+    Copies are told by five-word shingles (``near_copies``), not by ``op1_simhash``'s three words and two
+    bits. Every row is judged by its own text, whether its doc_id is null or repeated.
     """
-    found = near_duplicates(docs)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of ours can clash with the table's
+    rows = materialize(docs.select(*[docs[c].alias(n) for c, n in inner.items()]).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = groups(rows.select("row", F.col(inner["doc_id"]).cast("long").alias("doc_id"), F.col(inner["text"]).alias("text")))
+    gone = materialize(found.where("row <> first").select("row"), "copies")
+    return rows.join(gone, "row", "left_anti").select(*[F.col(n).alias(c) for c, n in inner.items()])

@@ -1,0 +1,59 @@
+import random
+
+import numpy as np
+
+from logsieve.llm import near_copies as N
+from logsieve.llm.simhash import keep_first
+
+
+def brute(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def planted(rnd, originals, edits, copies=1):
+    """(doc_id, text): texts of 400 words and copies of each with single words replaced."""
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
+    rows = []
+    for k in range(originals):
+        words = [word() for _ in range(400)]
+        rows.append((1000 * k, " ".join(words)))
+        for c in range(copies):
+            changed = list(words)
+            for at in rnd.sample(range(0, 400, 5), edits):
+                changed[at] = word()
+            rows.append((1000 * k + c + 1, " ".join(changed)))
+    return rows
+
+
+def test_planted_copies_of_080_to_095(spark):
+    rnd = random.Random(4)
+    for edits in (2, 4, 6, 8):
+        rows = planted(rnd, 60, edits)
+        near = [len(brute(a[1]) & brute(b[1])) / len(brute(a[1]) | brute(b[1])) for a, b in zip(rows[::2], rows[1::2])]
+        assert 0.8 <= min(near) and max(near) <= 0.98
+        kept = {r.doc_id for r in keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
+        assert {d for d, _ in rows[::2]} <= kept and len(kept) <= 61, edits
+
+
+def test_pairs_below_the_similarity_stay(spark):
+    rows = planted(random.Random(5), 60, 12)
+    assert keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").count() == len(rows)
+
+
+def test_crowded_group_goes_down_to_one(spark):
+    rows = planted(random.Random(6), 2, 3, copies=150)
+    kept = {r.doc_id for r in keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept == {0, 1000}
+
+
+def test_rows_are_judged_by_their_text(spark):
+    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (4, "some other words that are long enough"), (4, "a text of its own under the same id"), (None, "some OTHER words that are long enough")]
+    kept = keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text[:6]) for r in kept) == [(0, "one tw"), (4, "a text"), (4, "some o")]
+
+
+def test_similarity_is_exact():
+    for a, b in (("a b c d e f", "a b c d e f g"), ("x y", "x y"), ("x", "y"), ("w " * 9000, "w " * 5), ("", "")):
+        want = len(brute(a) & brute(b)) / max(1, len(brute(a) | brute(b)))
+        assert np.isclose(N.similarity(N.shingles(N._words(a.encode())), N.shingles(N._words(b.encode()))), want)
