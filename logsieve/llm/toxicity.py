@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm.shared import WORD, held_out, materialize, small_batches, table
+from logsieve.llm.shared import WORD, held_out, small_batches, table
 
 PER_CLASS = 1500
 LONGEST = 20_000
@@ -345,7 +345,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted toxic go; rows without a doc_id are judged by nothing and stay."""
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), spans=False)
-    toxic = materialize(scored.where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: rows predicted toxic go. Each is judged by its own text, also where its doc_id is null or repeated."""
+    shipped = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = shipped.value
+        for part in batches:
+            words, index, bounds = tokens([t or "" for t in part.column("text").to_pylist()])
+            value = crf.documents(crf.marginals(words, index, bounds), bounds)
+            yield part.filter(pa.array(value < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

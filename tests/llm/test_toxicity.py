@@ -75,3 +75,12 @@ def test_stage_keeps_columns_and_clean_documents(spark):
     left = kept.join(labels, "doc_id").groupBy("toxic").count().collect()
     left = {r.toxic: r["count"] for r in left}
     assert left[0] >= 345 and left[1] <= 25
+
+
+def test_stage_judges_each_row_by_its_text(spark, monkeypatch):
+    texts = ["vile rotten scorn " * 3 + f"a{i} b{i} c{i} d{i}" if i % 2 else f"kind words e{i} f{i} g{i} h{i}" for i in range(400)]
+    model = T.train(texts, [i % 2 for i in range(400)])
+    monkeypatch.setattr(T, "fit", lambda docs, labels: model)
+    rows = [(None, texts[1]), (None, texts[0]), (7, texts[3]), (7, texts[2]), (8, None)]
+    kept = T.drop_toxic(spark, spark.createDataFrame(rows, "doc_id long, text string"), "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, texts[0]), (7, texts[2]), (8, "")]
