@@ -33,8 +33,8 @@ WINDOW = 64
 PREFIXES = (4, 5, 6)
 AFFIXES = 8192
 FAINT = 0.2
-#: Windows of either kind that the chain is fitted to.
-MOST_WINDOWS = 4000
+#: Windows whose part of the gradient is held at once; all that have toxic tokens count.
+BLOCK_WINDOWS = 2000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _CACHE_WORDS = 150_000
 
@@ -219,7 +219,7 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
     first, size = windows(bounds)
     hits = np.add.reduceat(truth, first) > 0
     rest = np.flatnonzero(~hits)
-    chosen = np.sort(np.concatenate((np.flatnonzero(hits)[:MOST_WINDOWS], np.random.default_rng(7).permutation(rest)[: max(1000, min(MOST_WINDOWS, int(hits.sum())))])))
+    chosen = np.sort(np.concatenate((np.flatnonzero(hits), np.random.default_rng(7).permutation(rest)[: max(1000, int(hits.sum()))])))
     take = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in chosen])
     limits = np.concatenate(([0], np.cumsum(size[chosen])))
     often = Counter(cores[i] for i in index[take].tolist())
@@ -247,8 +247,13 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
     inner[limits[:-1]] = False
     observed = np.bincount(2 * y[:-1][inner[1:]] + y[1:][inner[1:]], minlength=4).reshape(2, 2)
     for step in range(1, rounds + 1):
-        p, expected = chain(np.clip(sum(theta[f] for f in feature), -25, 25), limits, np.exp(log_moves), pairs=True)
-        slope = sum(np.bincount(f, seen - p, len(theta)) for f in feature) - penalty * theta
+        slope, expected = -penalty * theta, np.zeros((2, 2))
+        for low in range(0, len(chosen), BLOCK_WINDOWS):
+            part = limits[low : low + BLOCK_WINDOWS + 1]
+            block = slice(part[0], part[-1])
+            p, moved = chain(np.clip(sum(theta[f[block]] for f in feature), -25, 25), part - part[0], np.exp(log_moves), pairs=True)
+            slope += sum(np.bincount(f[block], seen[block] - p, len(theta)) for f in feature)
+            expected += moved
         slope = np.concatenate((slope, (observed - expected).ravel() - penalty * log_moves.ravel()))
         first_moment = 0.9 * first_moment + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2

@@ -84,3 +84,17 @@ def test_stage_judges_each_row_by_its_text(spark, monkeypatch):
     rows = [(None, texts[1]), (None, texts[0]), (7, texts[3]), (7, texts[2]), (8, None)]
     kept = T.drop_toxic(spark, spark.createDataFrame(rows, "doc_id long, text string"), "/root/testdata/sf0.001").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, texts[0]), (7, texts[2]), (8, "")]
+
+
+def test_windows_of_late_texts_are_learned_from(monkeypatch):
+    """Blocks of any size give the same model, and the last toxic texts count like the first."""
+    rnd = random.Random(2)
+    noise = lambda: " ".join("".join(rnd.choices("aeioubcdst", k=5)) for _ in range(60))
+    early = [f"{noise()} vile {noise()} vile {noise()} vile {noise()} vile" for _ in range(1200)]
+    late = [f"{noise()} rotten" for _ in range(100)]
+    texts = [noise() for _ in range(300)] + early + late
+    model = T.train(texts, [0] * 300 + [1] * 1300, rounds=20)
+    assert "rotten" in model.own and model.own["rotten"] > model.other[0] + 0.5
+    monkeypatch.setattr(T, "BLOCK_WINDOWS", 10**6)
+    whole = T.train(texts, [0] * 300 + [1] * 1300, rounds=20)
+    assert np.allclose(model.affix, whole.affix, atol=1e-3) and np.allclose(model.moves, whole.moves, rtol=1e-3)
