@@ -25,7 +25,7 @@ def test_a_session(spark, tmp_path):
     with engine.cancellable("parse"):
         engine.start_parse("c1", folder)
     assert engine.cancel("parse") == []
-    assert engine.list_cases()[0]["case_id"] == "c1" and len(engine.list_rule_sources()) == 30
+    assert engine.list_cases()[0]["case_id"] == "c1" and len(engine.list_rule_sources()) == 25
     assert engine.explain_rule("rule a { condition: x exists }") == ["In any event, x is present."]
     assert engine.count_rule_matches("c1", 'rule a { condition: error_code == "HTTP 503" } rule b { condition: error_code startswith "HTTP 503" }')[0] == 1
 

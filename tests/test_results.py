@@ -130,27 +130,27 @@ def test_case_in_another_file_system(spark, case, tmp_path):
     one = C.Case.create(spark, "viewfs://caselog/in", "far", "viewfs://caselog/in/logs")
     assert one.events.count() == case.events.count() and one.files.count() == 10
     one.register(shipped())
-    one.evaluate(next(r for r in shipped().rules if r.id == "audit_root_login"))
-    assert one.matches("audit_root_login").count() == 5 and one.rules["audit_root_login"]["evaluated"]
+    one.evaluate(next(r for r in shipped().rules if r.id == "root_sensitive_action"))
+    assert one.matches("root_sensitive_action").count() == 5 and one.rules["root_sensitive_action"]["evaluated"]
     assert [c["case_id"] for c in C.list_cases(spark, "viewfs://caselog/in")] == ["far"]
 
 
 def test_lazy_evaluation(case, monkeypatch):
     rules = {r.id: r for r in shipped().rules}
-    assert not case.rules["audit_root_login"]["evaluated"] and case.matches().count() == 0
-    case.evaluate(rules["audit_root_login"])
-    case.evaluate(rules["firewall_injection"])
-    assert case.rules["audit_root_login"]["evaluated"]
-    page = results.list_matches(case.matches("audit_root_login"), Window(limit=2, newest_first=False)).collect()
+    assert not case.rules["root_sensitive_action"]["evaluated"] and case.matches().count() == 0
+    case.evaluate(rules["root_sensitive_action"])
+    case.evaluate(rules["client_denied"])
+    assert case.rules["root_sensitive_action"]["evaluated"]
+    page = results.list_matches(case.matches("root_sensitive_action"), Window(limit=2, newest_first=False)).collect()
     assert len(page) == 2 and page[0].time == "2024-03-01 10:02:03.000" and page[0].resource == "arn:x" and json.loads(page[0].matched_fields)["identity_type"] == "Root"
     groups = {r.rule_id: r.matches for r in case.groups().collect()}
-    assert groups["audit_root_login"] == 5 and groups["firewall_injection"] == 1 and groups["audit_denied"] == 0 and len(groups) == 29
-    assert case.groups().first().rule_id == "audit_root_login"
+    assert groups["root_sensitive_action"] == 5 and groups["client_denied"] == 1 and groups["calls_throttled"] == 0 and len(groups) == 24
+    assert case.groups().first().rule_id == "root_sensitive_action"
     with monkeypatch.context() as m:
         m.setattr(results, "evaluate", lambda *a: 1 / 0)
         with pytest.raises(ZeroDivisionError):
-            case.evaluate(rules["audit_root_login"])
-    assert not case.rules["audit_root_login"]["evaluated"] and case.matches("audit_root_login").count() == 0
+            case.evaluate(rules["root_sensitive_action"])
+    assert not case.rules["root_sensitive_action"]["evaluated"] and case.matches("root_sensitive_action").count() == 0
     assert not [x for x in os.listdir(case.path) if x.startswith("staged")]
 
 

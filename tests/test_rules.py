@@ -143,57 +143,55 @@ def test_pushdown_and_pruning(spark, tmp_path):
 
 def test_rule_sets(tmp_path):
     pack = shipped()
-    assert len(pack.rules) == 29 and not pack.errors and all(r.severity in ("high", "medium", "low") and r.description and r.log_type for r in pack.rules)
+    assert len(pack.rules) == 24 and not pack.errors and all(r.severity in ("high", "medium", "low") and r.description and r.log_type for r in pack.rules)
     folder = str(tmp_path)
     (tmp_path / "bad.rules").write_text("rule x {")
     (tmp_path / "note.txt").write_text("x")
-    save_rule(folder, 'rule audit_denied { condition: event_name == "mine" }')
+    save_rule(folder, 'rule calls_throttled { condition: event_name == "mine" }')
     save_rule(folder, 'rule own { condition: event_name == "own" }')
     both = layered(folder)
-    assert len(both.rules) == 30 and both.rules[-1].id == "own" and len(both.errors) == 1
-    assert [r.id for r in both.rules].index("audit_denied") == [r.id for r in pack.rules].index("audit_denied") and both.origin["audit_denied"] == "user"
+    assert len(both.rules) == 25 and both.rules[-1].id == "own" and len(both.errors) == 1
+    assert [r.id for r in both.rules].index("calls_throttled") == [r.id for r in pack.rules].index("calls_throttled") and both.origin["calls_throttled"] == "user"
     for text in ("rule own { condition: x exists }", "", "rule a { condition: x exists } rule b { condition: x exists }", "rule a.b { condition: x exists }"):
         with pytest.raises(RuleError):
             save_rule(folder, text)
     assert save_rule(folder, "rule renamed { condition: x exists }", replaces="own").id == "renamed"
-    assert {r.id for r in RuleSet.load(folder).rules} == {"audit_denied", "renamed"}
+    assert {r.id for r in RuleSet.load(folder).rules} == {"calls_throttled", "renamed"}
     delete_rule(folder, "renamed")
     with pytest.raises(RuleError):
         delete_rule(folder, "../x")
     (tmp_path / "snap").mkdir()
     for name, text in both.files():
         (tmp_path / "snap" / name).write_text(text)
-    assert len(RuleSet.load(str(tmp_path / "snap")).rules) == 30
+    assert len(RuleSet.load(str(tmp_path / "snap")).rules) == 25
 
 
 POSITIVE = {
-    "audit_root_login": dict(event_source="signin.amazonaws.com", event_name="ConsoleLogin", identity_type="Root"), "audit_login_failed": dict(event_source="signin.amazonaws.com", event_name="ConsoleLogin", response='{"ConsoleLogin":"Failure"}'),
-    "audit_login_no_mfa": dict(event_source="signin.amazonaws.com", event_name="ConsoleLogin", mfa_authenticated=False), "audit_denied": dict(error_code="Client.UnauthorizedOperation"), "audit_trail_changed": dict(event_source="cloudtrail.amazonaws.com", event_name="StopLogging"),
-    "audit_long_session": dict(event_source="sts.amazonaws.com", event_name="AssumeRole", request='{"durationSeconds":14401}'), "audit_root_used": dict(identity_type="Root", event_name="ListBuckets"),
-    "audit_policy_changed": dict(event_source="iam.amazonaws.com", event_name="AttachUserPolicy", request='{"policyArn":"arn:aws:iam::aws:policy/ReadOnly"}'), "audit_access_key": dict(event_source="iam.amazonaws.com", event_name="CreateAccessKey"),
-    "audit_key_disabled": dict(event_source="kms.amazonaws.com", event_name="DisableKey"), "audit_monitoring_off": dict(event_source="guardduty.amazonaws.com", event_name="UpdateDetector", request='{"enable":false}'),
-    "audit_trust_changed": dict(event_source="iam.amazonaws.com", event_name="UpdateAssumeRolePolicy"), "audit_admin_attached": dict(event_source="iam.amazonaws.com", event_name="AttachRolePolicy", request='{"policyArn":"arn:aws:iam::aws:policy/AdministratorAccess"}'),
-    "audit_login_profile": dict(event_source="iam.amazonaws.com", event_name="CreateLoginProfile"), "audit_mfa_removed": dict(event_source="iam.amazonaws.com", event_name="DeactivateMFADevice"), "audit_remote_command": dict(event_source="ssm.amazonaws.com", event_name="StartSession"),
-    "audit_root_login_ok": dict(event_source="signin.amazonaws.com", event_name="ConsoleLogin", identity_type="Root", response='{"ConsoleLogin":"Success"}'), "audit_login_no_mfa_ok": dict(event_source="signin.amazonaws.com", event_name="ConsoleLogin", mfa_authenticated=False, response='{"ConsoleLogin":"Success"}'),
-    "audit_secret_read": dict(event_source="secretsmanager.amazonaws.com", event_name="GetSecretValue"), "audit_parameter_decrypted": dict(event_source="ssm.amazonaws.com", event_name="GetParameter", request='{"withDecryption":true}'),
-    "audit_bucket_unblocked": dict(event_source="s3.amazonaws.com", event_name="DeleteBucketPublicAccessBlock"), "audit_snapshot_shared": dict(event_source="ec2.amazonaws.com", event_name="ModifySnapshotAttribute"),
-    "balancer_server_error": dict(response='{"elb_status_code":503}'), "balancer_forbidden": dict(error_code="HTTP 403"), "balancer_odd_method": dict(event_name="TRACE"), "firewall_blocked": dict(event_name="BLOCK"),
-    "firewall_injection": dict(event_name="BLOCK", response='{"match_details":[{"conditionType":"SQL_INJECTION"}],"terminating_rule_id":"r"}'), "gateway_server_error": dict(response='{"status":500}'), "webserver_server_error": dict(response='{"status":599}'),
+    "root_sensitive_action": dict(event_name="ConsoleLogin", identity_type="Root"), "signin_wrong_password": dict(event_name="ConsoleLogin", error_message="Failed authentication"),
+    "user_signin_single_factor": dict(event_name="ConsoleLogin", identity_type="IAMUser", mfa_authenticated=False, response='{"ConsoleLogin":"Success"}'), "membership_changed": dict(event_source="iam.amazonaws.com", event_name="AddUserToGroup"),
+    "boundary_removed": dict(event_name="DeleteUserPermissionsBoundary"), "identity_provider_changed": dict(event_source="iam.amazonaws.com", event_name="UpdateSAMLProvider", read_only=False),
+    "password_rules_weakened": dict(event_name="UpdateAccountPasswordPolicy", request='{"minimumPasswordLength":13}'), "organization_left": dict(event_source="organizations.amazonaws.com", event_name="LeaveOrganization"),
+    "port_opened_to_all": dict(event_name="AuthorizeSecurityGroupIngress", request='{"ipPermissions":{"items":[{"ipRanges":{"items":[{"cidrIp":"0.0.0.0/0"}]}}]}}'), "network_filter_changed": dict(event_source="ec2.amazonaws.com", event_name="ReplaceNetworkAclEntry"),
+    "way_out_changed": dict(event_source="ec2.amazonaws.com", event_name="CreateRoute"), "flow_records_deleted": dict(event_name="DeleteFlowLogs"), "bucket_rules_changed": dict(event_source="s3.amazonaws.com", event_name="PutBucketAcl"),
+    "image_given_to_all": dict(event_name="ModifyDBSnapshotAttribute", request='{"valuesToAdd":["all"]}'), "recorder_stopped": dict(event_source="config.amazonaws.com", event_name="StopConfigurationRecorder"), "calls_throttled": dict(error_code="ThrottlingException"),
+    "client_denied": dict(error_code="HTTP 401"), "target_without_answer": dict(error_code="HTTP 504", response='{"elb_status_code":504}'), "target_slow": dict(response='{"target_processing_time":10.5}'), "firewall_rate_limit": dict(response='{"terminating_rule_type":"RATE_BASED"}'),
+    "firewall_challenge": dict(event_name="CAPTCHA"), "integration_slow": dict(response='{"integration_latency":5000}'), "secrets_probed": dict(request='{"url":"w.example/.git/config"}'), "anonymous_write": dict(identity_type="anonymous", event_name="PUT"),
 }
 NEGATIVE = {
-    "audit_root_used": dict(identity_type="Root", event_name="ConsoleLogin"), "audit_policy_changed": dict(event_source="iam.amazonaws.com", event_name="AttachUserPolicy", request='{"policyArn":"arn:aws:iam::aws:policy/AdministratorAccess"}'),
-    "audit_monitoring_off": dict(event_source="guardduty.amazonaws.com", event_name="UpdateDetector", request='{"enable":true}'), "audit_long_session": dict(event_source="sts.amazonaws.com", event_name="AssumeRole", request='{"durationSeconds":14400}'),
-    "balancer_server_error": dict(response='{"elb_status_code":600}'), "firewall_injection": dict(event_name="ALLOW", response='{"terminating_rule_id":"SQLi"}'), "audit_parameter_decrypted": dict(event_source="ssm.amazonaws.com", event_name="GetParameter", request='{"withDecryption":false}'),
+    "root_sensitive_action": dict(identity_type="Root", event_name="ListBuckets"), "user_signin_single_factor": dict(event_name="ConsoleLogin", identity_type="AssumedRole", mfa_authenticated=False, response='{"ConsoleLogin":"Success"}'),
+    "password_rules_weakened": dict(event_name="UpdateAccountPasswordPolicy", request='{"minimumPasswordLength":14}'), "port_opened_to_all": dict(event_name="AuthorizeSecurityGroupIngress", request='{"cidrIp":"10.0.0.0/8"}'),
+    "image_given_to_all": dict(event_name="ModifyDBSnapshotAttribute", request='{"valuesToAdd":["000000000000"]}'), "target_without_answer": dict(error_code="HTTP 504", response='{"target_status_code":504}'), "target_slow": dict(response='{"target_processing_time":10}'),
+    "secrets_probed": dict(request='{"url":"w.example/environment"}'), "identity_provider_changed": dict(event_source="iam.amazonaws.com", event_name="ListSAMLProviders", read_only=True), "anonymous_write": dict(identity_type="member", event_name="PUT"),
 }
 
 
 def test_shipped_rules_find_what_they_name(spark):
     pack = {r.id: r for r in shipped().rules}
     assert POSITIVE.keys() == pack.keys()
-    names = ["event_id", "log_type", "event_source", "event_name", "identity_type", "error_code", "mfa_authenticated", "request", "response"]
+    names = ["event_id", "log_type", "event_source", "event_name", "identity_type", "error_code", "error_message", "mfa_authenticated", "read_only", "request", "response"]
     cases = [(i, pack[i].log_type, c) for kind in (POSITIVE, NEGATIVE) for i, c in kind.items()] + [("other", "nginx_access", c) for i, c in POSITIVE.items() if pack[i].log_type == "cloudtrail"]
     rows = [(n, t, *[c.get(x) for x in names[2:]]) for n, (_, t, c) in enumerate(cases)]
-    events = spark.createDataFrame(rows, "event_id long, log_type string, event_source string, event_name string, identity_type string, error_code string, mfa_authenticated boolean, request string, response string")
+    events = spark.createDataFrame(rows, "event_id long, log_type string, event_source string, event_name string, identity_type string, error_code string, error_message string, mfa_authenticated boolean, read_only boolean, request string, response string")
     fired = {(r.rule_id, r.event_id) for r in results.evaluate_all(events, list(pack.values())).collect()}
     for n, (i, t, _) in enumerate(cases):
         if i == "other":
