@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logsieve.operators import case as cases
 from logsieve.operators import results, rulesets
@@ -18,11 +19,14 @@ from logsieve.operators.window import Cursor, Window
 from logsieve.plans.explain import explain
 from logsieve.plans.model import Rule
 from logsieve.plans.parser import parse_condition, parse_rules
-from logsieve.sources.detect import detect_all
+from logsieve.sources.detect import detect_all, opened
 from logsieve.sources.discovery import Scan, scan
 from logsieve.sources.mapping import AUDIT_MAPPING, FieldMap
 from logsieve.sources.preview import Preview, preview
 
+#: Of a file elsewhere this much is read for a preview.
+HEAD_FILE_BYTES = 1 << 20
+
 
 @dataclass
 class Page:
@@ -62,8 +66,13 @@ class Engine:
         return dict(AUDIT_MAPPING)
 
     def preview_head(self, path: str, overrides: dict[str, list[str]] | None = None) -> Preview:
-        with open(path, "rb") as file:
-            return preview(path, file.read(), overrides)
+        """The first records of a file in any file system that Spark reads."""
+        head = None
+        if "://" in path:
+            part = self.spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD_FILE_BYTES).alias("head")).first()
+            head = bytes(part.head) if part else b""
+        with opened(path, head) as file:
+            return preview(path, file, overrides)
 
     def preview_mapping(self, record: dict, overrides: dict[str, list[str]] | None = None) -> dict[str, object]:
         from logsieve.sources.normalize import audit_event
@@ -125,7 +134,10 @@ class Engine:
         """Evaluate a rule unless its matches are in place already."""
         case = self.case(case_id)
         if not case.rules.get(rule_id, {}).get("evaluated"):
-            case.evaluate(next(r for r in self.rules().rules if r.id == rule_id))
+            rule = next((r for r in self.rules().rules if r.id == rule_id), None)
+            if rule is None:
+                raise KeyError(f"no rule {rule_id}")
+            case.evaluate(rule)
 
     # Lists ---------------------------------------------------------------------------------------
 

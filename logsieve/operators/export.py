@@ -15,13 +15,15 @@ from logsieve.functions.schema import FLAG_COLUMNS, JSON_COLUMNS, TEXT_COLUMNS
 from logsieve.operators.window import Window, order, within
 
 
-def export_lines(events: DataFrame, window: Window, matches: DataFrame | None = None) -> DataFrame:
+def export_lines(events: DataFrame, window: Window, matches: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """(line) of every row of a list in list order: all fields, bodies as JSON, nulls kept.
 
     With ``matches`` (of one rule) lines begin with the rule and what matched, and only matched events
-    come out; else the window's search applies.
+    come out; else the window's search applies. With ``files`` events whose file isn't there stay out.
     """
     rows = within(canonical(events), window, searched=matches is None)
+    if files is not None:
+        rows = rows.join(files.select("file_id"), "file_id", "left_semi")
     head = []
     if matches is not None:
         # Matches hold one row an event, and are the smaller side by far.

@@ -51,6 +51,17 @@ def evaluate_all(events: DataFrame, rules: list[Rule]) -> DataFrame:
     return events.select(F.explode(fired).alias("rule_id"), "event_id", "event_time", "log_type")
 
 
+def match_report(events: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+    """All rules over all events in one scan: (rule_id, event_id, event_time, log_type, matched_fields) of every hit
+    in order of rule and event, and (matched, unmatched, total) of the events."""
+    prepared, compiled = prepare(canonical(events), rules)
+    none = F.lit(None).cast("struct<rule_id:string,matched_fields:string>")
+    hits = F.filter(F.array(none, *[F.when(c.matches, F.struct(F.lit(c.rule.id).alias("rule_id"), c.evidence.alias("matched_fields"))) for c in compiled]), lambda x: x.isNotNull())
+    rows = prepared.select("event_id", "event_time", "log_type", F.explode(hits).alias("hit")).select("hit.rule_id", "event_id", "event_time", "log_type", "hit.matched_fields")
+    totals = draft_count(events, rules).select("matched", (F.col("scanned") - F.col("matched")).alias("unmatched"), F.col("scanned").alias("total"))
+    return rows.orderBy("rule_id", "event_id"), totals
+
+
 def draft_count(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """(matched, scanned): events that any of the rules matches, and all events."""
     events, compiled = prepare(canonical(events), rules)
@@ -127,11 +138,16 @@ def day_span(events: DataFrame) -> DataFrame:
 
 
 def list_events(events: DataFrame, window: Window) -> DataFrame:
-    """One page of all events. The page is found on narrow columns; wide ones are read for its rows only."""
+    """One page of all events. The page is found on narrow columns; wide ones are read for its rows only.
+
+    The page's ids, at most ``LARGEST_PAGE``, are found first, so that the second scan can pass over every
+    row group that holds none of them (events are stored in order of id).
+    """
     events = canonical(events)
     narrow = events.select("event_id", "event_time", "log_type", "event_name", "event_source", "identity_arn", "source_ip")
-    ids = page_rows(narrow, window).select("event_id")
-    return summarize(events.join(F.broadcast(ids), "event_id", "left_semi")).orderBy(*_shown_order(window))  # at most a page of ids
+    ids = [r.event_id for r in page_rows(narrow, window).select("event_id").collect()]
+    wanted = events.where(F.col("event_id").between(min(ids), max(ids)) & F.col("event_id").isin(ids)) if ids else events.limit(0)
+    return summarize(wanted).orderBy(*_shown_order(window)).limit(max(1, len(ids)))
 
 
 def list_matches(matches: DataFrame, window: Window) -> DataFrame:

@@ -6,8 +6,10 @@ user the identity, its properties the request. Everything runs over the whole ta
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gzip
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -258,13 +260,35 @@ def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapted(spark, sf_dir).select("event_id", packed.alias("packed"), F.shiftright(packed, 32).alias("unpacked"))
 
 
-@query("export_lines", None)
+_LINE = """'{"event_id":' || event_id || ',"log_type":"waf_acl","event_time":"' || rtrim(rtrim(strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f'), '0'), '.') || 'Z","event_source":"purchase","event_name":"purchase","aws_region":null,"account_id":null,"source_ip":null,"user_agent":null,"identity_type":null,'
+  || '"identity_arn":"' || identity_arn || '","identity_name":"' || identity_name || '","error_code":null,"error_message":null,"mfa_authenticated":' || coalesce(mfa_authenticated::varchar, 'null') || ',"read_only":' || read_only::varchar
+  || ',"management_event":null,"request":' || replace(request::varchar, ' ', '') || ',"response":null,"resources":null,"raw":null}' as line"""
+
+
+@query("export_lines", f"select {_LINE} from {{E}} where log_type = 'waf_acl'")
 def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsieve.operators.export import export_lines as lines
 
     return lines(adapted(spark, sf_dir), Window(log_type="waf_acl"))
 
 
+@query("export_of_files", f"select {_LINE} from {{E}} join (select i as file_id from range(4) t(i)) using (file_id) where log_type = 'waf_acl'")
+def export_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsieve.operators.export import export_lines as lines
+
+    return lines(adapted(spark, sf_dir), Window(log_type="waf_acl"), files=_files(spark).where("file_id < 4"))
+
+
+@query("match_report", f"select rule_id, event_id, log_type from {MATCHES}")
+def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.match_report(adapted(spark, sf_dir), parse_rules(RULES))[0].select("rule_id", "event_id", "log_type")
+
+
+@query("match_report_totals", f"select count(distinct event_id) as matched, (select count(*) from events) - count(distinct event_id) as unmatched, (select count(*) from events) as total from {MATCHES}")
+def match_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.match_report(adapted(spark, sf_dir), parse_rules(RULES))[1]
+
+
 def _table_rule(name: str, source: str, columns: dict[str, str], text: str, select: str, where: str) -> None:
     """A rule over another table, whose columns stand for event fields."""
 
@@ -349,3 +373,103 @@ _normalized(
     f"{_SHOW}; event_name; identity_name; mfa_authenticated; read_only; request",
     f"""select {_ID}, {_TIME.format("date_trunc('second', ts)")}, event_type as event_name, case event_type when 'click' then 'issuer' else 'u' || user_id end as identity_name, user_id % 2 = 0 as mfa_authenticated, case event_type when 'view' then true end as read_only, '{{"a":[' || user_id || '],"b":1}}' as request from events""",
 )
+
+
+# Files: contents made from the events table, as they come from a folder ------------------------------
+
+
+def _zipped(rows: DataFrame) -> DataFrame:
+    """(file_id, path, content) of (file_id, path, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"file_id": part.file_id, "path": part.path, "content": [gzip.compress(t.encode(), 1, mtime=0) for t in part.text]})
+
+    return rows.select("file_id", "path", "text").mapInPandas(run, "file_id long, path string, content binary")
+
+
+def _audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each user: its events are the records, among other keys that hold records of their own."""
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    record = F.struct("event_id", F.lit("1.08").alias("eventVersion"), time.alias("eventTime"), F.col("event_type").alias("eventSource"), F.concat(F.lit("e"), "event_id").alias("eventName"), F.col("props").alias("requestParameters"))
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.sort_array(F.collect_list(record)).alias("r"))
+    text = F.concat(F.lit('{"meta":{"Records":[1,2]},"note":"\\"Records\\":[3","Records":'), F.to_json("r"), F.lit(',"after":{"Records":[{"eventName":"no"}]},"n":-1.5}'), F.when(F.col("user_id") % 2 == 0, '{"Records":[]}').otherwise(""))
+    return _zipped(users.select(F.col("user_id").alias("file_id"), F.concat(F.lit("/x/"), "user_id", F.lit(".json.gz")).alias("path"), text.alias("text")))
+
+
+_RANKED = "(select user_id, event_id, event_type, props, ts, row_number() over (partition by user_id order by event_id) - 1 as i from events)"
+
+
+@query("read_documents", f"select (user_id << 32) | i as event_id, user_id as file_id, i as record_index, 'e' || event_id as event_name, event_type as event_source, 'cloudtrail' as log_type from {_RANKED}")
+def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsieve.sources.ingest import read_contents
+
+    return read_contents(_audit_files(spark, sf_dir)).where("file_status is null").select("event_id", "file_id", "record_index", "event_name", "event_source", "log_type")
+
+
+@query("read_outcomes", "select user_id as file_id, 'parsed' as file_status, count(*) as records from events group by 1")
+def read_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsieve.sources.ingest import read_contents
+
+    return read_contents(_audit_files(spark, sf_dir)).where("file_status is not null").select("file_id", "file_status", F.col("record_index").alias("records"))
+
+
+@query("detect_documents", f"select '/x/' || user_id || '.json.gz' as path, 'cloudtrail' as log_type, 'high' as confidence, count(*) as records, false as estimated, min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) filter (i = 0) as sample_time, 'e' || min(event_id) as sample_name from {_RANKED} group by 1, user_id")
+def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsieve.sources.detect import detect_contents
+
+    return detect_contents(_audit_files(spark, sf_dir)).select("path", "log_type", "confidence", "records", "estimated", "sample_time", "sample_name")
+
+
+def _line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of JSON lines for each user, every third event being no record, in the form of one of three producers."""
+    waf = "to_json(named_struct('webaclId', 'arn:aws:wafv2:us-east-1:000000000000:w', 'action', event_type, 'timestamp', event_id, 'httpRequest', named_struct('clientIp', '10.0.0.1')))"
+    api = "to_json(named_struct('request_id', 'q', 'resource_path', '/v', 'http_method', event_type, 'status', cast(event_id % 600 as string)))"
+    gate = "to_json(named_struct('requestedtimeutc', '2026-01-01 00:00:00', 'httpmethod', event_type, 'apipath', '/p'))"
+    line = F.expr(f"if(event_id % 3 = 0, concat('broken ', event_id), case user_id % 3 when 0 then {waf} when 1 then {api} else {gate} end)")
+    first = F.expr(f"case user_id % 3 when 0 then {waf} when 1 then {api} else {gate} end")
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.struct("event_id", line.alias("line"), first.alias("first")).alias("x")).groupBy("user_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    text = F.concat(F.col("x")[0]["first"], F.lit("\n\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\r\n"))
+    return _zipped(lines.select(F.col("user_id").alias("file_id"), F.concat(F.lit("/x/"), "user_id", F.lit(".gz")).alias("path"), text.alias("text")))
+
+
+_PRODUCER = "['waf_acl', 'apigw_access', 'gateway_request'][user_id % 3 + 1]"
+
+
+@query(
+    "read_lines",
+    f"""with r as {_RANKED} select user_id as file_id, i + 1 as record_index, {_PRODUCER} as log_type, event_type as event_name from r where event_id % 3 <> 0
+      union all select user_id, 0, {_PRODUCER}, event_type from r where i = 0""",
+)
+def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsieve.sources.ingest import read_contents
+
+    return read_contents(_line_files(spark, sf_dir)).where("file_status is null").select("file_id", "record_index", "log_type", "event_name")
+
+
+@query(
+    "read_lines_outcomes",
+    f"select user_id as file_id, {_PRODUCER} as log_type, 'parsed' as file_status, 1 + count(*) filter (event_id % 3 <> 0) as records, count(*) filter (event_id % 3 = 0) as malformed, case when count(*) filter (event_id % 3 = 0) > 0 then count(*) filter (event_id % 3 = 0) || ' malformed records' end as file_note from events group by 1, 2",
+)
+def read_lines_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsieve.sources.ingest import read_contents
+
+    return read_contents(_line_files(spark, sf_dir)).where("file_status is not null").select("file_id", "log_type", "file_status", F.col("record_index").alias("records"), "malformed", "file_note")
+
+
+@query(
+    "payload_keys_deep",
+    """with e as (select event_id, user_id % 7 as n, case event_type when 'error' then 'alb_access' else 'cloudtrail' end as log_type from events)
+      select log_type, path, count(*) as events from (
+        select log_type, 'request.a.b.c.d.e.f' as path from e union all select log_type, 'request.list.' || i from e, range(7) t(i) where i < n and i <= 4
+        union all select log_type, 'response.flag' from e where n > 3 union all select log_type, 'resources.' || i || '.arn' from e, range(2) t(i)) group by 1, 2""",
+)
+def payload_keys_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies at depth: six levels of objects, lists beyond the last index, objects in lists, nulls and texts that are no body."""
+    n = F.expr("user_id % 7")
+    request = F.concat(F.lit('{"none":null,"empty":{},"a":{"b":{"c":{"d":{"e":{"f":1}}}}},"list":'), F.to_json(F.slice(F.array(*[F.lit(i) for i in range(7)]), F.lit(1), n.cast("int"))), F.lit("}"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", F.when(F.col("event_type") == "error", "alb_access").otherwise("cloudtrail").alias("log_type"), request.alias("request"),
+        F.when(n > 3, '{"flag":false}').otherwise("no body").alias("response"), F.lit('[{"arn":"x"},{"arn":"y","z":null}]').alias("resources"),
+    )
+    return results.payload_keys(events)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import zlib
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsieve.sources.json_stream import documents
 from logsieve.sources.mapping import rfc3339
 from logsieve.sources.normalize import PROTOCOLS, endpoint_host, json_producer
 
@@ -55,19 +57,17 @@ def gunzip(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise EOFError("the compressed stream ends too early")
 
 
-def pieces(content: bytes | BinaryIO, size: int = 1 << 20) -> Iterator[bytes]:
-    if isinstance(content, (bytes, bytearray, memoryview)):
-        yield from (bytes(content[i : i + size]) for i in range(0, len(content), size))
-    else:
-        while chunk := content.read(size):
-            yield chunk
+def pieces(file: BinaryIO, size: int = 1 << 20) -> Iterator[bytes]:
+    file.seek(0)
+    while chunk := file.read(size):
+        yield chunk
 
 
-def head_of(content: bytes) -> tuple[bytes, bool, bool]:
+def head_of(file: BinaryIO) -> tuple[bytes, bool, bool]:
     """(first decompressed bytes, whether more follow, whether the stream is damaged)."""
     out = b""
     try:
-        for data in gunzip(pieces(content, 64 << 10)):
+        for data in gunzip(pieces(file, 64 << 10)):
             out += data
             if len(out) >= HEAD_BYTES:
                 return out[:HEAD_BYTES], True, False
@@ -128,65 +128,91 @@ def classify(path: str, head: bytes, cut: bool) -> Detection:
         return _document(path, decoder.raw_decode(text.lstrip())[0])
     except ValueError:
         pass
-    start = text.find("[", text.find('"Records"')) if '"Records"' in text else -1
-    if start >= 0:
-        try:
-            record = decoder.raw_decode(text[start + 1 :].lstrip())[0]
-        except ValueError:
-            record = None
-        if isinstance(record, dict) and "eventVersion" in record:
-            return _sample(Detection(path, "cloudtrail", "high", text.count('"eventVersion"'), cut), record)
+    try:  # the document is cut: its first record may still be whole
+        record = next(documents(iter([text])), None)
+    except ValueError:
+        record = None
+    if isinstance(record, dict) and "eventVersion" in record:
+        return _sample(Detection(path, "cloudtrail", "high", text.count('"eventVersion"'), cut), record)
     return Detection(path, note=NOTHING)
 
 
-def detect_parquet(path: str, content: bytes) -> Detection:
-    import io
-
+def detect_parquet(path: str, file: BinaryIO) -> Detection:
+    """By the footer and the first row."""
     import pyarrow.parquet as pq
 
     try:
-        file = pq.ParquetFile(io.BytesIO(content))
-        first = next(file.iter_batches(1)).to_pylist() if file.metadata.num_rows else []
+        table = pq.ParquetFile(file)
+        first = next(table.iter_batches(1)).to_pylist() if table.metadata.num_rows else []
     except Exception as error:  # a damaged file is a finding, not a failure
         return Detection(path, note=f"unreadable Parquet: {type(error).__name__}")
     producer = json_producer(first[0]) if first else None
-    return Detection(path, producer, "high", file.metadata.num_rows) if producer else Detection(path, note=NOTHING)
+    return Detection(path, producer, "high", table.metadata.num_rows) if producer else Detection(path, note=NOTHING)
 
 
-def detect(path: str, content: bytes) -> Detection:
-    """Never fails: damage and foreign content come out as ``unknown`` with a note."""
+def detect(path: str, file: BinaryIO) -> Detection:
+    """Never fails: damage and foreign content come out as ``unknown`` with a note. Reads the file's ends only."""
+    length = file.seek(0, io.SEEK_END)
+    file.seek(0)
+    start = file.read(4)
     if path.lower().endswith(".parquet"):
-        return detect_parquet(path, content) if content[:4] == b"PAR1" else Detection(path, note="not a Parquet file")
-    if content[:2] != b"\x1f\x8b" or len(content) < 18:
-        return Detection(path, note="not gzip" if len(content) >= 2 else "too short")
-    head, cut, damaged = head_of(content)
+        return detect_parquet(path, file) if start == b"PAR1" else Detection(path, note="not a Parquet file")
+    if start[:2] != b"\x1f\x8b" or length < 18:
+        return Detection(path, note="not gzip" if length >= 2 else "too short")
+    head, cut, damaged = head_of(file)
     if not head:
         return Detection(path, note="damaged gzip")
     found = classify(path, head, cut)
-    if cut and found.records and content.count(b"\x1f\x8b\x08", 0, MEMBER_SCAN_BYTES) <= 1:
-        size = int.from_bytes(content[-4:], "little")  # of the last member, modulo 2^32
-        if size > len(head) and size / len(content) < 1000:
+    if cut and found.records:
+        file.seek(0)
+        members = file.read(MEMBER_SCAN_BYTES).count(b"\x1f\x8b\x08")
+        file.seek(-4, io.SEEK_END)
+        size = int.from_bytes(file.read(4), "little")  # of the last member, modulo 2^32
+        if members <= 1 and size > len(head) and size / length < 1000:
             found.records, found.estimated = max(found.records, round(size * found.records / len(head))), True
     if damaged:
         found.note, found.estimated = "; ".join(filter(None, [found.note, "damaged gzip"])), True
     return found
 
 
-def detect_all(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A detection for each path, judged on the executors; contents never reach the driver."""
+#: Tasks that files are dealt over at most.
+MOST_TASKS = 10_000
+
+
+def detect_contents(files: DataFrame) -> DataFrame:
+    """A detection for each row of (path, content): contents are opened in the tasks where they are null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame([asdict(detect(p, c)) for p, c in zip(part.path, part.content, strict=True)]).astype({"records": "Int64"})
+            found = []
+            for path, content in zip(part.path, part.content, strict=True):
+                with opened(path, content) as file:
+                    found.append(asdict(detect(path, file)))
+            yield pd.DataFrame(found, columns=list(Detection.__dataclass_fields__)).astype({"records": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, DETECTION)
+
+
+def detect_all(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A detection for each path, judged on the executors; contents never reach the driver."""
+    return detect_contents(read_files(spark, list(enumerate(paths)))).orderBy("path")
+
 
-    return read_files(spark, paths).mapInPandas(run, DETECTION).orderBy("path")
+def opened(path: str, content: bytes | None) -> BinaryIO:
+    return open(path, "rb") if content is None else io.BytesIO(content)
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content) of whole files; local paths come back as they were given.
+def read_files(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
+    """(file_id, path, content) of the (id, path) pairs.
 
-    Arrow batches are bounded in bytes by Spark, so a task holds one file or a few small ones.
+    Files under a plain path are opened by the task that reads them, piece by piece, so their content is
+    null here and they may have any size. Those of other file systems are read whole by Spark's reader
+    (2 GiB at most each); their names, which the driver lists anyway, are broadcast to number them.
     """
-    if not paths:
-        return spark.createDataFrame([], "path string, content binary")
-    return spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    names = spark.createDataFrame([(i, p) for i, p in files], "file_id long, path string")
+    remote = [p for _, p in files if "://" in p]
+    near = names.where(~F.col("path").contains("://")).repartition(max(1, min(MOST_TASKS, len(files) - len(remote)))).withColumn("content", F.lit(None).cast("binary"))
+    if not remote:
+        return near
+    far = spark.read.format("binaryFile").load(remote).select("path", "content").join(F.broadcast(names), "path").select("file_id", "path", "content")
+    return near.unionByName(far) if len(remote) < len(files) else far

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,16 +76,21 @@ def scan_folder(root: str) -> Scan:
 
 
 def list_folder(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size) of the candidates under any folder that Spark can read; contents aren't read."""
+    """(path, size, reason) of all files under any folder that Spark can read but litter; contents aren't read.
+
+    ``reason`` tells why a file is passed over and is null for candidates.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
-    name = F.element_at(F.split("path", "/"), -1)
-    wanted = F.lower(name).endswith(".gz") | F.lower(name).endswith(".parquet")
-    return files.where(wanted & (F.col("size") > 0) & ~name.startswith("._"))
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    candidate = reduce(or_, [name.endswith(x) for x in SUFFIXES])
+    reason = F.when(~candidate, "extension").when(F.col("size") == 0, "empty")
+    return files.where(~name.isin(*LITTER) & ~name.startswith("._")).withColumn("reason", reason)
 
 
 def scan(spark: SparkSession, root: str) -> Scan:
-    """A local folder with what is skipped, or the candidates of a folder in another file system."""
+    """Candidates and what is skipped of a folder in the local or any other file system."""
     if "://" not in root or root.startswith("file://"):
         return scan_folder(root.removeprefix("file://"))
     rows = list_folder(spark, root).orderBy("path").collect()  # names and sizes of files, not records
-    return Scan([Candidate(i, r.path, r.size) for i, r in enumerate(rows)])
+    found = [r for r in rows if r.reason is None]
+    return Scan([Candidate(i, r.path, r.size) for i, r in enumerate(found)], [Skipped(r.path, r.reason) for r in rows if r.reason is not None])

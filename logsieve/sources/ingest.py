@@ -1,6 +1,6 @@
 """From log files to canonical events.
 
-Each file is one task's work: a gzip stream is decompressed piece by piece, records are numbered in
+Each file is one task's work: a gzip stream is read and decompressed piece by piece, records are numbered in
 stream order, normalized, and given on in batches, so memory doesn't grow with the number of records.
 Damage ends a file, not the run: what was read before it stays, and the file's outcome says so.
 """
@@ -8,21 +8,20 @@ Damage ends a file, not the run: what was read before it stays, and the file's o
 from __future__ import annotations
 
 import codecs
-import io
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.functions.schema import EVENTS, JSON_COLUMNS, LINE_TYPES
-from logsieve.sources.detect import detect, gunzip, pieces, read_files
+from logsieve.sources.detect import detect, gunzip, opened, pieces, read_files
 from logsieve.sources.discovery import Candidate, scan_folder
+from logsieve.sources.json_stream import documents
 from logsieve.sources.mapping import FieldMap
 from logsieve.sources.normalize import alb_event, audit_event, json_event
 
@@ -48,51 +47,9 @@ class Outcome:
     malformed: int = 0
 
 
-_SKIP = re.compile(r"[ \t\r\n,]*")
-
-
-def documents(text: Iterator[str]) -> Iterator[Any]:
-    """The elements of ``Records`` of each JSON document of a stream, decoded one at a time.
-
-    Raises ValueError where an element is damaged or the stream ends inside the array.
-    """
-    decoder, held, at, inside, ended = json.JSONDecoder(), "", 0, False, False
-    while True:
-        if not inside:
-            start = held.find('"Records"', at)
-            bracket = held.find("[", start) if start >= 0 else -1
-            if bracket >= 0:
-                at, inside = bracket + 1, True
-                continue
-            at = start if start >= 0 else max(at, len(held) - len('"Records"'))
-        else:
-            at = _SKIP.match(held, at).end()
-            if held.startswith("]", at):
-                at, inside = at + 1, False
-                continue
-            if at < len(held):
-                try:
-                    value, stop = decoder.raw_decode(held, at)
-                except ValueError:
-                    if ended:
-                        raise
-                else:
-                    if stop < len(held) or ended:  # a number could go on in the next piece
-                        at = stop
-                        yield value
-                        continue
-        if ended:
-            if inside:
-                raise ValueError("the document ends too early")
-            return
-        more = next(text, None)
-        ended = more is None
-        held, at = held[at:] + (more or ""), 0
-
-
-def text_of(content: bytes) -> Iterator[str]:
+def text_of(file: BinaryIO) -> Iterator[str]:
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
-    for data in gunzip(pieces(content)):
+    for data in gunzip(pieces(file)):
         if text := decoder.decode(data):
             yield text
 
@@ -107,17 +64,17 @@ def lines_of(text: Iterator[str]) -> Iterator[str]:
         yield held.rstrip("\r")
 
 
-def parquet_lines(content: bytes) -> Iterator[str]:
+def parquet_lines(file: BinaryIO) -> Iterator[str]:
     import pyarrow.parquet as pq
 
-    for batch in pq.ParquetFile(io.BytesIO(content)).iter_batches(BATCH_ROWS):
+    for batch in pq.ParquetFile(file).iter_batches(BATCH_ROWS):
         for row in batch.to_pylist():
             yield json.dumps(row, default=str, separators=(",", ":"), ensure_ascii=False)
 
 
-def read_events(candidate: Candidate, log_type: str, content: bytes, mapping: FieldMap, outcome: Outcome) -> Iterator[dict[str, Any]]:
+def read_events(path: str, log_type: str, file: BinaryIO, mapping: FieldMap, outcome: Outcome) -> Iterator[dict[str, Any]]:
     """Events of one file in stream order; ``outcome`` is filled in as it goes."""
-    parquet = candidate.path.lower().endswith(".parquet")
+    parquet = path.lower().endswith(".parquet")
     if log_type in ("cloudtrail_digest", "config_snapshot") or (parquet and log_type not in LINE_TYPES):
         outcome.status, outcome.note = "skipped", "no supported log records"
         return
@@ -125,7 +82,7 @@ def read_events(candidate: Candidate, log_type: str, content: bytes, mapping: Fi
     try:
         if by_line:
             # Every non-empty line takes a number, malformed ones too.
-            for i, line in enumerate(parquet_lines(content) if parquet else lines_of(text_of(content))):
+            for i, line in enumerate(parquet_lines(file) if parquet else lines_of(text_of(file))):
                 event = alb_event(line) if log_type == "alb_access" else json_event(line, log_type)
                 if event is None:
                     outcome.malformed += 1
@@ -133,7 +90,7 @@ def read_events(candidate: Candidate, log_type: str, content: bytes, mapping: Fi
                     outcome.records += 1
                     yield event | {"record_index": i}
         else:
-            for i, record in enumerate(documents(text_of(content))):
+            for i, record in enumerate(documents(text_of(file))):
                 outcome.records += 1
                 yield audit_event(record, mapping) | {"record_index": i}
     except (zlib.error, EOFError, ValueError, OSError) as error:
@@ -146,29 +103,35 @@ def read_events(candidate: Candidate, log_type: str, content: bytes, mapping: Fi
         outcome.note = f"{outcome.malformed} malformed records"
 
 
-def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str, list[str]] | None = None) -> DataFrame:
-    """Events of the candidates, and a row with ``file_status`` for each file.
+def read_contents(files: DataFrame, overrides: dict[str, list[str]] | None = None) -> DataFrame:
+    """Events of (file_id, path, content) rows, and a row with ``file_status`` for each file.
 
-    Events have ``event_id = file_id << 32 | record_index`` and null outcome columns.
+    Events have ``event_id = file_id << 32 | record_index`` and null outcome columns. A null content is
+    opened by its path in the task.
     """
-    mapping, ids = FieldMap(overrides), {c.path: c for c in candidates}
+    mapping = FieldMap(overrides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frame = columns_of
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                candidate, outcome, rows = ids[path], Outcome(), []
-                log_type = detect(path, content).log_type
-                for event in read_events(candidate, log_type, content, mapping, outcome):
-                    key = {"event_id": candidate.file_id << 32 | event["record_index"], "file_id": candidate.file_id, "log_type": "cloudtrail" if log_type == "unknown" else log_type}
-                    rows.append(event | key)
-                    if len(rows) == BATCH_ROWS:
-                        yield frame(rows)
-                        rows = []
-                rows.append({"file_id": candidate.file_id, "record_index": outcome.records, "log_type": log_type, "file_status": outcome.status, "file_note": outcome.note, "malformed": outcome.malformed})
+            for file_id, path, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "path", "content")), strict=True):
+                outcome, rows = Outcome(), []
+                with opened(path, content) as file:
+                    log_type = detect(path, file).log_type
+                    for event in read_events(path, log_type, file, mapping, outcome):
+                        key = {"event_id": file_id << 32 | event["record_index"], "file_id": file_id, "log_type": "cloudtrail" if log_type == "unknown" else log_type}
+                        rows.append(event | key)
+                        if len(rows) == BATCH_ROWS:
+                            yield frame(rows)
+                            rows = []
+                rows.append({"file_id": file_id, "record_index": outcome.records, "log_type": log_type, "file_status": outcome.status, "file_note": outcome.note, "malformed": outcome.malformed})
                 yield frame(rows)
 
-    return read_files(spark, list(ids)).mapInArrow(run, f"{EVENTS}, {OUTCOME}")
+    return files.select("file_id", "path", "content").mapInArrow(run, f"{EVENTS}, {OUTCOME}")
+
+
+def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str, list[str]] | None = None) -> DataFrame:
+    return read_contents(read_files(spark, [(c.file_id, c.path) for c in candidates]), overrides)
 
 
 def with_companions(events: DataFrame) -> DataFrame:

@@ -20,9 +20,13 @@ _SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split(" ") for f
 def normalize_lines(lines: DataFrame, log_type: str, overrides: dict[str, list[str]] | None = None) -> DataFrame:
     """Canonical events of (file_id, record_index, line) rows; malformed and null lines give none.
 
-    A line of an audit trail is one record. One narrow pass in Arrow batches, so it runs on a stream as well.
+    A line of an audit trail is one record. One narrow pass in Arrow batches, so it runs on a stream as well;
+    only a table of fewer splits than the cluster has cores is dealt out first.
     """
-    mapping = FieldMap(overrides)
+    mapping, cores = FieldMap(overrides), lines.sparkSession.sparkContext.defaultParallelism
+    lines = lines.select("file_id", "record_index", "line")
+    if not lines.isStreaming and lines.rdd.getNumPartitions() < cores:
+        lines = lines.repartition(cores)
 
     def one(line: str):
         if log_type == "alb_access":

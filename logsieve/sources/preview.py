@@ -6,9 +6,10 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, BinaryIO
 
 from logsieve.sources.detect import detect, head_of
+from logsieve.sources.json_stream import documents
 from logsieve.sources.mapping import FieldMap, at
 from logsieve.sources.normalize import alb_tokens
 
@@ -58,10 +59,10 @@ def _common(found: Counter[str]) -> list[tuple[str, int]]:
     return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
 
-def preview(path: str, content: bytes, overrides: dict[str, list[str]] | None = None) -> Preview:
+def preview(path: str, file: BinaryIO, overrides: dict[str, list[str]] | None = None) -> Preview:
     """Up to ``MOST_RECORDS`` records of a file's first part, in pieces labelled with their column."""
-    out = Preview(detect(path, content).log_type)
-    text = head_of(content)[0].decode("utf-8", "replace")
+    out = Preview(detect(path, file).log_type)
+    text = head_of(file)[0].decode("utf-8", "replace")
     mapping = FieldMap(overrides)
     records: list[Any] = []
     if out.log_type == "alb_access":
@@ -77,8 +78,6 @@ def preview(path: str, content: bytes, overrides: dict[str, list[str]] | None =
         labels = JSON_LABELS[out.log_type]
         out.records = [[Piece(p, v, labels.get(p)) for p, v in leaves(r)] for r in records]
     elif out.log_type == "cloudtrail":
-        from logsieve.sources.ingest import documents
-
         try:
             for record in documents(iter([text])):
                 records.append(record)

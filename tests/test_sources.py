@@ -1,4 +1,5 @@
 import gzip
+import io
 import json
 import os
 from datetime import datetime
@@ -10,7 +11,9 @@ from logsieve.operators import results
 from logsieve.sources import normalize as N
 from logsieve.sources.detect import classify, detect, detect_all
 from logsieve.sources.discovery import list_folder, scan_folder
-from logsieve.sources.ingest import documents, ingest_folder, with_companions
+from logsieve.sources.discovery import scan as scan_any
+from logsieve.sources.ingest import ingest_folder, with_companions
+from logsieve.sources.json_stream import documents
 from logsieve.sources.mapping import FieldMap, clf, loose_utc, rfc3339
 from logsieve.sources.preview import preview
 from tests import fixtures as X
@@ -32,7 +35,7 @@ def test_scan(spark, folder, tmp_path):
     assert names == sorted(names) and "b/alb.log.GZ" in names and len(names) == 10
     assert [c.file_id for c in scan.candidates] == list(range(10))
     assert {(os.path.basename(s.path), s.reason) for s in scan.skipped} == {("notes.txt", "extension"), ("empty.gz", "empty")}
-    assert list_folder(spark, folder).count() == 10
+    assert list_folder(spark, folder).where("reason is null").count() == 10 and {s.reason for s in scan_any(spark, f"file://{folder}").skipped} == {s.reason for s in scan.skipped}
     with pytest.raises(NotADirectoryError):
         scan_folder(f"{folder}/nothing")
     os.symlink(folder, tmp_path / "link")
@@ -56,8 +59,8 @@ def test_classify_parts():
     cut = json.dumps({"Records": [X.audit(i) for i in range(9)]}).encode()[:3000]
     assert classify("p", cut, True).log_type == "cloudtrail" and classify("p", cut, True).estimated
     big = gzip.compress("".join(X.alb(i) + "\n" for i in range(20_000)).encode())
-    assert abs(detect("x.gz", big).records - 20_000) < 500
-    assert detect("x.gz", b"\x1f").log_type == "unknown" and detect("x.parquet", b"PAR1junk").note.startswith("unreadable")
+    assert abs(detect("x.gz", io.BytesIO(big)).records - 20_000) < 500
+    assert detect("x.gz", io.BytesIO(b"\x1f")).log_type == "unknown" and detect("x.parquet", io.BytesIO(b"PAR1junk")).note.startswith("unreadable")
 
 
 def test_alb_tokens():
@@ -102,6 +105,13 @@ def test_documents_in_any_pieces():
     want = [{"a": "]}"}, {"b": [1, {"c": 2}]}, 7, {"d": 4}]
     for n in (1, 2, 7, 1000):
         assert list(documents(text[i : i + n] for i in range(0, len(text), n))) == want
+    nested = '{"meta":{"Records":[1,2]},"text":"\\"Records\\":[3","n":-1.5e3,"Records":[{"a":1}],"after":{"Records":[4]}} {"x":[[],{}],"Records":[5]}'
+    for n in (1, 3, 1000):
+        assert list(documents(nested[i : i + n] for i in range(0, len(nested), n))) == [{"a": 1}, 5]
+    for bad in ('{"Records":null,"other":[7,8]}', '{} [1]', '{"a":1', '{"a":"x', '{"Records":[1 2x]}', '{"a" 1}'):
+        with pytest.raises(ValueError):
+            assert [x for x in documents(iter(bad)) if x != 1 and x != 2] == []
+    assert list(documents(iter(["nothing"]))) == list(documents(iter([]))) == []
     got = []
     with pytest.raises(ValueError):
         for x in documents(iter(['{"Records":[{"a":1},{"b":'])):
@@ -152,7 +162,7 @@ def test_summary_and_payload_keys(events):
 
 
 def test_preview(folder):
-    read = lambda p: open(f"{folder}/{p}", "rb").read()
+    read = lambda p: open(f"{folder}/{p}", "rb")
     one = preview("a.gz", read("a_audit.json.gz"))
     assert one.log_type == "cloudtrail" and len(one.records) == 6 and one.mapped == 6 and one.names == [("ConsoleLogin", 5), ("GetObject", 1)]
     piece = {x.path: x.column for x in one.records[0]}
@@ -164,7 +174,7 @@ def test_preview(folder):
 
 def test_damage_within_the_head():
     whole = gzip.compress("".join(X.alb(i) + "\n" for i in range(200)).encode())
-    found = detect("x.gz", whole[: len(whole) // 2])
+    found = detect("x.gz", io.BytesIO(whole[: len(whole) // 2]))
     assert found.log_type == "alb_access" and "damaged" in found.note
 
 
