@@ -58,3 +58,41 @@ def test_rows_that_take_no_part(spark):
     compare(N.search(data).collect(), brute(ids, x), 1.0)
     assert N.search(data.limit(0)).count() == 0
     assert N.search(data.where("vec_id = 140")).count() == 0
+
+
+def test_repeated_rows_ids_and_ties(spark):
+    """Equal rows are one query; every candidate row counts, ties go to the smaller id."""
+    x = np.random.default_rng(5).integers(-2, 3, (60, 3)).astype(float)
+    x[(x == 0).all(axis=1)] = 1.0
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    rows += [(0, x[0].tolist()), (7, x[7].tolist()), (7, x[7].tolist()), (20, [2.0, -1.0, 1.0])]
+    got = {}
+    for r in N.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, vectors in {0: [x[0]], 20: [x[20], np.array([2.0, -1.0, 1.0])], 40: [x[40]]}.items():
+        want = []
+        for v in vectors:
+            best = sorted((-float(v @ np.array(w)), j) for j, w in rows if j != q)[:20]
+            want += [(k, j, -s) for k, (s, j) in enumerate(best, 1)]
+        assert sorted(got[q]) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1e25, 1e-100, 1e160])
+def test_sizes_at_the_edge_of_doubles(spark, size):
+    x = np.random.default_rng(6).normal(size=(100, 8)) * size
+    data = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = N.search(data).collect()
+    assert len(got) == 100
+    if size < 1e100:
+        compare(got, brute(range(100), x), 1.0)
+    else:  # the products are beyond doubles: all of those found are infinite, and really so
+        assert all(r.score == math.inf and float(x[r.query_id] / size @ (x[r.vec_id] / size)) > 0 for r in got)
+
+
+@pytest.mark.parametrize("coarse_over", [1024, 8])
+def test_recall_where_the_rows_exceed_the_sample(spark, coarse_over):
+    """2,000 rows, fitted on 400; with one level of centres and with two."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 32)) + 2 * rng.normal(size=(20, 32))[rng.integers(0, 20, 2000)]
+    data = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    print("recall", compare(N.search(data, sample=400, coarse_over=coarse_over).collect(), brute(range(2000), x), 0.95))
