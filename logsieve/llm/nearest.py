@@ -40,6 +40,8 @@ EPSILON = 2.1
 LIST_ROWS = 8192
 QUERY_ROWS = 16_384
 _CHUNK, _QUERIES = 1024, 2048
+#: Queries whose lists one task chooses.
+QUERIES_A_TASK = 4096
 
 
 @dataclass
@@ -219,7 +221,10 @@ def _facts(rows: DataFrame) -> tuple[int, int, float] | None:
     """(length, rows, binary logarithm of the greatest norm) of the vectors of the most common length."""
     most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
     share = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x.cast("double") / most) * (x.cast("double") / most))
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.log2(most) + F.log2(share) / 2).alias("norm"))
+    plain = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    rows = rows.select(F.size("v").alias("dim"), plain.alias("plain"), "v")
+    norm = F.when(F.col("plain").between(1e-200, 1e200), F.log2("plain") / 2).otherwise(F.log2(most) + F.log2(share) / 2)
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("norm"))
     best = sizes.orderBy(F.desc("n"), F.desc("dim")).first()
     return None if best is None else (best.dim, best.n, best.norm)
 
@@ -283,7 +288,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_
                     [batch.column("query").take(at), pa.array(ids[row]), batch.column("v").take(at), pa.array(order[row, col].astype(np.int32)), pa.array(np.where(free[row, col], np.inf, limit[row]))], ["query", "query_id", "q", "list", "limit"]
                 )
 
-    asking = materialize(rows.where(F.col("vec_id") % every == 0).distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+    parts = max(spark.sparkContext.defaultParallelism, n // every // QUERIES_A_TASK)
+    asking = materialize(rows.where(F.col("vec_id") % every == 0).repartition(parts, "vec_id").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
     queries = materialize(asking.mapInArrow(probe, f"query long, query_id long, q {kind}, list int, limit double"), "probes")
     asked = queries.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("qs"))
     grid = F.broadcast(listed.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("vs")).join(asked, "list"))  # a row for each list
