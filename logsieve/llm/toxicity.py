@@ -3,10 +3,11 @@
 Training takes a bounded, documented sample of labelled documents (``PER_CLASS`` of either class, each
 of at most ``LONGEST`` characters, near copies left out). Words that occur in far more toxic documents
 than clean ones are labelled toxic tokens there, everything else is labelled clean; a two-state chain
-with word, affix, shape and neighbour features is fitted to those tokens by its exact gradient. Scoring
-runs forward-backward over windows of ``WINDOW`` consecutive tokens of the whole text; the marginals
-give the offending offsets, and their greatest value, sum and mean give the document's score through a
-logistic model fitted on the same sample with the classes' true weights.
+with word, affix, shape and neighbour features is fitted to whole texts by its exact gradient. Scoring
+runs forward-backward over each whole text, many texts at once: stretches of ``STRETCH`` tokens become
+2x2 products whose messages are handed on from stretch to stretch, so the stretches leave no trace in the
+result. The marginals give the offending offsets, and their greatest value, sum and mean give the
+document's score through a logistic model fitted on the same sample with the classes' true weights.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from logsieve.llm.shared import WORD, held_out, small_batches, table
 
 PER_CLASS = 1500
 LONGEST = 20_000
-WINDOW = 64
+#: Tokens that are worked through one after the other, all stretches of all texts at once.
+STRETCH = 64
 #: Lengths of the beginnings that count as features, and buckets that each is hashed into.
 PREFIXES = (4, 5, 6)
 AFFIXES = 8192
+#: Marginals below this add nothing to a document's sum and share.
 FAINT = 0.2
-#: Windows whose part of the gradient is held at once; all that have toxic tokens count.
-BLOCK_WINDOWS = 2000
+#: Tokens whose part of the gradient is held at once.
+BLOCK_TOKENS = 1 << 17
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _CACHE_WORDS = 150_000
 
@@ -110,39 +113,77 @@ def shape(token: str, word: str) -> int:
     return min(len(word), 15) // 2 * 2 + (token != word)
 
 
-def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, tokens) of every window; none crosses a text's end."""
+def stretches(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, tokens, stretches of the text before it) of every stretch; none crosses a text's end."""
     sizes = np.diff(bounds)
-    many = -(-sizes // WINDOW)
+    many = -(-sizes // STRETCH)
     owner = np.repeat(np.arange(len(sizes)), many)
     nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    first = bounds[owner] + nth * WINDOW
-    return first, np.minimum(WINDOW, bounds[owner + 1] - first)
+    first = bounds[owner] + nth * STRETCH
+    return first, np.minimum(STRETCH, bounds[owner + 1] - first), nth
+
+
+def _messages(weight: np.ndarray, valid: np.ndarray, nth: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odds that come into every stretch from the one before it, and from the one after it (1 at a text's end)."""
+    ahead, behind = np.ones(len(nth)), np.ones(len(nth))
+    long = np.flatnonzero((nth > 0) | (np.append(nth[1:], 0) > 0))  # stretches of texts that have several
+    if not len(long):
+        return ahead, behind
+    (oo, ot), (to, tt) = moves
+    w, ok, n = weight[:, long], valid[:, long], nth[long]
+    # The product of all steps of a stretch; the first step of a text has no move before it.
+    start = n == 0
+    p = np.where(start, 1.0, oo), np.where(start, 0.0, ot * w[0]), np.where(start, 0.0, to), np.where(start, w[0], tt * w[0])
+    for t in range(1, STRETCH):
+        a, b, c, d = p
+        g = w[t]
+        q = a * oo + b * to, (a * ot + b * tt) * g, c * oo + d * to, (c * ot + d * tt) * g
+        size = q[0] + q[1] + q[2] + q[3]
+        p = tuple(np.where(ok[t], x / size, y) for x, y in zip(q, p, strict=True))
+    a, b, c, d = p
+    order = np.argsort(n, kind="stable")
+    ends = np.searchsorted(n[order], np.arange(n.max() + 2))
+    last = np.append(n[1:], 0) == 0
+    into, back = np.ones(len(long)), np.ones(len(long))
+    for k in range(n.max()):
+        i = order[ends[k] : ends[k + 1]]
+        i = i[~last[i]]
+        into[i + 1] = (b[i] + into[i] * d[i]) / (a[i] + into[i] * c[i])
+    for k in range(n.max(), 0, -1):
+        i = order[ends[k] : ends[k + 1]]
+        back[i - 1] = (c[i] + d[i] * back[i]) / (a[i] + b[i] * back[i])
+    ahead[long], behind[long] = into, back
+    return ahead, behind
 
 
 def chain(factor: np.ndarray, bounds: np.ndarray, moves: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over all windows at once: P(toxic) of each token, and expected moves if asked for."""
-    first, size = windows(bounds)
+    """Forward-backward over all texts at once: P(toxic) of each token, and expected moves if asked for."""
+    first, size, nth = stretches(bounds)
     p, expected = np.zeros(len(factor)), np.zeros((2, 2))
     if not len(first):
         return p, expected
-    at = np.minimum(first + np.arange(WINDOW)[:, None], len(factor) - 1)
-    valid = np.arange(WINDOW)[:, None] < size
+    at = np.minimum(first + np.arange(STRETCH)[:, None], len(factor) - 1)
+    valid = np.arange(STRETCH)[:, None] < size
     weight = np.exp(factor)[at]
     (oo, ot), (to, tt) = moves
-    ahead, behind = np.empty_like(weight), np.ones_like(weight)
-    ahead[0] = weight[0]
-    for t in range(1, WINDOW):
+    into, back = _messages(weight, valid, nth, moves)
+    ahead, behind = np.empty_like(weight), np.empty_like(weight)
+    inner = nth > 0
+    ahead[0] = weight[0] * np.where(inner, (into * tt + ot) / (into * to + oo), 1.0)
+    for t in range(1, STRETCH):
         ahead[t] = weight[t] * (ahead[t - 1] * tt + ot) / (ahead[t - 1] * to + oo)
-    for t in range(WINDOW - 2, -1, -1):
+    behind[-1] = back
+    for t in range(STRETCH - 2, -1, -1):
         g = weight[t + 1] * behind[t + 1]
-        behind[t] = np.where(valid[t + 1], (tt * g + to) / (ot * g + oo), 1.0)
+        behind[t] = np.where(valid[t + 1], (tt * g + to) / (ot * g + oo), back)
     odds = ahead * behind
     p[at[valid]] = (odds / (1 + odds))[valid]
     if pairs:
-        g = weight[1:] * behind[1:]
-        each = np.stack([np.full_like(g, oo), ot * g, ahead[:-1] * to, ahead[:-1] * tt * g])
-        expected = ((each / each.sum(axis=0)) * valid[1:]).sum(axis=(1, 2)).reshape(2, 2)
+        g, before = weight * behind, np.concatenate((into[None, :], ahead[:-1]))
+        each = np.stack([np.full_like(g, oo), ot * g, before * to, before * tt * g])
+        valid = valid.copy()
+        valid[0] &= inner
+        expected = ((each / each.sum(axis=0)) * valid).sum(axis=(1, 2)).reshape(2, 2)
     return p, expected
 
 
@@ -214,22 +255,12 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
     words, index, bounds = tokens(texts)
     cores = [core(w) for w in words]
     truth = _toxic_tokens(cores, index, bounds, marks)[index] & np.repeat(marks == 1, np.diff(bounds))
-
-    # Windows with toxic tokens, and as many others again, from texts of both classes.
-    first, size = windows(bounds)
-    hits = np.add.reduceat(truth, first) > 0
-    rest = np.flatnonzero(~hits)
-    chosen = np.sort(np.concatenate((np.flatnonzero(hits), np.random.default_rng(7).permutation(rest)[: max(1000, int(hits.sum()))])))
-    take = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in chosen])
-    limits = np.concatenate(([0], np.cumsum(size[chosen])))
-    often = Counter(cores[i] for i in index[take].tolist())
+    often = Counter(cores[i] for i in index.tolist())
     common = {w: k for k, w in enumerate((w for w, n in often.items() if n > 1), 1)}
     number = np.array([common.get(c, 0) for c in cores])
     v = len(common) + 1
-    used = np.unique(index[take])
-    ends_of, form = np.zeros((len(PREFIXES) + 1, len(cores)), np.int32), np.zeros(len(cores), np.int32)
-    for k in used.tolist():
-        ends_of[:, k], form[k] = affixes(cores[k]), shape(words[k], cores[k])
+    ends_of = np.array([affixes(c) for c in cores], np.int32).reshape(len(cores), -1).T
+    form = np.array([shape(t, c) for t, c in zip(words, cores, strict=True)], np.int32)
     ends = np.zeros(len(index) + 2, np.int64)
     ends[1:-1] = number[index]
     before, after = ends[:-2].copy(), ends[2:].copy()
@@ -237,19 +268,19 @@ def train(texts: list[str], label: list[int], weights: tuple[float, float] | Non
     before[bounds[has]] = v
     after[bounds[has + 1] - 1] = v
     w = v + 1
-    i = index[take]
-    a = len(ends_of) * AFFIXES
-    feature = [f.astype(np.int32) for f in (number[i], w + before[take], 2 * w + after[take], *(3 * w + ends_of[:, i]), 3 * w + a + form[i])]
-    theta, seen = np.zeros(3 * w + a + 16), truth[take].astype(float)
+    a = (len(PREFIXES) + 1) * AFFIXES
+    feature = [f.astype(np.int32) for f in (number[index], w + before, 2 * w + after, *(3 * w + e[index] for e in ends_of), 3 * w + a + form[index])]
+    theta, seen = np.zeros(3 * w + a + 16), truth.astype(float)
     log_moves, first_moment, second = np.zeros((2, 2)), np.zeros(len(theta) + 4), np.zeros(len(theta) + 4)
-    y = truth[take].astype(np.int64)
+    y = truth.astype(np.int64)
     inner = np.ones(len(y), bool)
-    inner[limits[:-1]] = False
+    inner[bounds[has]] = False
     observed = np.bincount(2 * y[:-1][inner[1:]] + y[1:][inner[1:]], minlength=4).reshape(2, 2)
+    cuts = np.unique(np.append(np.searchsorted(bounds, np.arange(0, len(y), BLOCK_TOKENS)), len(bounds) - 1))
     for step in range(1, rounds + 1):
         slope, expected = -penalty * theta, np.zeros((2, 2))
-        for low in range(0, len(chosen), BLOCK_WINDOWS):
-            part = limits[low : low + BLOCK_WINDOWS + 1]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            part = bounds[low : high + 1]
             block = slice(part[0], part[-1])
             p, moved = chain(np.clip(sum(theta[f[block]] for f in feature), -25, 25), part - part[0], np.exp(log_moves), pairs=True)
             slope += sum(np.bincount(f[block], seen[block] - p, len(theta)) for f in feature)

@@ -2,18 +2,21 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from logsieve.llm import toxicity as T
 from logsieve.llm.shared import held_out_py
 
 
-def test_forward_backward_equals_enumeration(monkeypatch):
-    monkeypatch.setattr(T, "WINDOW", 5)
+@pytest.mark.parametrize("stretch", [2, 3, 5, 64])
+def test_forward_backward_equals_enumeration(monkeypatch, stretch):
+    """Of whole texts: the length of the stretches leaves no trace."""
+    monkeypatch.setattr(T, "STRETCH", stretch)
     rnd = np.random.default_rng(3)
-    factor, bounds, moves = rnd.normal(size=12), np.array([0, 0, 7, 12]), np.exp(rnd.normal(size=(2, 2)))
+    factor, bounds, moves = rnd.normal(size=23), np.array([0, 0, 7, 12, 23, 23]), np.exp(rnd.normal(size=(2, 2)))
     p, expected = T.chain(factor, bounds, moves, pairs=True)
-    want, pairs = np.zeros(12), np.zeros((2, 2))
-    for a, b in ((0, 5), (5, 7), (7, 12)):
+    want, pairs = np.zeros(23), np.zeros((2, 2))
+    for a, b in ((0, 7), (7, 12), (12, 23)):
         total = 0.0
         for ys in itertools.product((0, 1), repeat=b - a):
             w = np.exp(sum(factor[a + i] for i, y in enumerate(ys) if y)) * np.prod([moves[i, j] for i, j in zip(ys, ys[1:])])
@@ -26,6 +29,24 @@ def test_forward_backward_equals_enumeration(monkeypatch):
     assert np.allclose(p, want) and np.allclose(expected, pairs)
 
 
+def test_a_span_reaches_beyond_any_stretch():
+    """What lies 64 tokens back or ahead counts: the same as in one long stretch, in texts of many stretches too."""
+    factor = np.full(10_000, -2.0)
+    factor[60:64] = 6.0
+    factor[4000:4003] = 5.0
+    bounds, moves = np.array([0, 3000, 10_000]), np.array([[1.0, 0.1], [0.1, 6.0]])
+    p, _ = T.chain(factor, bounds, moves)
+    ahead, behind = np.zeros(10_000), np.ones(10_000)
+    for a, b in ((0, 3000), (3000, 10_000)):
+        ahead[a] = np.exp(factor[a])
+        for t in range(a + 1, b):
+            ahead[t] = np.exp(factor[t]) * (ahead[t - 1] * moves[1, 1] + moves[0, 1]) / (ahead[t - 1] * moves[1, 0] + moves[0, 0])
+        for t in range(b - 2, a - 1, -1):
+            g = np.exp(factor[t + 1]) * behind[t + 1]
+            behind[t] = (moves[1, 1] * g + moves[1, 0]) / (moves[0, 1] * g + moves[0, 0])
+    assert np.allclose(p, ahead * behind / (1 + ahead * behind), rtol=1e-9) and p[64] > 0.3
+
+
 def test_tokens_of_odd_texts():
     words, index, bounds = T.tokens(["", " \n", "A b  a\n", "\x0bx\x1cy z "])
     assert [[words[i] for i in index[a:b]] for a, b in zip(bounds, bounds[1:])] == [[], [], ["a", "b", "a"], ["x\x1cy", "z"]]
@@ -86,7 +107,7 @@ def test_stage_judges_each_row_by_its_text(spark, monkeypatch):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, texts[0]), (7, texts[2]), (8, "")]
 
 
-def test_windows_of_late_texts_are_learned_from(monkeypatch):
+def test_late_texts_are_learned_from(monkeypatch):
     """Blocks of any size give the same model, and the last toxic texts count like the first."""
     rnd = random.Random(2)
     noise = lambda: " ".join("".join(rnd.choices("aeioubcdst", k=5)) for _ in range(60))
@@ -95,6 +116,6 @@ def test_windows_of_late_texts_are_learned_from(monkeypatch):
     texts = [noise() for _ in range(300)] + early + late
     model = T.train(texts, [0] * 300 + [1] * 1300, rounds=20)
     assert "rotten" in model.own and model.own["rotten"] > model.other[0] + 0.5
-    monkeypatch.setattr(T, "BLOCK_WINDOWS", 10**6)
+    monkeypatch.setattr(T, "BLOCK_TOKENS", 1 << 30)
     whole = T.train(texts, [0] * 300 + [1] * 1300, rounds=20)
     assert np.allclose(model.affix, whole.affix, atol=1e-3) and np.allclose(model.moves, whole.moves, rtol=1e-3)
