@@ -1,165 +1,322 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The tokens are characters in ``SYMBOLS`` classes, the order is four. All trusted text, that is every
-document labelled good outside the held-out fold, is counted: each task adds up the n-grams of what it
-reads, and the counts meet in shards by their leading symbol. Continuation counts are counts of the
-distinct n-grams one order up, taken shard by shard. As there are at most ``SYMBOLS ** ORDER`` n-grams
-however large the corpus is, the finished table has a fixed size (64 MB), and scoring joins it to the
-n-grams of every document on the map side; no document text is shuffled. A document is kept when its
-perplexity is within the quantile of the trusted documents of its language.
+The tokens are Unicode code points of any script (decimal digits of ASCII are one), the order is six. All
+trusted text that isn't held out or kept for calibration is counted: each task adds up the n-grams of what
+it reads, and the counts meet in shards by n-gram. Continuation counts are counts of the distinct n-grams
+one order up; each order's probabilities come from joins in shards, with the sums of its contexts and with
+the order below. The model holds every n-gram of the trusted text, so it grows with the corpus.
+
+Documents are scored against the model by their distinct n-grams. While the finished model is at most
+``SHIPPED_BYTES`` it is shipped to the tasks as a hash table. Beyond that texts are gathered in batches of
+bounded size, the distinct n-grams of each batch are joined to the model in shards, backing off order by
+order, and the answers meet their batch again. A document is kept when its perplexity is within the
+quantile of the calibration documents of its language.
+
+An n-gram is two longs of three code points each, aligned to the right; 0 is a text's start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm.shared import held_out, materialize, small_batches, table
+from logsieve.llm.shared import fold, held_out, materialize, save_bucketed, small_batches, table
 
-SYMBOLS = 64
-ORDER = 4
-_BITS = 6
+ORDER = 6
+_BITS = 21
+_ONE, _TWO = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
+#: Largest model (16 bytes for each n-gram or context) that is shipped to the tasks.
+SHIPPED_BYTES = 96 << 20
+#: Characters of a batch whose distinct n-grams are joined to a larger model, and n-grams summed up in a task at once.
+BATCH_CHARS = 16_000_000
+TASK_GRAMS = 2_000_000
 #: Trusted ids are broadcast up to this many (16 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Of the five folds by id, 0 is held out and this one sets the thresholds.
+CALIBRATION = 1
 LEAST_TRUSTED = 30
 BROADCAST_LANGUAGES = 10_000
-SCORES = "doc_id long, lang string, n_symbols long, log_sum double"
-
-
-@cache
-def classes() -> np.ndarray:
-    """The class of each code point of the basic plane; 0 marks a text's start, 1 is anything else."""
-    out = np.ones(1 << 16, np.uint8)
-    for c in range(26):
-        out[97 + c], out[65 + c] = 2 + c, 28 + c
-    groups = [" \t", "\n\r", "0123456789", ".", ",;:", "!?", "\"'()-", "#*$%&|<>"]
-    for k, group in enumerate(groups):
-        out[[ord(c) for c in group]] = 54 + k
-    for c in range(0xC0, 0x250):
-        out[c] = 62 if chr(c).islower() else 63
-    return out
+GRAM = ["a", "b"]
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram code ending at each character, first character of each text and the end)."""
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first half, second half) of the n-gram that ends at each character, and where each text starts and ends."""
     raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
-    symbol = np.zeros(int(sizes.sum()) + (ORDER - 1) * len(raw), np.int32)
-    body = np.ones(len(symbol), bool)
-    starts = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
-    for k in range(ORDER - 1):
-        body[starts + k] = False
-    if sizes.sum():
-        symbol[body] = classes()[np.minimum(np.concatenate(raw), 0xFFFF)]
-    code = symbol.copy()
-    for k in range(1, ORDER):
-        code[k:] |= symbol[:-k] << (_BITS * k)
-    return code[body], np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.concatenate(raw).astype(np.int64) + 1 if len(raw) else np.zeros(0, np.int64)
+    flat[(flat > 48) & (flat <= 58)] = 49
+    symbol = np.zeros(len(flat) + (ORDER - 1) * len(raw), np.int64)
+    body = np.arange(len(flat)) + np.repeat(np.arange(1, len(raw) + 1) * (ORDER - 1), sizes)
+    symbol[body] = flat
+    half = symbol.copy()
+    half[1:] |= symbol[:-1] << _BITS
+    half[2:] |= symbol[:-2] << 2 * _BITS
+    return half[body - 3], half[body], np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _shorter(a, b, order: int):
+    """The n-gram of ``order`` without its first symbol; for arrays and for columns."""
+    band = lambda x, mask: x.bitwiseAND(F.lit(mask)) if hasattr(x, "bitwiseAND") else x & mask
+    if order > 3:
+        return band(a, {6: _TWO, 5: _ONE, 4: 0}[order]), b
+    return a, band(b, {3: _TWO, 2: _ONE, 1: 0}[order])
+
+
+def _context(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram without its last symbol."""
+    return a >> _BITS, b >> _BITS | (a & _ONE) << 2 * _BITS
+
+
+def _context_columns() -> list[F.Column]:
+    a, b = F.col("a"), F.col("b")
+    return [F.shiftright(a, _BITS).alias("ca"), F.shiftright(b, _BITS).bitwiseOR(F.shiftleft(a.bitwiseAND(F.lit(_ONE)), 2 * _BITS)).alias("cb")]
+
+
+def _key(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+    """64 bits, never 0, that name an n-gram of an order."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order * 0xD1B54A32D192ED03 % (1 << 64))
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + b.astype(np.uint64)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31) | np.uint64(1)
 
 
 def ngram_counts(trusted: DataFrame) -> DataFrame:
-    """(shard, gram, n): counts of all n-grams of the trusted texts, in shards by leading symbol."""
+    """(a, b, n): counts of all n-grams of the trusted texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SYMBOLS**ORDER, np.int32)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def fold_in(last: bool) -> Iterator[pd.DataFrame]:
+            a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, inverse = np.unique(_key(a, b, ORDER), return_index=True, return_inverse=True)
+            held[:] = [(a[first], b[first], np.bincount(inverse, n).astype(np.int64))]
+            if last or len(first) > TASK_GRAMS:
+                yield pd.DataFrame(dict(zip(("a", "b", "n"), held.pop(), strict=True)))
+
         for part in batches:
-            gram, n = np.unique(_codes(part.text.tolist())[0], return_counts=True)
-            total[gram] += n.astype(np.int32)
-        gram = np.flatnonzero(total)
-        yield pd.DataFrame({"shard": (gram >> _BITS * (ORDER - 1)).astype(np.int32), "gram": gram, "n": total[gram]})
+            a, b, _ = grams(part.text.tolist())
+            held.append((a, b, np.ones(len(a), np.int64)))
+            yield from fold_in(False)
+        if held:
+            yield from fold_in(True)
 
-    parts = trusted.select(F.col("text")).mapInPandas(run, "shard int, gram long, n long")
-    return parts.groupBy("shard", "gram").agg(F.sum("n").alias("n"))
+    return trusted.select("text").mapInPandas(run, "a long, b long, n long").groupBy(*GRAM).agg(F.sum("n").alias("n"))
 
 
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Modified discounts for counts 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (float((n == k).sum()) for k in (1, 2, 3, 4))
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """Modified discounts for counts 1, 2 and 3 or more."""
     if not n1 or not n2:
-        return np.array([0.0, 0.5, 0.5, 0.5]) if len(n) else np.zeros(4)
+        return [0.5, 0.5, 0.5]
     y = n1 / (n1 + 2 * n2)
-    d = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.0]
-    return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
+    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.0]
+    return [min(max(x, low), high) for x, low, high in zip(d, (0.05, 0.05, 0.05), (0.95, 1.9, 2.9), strict=True)]
 
 
-def log_probabilities(levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Natural log of P(last symbol | symbols before) of every n-gram of the full order.
+@dataclass
+class Model:
+    """By order: log probabilities (a, b, v) of the n-grams, and log weights (a, b, v) of what a context leaves to the order below."""
 
-    ``levels`` has (gram, count) of orders 1 to n; those below the highest are continuation counts.
-    """
-    p = np.full(1, 1.0 / SYMBOLS)
-    for k, (gram, n) in enumerate(levels, 1):
-        d = _discounts(n)[np.minimum(n, 3)]
-        context, size = gram >> _BITS, SYMBOLS ** (k - 1)
-        total = np.bincount(context, n, size)
-        left = np.bincount(context, d, size)
-        safe = np.maximum(total, 1)
-        share = np.where(total > 0, left / safe, 1.0)
-        lower = p if k == 1 else np.tile(p, SYMBOLS)
-        grown = np.repeat(share, SYMBOLS) * (lower if k > 1 else np.repeat(lower, SYMBOLS))
-        grown[gram] += (n - d) / safe[context]
-        p = grown
-    return np.log(p).astype(np.float32)
-
-
-def train(trusted: DataFrame) -> np.ndarray | None:
-    """The table of log probabilities, or None without any trusted text."""
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    unknown: float
+    rows: int
+
+
+def train(trusted: DataFrame) -> Model | None:
+    """The model, or None without any trusted text."""
     small_batches(trusted.sparkSession)
-    counts = materialize(ngram_counts(trusted), "ngrams")
-    levels, now = [counts.select("gram", "n")], counts
-    for k in range(ORDER - 1, 0, -1):
-        shorter = F.col("gram") % SYMBOLS**k
-        now = now.groupBy(F.shiftright(shorter, _BITS * (k - 1)).alias("shard"), shorter.alias("gram")).agg(F.count("*").alias("n"))
-        levels.append(now.select("gram", "n"))
-    # At most SYMBOLS ** ORDER rows, whatever the size of the corpus.
-    held = [x.toPandas() for x in reversed(levels)]
-    if not len(held[-1]):
-        return None
-    return log_probabilities([(x.gram.to_numpy(), x.n.to_numpy()) for x in held])
-
-
-def perplexities(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """(doc_id, lang, n_symbols, log_sum) of every row."""
-    small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    counts = [materialize(ngram_counts(trusted), "ngrams")]
+    for order in range(ORDER, 1, -1):
+        a, b = _shorter(F.col("a"), F.col("b"), order)
+        counts.append(materialize(counts[-1].select(a.alias("a"), b.alias("b")).groupBy(*GRAM).agg(F.count("*").alias("n")), "ngrams"))
+    model = Model([], [], 0.0, 0)
+    for order, now in enumerate(reversed(counts), 1):
+        found = now.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)], F.sum("n"), F.count("*")).first()
+        if not found[5]:
+            return None
+        d = _discounts(*found[:4])
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        rows = now.select(*GRAM, F.col("n").cast("double").alias("n"), cut.alias("d"), *_context_columns())
+        if order == 1:
+            left = rows.agg(F.sum("d")).first()[0] / found[4]
+            base = left / (found[5] + 1)
+            model.unknown = float(np.log(base))
+            p = rows.select(*GRAM, F.log((F.col("n") - F.col("d")) / F.lit(float(found[4])) + F.lit(base)).alias("v"))
+        else:
+            sums = rows.groupBy("ca", "cb").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("left"))
+            sums = materialize(sums, "contexts")
+            a, b = _shorter(F.col("a"), F.col("b"), order)
+            lower = model.grams[-1].select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.exp("v").alias("below"))
+            met = rows.join(sums, ["ca", "cb"]).withColumns({"sa": a, "sb": b}).join(lower, ["sa", "sb"])
+            p = met.select(*GRAM, F.log((F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("below")).alias("v"))
+            model.contexts.append(sums.select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.log("left").alias("v")))
+            model.rows += sums.count()
+        model.grams.append(materialize(p, "probabilities"))
+        model.rows += found[5]
+    return model
+
+
+class Lookup:
+    """A hash table of 64-bit keys in two arrays; many keys are looked up at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
+        self.keys, self.values = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.float32)
+        at = keys & self.mask
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] == 0)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+            rest = np.ones(len(keys), bool)
+            rest[free] = False
+            keys, values, at = keys[rest], values[rest], at[rest] + np.uint64(1) & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, NaN where a key isn't there."""
+        out, left, at = np.full(len(keys), np.nan, np.float32), np.arange(len(keys)), keys & self.mask
+        while len(left):
+            held = self.keys[at]
+            hit = held == keys
+            out[left[hit]] = self.values[at[hit]]
+            go = ~hit & (held != 0)
+            left, keys, at = left[go], keys[go], at[go] + np.uint64(1) & self.mask
+        return out
+
+
+@dataclass
+class Shipped:
+    grams: Lookup
+    contexts: Lookup
+    unknown: float
+
+    @classmethod
+    def of(cls, model: Model) -> Shipped:
+        def held(tables: list[DataFrame], first: int) -> Lookup:
+            parts = [t.toPandas() for t in tables]
+            return Lookup(np.concatenate([_key(p.a.to_numpy(), p.b.to_numpy(), k) for k, p in enumerate(parts, first)]), np.concatenate([p.v.to_numpy(np.float32) for p in parts]))
+
+        return cls(held(model.grams, 1), held(model.contexts, 2), model.unknown)
+
+    def log_probabilities(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, left = np.zeros(len(a)), np.arange(len(a))
+        for order in range(ORDER, 0, -1):
+            v = self.grams.get(_key(a, b, order))
+            found = ~np.isnan(v)
+            out[left[found]] += v[found]
+            left, a, b = left[~found], a[~found], b[~found]
+            if not len(left):
+                return out
+            if order > 1:
+                out[left] += np.nan_to_num(self.contexts.get(_key(*_context(a, b), order)))
+                a, b = _shorter(a, b, order)
+        out[left] += self.unknown
+        return out
+
+
+def _sums(logs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    sums, has = np.zeros(len(bounds) - 1), np.flatnonzero(np.diff(bounds))
+    if len(has):
+        sums[has] = np.add.reduceat(logs, bounds[has])
+    return sums
+
+
+def _scored_by_shipping(rows: DataFrame, model: Model | None) -> DataFrame:
+    shipped = rows.sparkSession.sparkContext.broadcast(Shipped.of(model) if model else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logs = shipped.value
         for part in batches:
-            code, bounds = _codes(part.text.tolist())
-            sums, has = np.zeros(len(part)), np.flatnonzero(np.diff(bounds))
-            if len(has):
-                sums[has] = np.add.reduceat(logs[code], bounds[has], dtype=np.float64)
-            yield pd.DataFrame({"doc_id": part.doc_id, "lang": part.lang, "n_symbols": np.diff(bounds), "log_sum": sums})
+            a, b, bounds = grams(part.text.tolist())
+            logs = shipped.value.log_probabilities(a, b) if shipped.value else np.full(len(a), -np.log(0x110000))
+            yield pd.DataFrame({"doc_id": part.doc_id, "lang": part.lang, "n_symbols": np.diff(bounds), "log_sum": _sums(logs, bounds)})
+
+    return rows.mapInPandas(run, "doc_id long, lang string, n_symbols long, log_sum double")
+
 
+def gram_scores(wanted: DataFrame, model: Model) -> DataFrame:
+    """(a, b, v): the log probability of each distinct n-gram, by joins that back off order by order."""
+    now = wanted.select(*GRAM, F.col("a").alias("x"), F.col("b").alias("y"), F.lit(0.0).alias("v"))
+    done = []
+    for order in range(ORDER, 0, -1):
+        own = model.grams[order - 1].select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("v").alias("own"))
+        met = materialize(now.join(own, ["x", "y"], "left"), "backoff")
+        done.append(met.where("own is not null").select(*GRAM, (F.col("v") + F.col("own")).alias("v")))
+        now = met.where("own is null").drop("own")
+        if order > 1:
+            left = model.contexts[order - 2].select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("v").alias("left"))
+            ca, cb = F.shiftright("x", _BITS), F.shiftright("y", _BITS).bitwiseOR(F.shiftleft(F.col("x").bitwiseAND(F.lit(_ONE)), 2 * _BITS))
+            now = now.withColumns({"ca": ca, "cb": cb}).join(left, ["ca", "cb"], "left")
+            x, y = _shorter(F.col("x"), F.col("y"), order)
+            now = now.select(*GRAM, x.alias("x"), y.alias("y"), (F.col("v") + F.coalesce("left", F.lit(0.0))).alias("v"))
+    out = now.select(*GRAM, (F.col("v") + F.lit(model.unknown)).alias("v"))
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
+def _scored_by_joins(rows: DataFrame, model: Model) -> DataFrame:
+    """Equal texts are scored once; a batch's texts lie together on disk, so only n-grams are shuffled."""
+    spark = rows.sparkSession
+    keyed = rows.select("doc_id", "lang", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
+    facts = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    batches = max(1, -(-facts // BATCH_CHARS))
+    contents = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text")).withColumn("batch", F.pmod(F.col("k1"), F.lit(batches)))
+    contents = save_bucketed(contents, "batch")
+
+    def distinct(part: pd.DataFrame) -> pd.DataFrame:
+        a, b, _ = grams(part.text.tolist())
+        first = np.unique(_key(a, b, ORDER), return_index=True)[1]
+        return pd.DataFrame({"batch": part.batch.iloc[0], "a": a[first], "b": b[first]})
+
+    asked = materialize(contents.select("batch", "text").groupBy("batch").applyInPandas(distinct, "batch long, a long, b long"), "asked")
+    answers = asked.join(materialize(gram_scores(asked.select(*GRAM).distinct(), model), "answers"), GRAM)
+
+    def score(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        a, b, bounds = grams(texts.text.tolist())
+        key = _key(found.a.to_numpy(), found.b.to_numpy(), ORDER)
+        order = np.argsort(key)
+        logs = found.v.to_numpy()[order][np.searchsorted(key[order], _key(a, b, ORDER))] if len(a) else np.zeros(0)
+        return pd.DataFrame({"k1": texts.k1, "k2": texts.k2, "n_symbols": np.diff(bounds), "log_sum": _sums(logs, bounds)})
+
+    scored = contents.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "k1 long, k2 long, n_symbols long, log_sum double")
+    return keyed.drop("text").join(materialize(scored, "scored"), ["k1", "k2"]).select("doc_id", "lang", "n_symbols", "log_sum")
+
+
+def perplexities(docs: DataFrame, model: Model | None, shipped_bytes: int = SHIPPED_BYTES) -> DataFrame:
+    """(doc_id, lang, n_symbols, perplexity) of every row; without a model all code points are equally likely."""
+    small_batches(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCORES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    scored = _scored_by_shipping(rows, model) if model is None or 16 * model.rows <= shipped_bytes else _scored_by_joins(rows, model)
+    return scored.select("doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(-F.col("log_sum") / F.col("n_symbols"))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, shipped_bytes: int = SHIPPED_BYTES) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, threshold, kept) of every row.
 
-    Trusted are documents labelled quality 1 that are not held out. The threshold of a language is that
-    quantile of its trusted documents' perplexities, or of all trusted documents' where the language is
-    null or has fewer than ``LEAST_TRUSTED``. An empty or null text has no perplexity and isn't kept;
-    without trusted text there is no threshold and all other texts are kept. Rows may repeat, doc_id may
-    be null, other columns are ignored.
+    Trusted are documents labelled quality 1 that are not held out. A fold of them (by the id's checksum)
+    isn't counted but sets the thresholds, as texts that were counted look better than they are. The
+    threshold of a language is that quantile of its calibration documents' perplexities, or of all
+    calibration documents' where the language is null or has fewer than ``LEAST_TRUSTED`` (of all trusted
+    ones where the fold is empty). A perplexity at the threshold is kept. An empty or null text has no
+    perplexity and isn't kept; without trusted text there is no threshold and all other texts are kept. Rows
+    may repeat, doc_id may be null, other columns are ignored.
     """
     ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out(F.col("doc_id"))).distinct()
-    ids = materialize(ids, "trusted")
+    ids = materialize(ids.withColumn("counted", fold(F.col("doc_id")) != CALIBRATION), "trusted")
+    if not ids.where("not counted").limit(1).count():
+        ids = ids.withColumn("calibrates", F.lit(True))
+    else:
+        ids = ids.withColumn("calibrates", ~F.col("counted"))
     small = ids.count() <= BROADCAST_IDS
-    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    model = train(trusted)
-    if model is None:
-        model = np.full(SYMBOLS**ORDER, -np.log(SYMBOLS), np.float32)
-    rows = perplexities(docs, model).withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.exp(-F.col("log_sum") / F.col("n_symbols"))))
-    rows = materialize(rows.drop("log_sum"), "perplexities")
-    good = rows.where("perplexity is not null").join(ids, "doc_id", "left_semi")
+    counted = ids.where("counted").select("doc_id")
+    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(counted) if small else counted, "doc_id", "left_semi")
+    rows = materialize(perplexities(docs, train(trusted), shipped_bytes), "perplexities")
+    good = rows.where("perplexity is not null").join(ids.where("calibrates"), "doc_id", "left_semi")
     own = good.where("lang is not null").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED).drop("n")
     own = materialize(own, "quantiles")
     own = F.broadcast(own) if own.count() <= BROADCAST_LANGUAGES else own  # one language may hold most rows

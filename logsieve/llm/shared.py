@@ -17,10 +17,13 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (tests, a laptop) a local folder is set as the session's own.
+    Where that setting is unset a local session (tests, a laptop) gets a folder of its own. On a cluster
+    that would be a folder no other machine sees, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="logsieve-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -31,10 +34,24 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
+def _bucketed_prefix(spark: SparkSession) -> str:
+    """Bucketed tables are in the catalog, which applications share: their names tell whose they are."""
+    return "logsieve_" + re.sub(r"\W", "_", spark.sparkContext.applicationId).lower() + "_"
+
+
+def save_bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Write ``df`` into the shared folder in buckets of its keys, so that joins and groups by them move no row."""
+    spark = df.sparkSession
+    name = f"{_bucketed_prefix(spark)}{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", f"{tables_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def clean(spark: SparkSession) -> None:
     """Remove this application's intermediate tables. Results that weren't written yet still need them."""
     for t in spark.catalog.listTables():
-        if t.name.startswith("logsieve_contents_"):
+        if t.name.startswith(_bucketed_prefix(spark)):
             spark.sql(f"DROP TABLE {t.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -59,9 +76,14 @@ def spread(df: DataFrame, rows: int = 4) -> DataFrame:
     return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism * rows))
 
 
+def fold(doc_id: F.Column) -> F.Column:
+    """One of five folds, by the crc32 of the id as text."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
 def held_out(doc_id: F.Column) -> F.Column:
-    """crc32 of the id as text, a multiple of five: rows whose labels are never learned from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Fold 0: rows whose labels are never learned from."""
+    return fold(doc_id) == 0
 
 
 def held_out_py(doc_id: int) -> bool:

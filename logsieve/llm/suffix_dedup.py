@@ -19,7 +19,6 @@ in some seventy, need sorting. A *run* is a stretch of windows that name the sam
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsieve.llm.shared import materialize, small_batches, table, tables_dir
+from logsieve.llm.shared import materialize, save_bucketed, small_batches, table
 
 LENGTH = 200
 GRAM = 48
@@ -290,13 +289,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text:
     runs through is dropped).
     """
     spark = docs.sparkSession
+    if not gram <= length < gram + 255:
+        raise ValueError("length must be at least gram and less than gram + 255: a run holds up to length - gram + 1 windows in 8 bits")
     small_batches(spark)
     text = F.coalesce(docs["text"], F.lit(""))
     folded = docs.select(text.alias("text")).where(F.octet_length("text") >= length).select(*_key(F.col("text")), "text").groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    name = f"logsieve_contents_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folded.write.option("path", f"{tables_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(name)
-    contents = spark.table(name)
+    contents = save_bucketed(folded, *KEY)
 
     near = materialize(compare_sorted(materialize(suffixes(contents, length, gram), "suffixes"), bucket_rows), "near")
     open_runs = near.where("rep or not same_s").select("h", *KEY, *_place())

@@ -11,9 +11,11 @@ def test_tables_are_written_to_the_shared_folder_and_removed(spark):
     kept = materialize(spark.range(5), "x")
     assert kept.count() == 5 and os.listdir(tables_dir(spark))
     removed_bytes(spark.createDataFrame([(1, "a" * 300)], "doc_id long, text string")).count()
-    assert any(t.name.startswith("logsieve_contents_") for t in spark.catalog.listTables())
+    spark.sql("create table logsieve_another_application_x (a int)")
+    assert sum(t.name.startswith("logsieve_") for t in spark.catalog.listTables()) > 1
     clean(spark)
-    assert not os.path.exists(tables_dir(spark)) and not any(t.name.startswith("logsieve_contents_") for t in spark.catalog.listTables())
+    assert not os.path.exists(tables_dir(spark)) and [t.name for t in spark.catalog.listTables() if t.name.startswith("logsieve_")] == ["logsieve_another_application_x"]
+    spark.sql("drop table logsieve_another_application_x")
 
 
 def test_held_out_rows(spark):
