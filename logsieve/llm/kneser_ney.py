@@ -1,6 +1,6 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The tokens are Unicode code points of any script (decimal digits of ASCII are one), the order is six. All
+The tokens are Unicode code points of any script (decimal digits of ASCII are one), the order is five. All
 trusted text that isn't held out or kept for calibration is counted: each task adds up the n-grams of what
 it reads, and the counts meet in shards by n-gram. Continuation counts are counts of the distinct n-grams
 one order up; each order's probabilities come from joins in shards, with the sums of its contexts and with
@@ -12,7 +12,7 @@ bounded size, the distinct n-grams of each batch are joined to the model in shar
 order, and the answers meet their batch again. A document is kept when its perplexity is within the
 quantile of the calibration documents of its language.
 
-An n-gram is two longs of three code points each, aligned to the right; 0 is a text's start.
+An n-gram is two longs of up to three code points each, aligned to the right; 0 is a text's start.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from logsieve.llm.shared import fold, held_out, materialize, save_bucketed, small_batches, table
 
-ORDER = 6
+ORDER = 5
 _BITS = 21
 _ONE, _TWO = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
 #: Largest model (16 bytes for each n-gram or context) that is shipped to the tasks.
-SHIPPED_BYTES = 96 << 20
+SHIPPED_BYTES = 32 << 20
 #: Characters of a batch whose distinct n-grams are joined to a larger model, and n-grams summed up in a task at once.
 BATCH_CHARS = 16_000_000
 TASK_GRAMS = 2_000_000
@@ -56,14 +56,14 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     half = symbol.copy()
     half[1:] |= symbol[:-1] << _BITS
     half[2:] |= symbol[:-2] << 2 * _BITS
-    return half[body - 3], half[body], np.concatenate(([0], np.cumsum(sizes)))
+    return half[body - 3] & _TWO, half[body], np.concatenate(([0], np.cumsum(sizes)))
 
 
 def _shorter(a, b, order: int):
     """The n-gram of ``order`` without its first symbol; for arrays and for columns."""
     band = lambda x, mask: x.bitwiseAND(F.lit(mask)) if hasattr(x, "bitwiseAND") else x & mask
     if order > 3:
-        return band(a, {6: _TWO, 5: _ONE, 4: 0}[order]), b
+        return band(a, {5: _ONE, 4: 0}[order]), b
     return a, band(b, {3: _TWO, 2: _ONE, 1: 0}[order])
 
 
@@ -188,31 +188,35 @@ class Lookup:
         return out
 
 
-@dataclass
 class Shipped:
-    grams: Lookup
-    contexts: Lookup
-    unknown: float
+    """The model as arrays; a task makes its hash tables when it first needs them."""
 
-    @classmethod
-    def of(cls, model: Model) -> Shipped:
-        def held(tables: list[DataFrame], first: int) -> Lookup:
-            parts = [t.toPandas() for t in tables]
-            return Lookup(np.concatenate([_key(p.a.to_numpy(), p.b.to_numpy(), k) for k, p in enumerate(parts, first)]), np.concatenate([p.v.to_numpy(np.float32) for p in parts]))
+    def __init__(self, model: Model):
+        def held(tables: list[DataFrame], first: int) -> tuple[np.ndarray, np.ndarray]:
+            keys, values = [], []
+            for order, t in enumerate(tables, first):
+                part = t.select(*GRAM, F.col("v").cast("float").alias("v")).toArrow()
+                keys.append(_key(part["a"].to_numpy(), part["b"].to_numpy(), order))
+                values.append(part["v"].to_numpy())
+            return np.concatenate(keys), np.concatenate(values)
 
-        return cls(held(model.grams, 1), held(model.contexts, 2), model.unknown)
+        self.parts, self.unknown = (held(model.grams, 1), held(model.contexts, 2)), model.unknown
+        self.tables: list[Lookup] = []
 
     def log_probabilities(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not self.tables:
+            self.tables = [Lookup(*p) for p in self.parts]
+        found_in, weights = self.tables
         out, left = np.zeros(len(a)), np.arange(len(a))
         for order in range(ORDER, 0, -1):
-            v = self.grams.get(_key(a, b, order))
+            v = found_in.get(_key(a, b, order))
             found = ~np.isnan(v)
             out[left[found]] += v[found]
             left, a, b = left[~found], a[~found], b[~found]
             if not len(left):
                 return out
             if order > 1:
-                out[left] += np.nan_to_num(self.contexts.get(_key(*_context(a, b), order)))
+                out[left] += np.nan_to_num(weights.get(_key(*_context(a, b), order)))
                 a, b = _shorter(a, b, order)
         out[left] += self.unknown
         return out
@@ -226,7 +230,7 @@ def _sums(logs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _scored_by_shipping(rows: DataFrame, model: Model | None) -> DataFrame:
-    shipped = rows.sparkSession.sparkContext.broadcast(Shipped.of(model) if model else None)
+    shipped = rows.sparkSession.sparkContext.broadcast(Shipped(model) if model else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

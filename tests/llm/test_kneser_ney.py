@@ -14,9 +14,9 @@ TEXTS = ["the cat sat on the mat", "the dog sat on the log.\nThe END!", "a b c",
 
 def slow_model(texts):
     """Interpolated modified Kneser-Ney over dictionaries; None stands for a text's start."""
-    symbols = [[None] * 5 + ["0" if c in "0123456789" else c for c in t] for t in texts]
-    counts = {6: Counter(tuple(s[i - 5 : i + 1]) for s in symbols for i in range(5, len(s)))}
-    for k in (5, 4, 3, 2, 1):
+    symbols = [[None] * 4 + ["0" if c in "0123456789" else c for c in t] for t in texts]
+    counts = {5: Counter(tuple(s[i - 4 : i + 1]) for s in symbols for i in range(4, len(s)))}
+    for k in (4, 3, 2, 1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
     total, kinds, discount = {}, {}, {}
     for k, table in counts.items():
@@ -46,7 +46,7 @@ def test_model_equals_the_definition(spark):
     model = K.train(spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3))
     p = slow_model(TEXTS)
     asked = [*TEXTS, "the mat sat", "кот на мате 猫", "\U0001f600 new", "\x00", "99 cats", "x" * 3000]
-    want = [-sum(math.log(p(tuple(s[i - 5 : i + 1]))) for i in range(5, len(s))) for s in ([None] * 5 + ["0" if c in "0123456789" else c for c in t] for t in asked)]
+    want = [-sum(math.log(p(tuple(s[i - 4 : i + 1]))) for i in range(4, len(s))) for s in ([None] * 4 + ["0" if c in "0123456789" else c for c in t] for t in asked)]
     docs = spark.createDataFrame(list(enumerate(asked)) + [(4, asked[4]), (0, asked[0])], "doc_id long, text string")
     for limit in (0, K.SHIPPED_BYTES):
         rows = K.perplexities(docs, model, shipped_bytes=limit).collect()
