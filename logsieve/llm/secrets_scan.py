@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from logsieve.llm.shared import materialize, table
 
 #: Words before a secret, formats that name their issuer, and words that tell of something else.
-KEYWORDS = "token|secret|api[_-]?key|access[_-]?key|private[_-]?key|passw(?:or)?d|passwd|pwd|auth(?:orization)?|bearer|credential"
+KEYWORDS = r"token|secret|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|passw(?:or)?d|passphrase|pwd|(?<![a-z])pass(?![a-z])|auth(?!or(?!i))|bearer|credential"
+PASSWORDS = r"passw(?:or)?d|passphrase|pwd|(?<![a-z])pass(?![a-z])"
 FORMATS = {
     "aws_key_id": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
@@ -34,24 +35,32 @@ FORMATS = {
 PLACEHOLDERS = "example|sample|dummy|placeholder|changeme|change_me|your|xxxx|0000000|1234567|abcdef|fake|todo|redacted|insert|none|null|test"
 OTHERS = "sha1|sha256|sha512|md5|commit|checksum|digest|hash|etag|uuid|guid|isbn|serial|order|invoice|card|iban|phone|tel|tracking|version|build|revision|integrity|png|jpg|jpeg|gif|base64|font|ticket|page|id"
 DICTIONARY = (
-    "about account action admin after agent alpha android angular apple archive article asset assets back backup banner base batch before beta block blog board book branch browser buffer build button cache "
-    "call case center chat check class clean client close cloud code color column comment commit common component config connect console contact container content context control cookie core count create "
-    "current custom dark data database date debug default delete deploy desktop detail device dialog direct display document domain down download drive edit email enable engine entry error event example "
-    "export false feature field file filter final find first flag float folder font footer form format frame front function game gateway global good graph green grid group guide handler hash head header "
-    "help hidden high history home host hotel icon image images import index info init inner input install internal invoice item java key keyboard label language large last layer layout left level light "
-    "line link linux list load local location lock login logo long mail main manager map mark master media member menu message method middle mobile mode model module money monitor month more music name"
+    "account action active admin agent android api app archive article asset auth background backup base board branch browser build button cache call change cloud code color column command comment common "
+    "config connect console contact container content context control cookie create custom data database date default delete deploy detail display document domain email enable error event example export "
+    "field file filter function gateway general global guide handler help history home host icon image import index internal item key kind label language large layout level library link list load local "
+    "login mail main manager menu message method model module money music name network object option order page parent part path play point policy port price private process product profile project public "
+    "query queue quick read record region release report request response result river root route sample schema search second section server service session setting shop side simple site size source stage "
+    "start state status store string style system table target team test text time title token type under update upload user utils value version video view visit water web week width window word work world "
+    "write year yellow young zero zone"
 ).split()
 
+_NAME = r"[A-Za-z0-9_.\-]"
 _RUN = r"[A-Za-z0-9+/_=.\-]"
-_ASSIGNED = rf"(?i:{KEYWORDS})[A-Za-z0-9_\-]{{0,24}}[\"']?\s{{0,3}}(?:=>|:=|=|:|\s)\s{{0,3}}[\"']?"
-_PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
-#: A keyword with a value of 8 or more signs in it; a run of 16 or more with a digit; a private key block.
-PATTERN = rf"{_PEM}|(?<![A-Za-z0-9])(?i:{KEYWORDS})[A-Za-z0-9_\-]{{0,24}}[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"']?[^\s\"'<>(){{}},;]{{8,}}+|(?<!{_RUN})(?=[A-Za-z+/_=.\-]*+[0-9]){_RUN}{{16,}}+"
-_VALUE = rf"^(?:{_ASSIGNED})?+([\s\S]*)$"
+#: A name that holds a keyword, whatever else is in it, and the sign that gives it a value.
+_ASSIGNED = rf"(?={_NAME}*?(?i:{KEYWORDS})){_NAME}*+[\"']?[ \t]*+(?:=>|:=|=|:)[ \t]*+"
+_BEARER, _LOGIN = r"(?i:bearer|basic)[ \t]++", r"://[^\s:/@]++:"
+_BLOCK = r"-----BEGIN [A-Z0-9 ]*+-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z0-9 ]*+-----)?"
+#: A block of a key or certificate; a named value of 8 signs or more; a token after its scheme; a password in an
+#: address; a format of an issuer; a run of 16 signs or more with a digit.
+PATTERN = "|".join([
+    _BLOCK, rf"(?<!{_NAME}){_ASSIGNED}(?:\"[^\"\s]{{8,}}+|'[^'\s]{{8,}}+|[^\s\"'<>(){{}},;]{{8,}}+)", rf"(?<![A-Za-z0-9]){_BEARER}[A-Za-z0-9._~+/\-]{{16,}}+=*+", rf"{_LOGIN}[^\s:/@]{{6,}}+(?=@)",
+    rf"(?<![A-Za-z0-9])(?:{'|'.join(FORMATS.values())})", rf"(?<!{_RUN})(?=[A-Za-z+/_=.\-]*+[0-9]){_RUN}{{16,}}+",
+])
+_VALUE = rf"^(?:{_ASSIGNED}[\"']?(?:{_BEARER})?|{_BEARER}|{_LOGIN})?+([\s\S]*)$"
 
 FEATURES = [
     "length", "digits", "upper", "lower", "signs", "to_digit", "from_digit", "case_moves", "distinct", "repeats", "dictionary", "syllables", "hex", "uuid", "number", "dots", "slashes",
-    "address", "extension", "assigned", "quoted", "keyword", "format", "placeholder", "other", "pem",
+    "address", "extension", "assigned", "quoted", "keyword", "password", "scheme", "format", "placeholder", "other", "pem", "open_key", "code",
 ]
 
 
@@ -74,9 +83,9 @@ def features(match: Column, left: Column, right: Column) -> Column:
     n = F.greatest(F.char_length(value), F.lit(1)).cast("double")
     before = F.concat(left, F.substring(match, F.lit(1), F.char_length(match) - F.char_length(value)))
     flag = lambda c: c.cast("double")
-    words = "|".join(w for w in DICTIONARY if len(w) > 3)
+    words = "|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=len, reverse=True))  # the longest that fits
     found = {
-        "length": F.least(n, F.lit(400.0)),
+        "length": n,
         "digits": _count(value, "[0-9]") / n,
         "upper": _count(value, "[A-Z]") / n,
         "lower": _count(value, "[a-z]") / n,
@@ -84,7 +93,7 @@ def features(match: Column, left: Column, right: Column) -> Column:
         "to_digit": _count(value, "[A-Za-z](?=[0-9])") / n,
         "from_digit": _count(value, "[0-9](?=[A-Za-z])") / n,
         "case_moves": _count(value, "[a-z](?=[A-Z])|[A-Z](?=[a-z])") / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) / F.least(n, F.lit(64.0)),
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)),
         "repeats": _count(value, r"(.)(?=\1\1)") / n,
         "dictionary": 1 - F.char_length(F.regexp_replace(F.lower(value), words, "")) / n,
         "syllables": _count(F.lower(value), "[bcdfghjklmnpqrstvwxyz][aeiou]") / n,
@@ -97,11 +106,15 @@ def features(match: Column, left: Column, right: Column) -> Column:
         "extension": flag(value.rlike(r"\.[a-z]{2,5}[0-9]?$")),
         "assigned": flag(before.rlike(r"(?:=>|:=|=|:)\s{0,3}[\"']?$")),
         "quoted": flag(before.rlike(r"[\"']$") & right.rlike(r"^[\"']")),
-        "keyword": flag(before.rlike(rf"(?:{_any(KEYWORDS)})[^\n]{{0,30}}$")),
+        "keyword": flag(before.rlike(rf"(?i)(?:{KEYWORDS})[^\n]*$")),
+        "password": flag(before.rlike(rf"(?i)(?:{PASSWORDS}){_NAME}*+[\"']?[ \t]*+(?:=>|:=|=|:)[ \t]*+[\"']?$")),
+        "scheme": flag(before.rlike(rf"(?:{_BEARER}|{_LOGIN})$")),
         "format": flag(reduce(lambda a, b: a | b, [value.rlike(f"^{p}$") for p in FORMATS.values()])),
         "placeholder": flag(value.rlike(f"(?i)(?:{PLACEHOLDERS})") | before.rlike(rf"(?:{_any('example|sample|dummy|fake')})\W[^\n]{{0,24}}$")),
         "other": flag(before.rlike(rf"(?:{_any(OTHERS)})[^A-Za-z\n][^\n]{{0,12}}$")),
-        "pem": flag(value.startswith("-----BEGIN")),
+        "pem": flag(value.rlike("^-----BEGIN [A-Z0-9 ]*PRIVATE KEY")),
+        "open_key": flag(value.rlike("^(?:AAAA[A-Z][0-9][A-Z])|^-----BEGIN (?![A-Z0-9 ]*PRIVATE)") | before.rlike(r"(?i)(?:ssh-[a-z0-9]+ |public[ _-]?key[^\n]*)$")),
+        "code": flag(value.rlike(r"^[A-Za-z_$][A-Za-z0-9_]*(?:(?:\.|->|::|\[)[A-Za-z_\[]|\($)") | right.rlike(r"^\(")),
     }
     return F.struct(*[F.coalesce(found[f], F.lit(0.0)).alias(f) for f in FEATURES])
 
@@ -109,6 +122,7 @@ def features(match: Column, left: Column, right: Column) -> Column:
 def rule_of(match: Column) -> Column:
     value, out = value_of(match), F.lit("high_entropy")
     out = F.when(value != match, F.lit("assignment")).otherwise(out)
+    out = F.when(match.rlike(f"^{_LOGIN}"), F.lit("address_password")).when(match.rlike(f"^{_BEARER}"), F.lit("bearer_token")).otherwise(out)
     for name, pattern in FORMATS.items():
         out = F.when(value.rlike(f"^{pattern}"), F.lit(name)).otherwise(out)
     return F.when(match.startswith("-----BEGIN"), F.lit("private_key")).otherwise(out)
@@ -134,16 +148,29 @@ def labelled_findings(seed: int = 5, each: int = 60) -> list[tuple[str, int]]:
     word = lambda: "".join(rnd.choices(syllables, k=rnd.randrange(1, 5)))
     prose = lambda: " ".join(word() for _ in range(rnd.randrange(0, 9)))
     b64 = lambda n: base64.b64encode(rnd.randbytes(n)).decode()
-    key = lambda: rnd.choice(["token", "secret", "api_key", "apikey", "API_KEY", "access_key", "client_secret", "password", "auth_token", "TOKEN", "private_key", "passwd", "SECRET_KEY"])
+    key = lambda: rnd.choice(["token", "secret", "api_key", "apikey", "API_KEY", "access_key", "client_secret", "password", "auth_token", "TOKEN", "private_key", "passwd", "SECRET_KEY", "clientSecret", "dbPassword", "db_pass", "apiToken", "signingKey", "REDIS_PASSWORD"])
     assign = lambda v: key() + rnd.choice([' = "%s"', '="%s"', ": %s", " = '%s'", "=%s", '": "%s"', ' := "%s"', ' = "%s"']) % v
     strong = lambda: rnd.choice([chars(hexa, rnd.choice([32, 40, 64])), chars(hexa, 40).upper(), chars(alnum, rnd.randrange(20, 60)), b64(rnd.randrange(18, 48)), chars(alnum + "_-", 40), chars(alnum + "!@#%^&*", rnd.randrange(12, 24))])
+    block = lambda kind: f"-----BEGIN {kind}-----\n" + "\n".join(b64(rnd.choice([12, 48, 48])) for _ in range(rnd.randrange(1, 25))) + f"\n-----END {kind}-----"
+    pass_key = lambda: rnd.choice(["password", "passwd", "pwd", "db_pass", "PASS", "userPassword", "passphrase", "DB_PASSWORD", "admin.password"])
+    give = lambda k, v: k + rnd.choice([' = "%s"', '="%s"', ": %s", " = '%s'", "=%s", '": "%s"', ": '%s'"]) % v
+    typed = lambda: rnd.choice(DICTIONARY).title()[:6] + chars(string.digits, rnd.randrange(2, 5)) + rnd.choice("!@$%^&*_-") + chars(alnum, rnd.randrange(0, 5))
+    leet = lambda: "".join({"o": "0", "e": "3", "a": "4", "i": "1"}.get(c, c) for c in word() + word()).title() + rnd.choice("!&#%") + chars(alnum, rnd.randrange(2, 6))
+    phrase = lambda: rnd.choice(["", "-", "_"]).join(rnd.choice(DICTIONARY) for _ in range(rnd.randrange(3, 6))) + rnd.choice(["", chars(string.ascii_lowercase, 1), chars(string.digits, 2)])
     formats = [lambda: "AKIA" + chars(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + chars(alnum, 36), lambda: "xoxb-" + chars(string.digits, 11) + "-" + chars(alnum, 24), lambda: "sk_live_" + chars(alnum, 24), lambda: "AIza" + chars(alnum, 35), lambda: f"eyJ{chars(alnum, 20)}.eyJ{chars(alnum, 40)}.{chars(alnum, 43)}"]
-    positive = [lambda: assign(strong()), lambda: assign(strong()), lambda: assign(strong()), lambda: assign(rnd.choice(formats)()), lambda: rnd.choice(formats)(), lambda: rnd.choice(["bearer ", "Authorization: Bearer "]) + chars(alnum, 40),
-        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(b64(48) for _ in range(6)) + "\n-----END RSA PRIVATE KEY-----"]
+    positive = [lambda: assign(strong()), lambda: assign(strong()), lambda: assign(strong()), lambda: assign(rnd.choice(formats)()), lambda: rnd.choice(formats)(), lambda: rnd.choice(["bearer ", "Authorization: Bearer "]) + chars(rnd.choice([alnum, string.ascii_letters]), rnd.randrange(24, 50)),
+        lambda: give(pass_key(), typed()), lambda: give(pass_key(), leet()), lambda: give(pass_key(), phrase()), lambda: assign(chars(string.ascii_lowercase + string.digits, rnd.randrange(10, 20))), lambda: "AKIA" + chars(string.ascii_uppercase, 16),
+        lambda: rnd.choice(["postgres", "mysql", "amqp", "https", "redis"]) + "://" + rnd.choice(["app", "root", word()]) + ":" + rnd.choice([typed, leet, lambda: chars(alnum, 16)])() + "@" + word() + ".internal:5432/" + word(),
+        lambda: block(rnd.choice(["PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"]))]
     ext = lambda: rnd.choice([".png", ".jpg", ".html", ".css", ".js", ".pdf", ".tar.gz", ".json"])
     negative = [
         lambda: assign(rnd.choice(["your_token_here", "changeme123456", "xxxxxxxxxxxxxxxxxxxx", "example_secret_key_1", "<placeholder>", "00000000000000000000", "1234567890123456", "dummy-password-1", "test_key_123456789", "REDACTED_REDACTED_1", "insert-your-key-1"])),
         lambda: assign(rnd.choice(["process.env.SECRET_1", "os.environ.get", "config.get_secret1", "getenv.API_KEY_2", "settings.auth.token1"])),
+        lambda: give(rnd.choice([pass_key(), key()]), rnd.choice(["required", "optional", "undefined", "password", "string|required", "${DB_PASSWORD}", "<password>", "changeme", "********", "your-password", "process.env.DB_PASS", "config.auth.secret", "getPassword", "not_set_yet", "true,false"])),
+        lambda: rnd.choice(["secretName", "tokenType", "tokenizer", "authMethod", "passwordField", "token_url", "auth_provider", "credentialsPath", "secret_name"]) + rnd.choice([": ", "=", ' = "']) + rnd.choice(["-", "_", "/", "."]).join(rnd.choice(DICTIONARY) for _ in range(rnd.randrange(2, 5))),
+        lambda: rnd.choice(["token", "access_token", "password"]) + rnd.choice([" = ", ": "]) + rnd.choice(DICTIONARY) + rnd.choice([".", "->", "::"]) + rnd.choice(DICTIONARY) + rnd.choice(["(", "", "()"]),
+        lambda: rnd.choice(["ssh-rsa ", "ssh-rsa ", "deploy key ssh-rsa "]) + "AAAAB3NzaC1yc2EAAAADAQAB" + b64(rnd.choice([60, 200])), lambda: "ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAI" + b64(32), lambda: rnd.choice(["public_key", "publicKey"]) + ' = "' + b64(45) + '"',
+        lambda: block(rnd.choice(["PUBLIC KEY", "CERTIFICATE", "RSA PUBLIC KEY"])),
         lambda: key() + rnd.choice([": ", " = ", ":"]) + word() + word() + word() + " " + prose(),
         lambda: rnd.choice(["sha256:", "sha1 ", "md5: ", "commit ", "checksum=", "digest: ", "etag: ", "hash ", "revision ", "integrity sha512-"]) + chars(hexa, rnd.choice([32, 40, 64])),
         lambda: f"{chars(hexa, 8)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 12)}",
