@@ -1,10 +1,16 @@
-"""Near copies by the Jaccard similarity of five-word shingles.
-
-Contents (texts with equal words, in lower case) meet by MinHash: ``BANDS`` keys of ``ROWS`` minima each.
-A pair of similarity 0.8 shares a key with probability 0.997, one of 0.9 with 1 - 5e-7. Pairs that share
-a key are confirmed on their complete sets of shingles. First every member of a bucket is held against
-its first; then all pairs of a bucket that are in different groups still, so no pair is passed over
-because its bucket is large.
+"""Near copies by the Jaccard similarity of five-word shingles, for the pipeline's SimHash stage.
+
+Contents (texts with equal words, in lower case) get the operator's fingerprint over five-word shingles,
+and its multi-index hashing proposes pairs within two bits. Two bits reach similarities of about 0.97 and
+more only: at 0.8 some ten of 64 bits differ, and balls that wide hold more entries than a table has
+buckets. What is less alike meets by MinHash: ``BANDS`` keys of ``ROWS`` minima each. A pair of similarity
+0.8 shares a key with probability 0.997, one of 0.9 with 1 - 5e-7.
+
+Every proposed pair is confirmed on its complete sets of shingles. First every member of a bucket is held
+against its first; then the members of a bucket that are in different groups still are held against one
+another, so no pair is passed over because its bucket is large. Of a bucket with up to ``PAIR_LIMIT`` such
+members the pairs are listed; members of a larger one are dealt into blocks, each pair of blocks is one
+task that counts common shingles by matrix products, and only similar pairs leave it.
 """
 
 from __future__ import annotations
@@ -14,17 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.llm.components import connected_components
 from logsieve.llm.shared import materialize, small_batches
+from logsieve.llm.simhash import links, majority
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 6
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 12
+#: Members of a bucket whose pairs are listed, members of a block of a larger one, and shingles of a matrix.
+PAIR_LIMIT, BLOCK_MEMBERS, COLUMNS = 64, 256, 8192
 _DRAWN = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _FACTOR, _PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
@@ -33,16 +42,20 @@ def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_LOWER).split()
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """The distinct hashes of the shingles; fewer than ``WIDTH`` words are one shingle, no word is none."""
+def hashed(words: list[bytes]) -> np.ndarray:
+    """The hashes of the shingles, repeats included; fewer than ``WIDTH`` words are one shingle, no word is none."""
     if not words:
         return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - WIDTH + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b]) for a, b in zip(starts, ends[min(WIDTH, len(words)) - 1 :].tolist(), strict=True)])
-    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+    hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[min(WIDTH, len(words)) - 1 :].tolist(), strict=True)])
+    return np.frombuffer(hashes, ">u8").astype(np.uint64)
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    return np.unique(hashed(words))
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -64,15 +77,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _sketches(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            keys, bands = [], []
+            keys, bands, prints = [], [], []
             for text in part.text:
                 words = _words(text)
+                each = hashed(words)
                 keys.append(np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), ">i8"))
-                bands.append(band_keys(shingles(words)))
+                bands.append(band_keys(np.unique(each)))
+                prints.append(majority(each))
             k = np.array(keys, np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"row": part.row, "doc_id": part.doc_id, "k1": k[:, 0], "k2": k[:, 1], "bands": bands})
+            yield pd.DataFrame({"row": part.row, "doc_id": part.doc_id, "k1": k[:, 0], "k2": k[:, 1], "fp": np.array(prints, np.int64), "bands": bands})
 
-    return rows.select("row", "doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, "row long, doc_id long, k1 long, k2 long, bands array<long>")
+    return rows.select("row", "doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, "row long, doc_id long, k1 long, k2 long, fp long, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -92,6 +107,53 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(text("v", "b"), "v").join(text("u", "a"), "u").select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets ``left`` are similar to which of ``right``, by products of incidence matrices."""
+    sizes = np.array([len(x) for x in (*left, *right)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, code, many = np.unique(np.concatenate((*left, *right)), return_inverse=True, return_counts=True)
+    shared = many[code] > 1  # a shingle of one set only is in no intersection
+    _, code = np.unique(code[shared], return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[shared][order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, (low, low + COLUMNS))
+        held = np.zeros((len(sizes), COLUMNS), np.float32)
+        held[owner[a:b], code[a:b] - low] = 1
+        both += held[: len(left)] @ held[len(left) :].T
+    return both >= SIMILARITY * (sizes[: len(left), None] + sizes[None, len(left) :] - both)
+
+
+def _among_blocks(told: DataFrame, rows: DataFrame) -> DataFrame:
+    """The similar pairs (u, v) of different roots within each key of (key, node, root, n)."""
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = told.select("key", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    texts = dealt.join(rows.select(F.col("row").alias("node"), F.col("text").cast("binary").alias("text")), "node")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        first, second = part[part.own == part.i.iloc[0]], part[part.own == part.j.iloc[0]]
+        sets = {n: shingles(_words(t)) for n, t in zip(part.node, part.text, strict=True)}
+        found = similar_pairs([sets[n] for n in first.node], [sets[n] for n in second.node]) if len(first) and len(second) else np.zeros((0, 0), bool)
+        a, b = np.nonzero(found)
+        u, v = first.node.to_numpy()[a], second.node.to_numpy()[b]
+        apart = first.root.to_numpy()[a] != second.root.to_numpy()[b]
+        return pd.DataFrame({"u": np.minimum(u, v)[apart], "v": np.maximum(u, v)[apart]}).drop_duplicates()
+
+    return texts.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
+
+
+def _proposed_by_prints(contents: DataFrame) -> DataFrame:
+    """Pairs (u, v) of contents whose fingerprints are equal or linked by multi-index hashing."""
+    prints = materialize(contents.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = contents.select("fp", "node").join(prints, "fp").where("first < node").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    name = lambda a, b: prints.select(F.col("fp").alias(a), F.col("first").alias(b))
+    near = links(prints).join(name("u", "x"), "u").join(name("v", "y"), "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    return same.unionByName(near)
+
+
 def groups(rows: DataFrame) -> DataFrame:
     """(row, first) of every row of (row, doc_id, text): the row of its group that has the smallest doc_id.
 
@@ -101,22 +163,38 @@ def groups(rows: DataFrame) -> DataFrame:
     small_batches(rows.sparkSession)
     marked = materialize(_sketches(rows), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    contents = materialize(marked.groupBy("k1", "k2").agg(F.min(order).alias("least"), F.min_by("bands", order).alias("bands")).withColumn("node", F.col("least.row")), "contents")
+    contents = marked.groupBy("k1", "k2").agg(F.min(order).alias("least"), F.min_by(F.struct("fp", "bands"), order).alias("m"))
+    contents = materialize(contents.select("k1", "k2", "least", "m.fp", "m.bands", F.col("least.row").alias("node")), "contents")
     keyed = contents.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(keyed.join(shared, "key"), "members")
-    stars = materialize(members.where("low < node").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    stars = members.where("low < node").select(F.col("low").alias("u"), F.col("node").alias("v"))
+    stars = materialize(stars.unionByName(_proposed_by_prints(contents)).distinct(), "stars")
     found = materialize(_confirmed(stars, rows), "confirmed")
 
     roots = connected_components(found)
     told = materialize(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "told")
-    mixed = told.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    told = told.join(mixed, "key", "left_semi")
-    other = told.select("key", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    apart = told.join(other, "key").where("node < v and root <> root_v").select(F.col("node").alias("u"), "v").distinct()
-    more = materialize(_confirmed(materialize(apart.join(stars, ["u", "v"], "left_anti"), "apart"), rows), "confirmed")
+    mixed = told.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("key", "n")
+    told = materialize(told.join(mixed, "key"), "mixed")
+    few = told.where(F.col("n") <= PAIR_LIMIT)
+    other = few.select("key", F.col("node").alias("v"), F.col("root").alias("root_v"))
+    apart = few.join(other, "key").where("node < v and root <> root_v").select(F.col("node").alias("u"), "v").distinct()
+    more = _confirmed(materialize(apart.join(stars, ["u", "v"], "left_anti"), "apart"), rows)
+    more = materialize(more.unionByName(_among_blocks(told.where(F.col("n") > PAIR_LIMIT), rows)).distinct(), "confirmed")
     if more.limit(1).count():
         roots = connected_components(found.unionByName(more))
     placed = materialize(contents.join(roots, "node", "left").select("k1", "k2", "least", F.coalesce("root", "node").alias("root")), "placed")
     firsts = placed.groupBy("root").agg(F.min("least").getField("row").alias("first"))
     return marked.select("row", "k1", "k2").join(placed.join(firsts, "root").select("k1", "k2", "first"), ["k1", "k2"]).select("row", "first")
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near copies the row with the smallest doc_id stays.
+
+    Every row is judged by its own text, whether its doc_id is null or repeated.
+    """
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of ours can clash with the table's
+    rows = materialize(docs.select(*[docs[c].alias(n) for c, n in inner.items()]).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = groups(rows.select("row", F.col(inner["doc_id"]).cast("long").alias("doc_id"), F.col(inner["text"]).alias("text")))
+    gone = materialize(found.where("row <> first").select("row"), "copies")
+    return rows.join(gone, "row", "left_anti").select(*[F.col(n).alias(c) for c, n in inner.items()])

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.llm.components import connected_components
-from logsieve.llm.near_copies import groups
 from logsieve.llm.shared import materialize, small_batches, table
 
 BITS = 64
@@ -49,6 +48,14 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed fingerprint of the hashes of a text's shingles; 0 for none."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        votes += np.unpackbits(hashes[at : at + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return _signed(int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big"))
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -131,16 +138,3 @@ def near_duplicates(docs: DataFrame, distance: int = 2, segments: int = 2, bucke
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the row with the smallest doc_id stays.
-
-    Copies are told by five-word shingles (``near_copies``), not by ``op1_simhash``'s three words and two
-    bits. Every row is judged by its own text, whether its doc_id is null or repeated.
-    """
-    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of ours can clash with the table's
-    rows = materialize(docs.select(*[docs[c].alias(n) for c, n in inner.items()]).withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = groups(rows.select("row", F.col(inner["doc_id"]).cast("long").alias("doc_id"), F.col(inner["text"]).alias("text")))
-    gone = materialize(found.where("row <> first").select("row"), "copies")
-    return rows.join(gone, "row", "left_anti").select(*[F.col(n).alias(c) for c, n in inner.items()])

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from logsieve.llm import near_copies as N
-from logsieve.llm.simhash import keep_first
+from logsieve.llm.near_copies import keep_first
 
 
 def brute(text):
@@ -57,3 +57,33 @@ def test_similarity_is_exact():
     for a, b in (("a b c d e f", "a b c d e f g"), ("x y", "x y"), ("x", "y"), ("w " * 9000, "w " * 5), ("", "")):
         want = len(brute(a) & brute(b)) / max(1, len(brute(a) | brute(b)))
         assert np.isclose(N.similarity(N.shingles(N._words(a.encode())), N.shingles(N._words(b.encode()))), want)
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """150 texts of one origin, mostly too far from one another and from the first, some chained: as brute force groups them, by pairs and by blocks."""
+    rnd = random.Random(8)
+    rows = planted(rnd, 1, 11, copies=100)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
+    for k in range(50):  # copies of copies, a few words on
+        words = rnd.choice(rows[1:])[1].split()
+        for at in rnd.sample(range(400), 3):
+            words[at] = word()
+        rows.append((2000 + k, " ".join(words)))
+    sets, root = [brute(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = {rows[find(i)][0] for i in range(len(rows))}
+    assert 60 < len(want) < 110
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for limit, block in ((64, 256), (5, 20), (10**6, 1)):
+        monkeypatch.setattr(N, "PAIR_LIMIT", limit)
+        monkeypatch.setattr(N, "BLOCK_MEMBERS", block)
+        monkeypatch.setattr(N, "COLUMNS", 100 if block == 20 else 8192)
+        assert {r.doc_id for r in keep_first(spark, docs, "").collect()} == want

@@ -5,7 +5,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from logsieve.llm.components import connected_components
-from logsieve.llm.simhash import fingerprint, keep_first, links, near_duplicates
+from logsieve.llm.near_copies import keep_first
+from logsieve.llm.simhash import fingerprint, links, near_duplicates
 
 MASK = (1 << 64) - 1
 
