@@ -25,12 +25,27 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import normalizers
 
 from logsieve.llm.shared import small_batches, table
 
 #: Fixed values of the tokenizer: its word pattern and the characters it takes as white space.
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: Letters and numbers that are newer than the tokenizer's own tables, where they are symbols.
+NEW_LETTERS = (
+    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
+    r"\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1"
+    r"\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20"
+    r"\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24"
+    r"\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5"
+    r"\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD"
+    r"\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+NEW_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
+LETTER, NUMBER = rf"[\p{{L}}--[{NEW_LETTERS}]]", rf"[\p{{N}}--[{NEW_NUMBERS}]]"
+WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|[^{SPACE}{LETTER}{NUMBER}]+")
+#: From here on no text is composed and put in lower case by Python's data.
+_BEYOND = chr(0x33480)
 
 NONE = np.int64(1) << 40
 _CACHE_BYTES = 96 << 20
@@ -50,6 +65,25 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+@cache
+def unsure_characters() -> frozenset[str]:
+    """Characters below ``_BEYOND`` that Python's Unicode data may compose, order or lower unlike the tokenizer's.
+
+    Those it doesn't assign, and those whose combining class or decomposition is younger than Unicode 3.2
+    (older ones are stable by Unicode's policy).
+    """
+    old, found = unicodedata.ucd_3_2_0, []
+    for c in map(chr, range(128, ord(_BEYOND))):
+        if unicodedata.category(c) == "Cn" or unicodedata.combining(c) != old.combining(c) or unicodedata.decomposition(c) != old.decomposition(c):
+            found.append(c)
+    return frozenset(found)
+
+
+@cache
+def _library_normal() -> normalizers.Sequence:
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 class WordBpe:
     def __init__(self, path: str, cache_bytes: int = _CACHE_BYTES):
         with open(path, encoding="utf-8") as file:
@@ -147,6 +181,12 @@ class WordBpe:
         return ids_of, text_of
 
     def _normal(self, text: str) -> str:
+        """Composed and in lower case; the few texts with a character of ``unsure_characters`` by the library's normalizer."""
+        if not text or text.isascii():
+            return text.lower()
+        used = set(text)
+        if max(used) >= _BEYOND or not unsure_characters().isdisjoint(used):
+            return _library_normal().normalize_str(text)
         text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -30,12 +31,29 @@ def test_hard_texts(library):
 
 
 def test_every_character_of_the_basic_plane(library):
-    import unicodedata
-
     assigned = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
     same(library, ["a" + "a ".join(assigned[i : i + 500]) + "b" for i in range(0, len(assigned), 500)])
 
 
+def test_every_code_point_between_letters_and_alone(library):
+    bpe = WordBpe(default_path())
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not 0x40000 <= c < 0xE0000]
+    texts = [f"a{chr(c)}b {chr(c)}" for c in [*every, *range(0x40000, 0xE0000, 997)]]
+    for i in range(0, len(texts), 20_000):
+        part = texts[i : i + 20_000]
+        want = library.encode_batch(part, add_special_tokens=False)
+        got = bpe.encode_batch(part, decoded=False)
+        assert [np.frombuffer(a, "<u4").tolist() for a, _ in got] == [w.ids for w in want]
+
+
+def test_marks_in_any_order(library):
+    rnd = random.Random(8)
+    marks = [chr(c) for c in range(0x300, 0x1E950) if unicodedata.combining(chr(c))]
+    bases = [*"aeé'1 ", *map(chr, range(0x1100, 0x1108)), *map(chr, range(0x1161, 0x1168)), "\u11a8", "\U00011935", "\U00011930", "\u1c89", "\ua7cb"]
+    same(library, ["".join(rnd.choice(bases) + "".join(rnd.choices(marks, k=rnd.randrange(4))) for _ in range(8)) for _ in range(5000)])
+    same(library, [b + m + n for b in "aé" for m in marks for n in "\u0323\u0315\u0345"])
+
+
 def test_random_words_and_small_cache(library):
     rnd = random.Random(3)
     texts = ["".join(rnd.choices("abcdeéèß .,'\n-1THE", k=rnd.randrange(400))) for _ in range(300)]
