@@ -31,40 +31,61 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 6
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_BLOCK = 1 << 12
+_BLOCK = 1 << 11
 #: Members of a bucket whose pairs are listed, members of a block of a larger one, and shingles of a matrix.
 PAIR_LIMIT, BLOCK_MEMBERS, COLUMNS = 64, 256, 8192
-_DRAWN = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-_FACTOR, _PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+_DRAWN = np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
+_FACTOR, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
+#: Odd multipliers of the polynomial and of the mixing.
+_TIMES, _MIX = (np.random.default_rng(12).integers(0, 1 << 64, 2, np.uint64) | np.uint64(1))
 
 
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_LOWER).split()
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    """The hashes of the shingles, repeats included; fewer than ``WIDTH`` words are one shingle, no word is none."""
+class WordHashes(dict):
+    """XXH64 of every word met so far; one for each batch, so it stays as small as the batch."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return value
+
+
+def hashed(words: list[bytes], known: WordHashes | None = None) -> np.ndarray:
+    """The hashes of the shingles, repeats included; fewer than ``WIDTH`` words are one shingle, no word is none.
+
+    The hash of a shingle is a polynomial of its words' hashes, mixed so that every bit counts.
+    """
     if not words:
         return np.zeros(0, np.uint64)
-    joined, n = b" ".join(words), max(1, len(words) - WIDTH + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[min(WIDTH, len(words)) - 1 :].tolist(), strict=True)])
-    return np.frombuffer(hashes, ">u8").astype(np.uint64)
+    known = WordHashes() if known is None else known
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    width = min(WIDTH, len(words))
+    n = len(words) - width + 1
+    out = each[:n].copy()
+    for k in range(1, width):
+        out *= _TIMES
+        out += each[k : k + n]
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    return np.unique(hashed(words))
+def shingles(words: list[bytes], known: WordHashes | None = None) -> np.ndarray:
+    return np.unique(hashed(words, known))
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
-    """The signed key of every band; none for a text without words."""
+    """The signed key of every band; none for a text without words. Minima are of the hashes' upper halves."""
     if not len(hashes):
         return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), _BLOCK):
-        least = np.minimum(least, (hashes[at : at + _BLOCK, None] * _FACTOR + _PLUS).min(axis=0))
+    upper, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(upper), _BLOCK):
+        drawn = _FACTOR * upper[at : at + _BLOCK]
+        drawn += _PLUS
+        np.minimum(least, drawn.min(axis=1), out=least)
     raw = b"".join([xxhash.xxh64_digest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)])
     return np.frombuffer(raw, ">i8").tolist()
 
@@ -77,10 +98,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _sketches(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            keys, bands, prints = [], [], []
+            keys, bands, prints, known = [], [], [], WordHashes()
             for text in part.text:
                 words = _words(text)
-                each = hashed(words)
+                each = hashed(words, known)
                 keys.append(np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), ">i8"))
                 bands.append(band_keys(np.unique(each)))
                 prints.append(majority(each))
@@ -96,11 +117,11 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, np.zeros(0, np.uint64)
         for part in batches:
-            keep = np.zeros(len(part), bool)
+            keep, known = np.zeros(len(part), bool), WordHashes()
             for k, (u, a, b) in enumerate(zip(part.u.tolist(), part.a, part.b, strict=True)):
                 if u != last:
-                    last, held = u, shingles(_words(a))
-                keep[k] = similarity(held, shingles(_words(b))) >= SIMILARITY
+                    last, held = u, shingles(_words(a), known)
+                keep[k] = similarity(held, shingles(_words(b), known)) >= SIMILARITY
             yield part.loc[keep, ["u", "v"]]
 
     text = lambda node, name: rows.select(F.col("row").alias(node), F.col("text").cast("binary").alias(name))
@@ -135,7 +156,8 @@ def _among_blocks(told: DataFrame, rows: DataFrame) -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         first, second = part[part.own == part.i.iloc[0]], part[part.own == part.j.iloc[0]]
-        sets = {n: shingles(_words(t)) for n, t in zip(part.node, part.text, strict=True)}
+        known = WordHashes()
+        sets = {n: shingles(_words(t), known) for n, t in zip(part.node, part.text, strict=True)}
         found = similar_pairs([sets[n] for n in first.node], [sets[n] for n in second.node]) if len(first) and len(second) else np.zeros((0, 0), bool)
         a, b = np.nonzero(found)
         u, v = first.node.to_numpy()[a], second.node.to_numpy()[b]
