@@ -204,7 +204,8 @@ def groups(rows: DataFrame) -> DataFrame:
     more = _confirmed(materialize(apart.join(stars, ["u", "v"], "left_anti"), "apart"), rows)
     more = materialize(more.unionByName(_among_blocks(told.where(F.col("n") > PAIR_LIMIT), rows)).distinct(), "confirmed")
     if more.limit(1).count():
-        roots = connected_components(found.unionByName(more))
+        hung = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = connected_components(hung.unionByName(more))
     placed = materialize(contents.join(roots, "node", "left").select("k1", "k2", "least", F.coalesce("root", "node").alias("root")), "placed")
     firsts = placed.groupBy("root").agg(F.min("least").getField("row").alias("first"))
     return marked.select("row", "k1", "k2").join(placed.join(firsts, "root").select("k1", "k2", "first"), ["k1", "k2"]).select("row", "first")
