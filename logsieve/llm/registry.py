@@ -8,11 +8,13 @@ from logsieve.llm.kneser_ney import op10_quality_lm
 from logsieve.llm.nearest import op3_nearest
 from logsieve.llm.oracles import ORACLES
 from logsieve.llm.packing import op5_packing
+from logsieve.llm.prefix_trie import op12_prefix_trie
 from logsieve.llm.repetition import op7_quality_rules
 from logsieve.llm.secrets_scan import op8_secret_scan
 from logsieve.llm.simhash import op1_simhash
 from logsieve.llm.suffix_dedup import op9_suffix_dedup
 from logsieve.llm.toxicity import op6_toxicity
+from logsieve.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_lm": op10_quality_lm,
+    "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

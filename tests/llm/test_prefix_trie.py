@@ -1,0 +1,113 @@
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from logsieve.llm import prefix_trie as P
+
+KIND = "conv_id long, turn long, role string, text string"
+COLUMNS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def plain_trie(rebuilt):
+    """The nodes of {conv_id: ((role, text), ...)}, by the definition."""
+    members = defaultdict(list)
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for node, of in members.items():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        for d in range(len(node) + 1):
+            saved[node[:d]] += (len(of) - 1) * words
+            leaves[node[:d]] += not children[node]
+    out = []
+    for node, of in members.items():
+        ends = sorted(c for c in of if len(rebuilt[c]) == len(node))
+        digest = hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()
+        out.append((min(of), len(node), min(members[node[:-1]]) if node else None, len(of), len(children[node]), leaves[node], saved[node], digest))
+    return sorted(out, key=str)
+
+
+def plain_rebuilt(rows):
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(r, t) for *_, r, t in sorted(v)] for c, v in own.items()}
+    head = lambda c: zlib.crc32(str(c).encode()) % 4
+    base = lambda c: c - (abs(c) % 20) * (1 if c >= 0 else -1)
+    return {c: tuple(own.get(base(c), [])[: head(c)] + turns[head(c) :]) for c, turns in own.items()}
+
+
+def told(rows):
+    return sorted((tuple(r[c] for c in COLUMNS) for r in rows), key=str)
+
+
+@pytest.fixture
+def run(spark, tmp_path):
+    def go(rows, kind=KIND):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/conversations.parquet")
+        return P.op12_prefix_trie(spark, str(tmp_path)).collect()
+
+    return go
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_query_equals_the_definition_on_the_table(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/sf{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert told(P.op12_prefix_trie(spark, f"/root/testdata/sf{sf}").collect()) == plain_trie(plain_rebuilt(rows))
+
+
+def test_copies_nulls_ties_and_lengths_around_the_block(run):
+    rows = []
+    for c in [*range(-45, 60), 1000, 1003]:
+        for i in range(abs(c) % 19):
+            rows.append((c, i, ["user", "assistant"][i % 2], "a b" if i < 9 else f"deep {i} {c % 3}"))
+    rows += [(500 + c, i, "user", "same \t words  here") for c in range(50) for i in range(3)]  # a conversation that many rows are of
+    rows += [(None, 0, "user", "x"), (7, None, None, None), (7, None, "user", "null turn"), (8, 1, "b", "t"), (8, 1, "a", "t"), (8, 1, "a", "s"), (8, 1, "a", "s"), (3, 2, "", ""), (9, -5, "user", "\n")]
+    assert told(run([(*r, 1, "x") for r in rows], KIND + ", depth int, key string")) == plain_trie(plain_rebuilt(rows))
+
+
+@pytest.mark.parametrize("rows", [[], [(None, 1, "user", "x")], [(4, 0, "user", "x")], [(1, 0, None, None)], [(1, 0, "user", "a"), (21, 0, "user", "a"), (20, 0, "user", "b")]])
+def test_few_rows(run, rows):
+    assert told(run(rows)) == plain_trie(plain_rebuilt(rows))
+
+
+def test_long_conversations_go_through_many_blocks_and_stretches(spark):
+    """Blocks of 3 turns, sums over stretches of 4 blocks; ids joined in pieces of 5."""
+    conversations = {1: 100, 2: 100, 3: 61, 4: 12, 5: 3, 6: 0, **{50 + i: 40 for i in range(23)}}
+    text = lambda c, i: f"w{i} " * (i % 3) + ("" if c < 3 or i < 7 * c else f"own{c}" if c < 50 else "many")
+    turns = {c: tuple(("user", text(c, i)) for i in range(n)) for c, n in conversations.items()}
+    rows = [(c, i, r, t) for c, ts in turns.items() for i, (r, t) in enumerate(ts)]
+    numbered = P.numbered(spark.createDataFrame(rows, KIND))
+    given = numbered.unionByName(spark.sql("select 6L as conv_id, cast(null as bigint) pos, cast(null as bigint) h, cast(null as bigint) g, cast(null as bigint) words"))
+    assert told(P.trie(given, width=3, stretch=4).collect()) == plain_trie(turns)
+
+
+def test_one_conversation_over_many_partitions_is_numbered_through(spark):
+    rows = [(1, 3, "user", "same")] * 300 + [(1, 2, "user", f"x{i:03d}") for i in range(300)] + [(2, 0, "a", "b")]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = P.numbered(spark.createDataFrame(rows, KIND)).orderBy("conv_id", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r.pos for r in got] == [*range(1, 601), 1] and len({r.h for r in got[:300]}) == 300 and len({r.h for r in got[300:600]}) == 1
+
+
+def test_pieces_join_to_the_whole_list():
+    import pyarrow as pa
+    from decimal import Decimal
+
+    n = 2 * P.PIECE + 3
+    batch = lambda ids: pa.RecordBatch.from_arrays([pa.array([1] * len(ids)), pa.array([Decimal(2)] * len(ids), pa.decimal128(38, 0)), pa.array([Decimal(3)] * len(ids), pa.decimal128(38, 0)), pa.array(ids)], names=["depth", "a", "b", "c"])
+    pieces = list(P._pieces(iter([batch(list(range(-5, 1000))), batch(list(range(1000, n)))])))
+    assert sum(p.num_rows for p in pieces) == 3
+    (digest,) = [r for b in P._digests(iter(pieces)) for r in b.to_pylist()]
+    assert digest["ends_sha256"] == hashlib.sha256(",".join(map(str, range(-5, n))).encode()).hexdigest()
