@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logsieve.llm.bpe import op4_bpe
+from logsieve.llm.chat_format import op13_chat_format
 from logsieve.llm.html_extract import op2_html_extract
 from logsieve.llm.kneser_ney import op10_quality_lm
 from logsieve.llm.nearest import op3_nearest
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_quality_lm": op10_quality_lm,
     "op11_whitening": op11_whitening,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_chat_format": op13_chat_format,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
