@@ -19,14 +19,11 @@ from logsieve.operators.window import Cursor, Window
 from logsieve.plans.explain import explain
 from logsieve.plans.model import Rule
 from logsieve.plans.parser import parse_condition, parse_rules
-from logsieve.sources.detect import detect_all, opened
+from logsieve.sources.detect import detect_all
 from logsieve.sources.discovery import Scan, scan
 from logsieve.sources.mapping import AUDIT_MAPPING, FieldMap
 from logsieve.sources.preview import Preview, preview
-
-#: Of a file elsewhere this much is read for a preview.
-HEAD_FILE_BYTES = 1 << 20
-
+from logsieve.sources.storage import Storage
 
 @dataclass
 class Page:
@@ -66,12 +63,8 @@ class Engine:
         return dict(AUDIT_MAPPING)
 
     def preview_head(self, path: str, overrides: dict[str, list[str]] | None = None) -> Preview:
-        """The first records of a file in any file system that Spark reads."""
-        head = None
-        if "://" in path:
-            part = self.spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD_FILE_BYTES).alias("head")).first()
-            head = bytes(part.head) if part else b""
-        with opened(path, head) as file:
+        """The first records of a file in any file system that Spark reads; its head is fetched, whatever its size."""
+        with Storage(self.spark).open(path) if "://" in path else open(path, "rb") as file:
             return preview(path, file, overrides)
 
     def preview_mapping(self, record: dict, overrides: dict[str, list[str]] | None = None) -> dict[str, object]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from logsieve.sources.json_stream import documents
 from logsieve.sources.mapping import rfc3339
 from logsieve.sources.normalize import PROTOCOLS, endpoint_host, json_producer
+from logsieve.sources.remote import in_tasks, open_ranged
 
 HEAD_BYTES = 256 << 10
 MEMBER_SCAN_BYTES = 1 << 20
@@ -119,18 +120,20 @@ def classify(path: str, head: bytes, cut: bool) -> Detection:
         return Detection(path, "alb_access", "high", len(balancer), cut, sample_time=balancer[0][0], sample_source="elasticloadbalancing.amazonaws.com", sample_ip=balancer[0][1])
     try:
         producer = json_producer(json.loads(lines[0])) if lines else None
-    except ValueError:
+    except (ValueError, RecursionError):
         producer = None
     if producer:
         return Detection(path, producer, "high", sum(line.startswith("{") for line in lines), cut)
     decoder = json.JSONDecoder()
     try:
         return _document(path, decoder.raw_decode(text.lstrip())[0])
+    except RecursionError:
+        return Detection(path, note="nested too deeply")
     except ValueError:
         pass
     try:  # the document is cut: its first record may still be whole
         record = next(documents(iter([text])), None)
-    except ValueError:
+    except (ValueError, RecursionError):
         record = None
     if isinstance(record, dict) and "eventVersion" in record:
         return _sample(Detection(path, "cloudtrail", "high", text.count('"eventVersion"'), cut), record)
@@ -142,7 +145,7 @@ def detect_parquet(path: str, file: BinaryIO) -> Detection:
     import pyarrow.parquet as pq
 
     try:
-        table = pq.ParquetFile(file)
+        table = pq.ParquetFile(file, buffer_size=64 << 10)  # pages are fetched as they are needed, not whole row groups
         first = next(table.iter_batches(1)).to_pylist() if table.metadata.num_rows else []
     except Exception as error:  # a damaged file is a finding, not a failure
         return Detection(path, note=f"unreadable Parquet: {type(error).__name__}")
@@ -179,40 +182,49 @@ def detect(path: str, file: BinaryIO) -> Detection:
 MOST_TASKS = 10_000
 
 
-def detect_contents(files: DataFrame) -> DataFrame:
+def detected(path: str, content: bytes | None, opener: str | None = None) -> Detection:
+    """A detection for any file, whatever is wrong with it: one that can't be opened or read is unknown with a note."""
+    try:
+        with opened(path, content, opener) as file:
+            return detect(path, file)
+    except Exception as error:  # one file's trouble is never the run's
+        return Detection(path, note=f"unreadable: {type(error).__name__}")
+
+
+def detect_contents(files: DataFrame, opener: str | None = None) -> DataFrame:
     """A detection for each row of (path, content): contents are opened in the tasks where they are null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            found = []
-            for path, content in zip(part.path, part.content, strict=True):
-                with opened(path, content) as file:
-                    found.append(asdict(detect(path, file)))
+            found = [asdict(detected(path, content, opener)) for path, content in zip(part.path, part.content, strict=True)]
             yield pd.DataFrame(found, columns=list(Detection.__dataclass_fields__)).astype({"records": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, DETECTION)
 
 
-def detect_all(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A detection for each path, judged on the executors; contents never reach the driver."""
-    return detect_contents(read_files(spark, list(enumerate(paths)))).orderBy("path")
+def detect_all(spark: SparkSession, paths: list[str], opener: str | None = None) -> DataFrame:
+    """A detection for each path, judged on the executors; contents never reach the driver.
+
+    Where tasks can open the files, a part of the head (and a Parquet file's footer) is all that is fetched.
+    """
+    return detect_contents(read_files(spark, list(enumerate(paths)), opener), opener).orderBy("path")
 
 
-def opened(path: str, content: bytes | None) -> BinaryIO:
-    return open(path, "rb") if content is None else io.BytesIO(content)
+def opened(path: str, content: bytes | None, opener: str | None = None) -> BinaryIO:
+    return open_ranged(path, opener) if content is None else io.BytesIO(content)
 
 
-def read_files(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
+def read_files(spark: SparkSession, files: list[tuple[int, str]], opener: str | None = None) -> DataFrame:
     """(file_id, path, content) of the (id, path) pairs.
 
-    Files under a plain path are opened by the task that reads them, piece by piece, so their content is
-    null here and they may have any size. Those of other file systems are read whole by Spark's reader
-    (2 GiB at most each); their names, which the driver lists anyway, are broadcast to number them.
+    Files that tasks can open (``remote.in_tasks``) are read there by ranges, so their content is null here
+    and they may have any size. Others are read whole by Spark's reader (2 GiB at most each); their names,
+    which the driver lists anyway, are joined to number them.
     """
-    names = spark.createDataFrame([(i, p) for i, p in files], "file_id long, path string")
-    remote = [p for _, p in files if "://" in p]
-    near = names.where(~F.col("path").contains("://")).repartition(max(1, min(MOST_TASKS, len(files) - len(remote)))).withColumn("content", F.lit(None).cast("binary"))
+    names = spark.createDataFrame([(i, p, not in_tasks(p, opener)) for i, p in files], "file_id long, path string, whole boolean")
+    remote = [p for _, p in files if not in_tasks(p, opener)]
+    near = names.where("not whole").drop("whole").repartition(max(1, min(MOST_TASKS, len(files) - len(remote)))).withColumn("content", F.lit(None).cast("binary"))
     if not remote:
         return near
-    far = spark.read.format("binaryFile").load(remote).select("path", "content").join(F.broadcast(names), "path").select("file_id", "path", "content")
+    far = spark.read.format("binaryFile").load(remote).select("path", "content").join(names, "path").select("file_id", "path", "content")
     return near.unionByName(far) if len(remote) < len(files) else far

@@ -1,13 +1,13 @@
 """From log files to canonical events.
 
-Each file is one task's work: a gzip stream is read and decompressed piece by piece, records are numbered in
-stream order, normalized, and given on in batches, so memory doesn't grow with the number of records.
-Damage ends a file, not the run: what was read before it stays, and the file's outcome says so.
+Small files are one task's work each; a large one is read in parts (``splits``), whose record numbers are put
+together from the counts of the parts before. A gzip stream is decompressed piece by piece, records are numbered
+in stream order, normalized, and given on in batches, so memory doesn't grow with the number of records. Damage
+ends a file, not the run: what was read before it stays, and the file's outcome says so, whatever went wrong.
 """
 
 from __future__ import annotations
 
-import codecs
 import json
 import zlib
 from collections.abc import Iterator
@@ -19,18 +19,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.functions.schema import EVENTS, JSON_COLUMNS, LINE_TYPES
-from logsieve.sources.detect import detect, gunzip, opened, pieces, read_files
+from logsieve.sources.detect import detected, opened, read_files
 from logsieve.sources.discovery import Candidate, scan_folder
 from logsieve.sources.json_stream import documents
 from logsieve.sources.mapping import FieldMap
 from logsieve.sources.normalize import alb_event, audit_event, json_event
+from logsieve.sources.remote import in_tasks
+from logsieve.sources.splits import BATCH_ROWS, Part, line_blocks, parquet_blocks, text_pieces
 
-BATCH_ROWS = 2000
 COLUMNS = [f.split(" ")[0] for f in EVENTS.split(", ")]
 OUTCOME = "file_status string, file_note string, malformed long"
+#: Compressed bytes of a part of a large file.
+SPLIT_BYTES = 16 << 20
+#: Parts whose offsets are sent to every task; beyond that they are joined by a shuffle.
+BROADCAST_PARTS = 200_000
 
-_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
-_SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split(" ") for f in f"{EVENTS}, {OUTCOME}".split(", "))])
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us"), "array<string>": pa.list_(pa.string())}
+
+
+def arrow_schema(columns: str) -> pa.Schema:
+    """Of a DDL string of the kinds that are used here."""
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (f.split(" ") for f in columns.split(", "))])
+
+
+_SCHEMA = arrow_schema(f"{EVENTS}, {OUTCOME}")
 
 
 def columns_of(rows: list[dict[str, Any]], schema: pa.Schema = _SCHEMA) -> pa.RecordBatch:
@@ -46,56 +58,53 @@ class Outcome:
     records: int = 0
     malformed: int = 0
 
+    def row(self, file_id: int, log_type: str) -> dict[str, Any]:
+        return {"file_id": file_id, "record_index": self.records, "log_type": log_type, "file_status": self.status, "file_note": self.note, "malformed": self.malformed}
+
 
-def text_of(file: BinaryIO) -> Iterator[str]:
-    decoder = codecs.getincrementaldecoder("utf-8")("replace")
-    for data in gunzip(pieces(file)):
-        if text := decoder.decode(data):
-            yield text
+def is_parquet(path: str) -> bool:
+    return path.lower().endswith(".parquet")
 
 
-def lines_of(text: Iterator[str]) -> Iterator[str]:
-    """Non-empty lines without their ends; what was read before damage comes out before the error."""
-    held = ""
-    for piece in text:
-        *whole, held = (held + piece).split("\n")
-        yield from (x.rstrip("\r") for x in whole if x.rstrip("\r"))
-    if held.rstrip("\r"):
-        yield held.rstrip("\r")
+def by_line(log_type: str) -> bool:
+    return log_type == "alb_access" or log_type in LINE_TYPES
 
 
-def parquet_lines(file: BinaryIO) -> Iterator[str]:
-    import pyarrow.parquet as pq
+def line_event(line: str, log_type: str, wanted: frozenset[str] | None = None) -> dict[str, Any] | None:
+    """The event of a line, or None if it is malformed."""
+    return alb_event(line, wanted) if log_type == "alb_access" else json_event(line, log_type, wanted)
 
-    for batch in pq.ParquetFile(file).iter_batches(BATCH_ROWS):
-        for row in batch.to_pylist():
-            yield json.dumps(row, default=str, separators=(",", ":"), ensure_ascii=False)
 
+def read_events(path: str, log_type: str, file: BinaryIO, mapping: FieldMap, outcome: Outcome, part: Part | None = None, wanted: frozenset[str] | None = None) -> Iterator[dict[str, Any]]:
+    """Events of a file, or of one part of it, in stream order; ``outcome`` is filled in as it goes.
 
-def read_events(path: str, log_type: str, file: BinaryIO, mapping: FieldMap, outcome: Outcome) -> Iterator[dict[str, Any]]:
-    """Events of one file in stream order; ``outcome`` is filled in as it goes."""
-    parquet = path.lower().endswith(".parquet")
+    Only ``wanted`` columns are built. Files that aren't read by line have their first part only.
+    """
+    part, parquet, lines = part or Part(0, path, 0), is_parquet(path), by_line(log_type)
     if log_type in ("cloudtrail_digest", "config_snapshot") or (parquet and log_type not in LINE_TYPES):
         outcome.status, outcome.note = "skipped", "no supported log records"
         return
-    by_line = log_type == "alb_access" or log_type in LINE_TYPES
     try:
-        if by_line:
+        if lines:
             # Every non-empty line takes a number, malformed ones too.
-            for i, line in enumerate(parquet_lines(file) if parquet else lines_of(text_of(file))):
-                event = alb_event(line) if log_type == "alb_access" else json_event(line, log_type)
-                if event is None:
-                    outcome.malformed += 1
-                else:
-                    outcome.records += 1
-                    yield event | {"record_index": i}
-        else:
-            for i, record in enumerate(documents(text_of(file))):
+            i = 0
+            for block in parquet_blocks(file, part) if parquet else line_blocks(file, part):
+                for line in block:
+                    event = line_event(line, log_type, wanted)
+                    if event is None:
+                        outcome.malformed += 1
+                    else:
+                        outcome.records += 1
+                        event["record_index"] = i
+                        yield event
+                    i += 1
+        elif not part.start:
+            for i, record in enumerate(documents(text_pieces(file))):
                 outcome.records += 1
-                yield audit_event(record, mapping) | {"record_index": i}
-    except (zlib.error, EOFError, ValueError, OSError) as error:
-        outcome.note = f"damaged: {error}"
-        outcome.status = "failed" if by_line or not outcome.records else "parsed"
+                yield audit_event(record, mapping, wanted) | {"record_index": i}
+    except (zlib.error, EOFError, ValueError, OSError, RecursionError, pa.ArrowException) as error:
+        outcome.note = "damaged: nested too deeply" if isinstance(error, RecursionError) else f"damaged: {error}"
+        outcome.status = "failed" if lines or not outcome.records else "parsed"
         return
     if not outcome.records:
         outcome.status, outcome.note = "skipped", "no supported log records"
@@ -103,6 +112,32 @@ def read_events(path: str, log_type: str, file: BinaryIO, mapping: FieldMap, out
         outcome.note = f"{outcome.malformed} malformed records"
 
 
+def file_rows(part: Part, content: bytes | None, mapping: FieldMap, opener: str | None = None, wanted: frozenset[str] | None = None, log_type: str | None = None) -> Iterator[dict[str, Any]]:
+    """Events of a part, then a row with its outcome. Never fails: a file that can't be opened has an outcome that says so."""
+    outcome, file_id = Outcome(), part.file_id
+    log_type = log_type or detected(part.path, content, opener).log_type
+    shown = "cloudtrail" if log_type == "unknown" else log_type
+    try:
+        with opened(part.path, content, opener) as file:
+            for event in read_events(part.path, log_type, file, mapping, outcome, part, wanted):
+                event["event_id"], event["file_id"], event["log_type"] = file_id << 32 | event["record_index"], file_id, shown
+                yield event
+    except Exception as error:  # such as a file that is gone
+        outcome.status, outcome.note = "failed", f"unreadable: {type(error).__name__}"
+    yield outcome.row(file_id, log_type)
+
+
+def batches_of(rows: Iterator[dict[str, Any]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[dict[str, Any]] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == BATCH_ROWS:
+            yield columns_of(held, schema)
+            held = []
+    if held:
+        yield columns_of(held, schema)
+
+
 def read_contents(files: DataFrame, overrides: dict[str, list[str]] | None = None) -> DataFrame:
     """Events of (file_id, path, content) rows, and a row with ``file_status`` for each file.
 
@@ -112,26 +147,110 @@ def read_contents(files: DataFrame, overrides: dict[str, list[str]] | None = Non
     mapping = FieldMap(overrides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame = columns_of
         for batch in batches:
             for file_id, path, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "path", "content")), strict=True):
-                outcome, rows = Outcome(), []
-                with opened(path, content) as file:
-                    log_type = detect(path, file).log_type
-                    for event in read_events(path, log_type, file, mapping, outcome):
-                        key = {"event_id": file_id << 32 | event["record_index"], "file_id": file_id, "log_type": "cloudtrail" if log_type == "unknown" else log_type}
-                        rows.append(event | key)
-                        if len(rows) == BATCH_ROWS:
-                            yield frame(rows)
-                            rows = []
-                rows.append({"file_id": file_id, "record_index": outcome.records, "log_type": log_type, "file_status": outcome.status, "file_note": outcome.note, "malformed": outcome.malformed})
-                yield frame(rows)
+                yield from batches_of(file_rows(Part(file_id, path, 0), content, mapping), _SCHEMA)
 
     return files.select("file_id", "path", "content").mapInArrow(run, f"{EVENTS}, {OUTCOME}")
 
 
-def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str, list[str]] | None = None) -> DataFrame:
-    return read_contents(read_files(spark, [(c.file_id, c.path) for c in candidates]), overrides)
+def _source(spark: SparkSession, what: str, files: list[tuple[int, str, int]], split_bytes: int, overrides: dict[str, list[str]] | None, opener: str | None):
+    from logsieve.sources.source import reader
+
+    return reader(spark, opener=opener, overrides=json.dumps(overrides or {}), what=what, outcomes="true", splitBytes=str(split_bytes), files=json.dumps(files)).load()
+
+
+def _in_parts(spark: SparkSession, files: list[tuple[int, str, int]], split_bytes: int, overrides: dict[str, list[str]] | None, opener: str | None) -> DataFrame:
+    """Events and outcomes of large files: their parts are counted first, which costs a decompression.
+
+    Counts give each part its first record number. A file whose parts don't fit together (it is damaged, has one
+    member only, or isn't read by line) stays in one piece, but its lines are parsed by all cores: one task reads
+    it and hands on blocks of lines.
+    """
+    from logsieve.sources.source import offsets
+
+    told = _source(spark, "extents", files, split_bytes, None, opener).toArrow().to_pylist()  # a row a part, as many as the planner holds
+    starts, whole = offsets(files, told, split_bytes)
+    out: list[DataFrame] = []
+    if starts:
+        numbers = spark.createDataFrame(starts, "file_id long, part int, first long")
+        numbers = F.broadcast(numbers) if len(starts) <= BROADCAST_PARTS else numbers
+        split = [f for f in files if f[0] not in whole]
+        rows = _source(spark, "events", split, split_bytes, overrides, opener).join(numbers, ["file_id", "part"])
+        event = F.col("file_status").isNull()
+        moved = {c: F.when(event, F.col(c) + F.col("first")).otherwise(F.col(c)) for c in ("record_index", "event_id")}
+        rows = rows.withColumns(moved).select(*COLUMNS, "file_status", "file_note", "malformed")
+        out += [rows.where("file_status is null"), _one_outcome(rows.where("file_status is not null"))]
+    if whole:
+        out += _by_blocks(spark, [f for f in files if f[0] in whole], overrides, opener)
+    first, *rest = out
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
+def _one_outcome(parts: DataFrame) -> DataFrame:
+    """The outcome of each file from those of its parts."""
+    found = parts.groupBy("file_id").agg(
+        F.sum("record_index").alias("record_index"), F.min("log_type").alias("log_type"), F.sum("malformed").alias("malformed"),
+        F.max(F.col("file_status") == "failed").alias("failed"), F.min(F.when(F.col("file_status") == "failed", F.col("file_note"))).alias("failure"),
+    )
+    status = F.when(F.col("failed"), "failed").when(F.col("record_index") == 0, "skipped").otherwise("parsed")
+    note = F.when(F.col("failed"), F.col("failure")).when(F.col("record_index") == 0, "no supported log records").when(F.col("malformed") > 0, F.concat(F.col("malformed"), F.lit(" malformed records")))
+    known = found.select("file_id", "record_index", "log_type", status.alias("file_status"), note.alias("file_note"), "malformed")
+    kinds = dict(f.split(" ") for f in EVENTS.split(", "))
+    return known.withColumns({c: F.lit(None).cast(kinds[c]) for c in COLUMNS if c not in known.columns}).select(*COLUMNS, "file_status", "file_note", "malformed")
+
+
+def _by_blocks(spark: SparkSession, files: list[tuple[int, str, int]], overrides: dict[str, list[str]] | None, opener: str | None) -> list[DataFrame]:
+    """Events and outcomes of files that one task each has to read: lines go to all cores in blocks."""
+    kinds = f"{EVENTS}, file_status string, file_note string, malformed long"
+    blocks = _source(spark, "blocks", files, 0, None, opener)
+    cores = spark.sparkContext.defaultParallelism
+    mapping = FieldMap(overrides)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["file_status"] is not None:  # how the reading ended; the block tells of its lines itself
+                    yield columns_of([Outcome(row["file_status"], row["file_note"]).row(row["file_id"], row["log_type"])], _SCHEMA)
+                    continue
+                found, bad = [], 0
+                for i, line in enumerate(row["lines"]):
+                    event = line_event(line, row["log_type"]) if by_line(row["log_type"]) else audit_event(json.loads(line), mapping)
+                    if event is None:
+                        bad += 1
+                        continue
+                    index = row["first"] + i
+                    found.append(event | {"record_index": index, "event_id": row["file_id"] << 32 | index, "file_id": row["file_id"], "log_type": "cloudtrail" if row["log_type"] == "unknown" else row["log_type"]})
+                if found:
+                    yield columns_of(found, _SCHEMA)
+                yield columns_of([Outcome("read", None, len(found), bad).row(row["file_id"], row["log_type"])], _SCHEMA)
+
+    rows = blocks.repartition(4 * cores).mapInArrow(parse, kinds)
+    ends = rows.where("file_status is not null")
+    # A file that has ended in "read" alone had no word of its own; "failed" with records of an audit trail is told as parsed.
+    counted = _one_outcome(ends)
+    trail = (F.col("file_status") == "failed") & (F.col("record_index") > 0) & F.col("log_type").isin("cloudtrail", "unknown")
+    return [rows.where("file_status is null"), counted.withColumn("file_status", F.when(trail, "parsed").otherwise(F.col("file_status")))]
+
+
+def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str, list[str]] | None = None, split_bytes: int = SPLIT_BYTES, opener: str | None = None) -> DataFrame:
+    """Events of the candidates, and a row with ``file_status`` for each, as :func:`read_contents` gives them."""
+    near = [(c.file_id, c.path, c.size) for c in candidates if in_tasks(c.path, opener)]
+    far = [(c.file_id, c.path) for c in candidates if not in_tasks(c.path, opener)]
+    small, large = [f for f in near if f[2] <= split_bytes], [f for f in near if f[2] > split_bytes]
+    out = []
+    if small or not (large or far):
+        out.append(_source(spark, "events", small, 0, overrides, opener).drop("part"))
+    if large:
+        out.append(_in_parts(spark, large, split_bytes, overrides, opener))
+    if far:
+        out.append(read_contents(read_files(spark, far), overrides))
+    first, *rest = out
+    for df in rest:
+        first = first.unionByName(df)
+    return first
 
 
 def with_companions(events: DataFrame) -> DataFrame:

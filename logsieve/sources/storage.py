@@ -2,11 +2,68 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, or a new one of a local session that sets none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="logsieve-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+class RangedFile(io.RawIOBase):
+    """A file of any file system that Spark's JVM reaches, on the driver; ``fetched`` counts the bytes that came."""
+
+    def __init__(self, storage: Storage, path: str):
+        super().__init__()
+        fs, p = storage._at(path)
+        self.size, self.stream, self.at, self.fetched = fs.getFileStatus(p).getLen(), fs.open(p), 0, 0
+        self.utils = storage.jvm.org.apache.commons.io.IOUtils
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = max(0, offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.size}[whence])
+        return self.at
+
+    def read(self, size: int | None = -1) -> bytes:
+        left = max(0, self.size - self.at)
+        n = left if size is None or size < 0 else min(size, left)
+        if not n:
+            return b""
+        self.stream.seek(self.at)
+        data = bytes(self.utils.toByteArray(self.stream, n))
+        self.at += len(data)
+        self.fetched += len(data)
+        return data
+
+    def readinto(self, buffer) -> int:
+        data = self.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
 class Storage:
     def __init__(self, spark: SparkSession):
         self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
@@ -40,6 +97,9 @@ class Storage:
         if not fs.rename(p, self._at(target)[1]):
             raise OSError(f"{source} can't be moved to {target}")
 
+    def open(self, path: str) -> RangedFile:
+        return RangedFile(self, path)
+
     def read(self, path: str) -> str:
         fs, p = self._at(path)
         if not fs.exists(p):
