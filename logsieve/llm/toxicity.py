@@ -12,6 +12,7 @@ document's score through a logistic model fitted on the same sample with the cla
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -332,16 +333,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Crf:
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     shares = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    texts: list[str] = []
-    marks: list[int] = []
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    samples = []
     for toxic in (0, 1):
         # Twice as many ids as texts: some documents are too long, and some labels have no document.
-        chosen = usable.where(F.col("toxic") == toxic).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
+        chosen = usable.where(F.col("toxic") == toxic).select("doc_id").distinct().orderBy(*order).limit(2 * per_class)
         met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.char_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
-        found = met.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("text").collect()
-        texts += [r.text for r in found]
-        marks += [toxic] * len(found)
-    return train(texts, marks, (shares.get(0, 0), shares.get(1, 0)))
+        samples.append(met.orderBy(*order).limit(per_class).select(F.lit(toxic).alias("toxic"), order[0].alias("hash"), "doc_id", "text"))
+    weights = (shares.get(0, 0), shares.get(1, 0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame({"toxic": [], "hash": [], "doc_id": [], "text": []})]).sort_values(["toxic", "hash", "doc_id", "text"], kind="stable")
+        model = train(rows.text.tolist(), [int(t) for t in rows.toxic], weights)
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # The sample has a bound, so one task can hold it; the driver holds the model only.
+    return pickle.loads(samples[0].unionByName(samples[1]).repartition(1).mapInPandas(run, "model binary").first().model)
 
 
 SCORES = "doc_id long, score double, predicted int, spans array<struct<start:int,stop:int>>"
