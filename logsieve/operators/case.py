@@ -31,7 +31,7 @@ from logsieve.operators.window import Window
 from logsieve.plans.model import Rule
 from logsieve.plans.parser import parse_condition
 from logsieve.sources.discovery import scan
-from logsieve.sources.ingest import COLUMNS, ingest, with_companions
+from logsieve.sources.ingest import COLUMNS, file_outcomes, ingest, with_companions
 from logsieve.sources.storage import Storage
 
 MATCHES = "event_id long, event_time timestamp_ntz, log_type string, " + ", ".join(f"{c} string" for c in SUMMARY) + ", matched_fields string, rule_id string"
@@ -114,7 +114,7 @@ class Case:
             if not any(x.startswith("log_type=") for x in case.disk.names(f"{case.path}/events")):
                 with_companions(parsed.limit(0).select(COLUMNS)).write.mode("overwrite").parquet(f"{case.path}/events")
             known = spark.createDataFrame([(c.file_id, c.path, c.size) for c in candidates], "file_id long, path string, size long")
-            outcome = parsed.where("file_status is not null").select("file_id", "log_type", F.col("file_status").alias("status"), F.col("record_index").alias("records"), "malformed", F.col("file_note").alias("note"))
+            outcome = file_outcomes(parsed)
             rows = known.join(outcome, "file_id", "left").withColumns({"status": F.coalesce("status", F.lit("skipped")), "note": F.when(F.col("status").isNull(), F.lit("not selected")).otherwise(F.col("note"))})
             rows.coalesce(1).write.parquet(f"{case.path}/files")
             results.payload_keys(case.events).write.parquet(f"{case.path}/payload_keys")

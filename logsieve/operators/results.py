@@ -14,9 +14,14 @@ from logsieve.functions.schema import FLAG_COLUMNS, JSON_COLUMNS, TEXT_COLUMNS
 from logsieve.operators.window import Window, order, page_rows, within
 from logsieve.plans.compile import prepare
 from logsieve.plans.model import And, Condition, Not, Or, Rule, Test, Variable
+from logsieve.plans.shared import evaluate_index
 
 SEARCH_RULE = "#search"
 TOP_VALUES = 200
+#: Rule sets up to this size are one expression a rule.
+COMPILED_RULES = 48
+#: Shares that the paths of one log type are ranked in.
+RANK_SHARES = 64
 
 
 def _micros(time: Column) -> Column:
@@ -40,7 +45,18 @@ def evaluate(events: DataFrame, rule: Rule) -> DataFrame:
 
 
 def evaluate_all(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(rule_id, event_id, event_time, log_type) of every match of every rule, in one scan."""
+    """(rule_id, event_id, event_time, log_type) of every match of every rule, in one scan.
+
+    More than ``COMPILED_RULES`` rules are evaluated as data, so that a row meets those only that may match it.
+    """
+    if len(rules) <= COMPILED_RULES:
+        return _evaluate_compiled(events, rules)
+    matches, left = evaluate_index(canonical(events), rules)
+    found = matches.select("rule_id", "event_id", "event_time", "log_type")
+    return found.unionByName(_evaluate_compiled(events, left)) if left else found
+
+
+def _evaluate_compiled(events: DataFrame, rules: list[Rule]) -> DataFrame:
     events, compiled = prepare(canonical(events), rules)
     if not compiled:
         return events.select(F.lit("").alias("rule_id"), "event_id", "event_time", "log_type").limit(0)
@@ -216,5 +232,15 @@ def payload_keys(events: DataFrame, deepest: int = 6, last_index: int = 4, most:
         rows = rows.select("log_type", F.when(F.col("inner"), step).otherwise(F.col("path")).alias("path"), F.when(F.col("inner"), F.col("value")).otherwise(F.col("v")).alias("v"))
     leaves = rows.where(~container(F.col("v")) & ~F.is_variant_null("v"))
     counts = leaves.groupBy("log_type", "path").agg(F.count("*").alias("events"))
-    rank = F.row_number().over(W.partitionBy("log_type").orderBy(F.desc("events"), "path"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank").orderBy("log_type", F.desc("events"), "path")
+    return commonest(counts, most).orderBy("log_type", F.desc("events"), "path")
+
+
+def commonest(counts: DataFrame, most: int, shares: int = RANK_SHARES) -> DataFrame:
+    """Of (log_type, path, events) the ``most`` rows of each type with the highest counts, ties by path.
+
+    Each type's paths are dealt into shares, ranked there, and only the best of each share are ranked together:
+    one type's paths are the work of many tasks, and the last one gets ``shares`` times ``most`` rows at most.
+    """
+    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("events"), "path"))).where(F.col("rank") <= most).drop("rank")
+    dealt = counts.withColumn("share", F.pmod(F.xxhash64("path"), F.lit(shares)))
+    return best(best(dealt, "log_type", "share").drop("share"), "log_type")

@@ -7,7 +7,9 @@ The rule language has linear-time expressions: no look-around and no back-refere
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+from logsieve.plans.ambiguity import safe
 from logsieve.plans.model import RuleError
 
 _FORBIDDEN = re.compile(r"\(\?(?:[=!>]|<[=!])")
@@ -15,7 +17,26 @@ _GROUP_FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]*))?([:)])")
 
 
 def to_java(pattern: str, line: int | None = None) -> str:
-    """An equivalent Java pattern for an unanchored search; raises RuleError for what isn't allowed."""
+    """An equivalent Java pattern for an unanchored search; raises RuleError for what isn't allowed.
+
+    A pattern that backtracking could try in exponentially many ways is rewritten, or refused.
+    """
+    out = _translated(pattern, line)
+    kept = _safe(pattern)
+    if kept is None:
+        raise RuleError("a loop of the regular expression can read the same text in several ways, which could take without end", line)
+    return out if kept == pattern else _translated(kept, line)
+
+
+@lru_cache(4096)
+def _safe(pattern: str) -> str | None:
+    try:
+        return safe(pattern)
+    except (IndexError, AttributeError, RecursionError):  # a form that the analysis doesn't know
+        return pattern
+
+
+def _translated(pattern: str, line: int | None) -> str:
     out, at, depth, many_lines = ["(?dU)"], 0, 0, False
     while at < len(pattern):
         c = pattern[at]

@@ -12,6 +12,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any, BinaryIO
 
 import pyarrow as pa
@@ -179,32 +180,30 @@ def _in_parts(spark: SparkSession, files: list[tuple[int, str, int]], split_byte
         rows = _source(spark, "events", split, split_bytes, overrides, opener).join(numbers, ["file_id", "part"])
         event = F.col("file_status").isNull()
         moved = {c: F.when(event, F.col(c) + F.col("first")).otherwise(F.col(c)) for c in ("record_index", "event_id")}
-        rows = rows.withColumns(moved).select(*COLUMNS, "file_status", "file_note", "malformed")
-        out += [rows.where("file_status is null"), _one_outcome(rows.where("file_status is not null"))]
+        out.append(rows.withColumns(moved).select(*COLUMNS, "file_status", "file_note", "malformed"))
     if whole:
-        out += _by_blocks(spark, [f for f in files if f[0] in whole], overrides, opener)
-    first, *rest = out
-    for df in rest:
-        first = first.unionByName(df)
-    return first
-
-
-def _one_outcome(parts: DataFrame) -> DataFrame:
-    """The outcome of each file from those of its parts."""
-    found = parts.groupBy("file_id").agg(
-        F.sum("record_index").alias("record_index"), F.min("log_type").alias("log_type"), F.sum("malformed").alias("malformed"),
-        F.max(F.col("file_status") == "failed").alias("failed"), F.min(F.when(F.col("file_status") == "failed", F.col("file_note"))).alias("failure"),
+        out.append(_by_blocks(spark, [f for f in files if f[0] in whole], overrides, opener))
+    return reduce(DataFrame.unionByName, out)
+
+
+def file_outcomes(rows: DataFrame) -> DataFrame:
+    """(file_id, log_type, status, records, malformed, note) of each file, from the outcomes of its parts among ``rows``.
+
+    A file that is damaged has failed, but for an audit trail with records before the damage.
+    """
+    found = rows.where("file_status is not null").groupBy("file_id").agg(
+        F.min("log_type").alias("log_type"), F.sum("record_index").alias("records"), F.sum("malformed").alias("malformed"), F.count("*").alias("parts"),
+        F.max(F.col("file_status") == "failed").alias("failed"), F.min(F.when(F.col("file_status") == "failed", F.col("file_note"))).alias("failure"), F.min("file_note").alias("own"),
     )
-    status = F.when(F.col("failed"), "failed").when(F.col("record_index") == 0, "skipped").otherwise("parsed")
-    note = F.when(F.col("failed"), F.col("failure")).when(F.col("record_index") == 0, "no supported log records").when(F.col("malformed") > 0, F.concat(F.col("malformed"), F.lit(" malformed records")))
-    known = found.select("file_id", "record_index", "log_type", status.alias("file_status"), note.alias("file_note"), "malformed")
-    kinds = dict(f.split(" ") for f in EVENTS.split(", "))
-    return known.withColumns({c: F.lit(None).cast(kinds[c]) for c in COLUMNS if c not in known.columns}).select(*COLUMNS, "file_status", "file_note", "malformed")
+    kept = F.col("log_type").isin("cloudtrail", "unknown") & (F.col("records") > 0)
+    status = F.when(F.col("failed") & ~kept, "failed").when(F.col("records") == 0, "skipped").otherwise("parsed")
+    counted = F.when(F.col("records") == 0, "no supported log records").when(F.col("malformed") > 0, F.concat(F.col("malformed"), F.lit(" malformed records")))
+    note = F.when(F.col("failed"), F.col("failure")).when(F.col("parts") == 1, F.col("own")).otherwise(counted)
+    return found.select("file_id", "log_type", status.alias("status"), "records", "malformed", note.alias("note"))
 
 
-def _by_blocks(spark: SparkSession, files: list[tuple[int, str, int]], overrides: dict[str, list[str]] | None, opener: str | None) -> list[DataFrame]:
+def _by_blocks(spark: SparkSession, files: list[tuple[int, str, int]], overrides: dict[str, list[str]] | None, opener: str | None) -> DataFrame:
     """Events and outcomes of files that one task each has to read: lines go to all cores in blocks."""
-    kinds = f"{EVENTS}, file_status string, file_note string, malformed long"
     blocks = _source(spark, "blocks", files, 0, None, opener)
     cores = spark.sparkContext.defaultParallelism
     mapping = FieldMap(overrides)
@@ -227,16 +226,12 @@ def _by_blocks(spark: SparkSession, files: list[tuple[int, str, int]], overrides
                     yield columns_of(found, _SCHEMA)
                 yield columns_of([Outcome("read", None, len(found), bad).row(row["file_id"], row["log_type"])], _SCHEMA)
 
-    rows = blocks.repartition(4 * cores).mapInArrow(parse, kinds)
-    ends = rows.where("file_status is not null")
-    # A file that has ended in "read" alone had no word of its own; "failed" with records of an audit trail is told as parsed.
-    counted = _one_outcome(ends)
-    trail = (F.col("file_status") == "failed") & (F.col("record_index") > 0) & F.col("log_type").isin("cloudtrail", "unknown")
-    return [rows.where("file_status is null"), counted.withColumn("file_status", F.when(trail, "parsed").otherwise(F.col("file_status")))]
+    return blocks.repartition(4 * cores).mapInArrow(parse, f"{EVENTS}, {OUTCOME}")
 
 
 def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str, list[str]] | None = None, split_bytes: int = SPLIT_BYTES, opener: str | None = None) -> DataFrame:
-    """Events of the candidates, and a row with ``file_status`` for each, as :func:`read_contents` gives them."""
+    """Events of the candidates, and rows with ``file_status``: one a file as :func:`read_contents` gives it, of files
+    larger than ``split_bytes`` one a part. :func:`file_outcomes` puts them together."""
     near = [(c.file_id, c.path, c.size) for c in candidates if in_tasks(c.path, opener)]
     far = [(c.file_id, c.path) for c in candidates if not in_tasks(c.path, opener)]
     small, large = [f for f in near if f[2] <= split_bytes], [f for f in near if f[2] > split_bytes]
@@ -247,10 +242,7 @@ def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str
         out.append(_in_parts(spark, large, split_bytes, overrides, opener))
     if far:
         out.append(read_contents(read_files(spark, far), overrides))
-    first, *rest = out
-    for df in rest:
-        first = first.unionByName(df)
-    return first
+    return reduce(DataFrame.unionByName, out)
 
 
 def with_companions(events: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ class _Reading:
         ids = self.only.get("file_id")
         parts = [p for f in files if ids is None or f[0] in ids for p in splits.parts_of(*f, self.split_bytes)]
         most = min(TASK_BYTES, max(1 << 20, sum(min(p.stop, p.size) - p.start for p in parts) // max(1, 3 * (os.cpu_count() or 1))))
-        return [LogPartition(ps) for ps in splits.packed(parts, most, open_bytes=256 << 10)]
+        return [LogPartition(ps) for ps in splits.packed(parts, most, open_bytes=256 << 10)] or [LogPartition([])]
 
     def read(self, partition: LogPartition) -> Iterator[pa.RecordBatch]:
         run = {"events": self._events, "extents": self._extents, "blocks": self._blocks}[self.options.get("what", "events")]

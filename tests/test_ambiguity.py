@@ -1,0 +1,108 @@
+import itertools
+import re
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from logsieve.operators.rulesets import shipped
+from logsieve.plans.ambiguity import parse, safe
+from logsieve.plans.model import RuleError
+from logsieve.plans.parser import parse_rules
+from logsieve.plans.regex import to_java
+
+KEPT = [r"^(\d+\.)+\d+$", r"foo.*bar.*baz", r"(?i)curl|wget|nc\b", r"^([a-zA-Z0-9._-]+)@x$", r"(ab+)+", r"(?:%[0-9a-f]{2})+", r"(\.\./)+", r"[^/]+(/[^/]+)*/?$", r"(\d{1,3}\.){3}\d{1,3}", r"[]a]+x", r"\x{1f600}+\p{L}+", r"(?P<n>a)+b", r"x*?y", ""]
+REWRITTEN = {r"(a+)+$": "a+$", r"(a*)*b": "a*b", r"(\w+\s*)+$": r"\w[\w\s]*$", r"(\s*\w*)*$": r"[\s\w]*$", r"a{2,5}(b|c)*": "a{2,5}[bc]*", r"(é|😀|[x-z]|-|\])+x": r"[é😀x-z\-\]]+x", r"(.|\n)*x": r"(.|\n)*x", r"([a-z]+)+@([a-z]+\.)+com": r"[a-z]+@([a-z]+\.)+com", r"([[:alpha:]]+)*x": "[[:alpha:]]*x", r"((a+)*)+c": "a*c"}
+REFUSED = [r"(a|ab|b)*c", r"(.*,)*x", r"(x+x+)+y", r"((a{1,3})+)+z", r"(a|aa)+$", r"(?i)(a|A)*b" + "(xa|x[a-c])*y", r"(\d+|\w)+;(a|a?b)*(aa|a)*z"]
+
+
+@pytest.mark.parametrize("pattern", KEPT)
+def test_plain_patterns_stay(pattern):
+    assert safe(pattern) == pattern
+    assert parse(pattern).render()[3:-1] == pattern
+
+
+@pytest.mark.parametrize("pattern", REWRITTEN)
+def test_loops_in_loops_are_rewritten(pattern):
+    assert safe(pattern) == REWRITTEN[pattern]
+
+
+@pytest.mark.parametrize("pattern", REFUSED)
+def test_others_are_refused_with_their_line(pattern):
+    assert safe(pattern) is None
+    with pytest.raises(RuleError) as e:
+        parse_rules("rule a {\n\n condition: event_name matches /" + pattern + "/ }")
+    assert e.value.line == 3
+
+
+def test_java_ends_at_once(spark):
+    texts = spark.createDataFrame([("a" * 50 + "!",), ("a" * 5000 + "!",), ("ab " * 2000 + "!",)], "t string")
+    began = time.perf_counter()
+    for pattern in REWRITTEN.keys() - {r"(.|\n)*x"}:
+        texts.select(F.rlike("t", F.lit(to_java(pattern)))).collect()
+    assert time.perf_counter() - began < 30
+
+
+def test_shipped_rules_are_safe():
+    patterns = [t.value for r in shipped().rules for t in r.tests if t.operator == "matches"]
+    assert all(safe(p) == p for p in patterns)
+
+
+_ATOMS = st.sampled_from(["a", "b", "[ab]", "c", "."])
+_PATTERNS = st.recursive(
+    _ATOMS,
+    lambda inner: st.one_of(
+        st.tuples(inner, st.sampled_from(["+", "*", "?", "{1,2}"])).map(lambda x: f"(?:{x[0]}){x[1]}"),
+        st.lists(inner, min_size=2, max_size=3).map("".join),
+        st.lists(inner, min_size=2, max_size=3).map(lambda x: f"(?:{'|'.join(x)})"),
+    ),
+    max_leaves=6,
+)
+WORDS = ["".join(w) for n in range(6) for w in itertools.product("abc", repeat=n)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(_PATTERNS)
+def test_what_is_kept_finds_the_same(pattern):
+    kept = safe(pattern)
+    if kept is not None and kept != pattern:
+        old, new = re.compile(f"(?:{pattern})\\Z"), re.compile(f"(?:{kept})\\Z")
+        assert [bool(old.match(w)) for w in WORDS] == [bool(new.match(w)) for w in WORDS], kept
+
+
+def _steps(pattern, text):
+    """What a backtracking matcher tries, counted on the pattern's pieces."""
+    tried = 0
+
+    def run(piece, at, then):
+        nonlocal tried
+        tried += 1
+        if tried > 200_000:
+            raise OverflowError
+        if piece.kind == "char":
+            return at < len(text) and re.fullmatch(piece.text, text[at]) is not None and then(at + 1)
+        if piece.kind == "seq":
+            def rest(k, i):
+                return then(i) if k == len(piece.parts) else run(piece.parts[k], i, lambda j: rest(k + 1, j))
+            return rest(0, at)
+        if piece.kind == "alt":
+            return any(run(p, at, then) for p in piece.parts)
+
+        def loop(n, i):
+            more = n < piece.most and run(piece.parts[0], i, lambda j: j > i and loop(n + 1, j))
+            return more or (n >= piece.least and then(i))
+        return loop(0, at)
+
+    run(parse(pattern), 0, lambda at: False)
+    return tried
+
+
+@settings(max_examples=150, deadline=None)
+@given(_PATTERNS)
+def test_what_is_kept_takes_few_steps(pattern):
+    kept = safe(pattern)
+    if kept is not None:
+        for text in ("a" * 14, "ab" * 7, "abc" * 4, "aab" * 4):
+            assert _steps(kept, text) < 200_000

@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from logsieve.queries import ORACLES, QUERIES
+from logsieve import queries, source_queries
 
+QUERIES, ORACLES = queries.QUERIES | source_queries.QUERIES, queries.ORACLES | source_queries.ORACLES
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

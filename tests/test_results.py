@@ -3,6 +3,7 @@ import os
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from logsieve.functions.display import PROJECTIONS, family
 from logsieve.functions.redact import log_safe
@@ -205,3 +206,32 @@ def test_stream(spark, events, tmp_path):
 def test_page_plan_is_top_k(events):
     plan = page_rows(events, Window(limit=5))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_commonest_paths_are_ranked_in_shares(spark):
+    counts = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') as log_type", "concat('p', lpad(id, 5, '0')) as path", "id % 7 as events").unionByName(spark.sql("select cast(null as string) log_type, 'x' path, 1L events"))
+    plain = {}
+    for r in counts.collect():
+        plain.setdefault(r.log_type, []).append((-r.events, r.path))
+    want = {(t, p, -n) for t, rows in plain.items() for n, p in sorted(rows)[:100]}
+    got = results.commonest(counts, 100, shares=8)
+    assert {tuple(r) for r in got.select("log_type", "path", "events").collect()} == want
+    assert got._jdf.queryExecution().executedPlan().toString().count("Window ") >= 2
+
+
+def test_a_parallel_export_has_the_bytes_of_a_streamed_one(spark, tmp_path):
+    many = spark.range(3000).selectExpr("id as event_id", "'cloudtrail' as log_type", "timestamp_micros(cast(pmod(id * 7919, 977) as bigint) * 1000000) as t", "concat('n', id, if(id % 9 = 0, '\u00e9', '')) as event_name")
+    many = many.withColumn("event_time", F.when(F.col("event_id") % 11 != 0, F.col("t").cast("timestamp_ntz"))).drop("t").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for newest in (True, False):
+            told = []
+            assert export_file(many, Window(newest_first=newest), str(tmp_path / "a"), parallel=False) == 3000
+            assert export_file(many, Window(newest_first=newest), str(tmp_path / "b"), progress=lambda n: told.append(n) or True) == 3000
+            assert (tmp_path / "a").read_bytes() == (tmp_path / "b").read_bytes() and told[-1] == 3000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    with pytest.raises(InterruptedError):
+        export_file(many, Window(), str(tmp_path / "c"), progress=lambda n: False)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+    assert export_file(many.limit(0), Window(), str(tmp_path / "none")) == 0 and (tmp_path / "none").read_bytes() == b""

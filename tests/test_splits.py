@@ -13,7 +13,7 @@ import pytest
 from logsieve.sources import splits as S
 from logsieve.sources.detect import detect_all, detected
 from logsieve.sources.discovery import Candidate, scan_folder
-from logsieve.sources.ingest import ingest, ingest_folder, read_contents
+from logsieve.sources.ingest import file_outcomes, ingest, ingest_folder, read_contents
 from logsieve.sources.source import LogSource, offsets, reader
 from tests import fixtures as X
 
@@ -128,7 +128,7 @@ def folder(tmp_path_factory):
 
 
 def kept(df):
-    return sorted((tuple(r) for r in df.where("file_status is null").select(ROWS).collect()), key=str), sorted((tuple(r) for r in df.where("file_status is not null").select("file_id", "record_index", "log_type", "file_status", "file_note", "malformed").collect()), key=str)
+    return sorted((tuple(r) for r in df.where("file_status is null").select(ROWS).collect()), key=str), sorted((tuple(r) for r in file_outcomes(df).select("file_id", "records", "log_type", "status", "note", "malformed").collect()), key=str)
 
 
 def test_split_files_give_what_unsplit_ones_give(spark, folder):
