@@ -4,12 +4,12 @@
     case/files/               one row a candidate
     case/events/log_type=…/   canonical events, with VARIANT companions
     case/payload_keys/
-    case/rules.json           rules and whether they are evaluated
+    case/log/                 commits: rules, whether they are evaluated, and where their matches are
     case/rules/*.rules        snapshot of the rule texts
-    case/matches/rule_id=…/   matches with their summary
+    case/matches/…/           matches with their summary, a folder for each evaluation
 
-Matches of a rule are written beside the table and moved in when complete, so a failed or stopped
-evaluation leaves the rule pending and without matches.
+An evaluation writes into a folder of its own, which a commit names when it is complete: a failed or stopped one
+leaves the rule pending and without matches, and evaluations of several writers at a time don't touch each other.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.functions.display import SUMMARY
 from logsieve.operators import results
+from logsieve.operators.caselog import CaseLog, State
 from logsieve.operators.rulesets import RuleSet
 from logsieve.operators.window import Window
 from logsieve.plans.model import Rule
@@ -84,15 +85,11 @@ class Case:
 
     def matches(self, rule_id: str | None = None) -> DataFrame:
         """Matches of one rule, or of all; reading one rule's reads its folder alone."""
-        folder = f"{self.path}/matches"
-        if rule_id is not None:
-            own = self._folder(rule_id)
-            if not self.disk.exists(own):
-                return self.spark.createDataFrame([], MATCHES)
-            return self.spark.read.schema(MATCHES.rpartition(",")[0]).parquet(own).withColumn("rule_id", F.lit(rule_id))
-        if not self.disk.names(folder):
+        known = self.log.state()[1]["matches"]
+        folders = list(known.values()) if rule_id is None else [known[rule_id]] if rule_id in known else []
+        if not folders:
             return self.spark.createDataFrame([], MATCHES)
-        return self.spark.read.schema(MATCHES).parquet(folder)
+        return self.spark.read.schema(MATCHES).parquet(*[f"{self.path}/{f}" for f in folders])
 
     # Ingest --------------------------------------------------------------------------------------
 
@@ -127,13 +124,20 @@ class Case:
 
     # Rules ---------------------------------------------------------------------------------------
 
+    @property
+    def log(self) -> CaseLog:
+        return CaseLog(self.disk, f"{self.path}/log")
+
     @property
     def rules(self) -> dict[str, dict[str, object]]:
-        path = f"{self.path}/rules.json"
-        return json.loads(self.disk.read(path)) if self.disk.exists(path) else {}
+        return self.log.state()[1]["rules"]
 
-    def _keep(self, rules: dict[str, dict[str, object]]) -> None:
-        self.disk.write(f"{self.path}/rules.json", json.dumps(rules, indent=1))
+    def _commit(self, change: Callable[[State], None]) -> State:
+        """Commit a change; folders of matches that are no longer named go."""
+        before, after = self.log.commit(change)
+        for folder in set(before["matches"].values()) - set(after["matches"].values()):
+            self.disk.delete(f"{self.path}/{folder}")
+        return after
 
     def rules_table(self) -> DataFrame:
         rows = [(i, r["name"], r["severity"], r["description"], r["log_type"], r["evaluated"]) for i, r in self.rules.items()]
@@ -141,47 +145,51 @@ class Case:
 
     def register(self, rules: RuleSet) -> None:
         """Take the rules in as pending, and keep their texts; rules that are gone lose their matches."""
-        for gone in self.rules.keys() - {r.id for r in rules.rules}:
-            self._drop_matches(gone)
-        self._keep({r.id: {"name": r.name, "severity": r.severity, "description": r.description, "log_type": r.log_type, "evaluated": False} for r in rules.rules})
-        for rule in rules.rules:
-            self._drop_matches(rule.id)
+
+        def change(state: State) -> None:
+            state["rules"] = {r.id: {"name": r.name, "severity": r.severity, "description": r.description, "log_type": r.log_type, "evaluated": False} for r in rules.rules}
+            state["matches"] = {k: v for k, v in state["matches"].items() if k == results.SEARCH_RULE}
+
+        self._commit(change)
         self.disk.delete(f"{self.path}/rules")
         for name, text in rules.files():
             self.disk.write(f"{self.path}/rules/{name}", text)
 
-    def _folder(self, rule_id: str) -> str:
-        return f"{self.path}/matches/rule_id={quote(rule_id, safe='')}"
+    def _store(self, rule: Rule) -> None:
+        folder = f"matches/{uuid.uuid4().hex}"
+        try:
+            names = [f.split(" ")[0] for f in MATCHES.split(", ")]
+            results.evaluate(self.events, rule).select(*names).write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+
+            def change(state: State) -> None:
+                state["matches"][rule.id] = folder
+                if rule.id in state["rules"]:
+                    state["rules"][rule.id]["evaluated"] = True
 
-    def _drop_matches(self, rule_id: str) -> None:
-        self.disk.delete(self._folder(rule_id))
+            self._commit(change)
+        except BaseException:
+            self.disk.delete(f"{self.path}/{folder}")
+            raise
 
-    def _mark(self, rule_id: str, evaluated: bool) -> None:
-        rules = self.rules
-        if rule_id in rules:
-            rules[rule_id]["evaluated"] = evaluated
-            self._keep(rules)
+    def _forget(self, rule_id: str) -> None:
+        def change(state: State) -> None:
+            state["matches"].pop(rule_id, None)
+            if rule_id in state["rules"]:
+                state["rules"][rule_id]["evaluated"] = False
 
-    def _store(self, rule: Rule) -> None:
-        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
-        try:
-            results.evaluate(self.events, rule).drop("rule_id").write.option("compression", "zstd").parquet(staged)
-            self.disk.make(f"{self.path}/matches")
-            self._drop_matches(rule.id)
-            self.disk.move(staged, self._folder(rule.id))
-        finally:
-            self.disk.delete(staged)
+        self._commit(change)
 
     def evaluate(self, rule: Rule) -> None:
         """Pending until all matches are in place; on failure pending with none."""
-        self._mark(rule.id, False)
-        self._drop_matches(rule.id)
+        self._forget(rule.id)
         self._store(rule)
-        self._mark(rule.id, True)
 
     def remove(self, rule_id: str) -> None:
-        self._drop_matches(rule_id)
-        self._keep({k: v for k, v in self.rules.items() if k != rule_id})
+        def change(state: State) -> None:
+            state["matches"].pop(rule_id, None)
+            state["rules"].pop(rule_id, None)
+
+        self._commit(change)
 
     def search(self, text: str, within: Rule | None = None) -> str | None:
         """Run a typed condition as a rule and return its id, or None if the text is no condition.

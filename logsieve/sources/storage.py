@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -110,6 +112,32 @@ class Storage:
         finally:
             stream.close()
 
+    def create_once(self, path: str, text: str) -> bool:
+        """Create a whole file unless there is one of that name; False if there is. Of several writers one succeeds."""
+        fs, p = self._at(path)
+        fs.mkdirs(p.getParent())
+        if fs.getUri().getScheme() == "file":  # Hadoop looks and creates in two steps there; a link is made in one
+            target = p.toUri().getPath()
+            part = os.path.join(os.path.dirname(target), f".{uuid.uuid4().hex}")
+            with open(part, "w", encoding="utf-8") as out:
+                out.write(text)
+            try:
+                os.link(part, target)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(part)
+            return True
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
     def write(self, path: str, text: str) -> None:
         """Replace a file by one step, so a reader sees the old text or the new one."""
         part = f"{path}.{uuid.uuid4().hex}"
