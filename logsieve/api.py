@@ -152,8 +152,8 @@ class Engine:
         return Page(found, more, total() if window.after is None else None)
 
     def query_events(self, case_id: str, window: Window | None = None) -> Page:
-        window, events = window or Window(), self.case(case_id).events
-        return self._page(results.list_events(events, window), window, lambda: results.count_events(events, window).first().events)
+        window, case = window or Window(), self.case(case_id)
+        return self._page(case.list_events(window), window, lambda: results.count_events(case.events, window).first().events)
 
     def query_rule_matches(self, case_id: str, rule_id: str, window: Window | None = None) -> Page:
         window, matches = window or Window(), self.case(case_id).matches(rule_id)

@@ -4,6 +4,7 @@
     case/files/               one row a candidate
     case/events/log_type=…/   canonical events, with VARIANT companions
     case/payload_keys/
+    case/zones/               bounds of time and id of each file of events
     case/log/                 commits: rules, whether they are evaluated, and where their matches are
     case/rules/*.rules        snapshot of the rule texts
     case/matches/…/           matches with their summary, a folder for each evaluation
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.functions.display import SUMMARY
-from logsieve.operators import results
+from logsieve.operators import results, zones
 from logsieve.operators.caselog import CaseLog, State
 from logsieve.operators.rulesets import RuleSet
 from logsieve.operators.window import Window
@@ -79,6 +80,11 @@ class Case:
     def events(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/events")
 
+    def list_events(self, window: Window) -> DataFrame:
+        """One page of all events, from the files whose bounds come first."""
+        table = self.spark.read.schema(zones.ZONES).parquet(f"{self.path}/zones")
+        return zones.list_events(self.spark, f"{self.path}/events", table, self.events.schema, window)
+
     @property
     def payload_keys(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/payload_keys").orderBy("log_type", F.desc("events"), "path")
@@ -115,6 +121,7 @@ class Case:
             rows = known.join(outcome, "file_id", "left").withColumns({"status": F.coalesce("status", F.lit("skipped")), "note": F.when(F.col("status").isNull(), F.lit("not selected")).otherwise(F.col("note"))})
             rows.coalesce(1).write.parquet(f"{case.path}/files")
             results.payload_keys(case.events).write.parquet(f"{case.path}/payload_keys")
+            zones.zones(case.events).coalesce(1).write.parquet(f"{case.path}/zones")
             case.disk.delete(staged)
             case._set(status="done", finished_at=_now())
         except BaseException:
