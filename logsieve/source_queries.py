@@ -14,10 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.operators import results
+from logsieve.operators.case import Case
+from logsieve.operators.rulesets import RuleSet
+from logsieve.operators.window import Window
 from logsieve.plans.model import Rule
+from logsieve.plans.parser import parse_condition, parse_rules
 from logsieve.queries import ADAPTED, NAMED, Query, adapted
+from logsieve.queries import RULES as REPORT_RULES
+from logsieve.sources.detect import detect_all
 from logsieve.sources.discovery import scan
 from logsieve.sources.ingest import file_outcomes, ingest, read_contents
+from logsieve.sources.preview import preview
+from logsieve.sources.remote import open_ranged
 from logsieve.sources.source import LogSource
 from logsieve.sources.storage import shared_folder
 
@@ -60,7 +68,7 @@ def _rows_folder(spark: SparkSession, sf_dir: str) -> str:
 
 def _lines_folder(spark: SparkSession, sf_dir: str) -> str:
     """JSON lines of an API gateway, every third being broken, a gzip file of one member a bucket."""
-    line = "to_json(named_struct('request_id', concat('q', event_id), 'resource_path', '/v', 'http_method', event_type, 'status', cast(event_id % 600 as string), 'ip', concat('10.0.0.', user_id)))"
+    line = "to_json(named_struct('request_id', concat('q', event_id), 'resource_path', '/v', 'http_method', event_type, 'status', cast(event_id % 600 as string), 'ip', concat('10.0.0.', user_id), 'request_time', concat(date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000')))"
     first = F.col("event_id") == F.min("event_id").over(results.W.partitionBy("bucket"))
     rows = _bucketed(spark, sf_dir).withColumn("first", first).sortWithinPartitions("bucket", "event_id")
     rows.select("bucket", F.expr(f"if(event_id % 3 = 0 and not first, concat('broken ', event_id), {line})").alias("value")).write.partitionBy("bucket").option("compression", "gzip").text(folder := _folder(spark))
@@ -167,8 +175,6 @@ _TYPES = ["click", "error", "purchase", "signup", "view"]
 
 def many_rules(n: int = RULES) -> list[Rule]:
     """Rules of four forms, by number: values, ends of texts, lists, and one of many conditions."""
-    from logsieve.plans.parser import parse_condition
-
     out = []
     for i in range(n):
         text = [
@@ -192,3 +198,83 @@ def many_rules(n: int = RULES) -> list[Rule]:
 def rules_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A thousand rules in one scan, evaluated as data."""
     return results.evaluate_all(adapted(spark, sf_dir), many_rules()).select("rule_id", "event_id")
+
+
+# What is known of files, and cases ---------------------------------------------------------------------
+
+
+@query("detect_folder", "select user_id % 8 as bucket, 'gateway_request' as log_type, 'high' as confidence, count(*) as records, false as estimated from events group by 1")
+def detect_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet files by their footer and first row."""
+    found = detect_all(spark, [c.path for c in scan(spark, _rows_folder(spark, sf_dir)).candidates])
+    return found.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long").alias("bucket"), "log_type", "confidence", "records", "estimated")
+
+
+_PATHS = "(values ('request_id', null), ('resource_path', null), ('http_method', 'event_name'), ('status', 'response.status'), ('ip', 'source_ip'), ('request_time', 'event_time')) p(path, label)"
+
+
+@query("preview_files", f"select bucket, path, label, count(*) as n from {_KEPT}, {_PATHS} where sound and i < 200 group by 1, 2, 3")
+def preview_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first records of every file in labelled pieces, counted by path."""
+    files = scan(spark, _lines_folder(spark, sf_dir)).candidates
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = []
+            for file_id, path in zip(part.file_id, part.path, strict=True):
+                with open_ranged(path) as file:
+                    rows += [(file_id, x.path, x.column) for record in preview(path, file).records for x in record]
+            yield pd.DataFrame(rows, columns=["bucket", "path", "label"])
+
+    listed = spark.createDataFrame([(c.file_id, c.path) for c in files], "file_id long, path string").repartition(len(files), "file_id")
+    return listed.mapInPandas(run, "bucket long, path string, label string").groupBy("bucket", "path", "label").agg(F.count("*").alias("n"))
+
+
+def _case(spark: SparkSession, sf_dir: str) -> Case:
+    return Case.create(spark, shared_folder(spark), f"case-{uuid.uuid4().hex}", _lines_folder(spark, sf_dir))
+
+
+_CASE_RULE = """rule failed_clicks { meta: log_type = "apigw_access" fields: $what = event_name == "click" $bad = error_code startswith "HTTP 4" condition: $what and $bad }
+rule pending { condition: event_name == "view" }"""
+
+
+@query("case_matches", f"""select 'failed_clicks' as rule_id, (bucket << 32) | i as event_id, '10.0.0.' || user_id as source_ip, '{{"$bad":"HTTP ' || (event_id % 600) || '","$what":"click"}}' as matched_fields, 1 as evaluated
+  from {_KEPT} where sound and event_type = 'click' and event_id % 600 >= 400 and event_id % 600 < 500""")
+def case_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder into a case, two rules registered, one evaluated: its matches, and how many rules are evaluated."""
+    case = _case(spark, sf_dir)
+    rules = parse_rules(_CASE_RULE)
+    case.register(RuleSet(rules, {r.id: "" for r in rules}, {r.id: "own" for r in rules}))
+    case.evaluate(rules[0])
+    done = sum(bool(r["evaluated"]) for r in case.rules.values())
+    return case.matches().select("rule_id", "event_id", "source_ip", "matched_fields", F.lit(done).alias("evaluated"))
+
+
+@query("case_page", f"select (bucket << 32) | i as event_id, event_type as event_name from {_KEPT} where sound order by date_trunc('second', ts) desc, (bucket << 32) | i desc limit 150")
+def case_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest page of a case, from the files whose bounds come first."""
+    return _case(spark, sf_dir).list_events(Window(limit=150)).select("event_id", "event_name")
+
+
+@query("case_files", f"select bucket as file_id, 'parsed' as status, count(*) filter (sound) as records, count(*) filter (not sound) as malformed from {_KEPT} group by 1")
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _case(spark, sf_dir).files.select("file_id", "status", "records", "malformed")
+
+
+@query(
+    "match_report_evidence",
+    f"""select row_number() over (order by rule_id, event_id) as place, * from (
+      select 'hot_errors' as rule_id, event_id, '{{"event_name":"error","request.k":"' || json_extract_string(request, '$.k') || '"}}' as matched_fields from {ADAPTED} where log_type = 'alb_access' and event_name = 'error' and {NAMED} > 50
+      union all select 'purchases', event_id, '{{"event_name":"purchase"}}' from {ADAPTED} where event_name = 'purchase'
+      union all select 'even_users', event_id, case when coalesce(event_source = 'signup', false) then '{{"$a":"true","$b":"signup"}}' else '{{"$a":"true","$b":"' || json_extract_string(request, '$.k') || '"}}' end
+        from {ADAPTED} where read_only and ({NAMED} >= 90 or coalesce(event_source = 'signup', false)))""",
+)
+def match_report_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report with what fired; ``place`` is the row's place in the report's own order, added up over its sorted partitions."""
+    report = results.match_report(adapted(spark, sf_dir), parse_rules(REPORT_RULES))[0]
+    marked = report.select("rule_id", "event_id", "matched_fields", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    marked.write.parquet(at := _folder(spark))
+    marked = spark.read.parquet(at)
+    sizes = marked.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = sizes.select(F.col("part").alias("part"), "first", F.coalesce(F.sum("n").over(results.W.orderBy("part").rowsBetween(results.W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+    return marked.join(F.broadcast(before), "part").select((F.col("before") + F.col("at") - F.col("first") + 1).alias("place"), "rule_id", "event_id", "matched_fields")
