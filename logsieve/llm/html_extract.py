@@ -38,14 +38,18 @@ LOOSE = re.compile(r"([^>]*+)>")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup, up to their own end tag.
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mo mn ms mtext mspace mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mstyle mpadded mphantom menclose mfenced annotation annotation-xml".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body html center".split())
 #: Start tags that end an open paragraph, and those that end an open element of the same group.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (a.split(), b.split()) for k, (a, b) in CLOSES.items()}
 #: Elements and roles that are no part of an article, whatever they are called.
-NOT_TEXT = frozenset("script style noscript template iframe object embed svg math canvas audio video head title xmp noembed noframes".split())
+NOT_TEXT = frozenset("script style noscript template iframe object embed svg annotation annotation-xml canvas audio video head title xmp noembed noframes".split())
 ASIDE = frozenset("nav footer aside button select textarea fieldset dialog menu datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Class and id words that hint at what an element is. They are evidence among other evidence, never enough.
@@ -63,6 +67,10 @@ _RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre body html main".split()
 _LONG_NUMBER = re.compile(r"&#(?:0*+([0-9]{8,})|[xX]0*+([0-9a-fA-F]{8,}));?")
 #: Evidence from which an element is left out, and characters a block of running text has on average.
 ENOUGH, SHORT_BLOCK = 3, 40
+#: Characters before a list of entries that can be an article.
+BEFORE = 150
+#: Elements around the best container that are looked at one after the other.
+WIDER = 8
 
 
 @dataclass(slots=True)
@@ -271,7 +279,9 @@ def evidence(page: Page, i: int) -> int:
         return 0  # the article's own head
     late = 0 < page.total * 3 <= 5 * n.at
     listed = n.repeats > 0
-    return n.hint + (n.linked > 0.4 * n.size) + (n.size < SHORT_BLOCK * n.blocks) + late + listed - 2 * (2 * n.size > page.total)
+    # Entries of one kind behind other text are reader comments or the like, however much there is of them.
+    entries = n.hint == 2 and listed and n.at >= max(BEFORE, page.total // 20)
+    return n.hint + (n.linked > 0.4 * n.size) + (n.size < SHORT_BLOCK * n.blocks) + late + listed - 2 * (2 * n.size > page.total and not entries)
 
 
 def _up(page: Page, i: int, most: int = 4) -> Iterator[int]:
@@ -288,6 +298,54 @@ def best_container(page: Page) -> int | None:
     return -max(scored)[1] if scored else None
 
 
+def _left_out(page: Page, i: int, verdicts: dict[int, bool]) -> bool:
+    n = page.nodes[i]
+    return n.hard or bool(n.hint and verdicts.get(n.path, evidence(page, i) >= ENOUGH))
+
+
+def _around(page: Page, roots: list[int]) -> int:
+    """The closest element that holds all of these, but isn't one of them."""
+    if len(roots) == 1:
+        return page.nodes[roots[0]].parent
+    at = roots[0]
+    while at >= 0 and not (at < roots[0] and page.nodes[at].end >= page.nodes[roots[-1]].end):
+        at = page.nodes[at].parent
+    return at
+
+
+def widened(page: Page, roots: list[int], verdicts: dict[int, bool]) -> list[int]:
+    """The roots, or an element around them whose other parts are text of the article: its title, its lead, its sections.
+
+    What is left out anyway doesn't count. Of the rest few characters may be links, and most must stand in headings
+    or in blocks of running text; an element named as an article, or its tag, needs the former only.
+    """
+    kept, now = roots, roots
+    for _ in range(WIDER):
+        if (up := _around(page, now)) < 0 or page.nodes[up].tag in ("body", "html") or _left_out(page, up, verdicts):
+            break
+        n = page.nodes[up]
+        out = bytearray(n.end - up)  # 1: in the present roots, or left out
+        for r in now:
+            out[r - up : page.nodes[r].end - up] = b"\1" * (page.nodes[r].end - r)
+        for i in range(up + 1, n.end):
+            out[i - up] = out[i - up] or out[page.nodes[i].parent - up] or _left_out(page, i, verdicts)
+        blocks: dict[int, list[int]] = {}  # size, linked, in a heading
+        for node, block, data in page.texts:
+            if up <= node < n.end and not out[node - up] and (size := len(decoded(data).strip())):
+                entry = blocks.setdefault(block, [0, 0, 0])
+                entry[0] += size
+                entry[1] += size if page.nodes[node].link else 0
+                entry[2] |= page.nodes[node].tag in HEADINGS or any(page.nodes[p].tag in HEADINGS for p in _up(page, node))
+        total, linked = sum(b[0] for b in blocks.values()), sum(b[1] for b in blocks.values())
+        running = sum(b[0] for b in blocks.values() if b[2] or b[0] - b[1] >= SHORT_BLOCK)
+        now = [up]
+        if total:
+            if 4 * linked > total or not (n.good or 5 * running >= 4 * total):
+                break
+            kept = now
+    return kept
+
+
 def text_of(page: Page, roots: list[int], verdicts: dict[int, bool]) -> str:
     """Blocks of the given containers in page order, white space folded, without what is no part of the article.
 
@@ -328,9 +386,9 @@ def extract(page: Page, main: dict[int, float], verdicts: dict[int, bool]) -> st
         roots = at[path]
         if best is not None and page.nodes[best].path in main and page.nodes[roots[0]].tag in ("body", "html"):
             roots = at[page.nodes[best].path]  # a voted container within the whole page is the closer one
-        if found := text_of(page, roots, verdicts):
+        if found := text_of(page, widened(page, roots, verdicts), verdicts):
             return found
-    return "" if best is None else text_of(page, [best], verdicts)
+    return "" if best is None else text_of(page, widened(page, [best], verdicts), verdicts)
 
 
 def _host(url: str = "url") -> F.Column:

@@ -132,3 +132,59 @@ def test_made_up_pages_without_article(spark):
         want[i] = "\n".join([b, *(x for _, y in parts for x in y)])
     got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+# Whole articles: expected texts are put together beside the pages, never taken from the extraction -------------
+
+SENTENCE = "Some running text of an article that goes on for a while, long enough to count as a paragraph of prose."
+
+
+def _paragraphs(*names):
+    texts = [f"{SENTENCE} {n}" for n in names]
+    return "".join(f"<p>{t}</p>" for t in texts), texts
+
+
+def _whole(inner):
+    return f"<html><body><nav><a href=/>Home</a><a href=/b>More</a></nav>{inner}<div class='footer'>Copyright <a href=/i>Imprint</a></div></body></html>"
+
+
+def title_and_lead(i):
+    body, texts = _paragraphs("one", "two", "three", "four")
+    return _whole(f"<article><h1>Title {i}</h1><div class='lead'><p>Lead of article {i}, which says what it is all about.</p></div><div class='body'>{body}</div></article>"), [f"Title {i}", f"Lead of article {i}, which says what it is all about.", *texts]
+
+
+def sibling_parts(i):
+    parts = [_paragraphs(*n) for n in (("a", "b"), ("c", "d", "e", "f"), ("g",))]
+    return _whole(f"<div id=c><h1>Title {i}</h1>" + "".join(f"<div class='part{k} p'>{b}</div>" for k, (b, _) in enumerate(parts)) + "</div>"), [f"Title {i}", *(t for _, ts in parts for t in ts)]
+
+
+def sections(i):
+    one, two = _paragraphs("x", "y", f"z{i}"), _paragraphs("w")
+    return _whole(f"<article><section class=first>{one[0]}</section><section class=second>{two[0]}</section></article>"), [*one[1], *two[1]]
+
+
+def long_comments(i):
+    body, texts = _paragraphs("a", "b", f"c{i}")
+    comments = "".join(f"<div class=entry><b>Ann {k}</b><p>I think that this is what a reader would say about the article, and some more. {k}</p></div>" for k in range(14))
+    return _whole(f"<article><h1>Title {i}</h1>{body}</article><div class='comments'>{comments}</div>"), [f"Title {i}", *texts]
+
+
+def formula(i):
+    body, texts = _paragraphs("a", f"b{i}")
+    return _whole(f"<article><h1>Title {i}</h1>{body}<p>where <math><mi>x</mi><mo>=</mo><mfrac><mn>{i}</mn><mn>2</mn></mfrac><annotation>x=\\frac</annotation></math> holds</p></article>"), [f"Title {i}", *texts, f"where x={i}2 holds"]
+
+
+@pytest.mark.parametrize("make", [title_and_lead, sibling_parts, sections, long_comments, formula])
+def test_articles_are_taken_whole(spark, make):
+    made = [make(i) for i in range(12)]
+    rows = spark.createDataFrame([(i, f"http://{make.__name__}.example/{i}", page) for i, (page, _) in enumerate(made)] + [(100, None, made[0][0])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.main_text(rows).collect()}
+    assert got == {i: "\n".join(texts) for i, (_, texts) in enumerate(made)} | {100: "\n".join(made[0][1])}
+
+
+def test_what_stands_around_an_article_stays_out(spark):
+    body, texts = _paragraphs("a", "b", "c")
+    links = "".join(f"<li><a href=/{k}>Another story {k}</a></li>" for k in range(9))
+    page = f"<html><body><div class=wrap><div class=links><ul>{links}</ul></div><div class=post><p>By Ann</p>{body}</div><div class=box><span>Ok</span><span>Go</span></div></div></body></html>"
+    rows = spark.createDataFrame([(i, "http://around.example/x", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in H.main_text(rows).collect()} == {"\n".join(["By Ann", *texts])}
