@@ -33,8 +33,23 @@ def open_ranged(path: str, opener: str | None = None) -> BinaryIO:
     if scheme in ("", "file"):
         return open(path.removeprefix("file://"), "rb")
     if scheme in ARROW_SCHEMES:
-        from pyarrow import fs
-
-        found, inner = fs.FileSystem.from_uri(f"{ARROW_SCHEMES[scheme]}://{path.partition('://')[2]}")
+        found, inner = _arrow(path)
         return found.open_input_file(inner)
     raise OSError(f"no way to read {scheme}:// in a task")
+
+
+def _arrow(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(f"{ARROW_SCHEMES[scheme_of(path)]}://{path.partition('://')[2]}")
+
+
+def list_arrow(root: str, found=None, inner: str | None = None) -> list[tuple[str, int]]:
+    """(path, size) of every file under a folder of a file system that Arrow speaks, in order of path."""
+    from pyarrow import fs
+
+    if found is None:
+        found, inner = _arrow(root)
+    top = root.rstrip("/")
+    files = found.get_file_info(fs.FileSelector(inner, recursive=True))
+    return sorted((f"{top}/{f.path[len(inner.rstrip('/')) + 1 :]}", f.size) for f in files if f.type == fs.FileType.File)

@@ -30,10 +30,11 @@ from pyspark.sql.types import StructType
 from logsieve.functions.schema import EVENTS
 from logsieve.sources import splits
 from logsieve.sources.detect import detected, opened
-from logsieve.sources.discovery import scan_folder
+from logsieve.sources.discovery import is_candidate, is_litter, scan_folder
 from logsieve.sources.ingest import OUTCOME, arrow_schema, batches_of, by_line, file_rows, is_parquet
 from logsieve.sources.json_stream import documents
 from logsieve.sources.mapping import FieldMap
+from logsieve.sources.remote import ARROW_SCHEMES, list_arrow, scheme_of
 from logsieve.sources.splits import Extent, Part
 
 NAME = "cloud_logs"
@@ -185,11 +186,19 @@ def local(root: str) -> str:
     return root.removeprefix("file://").removeprefix("file:")
 
 
+def candidates(root: str) -> list[tuple[int, str, int]]:
+    """(id, path, size) of a folder's candidates, on the local disks or where Arrow can list."""
+    if scheme_of(root) in ARROW_SCHEMES:
+        found = [(p, n) for p, n in list_arrow(root) if n and is_candidate(name := p.rpartition("/")[2]) and not is_litter(name)]
+        return [(i, p, n) for i, (p, n) in enumerate(found)]
+    return [(c.file_id, c.path, c.size) for c in scan_folder(local(root)).candidates]
+
+
 class LogReader(_Reading, DataSourceReader):
     def partitions(self) -> Sequence[LogPartition]:
         if "files" in self.options:
             return self._planned([tuple(f) for f in json.loads(self.options["files"])])
-        return self._planned([(c.file_id, c.path, c.size) for c in scan_folder(local(self.options["path"])).candidates])
+        return self._planned(candidates(self.options["path"]))
 
 
 class FilteredReader(LogReader):

@@ -295,3 +295,17 @@ def test_no_file_stops_a_run(spark, tmp_path):
     assert kinds["gone.gz"] == ("unknown", "unreadable: FileNotFoundError") and kinds["deep_list.gz"][0] == "unknown" and kinds["number.gz"][0] == "apigw_access" and len(kinds) == len(found)
     contents = spark.createDataFrame([(i, n, bytearray(d)) for i, (n, d) in enumerate(DAMAGED.items())], "file_id long, path string, content binary")
     assert read_contents(contents).where("file_status is not null").count() == len(DAMAGED)
+
+
+def test_folders_of_other_file_systems_are_listed_by_arrow(folder, monkeypatch):
+    from pyarrow import fs
+
+    from logsieve.sources import remote, source
+
+    want = [(c.path, c.size) for c in scan_folder(folder).candidates]
+    assert remote.list_arrow(f"s3://bucket{folder}", fs.LocalFileSystem(), folder) == [(f"s3://bucket{p}", n) for p, n in want]
+    monkeypatch.setattr(source, "list_arrow", lambda root: [("s3://b/a.gz", 5), ("s3://b/empty.gz", 0), ("s3://b/x.txt", 5), ("s3://b/.DS_Store.gz", 1)])
+    assert source.candidates("s3://b") == [(0, "s3://b/a.gz", 5), (1, "s3://b/.DS_Store.gz", 1)]
+    with pytest.raises(OSError):
+        remote.open_ranged("viewfs://x/y.gz")
+    assert not remote.in_tasks("viewfs://x/y.gz") and remote.in_tasks("s3a://x/y.gz") and remote.in_tasks("/x")
