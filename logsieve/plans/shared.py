@@ -111,11 +111,17 @@ def atoms_of(test: Test, found: Field | None) -> frozenset[Atom] | None:
     return None
 
 
-def cover(rule: Rule, conditions: list[Clause], columns: list[str]) -> frozenset[Atom] | None:
+def _resolved(rules: list[Rule], columns: list[str]) -> dict[str, Field | None]:
+    """Every field that the rules read, looked up once: making columns costs far more than the rest of the index."""
+    return {f: resolve(f, columns) for f in {t.field for r in rules for t in r.tests}}
+
+
+def cover(rule: Rule, conditions: list[Clause], columns: list[str], known: dict[str, Field | None] | None = None) -> frozenset[Atom] | None:
     """The smallest set of atoms that one clause of the rule allows for; None if none does."""
+    known = _resolved([rule], columns) if known is None else known
     found: list[frozenset[Atom]] = []
     for clause in conditions:
-        parts = [atoms_of(rule.tests[i], resolve(rule.tests[i].field, columns)) if holds else None for i, holds in clause]
+        parts = [atoms_of(rule.tests[i], known[rule.tests[i].field]) if holds else None for i, holds in clause]
         if all(p is not None for p in parts):
             found.append(frozenset().union(*parts))
     return min(found, key=lambda a: (len(a), sum(kind == "~" for kind, *_ in a), sorted(a)), default=None)
@@ -164,7 +170,7 @@ class RuleIndex:
 
 def index(rules: list[Rule], columns: list[str]) -> RuleIndex:
     """The index of a rule set for a table with these columns. Rules that never match are left out."""
-    kept, left = [], []
+    kept, left, known = [], [], _resolved(rules, columns)
     for rule in rules:
         try:
             own = clauses(rule)
@@ -172,8 +178,8 @@ def index(rules: list[Rule], columns: list[str]) -> RuleIndex:
             left.append(rule)
             continue
         if frozenset() not in own:
-            kept.append((rule, own, cover(rule, own, columns)))
-    fields = sorted({t.field for r, *_ in kept for t in r.tests if resolve(t.field, columns) is not None})
+            kept.append((rule, own, cover(rule, own, columns, known)))
+    fields = sorted({t.field for r, *_ in kept for t in r.tests if known[t.field] is not None})
     places = {f: i for i, f in enumerate(fields)}
     numbers: dict[str, set[int]] = {}
     rows = []
@@ -181,7 +187,7 @@ def index(rules: list[Rule], columns: list[str]) -> RuleIndex:
         names = [EVERY] if held is None else sorted(_name(a, places) for a in held)
         for name in names:
             numbers.setdefault(name, set()).add(number)
-        tests = [_told(t, places, columns) for t in rule.tests]
+        tests = [_told(t, places, known[t.field]) for t in rule.tests]
         rows.append((number, (rule.id, rule.log_type, names, [n for n in names if n[0] == "~"], tests, [[(i, holds) for i, holds in sorted(c)] for c in own])))
     covered = {a for *_, held in kept for a in held or ()}
     needles: dict[str, list[str]] = {}
@@ -189,10 +195,10 @@ def index(rules: list[Rule], columns: list[str]) -> RuleIndex:
         if kind == "~":
             needles.setdefault(field, []).append(text)
     for field, texts in needles.items():
-        known = set(texts)
+        whole = set(texts)
         for long in texts:  # a longer needle found at a place stands for all that it begins with
             for n in range(SHORTEST_NEEDLE, len(long)):
-                if long[:n] in known:
+                if long[:n] in whole:
                     numbers[_name(("~", field, long), places)] |= numbers[_name(("~", field, long[:n]), places)]
     kinds = {t.field for r, *_ in kept for t in r.tests if _needs_kind(t) or _renders(t)}
     return RuleIndex([(a, sorted(n)) for a, n in sorted(numbers.items())], rows, fields, sorted({f for kind, f, _ in covered if kind == "="}), needles, kinds, left)
@@ -205,9 +211,8 @@ def _renders(test: Test) -> bool:
     return test.operator == "matches" or test.operator in TEXTUAL or (test.operator == "in" and any(v[:1] in ("{", "[") for v in test.value))
 
 
-def _told(t: Test, places: dict[str, int], columns: list[str]) -> tuple:
+def _told(t: Test, places: dict[str, int], found: Field | None) -> tuple:
     """A test as a row: place of the field (-1 for none), operator, and its value by kind."""
-    found = resolve(t.field, columns)
     if found is None:
         return (-1, "always" if t.operator == "missing" else "never", None, None, None, None, False, False)
     text = t.value if isinstance(t.value, str) else None
@@ -296,8 +301,9 @@ def evaluate_index(events: DataFrame, rules: list[Rule]) -> tuple[DataFrame, lis
         return events.select("*", F.lit("").alias("rule_id")).where("false"), found.left
     facts = F.array(*[_facts(f, columns, found.kinds) for f in found.fields]) if found.fields else F.array().cast("array<struct<text:string,quick:string,string:boolean,numeric:boolean,number:double,flag:boolean,flagged:boolean>>")
     met = candidates(events, found)
-    held = F.transform(F.col("rule.tests"), lambda t: _holds(t, F.col("facts")))
-    met = met.withColumn("facts", facts).withColumn("held", held)
+    once = lambda df, c, name: df.select("*", F.inline(F.array(F.struct(c.alias(name)))))  # noqa: E731  else the optimizer puts it where it is computed again and again
+    met = once(met, facts, "facts")
+    met = once(met, F.transform(F.col("rule.tests"), lambda t: _holds(t, F.col("facts"))), "held")
     matched = F.forall(F.col("rule.clauses"), lambda c: F.exists(c, lambda x: F.get(F.col("held"), x["test"]) == x["holds"]))
     return met.where(matched).withColumn("rule_id", F.col("rule.rule_id")).drop("rule", "facts", "held"), found.left
 
