@@ -348,7 +348,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Crf:
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
     # The sample has a bound, so one task can hold it; the driver holds the model only.
-    return pickle.loads(samples[0].unionByName(samples[1]).repartition(1).mapInPandas(run, "model binary").first().model)
+    fitted = samples[0].unionByName(samples[1]).repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(fitted.model) if fitted else train([], [], weights)  # an empty table may have no task
 
 
 SCORES = "doc_id long, score double, predicted int, spans array<struct<start:int,stop:int>>"
