@@ -48,12 +48,17 @@ _NAME = r"[A-Za-z0-9_.\-]"
 _RUN = r"[A-Za-z0-9+/_=.\-]"
 #: A name that holds a keyword, whatever else is in it, and the sign that gives it a value.
 _ASSIGNED = rf"(?={_NAME}*?(?i:{KEYWORDS})){_NAME}*+[\"']?[ \t]*+(?:=>|:=|=|:)[ \t]*+"
-_BEARER, _LOGIN = r"(?i:bearer|basic)[ \t]++", r"://[^\s:/@]++:"
-_BLOCK = r"-----BEGIN [A-Z0-9 ]*+-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z0-9 ]*+-----)?"
+_BEARER, _LOGIN = r"(?i:bearer|basic)[ \t]++", r"://[^\s:/@]*+:"
+#: A block's body is lines of base64 of 16 signs or more; up to two shorter ones only before its end or the text's. Lines
+#: may be broken by white space or by the escapes of a quoted text. Prose behind a mark isn't a body.
+_BREAK = r"(?:\s|\\[rn])"
+_HEADER = rf"(?:Proc-Type:[ \t]*+[0-9],[A-Z]++|DEK-Info:[ \t]*+[A-Za-z0-9-]++(?:,[0-9A-Fa-f]++)?|(?:Version|Comment|Charset|Hash|MessageID):[^\r\n\\]*+(?=[\r\n\\])){_BREAK}++"
+_BODY = rf"[A-Za-z0-9+/=]{{16,}}+(?:{_BREAK}++[A-Za-z0-9+/=]{{16,}}+)*+(?:(?:{_BREAK}++[A-Za-z0-9+/=]{{1,15}}+){{1,2}}+(?={_BREAK}*+(?:-----END|(?![\s\S]))))?"
+_BLOCK = rf"-----BEGIN [A-Z0-9 ]*+-----{_BREAK}*+(?:{_HEADER})*+{_BODY}(?:{_BREAK}*+-----END [A-Z0-9 ]*+-----)?"
 #: A block of a key or certificate; a named value of 8 signs or more; a token after its scheme; a password in an
 #: address; a format of an issuer; a run of 16 signs or more with a digit.
 PATTERN = "|".join([
-    _BLOCK, rf"(?<!{_NAME}){_ASSIGNED}(?:\"[^\"\s]{{8,}}+|'[^'\s]{{8,}}+|[^\s\"'<>(){{}},;]{{8,}}+)", rf"(?<![A-Za-z0-9]){_BEARER}[A-Za-z0-9._~+/\-]{{16,}}+=*+", rf"{_LOGIN}[^\s:/@]{{6,}}+(?=@)",
+    _BLOCK, rf"(?<!{_NAME}){_ASSIGNED}(?:\"[^\"\s]{{8,}}+|'[^'\s]{{8,}}+|[^\s\"'<>(){{}},;]{{8,}}+)", rf"(?<![A-Za-z0-9]){_BEARER}[A-Za-z0-9._~+/\-]{{16,}}+=*+", rf"{_LOGIN}[^\s/@]{{3,}}+(?=@)",
     rf"(?<![A-Za-z0-9])(?:{'|'.join(FORMATS.values())})", rf"(?<!{_RUN})(?=[A-Za-z+/_=.\-]*+[0-9]){_RUN}{{16,}}+",
 ])
 _VALUE = rf"^(?:{_ASSIGNED}[\"']?(?:{_BEARER})?|{_BEARER}|{_LOGIN})?+([\s\S]*)$"
