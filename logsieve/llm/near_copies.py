@@ -8,9 +8,17 @@ buckets. What is less alike meets by MinHash: ``BANDS`` keys of ``ROWS`` minima
 
 Every proposed pair is confirmed on its complete sets of shingles. First every member of a bucket is held
 against its first; then the members of a bucket that are in different groups still are held against one
-another, so no pair is passed over because its bucket is large. Of a bucket with up to ``PAIR_LIMIT`` such
-members the pairs are listed; members of a larger one are dealt into blocks, each pair of blocks is one
-task that counts common shingles by matrix products, and only similar pairs leave it.
+another, so no pair is passed over because its bucket is large:
+
+* Of a bucket with up to ``PAIR_LIMIT`` members the pairs are listed.
+* In a larger one only pairs that touch a member outside its largest group are left. Members are dealt into
+  blocks, those of the largest group apart; a pair of blocks, one of them outside, is one task that counts
+  common shingles by matrix products. With up to ``BLOCK_MEMBERS`` outside that moves each text at most twice.
+* Members of buckets with more outside (pages that share a frame and nothing else) meet by their rarest
+  shingles instead: two sets of similarity 0.8 share one of the rarest fifth of either, in any order of
+  shingles that is the same for all. A shingle's rank is the count of its slot, of ``SLOTS``, over all such
+  members, so what many share comes last. A shingle met there is treated as a bucket was, blocks included:
+  exact, and quadratic only in members outside the largest group whose rarest fifth is common as well.
 """
 
 from __future__ import annotations
@@ -34,6 +42,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 11
 #: Members of a bucket whose pairs are listed, members of a block of a larger one, and shingles of a matrix.
 PAIR_LIMIT, BLOCK_MEMBERS, COLUMNS = 64, 256, 8192
+#: Slots in which shingles of members of very crowded buckets are counted: what the driver gets, whatever the rows.
+SLOTS = 1 << 16
 _DRAWN = np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 _FACTOR, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 #: Odd multipliers of the polynomial and of the mixing.
@@ -147,10 +157,15 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _among_blocks(told: DataFrame, rows: DataFrame) -> DataFrame:
-    """The similar pairs (u, v) of different roots within each key of (key, node, root, n)."""
-    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = told.select("key", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    """The similar pairs (u, v) of different roots within each key of (key, node, root, n, n_top, top).
+
+    The first blocks hold the largest root, ``top``; no two of them are held against one another.
+    """
+    of_top, outside = F.ceil(F.col("n_top") / BLOCK_MEMBERS).cast("int"), F.ceil((F.col("n") - F.col("n_top")) / BLOCK_MEMBERS).cast("int")
+    in_top, at = F.col("root") == F.col("top"), F.xxhash64("node")
+    own = F.when(in_top, F.pmod(at, of_top)).otherwise(of_top + F.pmod(at, outside)).cast("int")
+    first = F.when(in_top, of_top).otherwise(F.lit(0))
+    dealt = told.select("key", "node", "root", own.alias("own"), F.explode(F.sequence(first, of_top + outside - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
     texts = dealt.join(rows.select(F.col("row").alias("node"), F.col("text").cast("binary").alias("text")), "node")
 
@@ -167,6 +182,68 @@ def _among_blocks(told: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
 
 
+def rarest(held: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, as many as a similar set must share one of."""
+    shared = int(np.ceil(SIMILARITY * len(held) - 1e-9))  # by two similar sets, at least
+    return held[np.lexsort((held, ranks[held % np.uint64(SLOTS)]))][: len(held) - shared + 1]
+
+
+def _by_rarest(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, node, root) of (node, root): each member under each of its rarest shingles."""
+    text = rows.select(F.col("row").alias("node"), F.col("text").cast("binary").alias("text"))
+    texts = materialize(text.join(members, "node"), "crowded")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(SLOTS, np.int64)
+        for part in batches:
+            known = WordHashes()
+            for t in part.text:
+                counts += np.bincount((shingles(_words(t), known) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        met = np.flatnonzero(counts)
+        yield pd.DataFrame({"slot": met, "n": counts[met]})
+
+    found = texts.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    ranks = np.zeros(SLOTS, np.int64)
+    ranks[found.slot.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            known = WordHashes()
+            keys = [rarest(shingles(_words(t), known), ranks).view(np.int64) for t in part.text]
+            yield pd.DataFrame({"node": part.node, "root": part.root, "keys": keys})
+
+    spread = texts.mapInPandas(run, "node long, root long, keys array<long>")
+    return spread.select(F.explode("keys").alias("key"), "node", "root")
+
+
+def _mixed(told: DataFrame) -> DataFrame:
+    """(key, node, root, n, n_top, top) of the keys of (key, node, root) with more than one root; ``top`` is the most frequent."""
+    by_root = told.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("n_top"), F.max_by("root", F.struct("n", "root")).alias("top")).where("n > n_top")
+    return materialize(told.join(mixed, "key"), "mixed")
+
+
+def _listed(told: DataFrame) -> DataFrame:
+    """The pairs (u, v) of different roots in keys of few members."""
+    few = told.where(F.col("n") <= PAIR_LIMIT)
+    other = few.select("key", F.col("node").alias("v"), F.col("root").alias("root_v"))
+    return few.join(other, "key").where("node < v and root <> root_v").select(F.col("node").alias("u"), "v")
+
+
+def _apart(members: DataFrame, roots: DataFrame, rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """The similar pairs (u, v) in different groups among the members of each bucket."""
+    told = materialize(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "told")
+    told = _mixed(told)
+    many, outside = F.col("n") > PAIR_LIMIT, F.col("n") - F.col("n_top")
+    listed, blocks = _listed(told), _among_blocks(told.where(many & (outside <= BLOCK_MEMBERS)), rows)
+    crowd = told.where(many & (outside > BLOCK_MEMBERS)).select("node", "root").distinct()
+    if crowd.limit(1).count():
+        told = _mixed(materialize(_by_rarest(crowd, rows), "rarest"))
+        listed, blocks = listed.unionByName(_listed(told)), blocks.unionByName(_among_blocks(told.where(many), rows))
+    listed = materialize(listed.distinct().join(stars, ["u", "v"], "left_anti"), "apart")
+    return materialize(_confirmed(listed, rows).unionByName(blocks).distinct(), "confirmed")
+
+
 def _proposed_by_prints(contents: DataFrame) -> DataFrame:
     """Pairs (u, v) of contents whose fingerprints are equal or linked by multi-index hashing."""
     prints = materialize(contents.groupBy("fp").agg(F.min("node").alias("first")), "prints")
@@ -195,14 +272,7 @@ def groups(rows: DataFrame) -> DataFrame:
     found = materialize(_confirmed(stars, rows), "confirmed")
 
     roots = connected_components(found)
-    told = materialize(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "told")
-    mixed = told.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("key", "n")
-    told = materialize(told.join(mixed, "key"), "mixed")
-    few = told.where(F.col("n") <= PAIR_LIMIT)
-    other = few.select("key", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    apart = few.join(other, "key").where("node < v and root <> root_v").select(F.col("node").alias("u"), "v").distinct()
-    more = _confirmed(materialize(apart.join(stars, ["u", "v"], "left_anti"), "apart"), rows)
-    more = materialize(more.unionByName(_among_blocks(told.where(F.col("n") > PAIR_LIMIT), rows)).distinct(), "confirmed")
+    more = _apart(members, roots, rows, stars)
     if more.limit(1).count():
         hung = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         roots = connected_components(hung.unionByName(more))

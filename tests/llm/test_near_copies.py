@@ -60,7 +60,7 @@ def test_similarity_is_exact():
 
 
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
-    """150 texts of one origin, mostly too far from one another and from the first, some chained: as brute force groups them, by pairs and by blocks."""
+    """150 texts of one origin, mostly too far from one another and from the first, some chained: as brute force groups them, by pairs, by blocks and by rarest shingles."""
     rnd = random.Random(8)
     rows = planted(rnd, 1, 11, copies=100)
     word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
@@ -82,8 +82,39 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     want = {rows[find(i)][0] for i in range(len(rows))}
     assert 60 < len(want) < 110
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for limit, block in ((64, 256), (5, 20), (10**6, 1)):
+    for limit, block in ((64, 256), (5, 10**6), (5, 20), (5, 3), (10**6, 1)):
         monkeypatch.setattr(N, "PAIR_LIMIT", limit)
         monkeypatch.setattr(N, "BLOCK_MEMBERS", block)
         monkeypatch.setattr(N, "COLUMNS", 100 if block == 20 else 8192)
         assert {r.doc_id for r in keep_first(spark, docs, "").collect()} == want
+
+
+def test_rarest_shingles_meet():
+    """Sets of similarity 0.8 or more share one of their rarest shingles, whatever the ranks; one set more below it needn't."""
+    draw = np.random.default_rng(3)
+    for size in list(range(1, 40)) + [200, 1000]:
+        for _ in range(10):
+            base = np.unique(draw.integers(0, 1 << 63, size).astype(np.uint64))
+            other = base[draw.permutation(len(base))[: int(np.ceil(0.8 * len(base)))]]
+            more = np.unique(np.concatenate((other, draw.integers(0, 1 << 63, draw.integers(0, 1 + len(base) // 8)).astype(np.uint64))))
+            ranks = draw.integers(0, 3, N.SLOTS)
+            for x in (other, more):
+                x = np.unique(x)
+                if N.similarity(base, x) >= 0.8:
+                    assert len(np.intersect1d(N.rarest(base, ranks), N.rarest(x, ranks)))
+
+
+def test_pages_of_one_frame(spark, monkeypatch):
+    """Pages that share a frame, just below the similarity: their buckets are crowded, no pair of blocks is made, and planted copies are found."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
+    frame = [word() for _ in range(350)]
+    rows = [(k, " ".join(frame + [word() for _ in range(50)])) for k in range(400)]
+    rows += [(1000 + k, rows[k][1] + " " + word()) for k in range(0, 400, 40)]
+    seen = []
+    monkeypatch.setattr(N, "BLOCK_MEMBERS", 64)
+    blocks = N._among_blocks
+    monkeypatch.setattr(N, "_among_blocks", lambda told, texts: seen.append(told) or blocks(told, texts))
+    kept = {r.doc_id for r in keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
+    assert kept == set(range(400))
+    assert len(seen) == 2 and seen[0].count() == seen[1].count() == 0  # no pair of blocks
