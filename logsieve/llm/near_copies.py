@@ -15,10 +15,11 @@ another, so no pair is passed over because its bucket is large:
   blocks, those of the largest group apart; a pair of blocks, one of them outside, is one task that counts
   common shingles by matrix products. With up to ``BLOCK_MEMBERS`` outside that moves each text at most twice.
 * Members of buckets with more outside (pages that share a frame and nothing else) meet by their rarest
-  shingles instead: two sets of similarity 0.8 share one of the rarest fifth of either, in any order of
-  shingles that is the same for all. A shingle's rank is the count of its slot, of ``SLOTS``, over all such
-  members, so what many share comes last. A shingle met there is treated as a bucket was, blocks included:
-  exact, and quadratic only in members outside the largest group whose rarest fifth is common as well.
+  shingles instead, in an order of shingles that is the same for all: of two sets of similarity 0.8 the rarest
+  ninth of the smaller and the rarest fifth of the larger share one. A shingle's rank is the count of its slot,
+  of ``SLOTS``, over all such members, so what many share comes last. A shingle in somebody's rarest ninth is
+  treated as a bucket was, blocks included: exact, and quadratic only in members outside the largest group
+  whose rarest ninth is common as well. Pages of one frame have it in common only if they are similar.
 """
 
 from __future__ import annotations
@@ -182,14 +183,18 @@ def _among_blocks(told: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
 
 
-def rarest(held: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, as many as a similar set must share one of."""
-    shared = int(np.ceil(SIMILARITY * len(held) - 1e-9))  # by two similar sets, at least
-    return held[np.lexsort((held, ranks[held % np.uint64(SLOTS)]))][: len(held) - shared + 1]
+def rarest(held: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, and how many of them do if it is the smaller one of a pair.
+
+    A similar set shares at least ``SIMILARITY`` of the larger one and, of the smaller one, twice that by one
+    more; the rarest common shingle has all others behind it.
+    """
+    beyond = lambda share: len(held) - int(np.ceil(share * len(held) - 1e-9)) + 1
+    return held[np.lexsort((held, ranks[held % np.uint64(SLOTS)]))][: beyond(SIMILARITY)], beyond(2 * SIMILARITY / (1 + SIMILARITY))
 
 
 def _by_rarest(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """(key, node, root) of (node, root): each member under each of its rarest shingles."""
+    """(key, node, root) of (node, root): each member under its rarest shingles, without those that no smaller member could meet in."""
     text = rows.select(F.col("row").alias("node"), F.col("text").cast("binary").alias("text"))
     texts = materialize(text.join(members, "node"), "crowded")
 
@@ -209,11 +214,13 @@ def _by_rarest(members: DataFrame, rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             known = WordHashes()
-            keys = [rarest(shingles(_words(t), known), ranks).view(np.int64) for t in part.text]
-            yield pd.DataFrame({"node": part.node, "root": part.root, "keys": keys})
+            found = [rarest(shingles(_words(t), known), ranks) for t in part.text]
+            yield pd.DataFrame({"node": part.node, "root": part.root, "keys": [k.view(np.int64) for k, _ in found], "few": [n for _, n in found]})
 
-    spread = texts.mapInPandas(run, "node long, root long, keys array<long>")
-    return spread.select(F.explode("keys").alias("key"), "node", "root")
+    spread = texts.mapInPandas(run, "node long, root long, keys array<long>, few int").select(F.posexplode("keys").alias("at", "key"), "node", "root", "few")
+    spread = materialize(spread.select("key", "node", "root", (F.col("at") < F.col("few")).alias("own")), "rarest")
+    meeting = spread.groupBy("key").agg(F.bool_or("own").alias("own"), F.count("*").alias("n")).where("own and n > 1").select("key")
+    return spread.select("key", "node", "root").join(meeting, "key", "left_semi")
 
 
 def _mixed(told: DataFrame) -> DataFrame:
@@ -238,7 +245,7 @@ def _apart(members: DataFrame, roots: DataFrame, rows: DataFrame, stars: DataFra
     listed, blocks = _listed(told), _among_blocks(told.where(many & (outside <= BLOCK_MEMBERS)), rows)
     crowd = told.where(many & (outside > BLOCK_MEMBERS)).select("node", "root").distinct()
     if crowd.limit(1).count():
-        told = _mixed(materialize(_by_rarest(crowd, rows), "rarest"))
+        told = _mixed(materialize(_by_rarest(crowd, rows), "meeting"))
         listed, blocks = listed.unionByName(_listed(told)), blocks.unionByName(_among_blocks(told.where(many), rows))
     listed = materialize(listed.distinct().join(stars, ["u", "v"], "left_anti"), "apart")
     return materialize(_confirmed(listed, rows).unionByName(blocks).distinct(), "confirmed")

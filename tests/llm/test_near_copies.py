@@ -90,7 +90,7 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
 
 
 def test_rarest_shingles_meet():
-    """Sets of similarity 0.8 or more share one of their rarest shingles, whatever the ranks; one set more below it needn't."""
+    """Of two sets of similarity 0.8 or more the few rarest of the smaller and the rarest of the larger share one, whatever the ranks."""
     draw = np.random.default_rng(3)
     for size in list(range(1, 40)) + [200, 1000]:
         for _ in range(10):
@@ -101,7 +101,9 @@ def test_rarest_shingles_meet():
             for x in (other, more):
                 x = np.unique(x)
                 if N.similarity(base, x) >= 0.8:
-                    assert len(np.intersect1d(N.rarest(base, ranks), N.rarest(x, ranks)))
+                    small, large = sorted((base, x), key=len)
+                    keys, few = N.rarest(small, ranks)
+                    assert len(np.intersect1d(keys[:few], N.rarest(large, ranks)[0]))
 
 
 def test_pages_of_one_frame(spark, monkeypatch):
@@ -117,4 +119,4 @@ def test_pages_of_one_frame(spark, monkeypatch):
     monkeypatch.setattr(N, "_among_blocks", lambda told, texts: seen.append(told) or blocks(told, texts))
     kept = {r.doc_id for r in keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
     assert kept == set(range(400))
-    assert len(seen) == 2 and seen[0].count() == seen[1].count() == 0  # no pair of blocks
+    assert [t.count() for t in seen[1:]] == [0]  # many buckets are too crowded for blocks, no shingle is
