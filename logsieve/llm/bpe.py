@@ -4,10 +4,11 @@
 case, white space dropped, byte-level symbols, ``</w>`` on the last symbol of a word) and gives the ids
 that the tokenizers library gives.
 
-The symbols of many words lie in one flat array. A round looks every neighbouring pair up by binary
-search over the sorted pair keys, takes the lowest rank of each word and merges all its occurrences at
-once; finished words leave the array. Words of a text that are already known are taken from a bounded
-cache, so only new words are merged.
+Texts are cut into words by the kinds of their code points, many texts in one flat array. The symbols of
+many words lie in one flat array, too. A round looks every neighbouring pair up by binary search over the
+sorted pair keys, takes the lowest rank of each word and merges all its occurrences at once; finished
+words leave the array. Words that are already known are taken from a bounded cache, so only new words are
+merged.
 """
 
 from __future__ import annotations
@@ -44,12 +45,16 @@ NEW_LETTERS = (
 NEW_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
 LETTER, NUMBER = rf"[\p{{L}}--[{NEW_LETTERS}]]", rf"[\p{{N}}--[{NEW_NUMBERS}]]"
 WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|[^{SPACE}{LETTER}{NUMBER}]+")
+#: The kinds of code points; ``_KIND`` masks them in ``kinds()``.
+_LETTER, _NUMBER, _SYMBOL, _KIND = 1, 2, 3, 3
 #: From here on no text is composed and put in lower case by Python's data.
 _BEYOND = chr(0x33480)
 
 NONE = np.int64(1) << 40
-_CACHE_BYTES = 96 << 20
+_CACHE_BYTES = 16 << 20
 _ROUND_BYTES = 1 << 20
+#: Characters that are split at once; texts beyond are cut at a space.
+_STRETCH = 8 << 20
 
 
 def default_path() -> str:
@@ -84,6 +89,62 @@ def _library_normal() -> normalizers.Sequence:
     return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
+@cache
+def kinds() -> np.ndarray:
+    """What each code point is to ``WORDS`` (0: white space), and four times its bytes in UTF-8 (white space: 0)."""
+    found = np.full(0x110000, _SYMBOL | 4 * 4, np.uint8)
+    for least, size in ((0x10000, 3), (0x800, 2), (0x80, 1)):
+        found[:least] = _SYMBOL | 4 * size
+    below = "".join(map(chr, range(0x40000)))  # beyond are neither letters nor numbers
+    for kind, one in ((_LETTER, LETTER), (_NUMBER, NUMBER)):
+        for run in regex.finditer(f"(?V1){one}+", below):
+            found[run.start() : run.end()] -= _SYMBOL - kind
+    for run in regex.finditer(f"[{SPACE}]+", below):
+        found[run.start() : run.end()] = 0
+    return found
+
+
+def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """What ``WORDS`` finds in each text, as one array of UTF-8, and where each text's words begin and end in it."""
+    points = np.frombuffer("\n".join(["", *texts, "", ""]).encode("utf-32-le"), np.uint32)
+    known = kinds()[points]
+    kind = known & _KIND
+    begins = kind != 0
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    # 's, 't, 'm, 'd, 're, 've and 'll: the mark is a whole run of symbols, letters follow.
+    at = np.flatnonzero(points == ord("'"))
+    at = at[begins[at] & (kind[at + 1] == _LETTER)]
+    one, two = points[at + 1], points[at + 2]
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    size = np.where(np.isin(one, [*map(ord, "stmd")]), 2, 3 * long)
+    at, size = at[size > 0], size[size > 0]
+    begins[at + 1] = False
+    begins[at + size] |= kind[at + size] == _LETTER
+    first = np.flatnonzero(begins)
+    starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    sizes = np.add.reduceat(known >> 2, first, dtype=np.int64) if len(first) else first
+    data = points[kind != 0].tobytes().decode("utf-32-le").encode()
+    return _strings(data, sizes), np.searchsorted(first, starts)
+
+
+def _strings(data: bytes | np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary strings of ``sizes`` that lie in ``data`` one behind the other."""
+    offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary strings, one behind the other, and where each begins and ends in them."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def _joined(lists: np.ndarray, strings: pa.Array) -> pa.Array:
+    """The strings of each list, joined by spaces; list i is from ``lists[i]`` to ``lists[i + 1]``."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(lists, pa.int64()), strings), pa.scalar(b" ", pa.large_binary()))
+
+
 class WordBpe:
     def __init__(self, path: str, cache_bytes: int = _CACHE_BYTES):
         with open(path, encoding="utf-8") as file:
@@ -102,24 +163,25 @@ class WordBpe:
         self.keys, self.ranks, self.merged = keys, first.astype(np.int64), made[first]
         self.by_rank = np.zeros(len(pairs), np.int64)
         self.by_rank[first] = made[first]
-        self.token_bytes = [self.tokens.get(i, "").encode() for i in range(max(self.tokens) + 1)]
-        self.ids: dict[str, bytes] = {}
-        self.texts: dict[str, bytes] = {}
-        self.cached, self.cache_bytes, self.decoded = 0, cache_bytes, True
+        self.token_bytes = pa.array([self.tokens.get(i, "").encode() for i in range(max(self.tokens) + 1)], pa.large_binary())
+        self.cache_bytes, self.decoded = cache_bytes, True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words, their ids (little-endian, 32 bits) and, if asked for, their decoded text."""
+        self.words = self.ids = self.texts = pa.array([], pa.large_binary())
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all ``words`` (none empty) in one array, and how many each word has."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8)
+    def merge(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (bytes one behind the other, none empty) in one array, and how many each word has."""
         ends = np.cumsum(lengths) - 1
         symbol = self.inner[flat]
         symbol[ends] = self.last[flat[ends]]
-        word = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(lengths)), lengths)
         rank = np.full(len(symbol), NONE)
         rank[:-1] = self._rank(symbol[:-1], symbol[1:])
         rank[ends] = NONE
@@ -151,34 +213,19 @@ class WordBpe:
         word = np.concatenate([w for w, _ in done]) if done else np.zeros(0, np.int64)
         symbol = np.concatenate([s for _, s in done]) if done else np.zeros(0, np.int64)
         order = np.argsort(word, kind="stable")
-        return symbol[order], np.bincount(word, minlength=len(words))
-
-    def _learn(self, chunks: list[str], decoded: bool) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Ids (little-endian, 32 bits) and, if asked for, decoded text of chunks without white space."""
-        mixed = {c: WORDS.findall(c) for c in chunks if not c.isalpha()}
-        new = list({c for c in chunks if c not in mixed}.union(*mixed.values()))
-        ids_of: dict[str, bytes] = {}
-        text_of: dict[str, bytes] = {}
-        at, tokens = 0, self.token_bytes
-        while at < len(new):
-            raw, size, start = [], 0, at
-            while at < len(new) and (size < _ROUND_BYTES or not raw):
-                raw.append(new[at].encode("utf-8", "surrogatepass"))
-                size += len(raw[-1])
-                at += 1
-            ids, counts = self.merge(raw)
-            data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
-            spans = list(zip((ends - counts).tolist(), ends.tolist(), strict=True))
-            words = new[start:at]
-            ids_of.update(zip(words, [data[4 * a : 4 * b] for a, b in spans], strict=True))
-            if decoded:
-                shown = [tokens[i] for i in ids.tolist()]
-                text_of.update(zip(words, [b" ".join(shown[a:b]) for a, b in spans], strict=True))
-        for c, parts in mixed.items():
-            ids_of[c] = b"".join([ids_of[w] for w in parts])
-            if decoded:
-                text_of[c] = b" ".join([text_of[w] for w in parts])
-        return ids_of, text_of
+        return symbol[order], np.bincount(word, minlength=len(lengths))
+
+    def _learn(self, words: pa.Array, decoded: bool) -> tuple[pa.Array, pa.Array]:
+        """Ids (little-endian, 32 bits) and, if asked for, decoded text of each word."""
+        data, offsets = _parts(words)
+        at, done = 0, []
+        while at < len(words):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _ROUND_BYTES, "right")) - 1)
+            done.append(self.merge(data[offsets[at] : offsets[to]], np.diff(offsets[at : to + 1])))
+            at = to
+        ids, counts = (np.concatenate(x) for x in zip(*done, strict=True))
+        texts = _joined(np.concatenate(([0], np.cumsum(counts))), self.token_bytes.take(pa.array(ids))) if decoded else self.texts[:0]
+        return _strings(ids.astype("<u4"), 4 * counts), texts
 
     def _normal(self, text: str) -> str:
         """Composed and in lower case; the few texts with a character of ``unsure_characters`` by the library's normalizer."""
@@ -190,56 +237,61 @@ class WordBpe:
         text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
-    def _known(self, chunks: list[str], decoded: bool) -> tuple[list[bytes], list[bytes]]:
-        """Ids and decoded text of distinct chunks, from the cache or newly merged."""
+    def _known(self, words: pa.Array, decoded: bool) -> np.ndarray:
+        """Places of distinct words in the cache, newly merged where they weren't in it."""
         if decoded != self.decoded:
-            self.ids, self.texts, self.cached, self.decoded = {}, {}, 0, decoded
-        new = [c for c in chunks if c not in self.ids]
-        if new:
-            ids, shown = self._learn(new, decoded)
-            size = sum(map(len, ids)) + sum(map(len, ids.values())) + sum(map(len, shown.values())) + 250 * len(ids)
-            if self.cached + size > self.cache_bytes:
-                self.ids = {c: self.ids[c] for c in chunks if c in self.ids} | ids
-                self.texts = {c: self.texts[c] for c in chunks if c in self.texts} | shown
-                self.cached = 0
-            else:
-                self.ids.update(ids)
-                self.texts.update(shown)
-            self.cached += size
-        return list(map(self.ids.__getitem__, chunks)), list(map(self.texts.__getitem__, chunks)) if decoded else []
+            self.decoded = decoded
+            self._forget()
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
+        new = at < 0
+        if new.any():
+            fresh = words.filter(pa.array(new))
+            ids, texts = self._learn(fresh, decoded)
+            if sum(x.nbytes for x in (self.words, self.ids, self.texts, fresh, ids, texts)) > self.cache_bytes:
+                held = pa.array(at[~new])
+                self.words, self.ids, self.texts = self.words.take(held), self.ids.take(held), self.texts.take(held) if decoded else self.texts
+                at[~new] = np.arange(len(held))
+            at[new] = np.arange(len(self.words), len(self.words) + len(fresh))
+            self.words, self.ids, self.texts = (pa.concat_arrays(x) for x in ((self.words, fresh), (self.ids, ids), (self.texts, texts)))
+        return at
 
     def _encode_plain(self, texts: list[str], decoded: bool) -> list[tuple[bytes, bytes]]:
-        """Texts without special tokens: their distinct chunks are encoded, then dealt out to the texts."""
-        lists = pc.ascii_split_whitespace(pa.array([self._normal(t) for t in texts], pa.large_string()))
-        coded = lists.flatten().dictionary_encode()
-        ids, shown = self._known(coded.dictionary.to_pylist(), decoded)
-        word = coded.indices.to_numpy()
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = np.cumsum(size) - size
-        many = size[word]
-        done = np.concatenate(([0], np.cumsum(many)))
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[word] - done[:-1], many) + np.arange(done[-1])].tobytes()
-        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        cuts = (4 * done[bounds]).tolist()
-        out = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        if not decoded:
-            return [(a, b"") for a in out]
-        bounds, word = bounds.tolist(), word.tolist()
-        return [(a, b" ".join([x for i in word[p:q] if (x := shown[i])])) for a, p, q in zip(out, bounds, bounds[1:], strict=False)]
+        """Normal texts without special tokens: their distinct words are encoded, then dealt out to the texts."""
+        words, bounds = split_words(texts)
+        coded = words.dictionary_encode()
+        word = pa.array(self._known(coded.dictionary, decoded)).take(coded.indices)
+        data, offsets = _parts(self.ids.take(word))
+        data, cuts = data.tobytes(), offsets[bounds].tolist()
+        shown = _joined(bounds, self.texts.take(word)).to_pylist() if decoded else [b""] * len(texts)
+        return [(data[a:b], x) for a, b, x in zip(cuts, cuts[1:], shown, strict=False)]
 
     def encode_batch(self, texts: list[str | None], decoded: bool = True) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian 32-bit integers, and its decoded text in UTF-8."""
-        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and "<|" not in t]
-        if plain:
-            for i, found in zip(plain, self._encode_plain([texts[i] for i in plain], decoded), strict=True):
-                out[i] = found
+        out: list[list[tuple[bytes, bytes]]] = [[] for _ in texts]
+        waiting, size = [], 0
+
+        def flush() -> None:
+            for (i, k, _), found in zip(waiting, self._encode_plain([t for _, _, t in waiting], decoded), strict=True):
+                out[i][k] = found
+            waiting.clear()
+
         for i, t in enumerate(texts):
-            if t and "<|" in t:  # a special token's own string cuts the text before all else
-                parts = self.special_split.split(t)
-                found = [(self.special[p].to_bytes(4, "little"), p.encode()) if k % 2 else self._encode_plain([p], decoded)[0] for k, p in enumerate(parts)]
-                out[i] = b"".join([a for a, _ in found]), b" ".join([b for _, b in found if b]) if decoded else b""
-        return out
+            # A special token's own string cuts the text before all else; then long texts are cut at a space.
+            for p, part in enumerate(self.special_split.split(t) if t and "<|" in t else [t or ""]):
+                if p % 2:
+                    out[i].append((self.special[part].to_bytes(4, "little"), part.encode()))
+                    continue
+                part, at = self._normal(part), 0
+                while at < len(part):
+                    to = len(part) if len(part) - at <= _STRETCH or (cut := part.find(" ", at + _STRETCH)) < 0 else cut
+                    waiting.append((i, len(out[i]), part[at:to]))
+                    out[i].append((b"", b""))
+                    size, at = size + to - at, to
+                    if size >= _STRETCH:
+                        flush()
+                        size = 0
+        flush()
+        return [x[0] if len(x) == 1 else (b"".join([a for a, _ in x]), b" ".join([b for _, b in x if b])) for x in out]
 
     def decode(self, ids: np.ndarray) -> str:
         """Token texts joined by a space, special tokens included, as the vocabulary has no decoder."""

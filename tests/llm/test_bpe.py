@@ -1,12 +1,14 @@
 import hashlib
 import random
+import sys
 import unicodedata
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from logsieve.llm.bpe import WordBpe, default_path, digests, encode_documents
+from logsieve.llm import bpe as module
+from logsieve.llm.bpe import WORDS, WordBpe, default_path, digests, encode_documents, split_words
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +82,42 @@ def test_edge_rows(spark):
     got = sorted((r.doc_id or 0, len(r.ids) // 4, r.decoded) for r in encode_documents(docs).collect())
     assert got == [(0, 2, "hello</w> hello</w>"), (1, 0, ""), (1, 0, ""), (2, 2, "hello</w> hello</w>"), (2, 2, "hello</w> hello</w>")]
     assert digests(docs.limit(0)).count() == 0
+
+
+def test_words_are_what_the_pattern_finds(library):
+    rnd = random.Random(5)
+    texts = ["", "'", "'s", " '", "''s", "'s's 'sst'll'l'llll !'ve've' s 'r e'\n'", *("".join(rnd.choices("'''stmdrevla1\xb2\xe9!\u2014\x85\xa0\u2003\x1c\u6f22\U0001f600\u0301 \n", k=rnd.randrange(30))) for _ in range(20_000))]
+    words, bounds = split_words(texts)
+    found = [w.decode() for w in words.to_pylist()]
+    assert [found[a:b] for a, b in zip(bounds, bounds[1:])] == [WORDS.findall(t) for t in texts]
+    same(library, texts[:3000])
+
+
+def test_long_texts_are_cut_at_spaces(library, monkeypatch):
+    monkeypatch.setattr(module, "_STRETCH", 40)
+    rnd = random.Random(6)
+    same(library, ["".join(rnd.choices("abcé'.\n ", k=rnd.randrange(400))) + rnd.choice(["", "<|endoftext|>", "<|endoftext|>it's " * 9]) for _ in range(200)])
+    same(library, ["x" * 100 + " y" * 100, " " * 90, "\u2003" * 90, "<|endoftext|>" * 3 + " " * 50 + "<|endoftext|>"])
+
+
+def test_python_does_not_handle_single_words():
+    """The calls made for a batch depend on its texts, not on how many different words it has."""
+    rnd = random.Random(7)
+    made = ["".join(rnd.choices("abcdefgh", k=5)) + f"-{n}." for n in range(20_000)]
+
+    def calls(words):
+        bpe, n = WordBpe(default_path()), 0
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            bpe.encode_batch([" ".join(words)], decoded=False)
+        finally:
+            sys.setprofile(None)
+        return n
+
+    WordBpe(default_path()).encode_batch(["a"])  # tables that are built once
+    assert calls(made) < 2 * calls(made[:500])
