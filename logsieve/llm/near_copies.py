@@ -20,6 +20,10 @@ another, so no pair is passed over because its bucket is large:
   of ``SLOTS``, over all such members, so what many share comes last. A shingle in somebody's rarest ninth is
   treated as a bucket was, blocks included: exact, and quadratic only in members outside the largest group
   whose rarest ninth is common as well. Pages of one frame have it in common only if they are similar.
+
+Only groups are asked for, and most pairs of a large group of near copies are similar. So a task compares all
+pairs of its blocks, but hands on a forest of them: enough similar pairs to connect what all of them connect,
+fewer than the groups that the task has met.
 """
 
 from __future__ import annotations
@@ -157,10 +161,30 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return both >= SIMILARITY * (sizes[: len(left), None] + sizes[None, len(left) :] - both)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links a[i]-b[i] that connect the same ends as all of them, without a circle."""
+    _, places = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1, return_index=True)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    kept = []
+    for k, x, y in zip(places.tolist(), a[places].tolist(), b[places].tolist(), strict=True):
+        if (x := top(x)) != (y := top(y)):
+            above[x] = y
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
 def _among_blocks(told: DataFrame, rows: DataFrame) -> DataFrame:
-    """The similar pairs (u, v) of different roots within each key of (key, node, root, n, n_top, top).
+    """Similar pairs (u, v) that connect all roots with a similar pair within a key of (key, node, root, n, n_top, top).
 
-    The first blocks hold the largest root, ``top``; no two of them are held against one another.
+    Each task gives a forest over the roots of its two blocks, so its rows grow with its members, not with their
+    pairs. The first blocks hold the largest root, ``top``; no two of them are held against one another.
     """
     of_top, outside = F.ceil(F.col("n_top") / BLOCK_MEMBERS).cast("int"), F.ceil((F.col("n") - F.col("n_top")) / BLOCK_MEMBERS).cast("int")
     in_top, at = F.col("root") == F.col("top"), F.xxhash64("node")
@@ -176,9 +200,9 @@ def _among_blocks(told: DataFrame, rows: DataFrame) -> DataFrame:
         sets = {n: shingles(_words(t), known) for n, t in zip(part.node, part.text, strict=True)}
         found = similar_pairs([sets[n] for n in first.node], [sets[n] for n in second.node]) if len(first) and len(second) else np.zeros((0, 0), bool)
         a, b = np.nonzero(found)
-        u, v = first.node.to_numpy()[a], second.node.to_numpy()[b]
-        apart = first.root.to_numpy()[a] != second.root.to_numpy()[b]
-        return pd.DataFrame({"u": np.minimum(u, v)[apart], "v": np.maximum(u, v)[apart]}).drop_duplicates()
+        kept = forest(first.root.to_numpy()[a], second.root.to_numpy()[b])
+        u, v = first.node.to_numpy()[a[kept]], second.node.to_numpy()[b[kept]]
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
     return texts.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
 
@@ -238,7 +262,7 @@ def _listed(told: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, roots: DataFrame, rows: DataFrame, stars: DataFrame) -> DataFrame:
-    """The similar pairs (u, v) in different groups among the members of each bucket."""
+    """Similar pairs (u, v) that connect all groups with a similar pair among the members of a bucket."""
     told = materialize(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "told")
     told = _mixed(told)
     many, outside = F.col("n") > PAIR_LIMIT, F.col("n") - F.col("n_top")

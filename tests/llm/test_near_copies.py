@@ -120,3 +120,38 @@ def test_pages_of_one_frame(spark, monkeypatch):
     kept = {r.doc_id for r in keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
     assert kept == set(range(400))
     assert [t.count() for t in seen[1:]] == [0]  # many buckets are too crowded for blocks, no shingle is
+
+
+def test_forest_connects_what_all_links_do():
+    """As many links as ends less components, whatever repeats, loops and directions are among them."""
+    draw = np.random.default_rng(7)
+    for ends, n in ((1, 3), (5, 0), (8, 4), (40, 25), (40, 400), (1000, 900)):
+        a, b = draw.integers(0, ends, (2, n))
+
+        def parts(places, a=a, b=b, ends=ends):
+            of = list(range(ends))
+            for x, y in zip(a[places].tolist(), b[places].tolist(), strict=True):
+                of = [of[x] if z == of[y] else z for z in of] if of[x] != of[y] else of
+            return [of.index(z) for z in of]
+
+        kept = N.forest(a, b)
+        assert parts(kept) == parts(np.arange(n)) and len(kept) == ends - len(set(parts(kept)))
+
+
+def test_rows_of_a_crowded_key_grow_with_its_members(spark):
+    """Copies that are all similar, some of one group already: the rows connect them all and are no list of pairs."""
+    rnd = random.Random(12)
+    base = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(400)]
+    for n in (150, 600):
+        outside, texts = min(n // 3, 200), []
+        for k in range(n):
+            words = list(base)
+            words[k % 400] = f"w{k}"
+            texts.append((k, " ".join(words)))
+        root = lambda k: 0 if k >= outside else k + 1000  # noqa: B023, E731  the last of them are one group
+        told = spark.createDataFrame([(1, k, root(k), n, n - outside, 0) for k in range(n)], "key long, node long, root long, n long, n_top long, top long")
+        found = N._among_blocks(told, spark.createDataFrame(texts, "row long, text string")).collect()
+        assert len(found) <= 4 * n
+        assert all(N.similarity(*(N.shingles(N._words(texts[x][1].encode())) for x in pair)) >= 0.8 for pair in found)
+        ends = np.array([[root(r.u), root(r.v)] for r in found])
+        assert len(N.forest(*ends.T)) == outside  # the groups become one
