@@ -58,10 +58,11 @@ def _steps(path: list[str]) -> str:
     return "$" + "".join(f"['{p}']" for p in path)
 
 
-def resolve(field: str, columns: list[str]) -> Field | None:
+def resolve(field: str, columns: list[str], text: Column | None = None, kind: Column | None = None) -> Field | None:
     """The field of a rule on a table with these columns; None if there is no such field.
 
-    Paths go into request, response, resources and raw by object keys only: a number is a key, too.
+    Paths go into request, response, resources and raw by object keys only: a number is a key, too. ``text`` and
+    ``kind`` are what a path was found to hold, if it has been looked up.
     """
     name, *path = field.split(".")
     if name not in columns or any(not p or "'" in p for p in path):
@@ -76,10 +77,10 @@ def resolve(field: str, columns: list[str]) -> Field | None:
         return None
     if name not in JSON_COLUMNS:
         return None
-    text = F.get_json_object(F.col(name), _steps(path))
+    text = F.get_json_object(F.col(name), _steps(path)) if text is None else text
     body = F.col(f"{name}_v") if f"{name}_v" in columns else F.try_parse_json(F.col(name))
     value = F.try_variant_get(body, _steps(path), "variant")
-    kind = F.schema_of_variant(value)
+    kind = F.schema_of_variant(value) if kind is None else kind
     container = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
     rendered = F.when((text.startswith("{") | text.startswith("[")) & container, F.to_json(value)).otherwise(text)
     return Field(rendered, kind=kind, quick=text)

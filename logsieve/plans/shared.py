@@ -3,10 +3,12 @@
 ``compile`` makes an expression of each rule, which every row goes through. Here a rule set becomes a small table:
 
 * Each rule has a *cover*: atoms of which one holds wherever the rule matches. An atom is a value that a field
-  equals, or a text that a field holds. Of the parts of a conjunction the one with the fewest atoms is taken; rules
-  that no atom covers have the atom that every row has.
-* A row's atoms are the values of its fields, and what one multi-literal pattern (a trie of all texts looked for, in
-  lower case, tried at every place) finds in them. They meet the index, atom → rules, in a broadcast hash join.
+  equals, or a text that a field begins with, ends with or holds. Of the parts of a conjunction the one is taken
+  whose atoms fewest values hold, as far as the values that all rules name can tell; rules that no atom covers have
+  the atom that every row has.
+* A row's atoms are the values of its fields, and what multi-literal patterns (a trie of all texts looked for, in
+  lower case, tried at the start, at the end from behind, or at every place) find in them. They meet the index,
+  atom → rules, in a broadcast hash join. What tests ask of a field is read once a row, before that.
 * What is left, a row with a rule that may match, is decided by the rule's tests and clauses, which a second broadcast
   join adds: higher-order functions over arrays, the same for all rules. A rule that several atoms propose is decided
   at the first of them.
@@ -18,10 +20,12 @@ those of ``compile``: tests hold the one against the other.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
+from math import fsum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ MOST_CLAUSES = 64
 #: Texts of one character would be found nearly everywhere.
 SHORTEST_NEEDLE = 2
 EVERY = "*"
+#: Bytes for each core, as Spark's statistics know them, below which a table may come in too few parts to keep the cores busy.
+PART_BYTES = 128 << 20
 
 #: (test, holds): one that is wanted or, negated, isn't.
 Literal = tuple[int, bool]
@@ -116,19 +122,42 @@ def _resolved(rules: list[Rule], columns: list[str]) -> dict[str, Field | None]:
     return {f: resolve(f, columns) for f in {t.field for r in rules for t in r.tests}}
 
 
-def cover(rule: Rule, conditions: list[Clause], columns: list[str], known: dict[str, Field | None] | None = None) -> frozenset[Atom] | None:
-    """The smallest set of atoms that one clause of the rule allows for; None if none does."""
-    known = _resolved([rule], columns) if known is None else known
+def shares(rules: list[Rule]) -> Callable[[Atom], float]:
+    """The share of values that hold an atom, estimated from the texts that the rules name for its field."""
+    named: dict[str, set[str]] = {}
+    for t in (t for r in rules for t in r.tests):
+        if t.operator == "in" or t.operator == "==" or t.operator in TEXTUAL:
+            named.setdefault(t.field, set()).update(str(v).lower() if isinstance(v, bool) else v.translate(_FOLD) for v in (t.value if t.operator == "in" else [t.value]) if isinstance(v, (str, bool)))
+    sides = {f: (sorted(texts), sorted(x[::-1] for x in texts)) for f, texts in named.items()}
+
+    def share(atom: Atom) -> float:
+        kind, field, text = atom
+        starts, ends = sides[field]
+        begun = lambda held, x: bisect_right(held, x, key=lambda y: y[: len(x)]) - bisect_left(held, x)
+        n = 1 if kind == "=" else max(1, begun(starts, text) + begun(ends, text[::-1]) - 1)
+        return n / (len(starts) + 1)
+
+    return share
+
+
+def cover(rule: Rule, conditions: list[Clause], columns: list[str], known: dict[str, Field | None] | None = None, share: Callable[[Atom], float] | None = None) -> frozenset[Atom] | None:
+    """The set of atoms, of those that one clause of the rule allows for, that fewest values hold; None if there is none."""
+    known, share = _resolved([rule], columns) if known is None else known, share or shares([rule])
     found: list[frozenset[Atom]] = []
     for clause in conditions:
         parts = [atoms_of(rule.tests[i], known[rule.tests[i].field]) if holds else None for i, holds in clause]
         if all(p is not None for p in parts):
             found.append(frozenset().union(*parts))
-    return min(found, key=lambda a: (len(a), sum(kind == "~" for kind, *_ in a), sorted(a)), default=None)
+    return min(found, key=lambda a: (fsum(map(share, a)), len(a), sum(kind == "~" for kind, *_ in a), sorted(a)), default=None)
 
 
 def trie_pattern(needles: list[str]) -> str:
     """A pattern that at every place of a text gives the longest needle that begins there, as its first group."""
+    return f"(?=({_trie(needles)}))"
+
+
+def _trie(needles: list[str]) -> str:
+    """A pattern for the longest of the needles at a place."""
 
     def make(words: list[str]) -> str:
         by: dict[str, list[str]] = {}
@@ -141,7 +170,7 @@ def trie_pattern(needles: list[str]) -> str:
         body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
         return f"(?:{body})?+" if "" in words else body
 
-    return f"(?=({make(sorted(set(needles)))}))"
+    return make(sorted(set(needles)))
 
 
 def _quoted(sign: str) -> str:
@@ -150,7 +179,16 @@ def _quoted(sign: str) -> str:
 
 def _name(atom: Atom, places: dict[str, int]) -> str:
     kind, field, text = atom
-    return f"{kind}{places[field]}:{text}"
+    return f"{kind}{places[field]}:{text[::-1] if kind == '$' else text}"
+
+
+def _placed(atom: Atom, rule: Rule) -> Atom:
+    """The atom with the place where the rule's tests look for its text: only at the start ("^"), only at the end ("$"), or anywhere ("~")."""
+    kind, field, text = atom
+    if kind == "=":
+        return atom
+    asked = {t.operator.removeprefix("i") for t in rule.tests if t.field == field and t.operator in TEXTUAL and isinstance(t.value, str) and t.value.translate(_FOLD) == text}
+    return ("^" if asked == {"startswith"} else "$" if asked == {"endswith"} else "~", field, text)
 
 
 @dataclass
@@ -160,9 +198,9 @@ class RuleIndex:
     atoms: list[tuple[str, list[int]]]
     rules: list[tuple]
     fields: list[str]
-    #: Fields whose values are atoms, and the texts looked for in others.
+    #: Fields whose values are atoms, and by place and field the texts looked for.
     equal: list[str]
-    needles: dict[str, list[str]]
+    needles: dict[tuple[str, str], list[str]]
     #: Fields whose kind of value some test asks for.
     kinds: set[str]
     left: list[Rule]
@@ -170,7 +208,7 @@ class RuleIndex:
 
 def index(rules: list[Rule], columns: list[str]) -> RuleIndex:
     """The index of a rule set for a table with these columns. Rules that never match are left out."""
-    kept, left, known = [], [], _resolved(rules, columns)
+    kept, left, known, share = [], [], _resolved(rules, columns), shares(rules)
     for rule in rules:
         try:
             own = clauses(rule)
@@ -178,7 +216,8 @@ def index(rules: list[Rule], columns: list[str]) -> RuleIndex:
             left.append(rule)
             continue
         if frozenset() not in own:
-            kept.append((rule, own, cover(rule, own, columns, known)))
+            held = cover(rule, own, columns, known, share)
+            kept.append((rule, own, held if held is None else {_placed(a, rule) for a in held}))
     fields = sorted({t.field for r, *_ in kept for t in r.tests if known[t.field] is not None})
     places = {f: i for i, f in enumerate(fields)}
     numbers: dict[str, set[int]] = {}
@@ -188,18 +227,18 @@ def index(rules: list[Rule], columns: list[str]) -> RuleIndex:
         for name in names:
             numbers.setdefault(name, set()).add(number)
         tests = [_told(t, places, known[t.field]) for t in rule.tests]
-        rows.append((number, (rule.id, rule.log_type, names, [n for n in names if n[0] == "~"], tests, [[(i, holds) for i, holds in sorted(c)] for c in own])))
+        rows.append((number, (rule.id, rule.log_type, names, [n for n in names if n[0] in "~^$"], tests, [[(i, holds) for i, holds in sorted(c)] for c in own])))
     covered = {a for *_, held in kept for a in held or ()}
-    needles: dict[str, list[str]] = {}
+    needles: dict[tuple[str, str], list[str]] = {}
     for kind, field, text in sorted(covered):
-        if kind == "~":
-            needles.setdefault(field, []).append(text)
-    for field, texts in needles.items():
+        if kind != "=":
+            needles.setdefault((kind, field), []).append(text)
+    for (kind, field), texts in needles.items():
         whole = set(texts)
-        for long in texts:  # a longer needle found at a place stands for all that it begins with
+        for long in texts:  # a longer needle found at a place stands for all that it begins with, or ends with at the end
             for n in range(SHORTEST_NEEDLE, len(long)):
-                if long[:n] in whole:
-                    numbers[_name(("~", field, long), places)] |= numbers[_name(("~", field, long[:n]), places)]
+                if (short := long[-n:] if kind == "$" else long[:n]) in whole:
+                    numbers[_name((kind, field, long), places)] |= numbers[_name((kind, field, short), places)]
     kinds = {t.field for r, *_ in kept for t in r.tests if _needs_kind(t) or _renders(t)}
     return RuleIndex([(a, sorted(n)) for a, n in sorted(numbers.items())], rows, fields, sorted({f for kind, f, _ in covered if kind == "="}), needles, kinds, left)
 
@@ -234,17 +273,42 @@ def _told(t: Test, places: dict[str, int], found: Field | None) -> tuple:
     return (places[t.field], op, text, number, flag, among, rendered, typed)
 
 
-def _facts(field: str, columns: list[str], kinds: set[str]) -> Column:
+def _facts(f: Field, typed: bool) -> Column:
     """What tests may ask of a field."""
-    f = resolve(field, columns)
     none = lambda kind: F.lit(None).cast(kind)
-    typed = f.kind is not None and field in kinds
     kind = f.kind if typed else none("string")
     number = F.coalesce(f.kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False)) if typed else F.lit(False)
     text = f.text if typed or f.kind is None else f.quick
     return F.struct(text.alias("text"), f.quick.alias("quick"), (F.coalesce(kind == "STRING", F.lit(False))).alias("string"), number.alias("numeric"), f.number.alias("number"), (f.flag if f.flag is not None else none("boolean")).alias("flag"), F.lit(f.flag is not None).alias("flagged"))
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with columns that are computed here: else the optimizer puts them where they are computed again and again."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
+def with_facts(events: DataFrame, found: RuleIndex) -> DataFrame:
+    """``events`` with ``facts`` of each field of the index. A path is looked up once a row."""
+    columns = events.columns
+    fields = {f: resolve(f, columns) for f in found.fields}
+    typed = {f: x.kind is not None and f in found.kinds for f, x in fields.items()}
+    names = {f: f"_path{i}" for i, f in enumerate(found.fields) if fields[f].kind is not None}
+    if names:
+        events = _once(events, *[fields[f].quick.alias(n) for f, n in names.items()], *[fields[f].kind.alias(f"{n}_kind") for f, n in names.items() if typed[f]])
+        fields |= {f: resolve(f, columns, F.col(n), F.col(f"{n}_kind") if typed[f] else None) for f, n in names.items()}
+    facts = F.array(*[_facts(fields[f], typed[f]) for f in found.fields]) if found.fields else F.array().cast("array<struct<text:string,quick:string,string:boolean,numeric:boolean,number:double,flag:boolean,flagged:boolean>>")
+    return _once(events, facts.alias("facts")).drop(*names.values(), *[f"{n}_kind" for n in names.values()])
+
+
+def dealt(events: DataFrame) -> DataFrame:
+    """``events`` dealt out to all cores if they are few bytes: a small file is one task's, but its rows may meet many rules."""
+    if events.isStreaming:
+        return events
+    cores = events.sparkSession.sparkContext.defaultParallelism
+    size = int(str(events._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return events.repartition(2 * cores, "event_id") if "event_id" in events.columns and size < cores * PART_BYTES else events
+
+
 def _holds(t: Column, facts: Column) -> Column:
     """Whether a test, as a row, holds for the facts of a row's fields; never null."""
     f = F.get(facts, t["place"])
@@ -270,18 +334,22 @@ def _holds(t: Column, facts: Column) -> Column:
 
 
 def candidates(events: DataFrame, found: RuleIndex) -> DataFrame:
-    """``events`` with each rule of the index that may match them, as ``rule``."""
+    """``events`` with facts, with each rule of the index that may match them, as ``rule``."""
     columns, spark = events.columns, events.sparkSession
     named = lambda kind, field: F.lit(f"{kind}{found.fields.index(field)}:")
-    atoms = [F.array(F.lit(EVERY)), *[F.array(F.concat(named("=", f), resolve(f, columns).quick)) for f in found.equal]]
-
-    def met_in(field: str, needles: list[str]) -> Column:
-        prefix = named("~", field)
-        met = F.regexp_extract_all(_ascii_lower(resolve(field, columns).text), F.lit(trie_pattern(needles)), F.lit(1))
+    fact = lambda field: F.get("facts", F.lit(found.fields.index(field)))
+    atoms = [F.array(F.lit(EVERY)), *[F.array(F.concat(named("=", f), fact(f)["quick"])) for f in found.equal]]
+
+    def met_in(kind: str, field: str, needles: list[str]) -> Column:
+        prefix, text = named(kind, field), _ascii_lower(fact(field)["text"])
+        if kind != "~":
+            text, needles = (text, needles) if kind == "^" else (F.reverse(text), [x[::-1] for x in needles])
+            return F.array(F.concat(prefix, F.regexp_extract(text, f"\\A({_trie(needles)})", 1)))
+        met = F.regexp_extract_all(text, F.lit(trie_pattern(needles)), F.lit(1))
         return F.transform(F.coalesce(met, F.array().cast("array<string>")), lambda x: F.concat(prefix, x))
 
-    atoms += [met_in(f, n) for f, n in found.needles.items()]
-    rows = events.withColumn("atoms", F.array_distinct(F.concat(*atoms)))
+    atoms += [met_in(*at, n) for at, n in found.needles.items()]
+    rows = _once(events, F.array_distinct(F.concat(*atoms)).alias("atoms"))
     # The tables grow with the rules that someone wrote, not with the events.
     met = rows.select("*", F.explode("atoms").alias("atom")).join(F.broadcast(spark.createDataFrame(found.atoms, ATOMS)), "atom")
     met = met.select("*", F.explode("numbers").alias("number")).drop("numbers").join(F.broadcast(spark.createDataFrame(found.rules, RULES)), "number")
@@ -295,15 +363,10 @@ def candidates(events: DataFrame, found: RuleIndex) -> DataFrame:
 def evaluate_index(events: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[Rule]]:
     """(``events`` with ``rule_id`` for every match, rules left to the compiler)."""
     found = index(rules, events.columns)
-    events = with_variants(events, {f.split(".", 1)[0] for f in found.kinds})
-    columns = events.columns
     if not found.rules:
         return events.select("*", F.lit("").alias("rule_id")).where("false"), found.left
-    facts = F.array(*[_facts(f, columns, found.kinds) for f in found.fields]) if found.fields else F.array().cast("array<struct<text:string,quick:string,string:boolean,numeric:boolean,number:double,flag:boolean,flagged:boolean>>")
-    met = candidates(events, found)
-    once = lambda df, c, name: df.select("*", F.inline(F.array(F.struct(c.alias(name)))))  # noqa: E731  else the optimizer puts it where it is computed again and again
-    met = once(met, facts, "facts")
-    met = once(met, F.transform(F.col("rule.tests"), lambda t: _holds(t, F.col("facts"))), "held")
+    events = with_variants(dealt(events), {f.split(".", 1)[0] for f in found.kinds})
+    met = candidates(with_facts(events, found), found)
+    met = _once(met, F.transform(F.col("rule.tests"), lambda t: _holds(t, F.col("facts"))).alias("held"))
     matched = F.forall(F.col("rule.clauses"), lambda c: F.exists(c, lambda x: F.get(F.col("held"), x["test"]) == x["holds"]))
     return met.where(matched).withColumn("rule_id", F.col("rule.rule_id")).drop("rule", "facts", "held"), found.left
-

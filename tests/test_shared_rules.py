@@ -110,3 +110,16 @@ def test_the_plan_does_not_grow_with_the_rules(spark, events):
         df, _ = S.evaluate_index(canonical(events), rules)
         sizes.append(len(re.sub(r"#\d+", "", df._jdf.queryExecution().optimizedPlan().toString())))
     assert sizes[1] < 1.2 * sizes[0]
+
+
+def test_a_row_meets_the_rules_of_its_rarest_value(spark, tmp_path):
+    rules = numbered([f'event_name == "{"abcde"[i % 5]}" and identity_arn {op} "{text}"' for i in range(50) for op, text in (("endswith", f"/{i}"), ("startswith", f"{i}/"), ("==", f"/{i}/"))])
+    events = canonical(spark.createDataFrame([(0, "a", "/10/"), (1, "a", "x/15"), (2, "b", "11/x"), (3, "c", "x/12x"), (4, "d", "x13/x"), (5, "e", "14")], "event_id long, event_name string, identity_arn string").coalesce(1))
+    found = S.index(rules, events.columns)
+    assert max(len(n) for _, n in found.atoms) <= 3
+    met = S.candidates(S.with_facts(events, found), found).select("event_id", "rule.rule_id").collect()
+    assert sorted((r.event_id, rules[int(r.rule_id[1:])].tests[1].value) for r in met) == [(0, "/10/"), (1, "/15"), (2, "11/")]
+    events.write.parquet(str(tmp_path / "events"))
+    hits = S.evaluate_index(spark.read.parquet(str(tmp_path / "events")), rules)[0]
+    assert hits.rdd.getNumPartitions() > 1, "a small table is one task's"
+    assert sorted((r.event_id, rules[int(r.rule_id[1:])].tests[1].value) for r in hits.collect()) == [(0, "/10/"), (1, "/15"), (2, "11/")]
