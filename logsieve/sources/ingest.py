@@ -26,7 +26,7 @@ from logsieve.sources.json_stream import documents
 from logsieve.sources.mapping import FieldMap
 from logsieve.sources.normalize import alb_event, audit_event, json_event
 from logsieve.sources.remote import in_tasks
-from logsieve.sources.splits import BATCH_ROWS, Part, line_blocks, parquet_blocks, text_pieces
+from logsieve.sources.splits import BATCH_ROWS, Footers, Part, line_blocks, parquet_blocks, text_pieces
 
 COLUMNS = [f.split(" ")[0] for f in EVENTS.split(", ")]
 OUTCOME = "file_status string, file_note string, malformed long"
@@ -76,7 +76,7 @@ def line_event(line: str, log_type: str, wanted: frozenset[str] | None = None) -
     return alb_event(line, wanted) if log_type == "alb_access" else json_event(line, log_type, wanted)
 
 
-def read_events(path: str, log_type: str, file: BinaryIO, mapping: FieldMap, outcome: Outcome, part: Part | None = None, wanted: frozenset[str] | None = None) -> Iterator[dict[str, Any]]:
+def read_events(path: str, log_type: str, file: BinaryIO, mapping: FieldMap, outcome: Outcome, part: Part | None = None, wanted: frozenset[str] | None = None, footers: Footers | None = None) -> Iterator[dict[str, Any]]:
     """Events of a file, or of one part of it, in stream order; ``outcome`` is filled in as it goes.
 
     Only ``wanted`` columns are built. Files that aren't read by line have their first part only.
@@ -89,7 +89,7 @@ def read_events(path: str, log_type: str, file: BinaryIO, mapping: FieldMap, out
         if lines:
             # Every non-empty line takes a number, malformed ones too.
             i = 0
-            for block in parquet_blocks(file, part) if parquet else line_blocks(file, part):
+            for block in parquet_blocks(file, part, footers) if parquet else line_blocks(file, part):
                 for line in block:
                     event = line_event(line, log_type, wanted)
                     if event is None:
@@ -113,14 +113,14 @@ def read_events(path: str, log_type: str, file: BinaryIO, mapping: FieldMap, out
         outcome.note = f"{outcome.malformed} malformed records"
 
 
-def file_rows(part: Part, content: bytes | None, mapping: FieldMap, opener: str | None = None, wanted: frozenset[str] | None = None, log_type: str | None = None) -> Iterator[dict[str, Any]]:
+def file_rows(part: Part, content: bytes | None, mapping: FieldMap, opener: str | None = None, wanted: frozenset[str] | None = None, log_type: str | None = None, footers: Footers | None = None) -> Iterator[dict[str, Any]]:
     """Events of a part, then a row with its outcome. Never fails: a file that can't be opened has an outcome that says so."""
     outcome, file_id = Outcome(), part.file_id
     log_type = log_type or detected(part.path, content, opener).log_type
     shown = "cloudtrail" if log_type == "unknown" else log_type
     try:
         with opened(part.path, content, opener) as file:
-            for event in read_events(part.path, log_type, file, mapping, outcome, part, wanted):
+            for event in read_events(part.path, log_type, file, mapping, outcome, part, wanted, footers):
                 event["event_id"], event["file_id"], event["log_type"] = file_id << 32 | event["record_index"], file_id, shown
                 yield event
     except Exception as error:  # such as a file that is gone

@@ -21,6 +21,7 @@ import json
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -124,37 +125,38 @@ class _Reading:
 
     def read(self, partition: LogPartition) -> Iterator[pa.RecordBatch]:
         run = {"events": self._events, "extents": self._extents, "blocks": self._blocks}[self.options.get("what", "events")]
-        yield from batches_of((row for part in partition.parts for row in run(part)), arrow_schema(self.columns))
+        footers = splits.Footers()
+        rows = (row for path, parts in groupby(partition.parts, key=lambda p: p.path) for kind in [detected(path, None, self.opener).log_type] for part in parts for row in run(part, kind, footers))
+        yield from batches_of(rows, arrow_schema(self.columns))
 
-    def _events(self, part: Part) -> Iterator[dict]:
-        kind, types = detected(part.path, None, self.opener).log_type, self.only.get("log_type")
+    def _events(self, part: Part, kind: str, footers: splits.Footers) -> Iterator[dict]:
+        types = self.only.get("log_type")
         if types is not None and ("cloudtrail" if kind == "unknown" else kind) not in types and not self.told:
             return
-        for row in file_rows(part, None, FieldMap(self.overrides), self.opener, self.wanted, kind):
+        for row in file_rows(part, None, FieldMap(self.overrides), self.opener, self.wanted, kind, footers):
             if "file_status" not in row or self.told:
                 row["part"] = part.number
                 yield row
 
-    def _extents(self, part: Part) -> Iterator[dict]:
-        kind, found, failed = detected(part.path, None, self.opener).log_type, Extent(), False
+    def _extents(self, part: Part, kind: str, footers: splits.Footers) -> Iterator[dict]:
+        found, failed = Extent(), False
         if by_line(kind):
             try:
                 with opened(part.path, None, self.opener) as file:
-                    found = splits.extent_of(file, part, is_parquet(part.path))
+                    found = splits.extent_of(file, part, is_parquet(part.path), footers)
             except Exception:  # the part is read again with its file, which then tells what is wrong
                 failed = True
         yield {"file_id": part.file_id, "part": part.number, "log_type": kind, "begin": found.begin, "end": found.end, "records": found.records, "failed": failed}
 
-    def _blocks(self, part: Part) -> Iterator[dict]:
+    def _blocks(self, part: Part, kind: str, footers: splits.Footers) -> Iterator[dict]:
         """Blocks of lines; records of an audit trail are lines of JSON. The last row tells how the file ended."""
-        kind = detected(part.path, None, self.opener).log_type
         row, first, end = {"file_id": part.file_id, "log_type": kind}, 0, {"file_status": "read", "file_note": None}
         if kind in ("cloudtrail_digest", "config_snapshot") or (is_parquet(part.path) and not by_line(kind)):
             end = {"file_status": "skipped", "file_note": "no supported log records"}
         else:
             try:
                 with opened(part.path, None, self.opener) as file:
-                    blocks = _record_blocks(file) if not by_line(kind) else splits.parquet_blocks(file, part) if is_parquet(part.path) else splits.line_blocks(file, part)
+                    blocks = _record_blocks(file) if not by_line(kind) else splits.parquet_blocks(file, part, footers) if is_parquet(part.path) else splits.line_blocks(file, part)
                     for block in blocks:
                         yield row | {"first": first, "lines": block}
                         first += len(block)

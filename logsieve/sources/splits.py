@@ -4,7 +4,8 @@ A file is planned as ranges of its compressed bytes, by its size alone. The task
 that begin in it: a member's three first bytes may also occur within another, so the first one found is
 decompressed to its checksum before it is believed. Lines belong to the range in whose text they begin: a range
 passes over what comes before its first line end and goes on, into members of the ranges behind it, to the end of
-the line that begins at its own end. Of a Parquet file a range has the row groups that begin in it.
+the line that begins at its own end. Of a Parquet file a range has the row groups that begin in it; a task
+reads the footer once, as it grows with the file.
 
 Whether ranges cover a file without a gap shows when each tells where its first member begins and its last one ends
 (``Extent``): the end of one has to be the beginning of the next. A file for which that doesn't hold is damaged or
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -58,14 +60,15 @@ def parts_of(file_id: int, path: str, size: int, split_bytes: int) -> list[Part]
 
 
 def packed(parts: list[Part], most_bytes: int, open_bytes: int = 1 << 20) -> list[list[Part]]:
-    """Parts in tasks of ``most_bytes`` or so; opening a file counts as ``open_bytes``."""
+    """Parts in tasks of ``most_bytes`` or so; opening a file counts as ``open_bytes``, once for its parts in a row."""
     out: list[list[Part]] = []
     held = most_bytes
     for p in parts:
-        cost = open_bytes + min(p.stop, p.size) - p.start
+        own = min(p.stop, p.size) - p.start
+        cost = own if out and out[-1][-1].path == p.path else open_bytes + own
         if held + cost > most_bytes:
             out.append([])
-            held = 0
+            held, cost = 0, open_bytes + own
         out[-1].append(p)
         held += cost
     return out
@@ -230,32 +233,57 @@ def text_pieces(file: BinaryIO) -> Iterator[str]:
 # Parquet ---------------------------------------------------------------------------------------------
 
 
-def _row_groups(table, part: Part) -> list[int]:
-    def begins(k: int) -> int:
-        column = table.metadata.row_group(k).column(0)
-        return column.dictionary_page_offset if column.has_dictionary_page else column.data_page_offset
+class Footer:
+    """What the footer of a Parquet file tells: where its row groups begin, and how many rows they have."""
 
-    return [k for k in range(table.num_row_groups) if part.start <= begins(k) < part.stop]
+    def __init__(self, file: BinaryIO):
+        import pyarrow.parquet as pq
+
+        self.metadata = pq.read_metadata(file)
+        self.rows: list[int] = []
+        begins = []
+        for k in range(self.metadata.num_row_groups):
+            group = self.metadata.row_group(k)
+            column = group.column(0)
+            begins.append((column.dictionary_page_offset if column.has_dictionary_page else column.data_page_offset, k))
+            self.rows.append(group.num_rows)
+        self.order = sorted(begins)
+
+    def groups(self, part: Part) -> list[int]:
+        """The row groups that begin in the part."""
+        first, last = (bisect_left(self.order, (at, -1)) for at in (part.start, part.stop))
+        return sorted(k for _, k in self.order[first:last])
+
+
+class Footers:
+    """The footer of the file that a task reads parts of: the last one is kept, so parts of a file in a row share it."""
 
+    def __init__(self) -> None:
+        self.path: str | None = None
+        self.footer: Footer | None = None
 
-def parquet_blocks(file: BinaryIO, part: Part) -> Iterator[list[str]]:
+    def of(self, file: BinaryIO, path: str) -> Footer:
+        if self.footer is None or self.path != path:
+            self.path, self.footer = path, Footer(file)
+        return self.footer
+
+
+def parquet_blocks(file: BinaryIO, part: Part, footers: Footers | None = None) -> Iterator[list[str]]:
     """Rows of the part's row groups as JSON lines."""
     import pyarrow.parquet as pq
 
-    table = pq.ParquetFile(file)
-    if groups := _row_groups(table, part):
-        for batch in table.iter_batches(BATCH_ROWS, row_groups=groups):
+    footer = (footers or Footers()).of(file, part.path)
+    if groups := footer.groups(part):
+        for batch in pq.ParquetFile(file, metadata=footer.metadata).iter_batches(BATCH_ROWS, row_groups=groups):
             yield [json.dumps(row, default=str, separators=(",", ":"), ensure_ascii=False) for row in batch.to_pylist()]
 
 
-def extent_of(file: BinaryIO, part: Part, parquet: bool) -> Extent:
+def extent_of(file: BinaryIO, part: Part, parquet: bool, footers: Footers | None = None) -> Extent:
     """Counts the lines of a part without looking into them; of Parquet the footer tells."""
     found = Extent()
     if parquet:
-        import pyarrow.parquet as pq
-
-        table = pq.ParquetFile(file)
-        found.records = sum(table.metadata.row_group(k).num_rows for k in _row_groups(table, part))
+        footer = (footers or Footers()).of(file, part.path)
+        found.records = sum(footer.rows[k] for k in footer.groups(part))
         found.begin, found.end = part.start, min(part.stop, part.size)
         return found
     for block in line_blocks(file, part, found):

@@ -9,6 +9,7 @@ import zlib
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql.types import StructType
 
 from logsieve.sources import splits as S
 from logsieve.sources.detect import detect_all, detected
@@ -257,6 +258,21 @@ def test_detection_fetches_the_ends_of_a_file_only(tmp_path, monkeypatch):
     assert found.records == 300_000
 
 
+def test_a_task_reads_a_file_s_footer_once(spark, tmp_path, monkeypatch):
+    rows = [{"requestedtimeutc": "2026-01-01 00:00:00", "httpmethod": "GET", "apipath": f"/p{i}", "memberid": i % 3, "sourceip": "192.0.2.1"} for i in range(4000)]
+    pq.write_table(pa.Table.from_pylist(rows), path := str(tmp_path / "rows.parquet"), row_group_size=20, compression="none")
+    size = os.path.getsize(path)
+    for what, most in (("extents", 2), ("events", 4)):
+        source = LogSource({"files": json.dumps([[0, path, size]]), "what": what, "splitBytes": "500", "opener": "tests.test_splits:counted"})
+        read = source.reader(StructType.fromDDL(source.schema()))
+        tasks = read.partitions()
+        assert len(tasks) == 1 and len(tasks[0].parts) > 400
+        monkeypatch.setenv("COUNTED", str(tmp_path / what))
+        table = pa.Table.from_batches(list(read.read(tasks[0])))
+        assert (sum(table["records"].to_pylist()) if what == "extents" else table.num_rows) == len(rows)
+        assert sum(map(int, open(tmp_path / what))) < most * size
+
+
 def test_a_preview_of_a_remote_file_fetches_its_head(spark, folder):
     from logsieve.sources.storage import Storage
 
