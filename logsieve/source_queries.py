@@ -47,9 +47,12 @@ def query(name: str, sql: str):
     return add
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("bucket", F.col("user_id") % 8)
+
+
 def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("bucket", F.col("user_id") % 8)
-    return events.repartition(8, "bucket").sortWithinPartitions("bucket", "event_id")
+    return _events(spark, sf_dir).repartition(8, "bucket").sortWithinPartitions("bucket", "event_id")
 
 
 def _folder(spark: SparkSession) -> str:
@@ -58,7 +61,8 @@ def _folder(spark: SparkSession) -> str:
 
 def _rows_folder(spark: SparkSession, sf_dir: str) -> str:
     """Gateway requests as Parquet with small row groups, a file a bucket."""
-    rows = _bucketed(spark, sf_dir).select(
+    dealt = _events(spark, sf_dir).repartitionById(8, F.col("bucket").cast("int"))  # a task a file: hashes of eight buckets meet in fewer
+    rows = dealt.sortWithinPartitions("bucket", "event_id").select(
         "bucket", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("requestedtimeutc"), F.lit("GET").alias("httpmethod"), F.concat(F.lit("/"), "event_type").alias("apipath"),
         (F.col("user_id") % 5).alias("memberid"), F.concat(F.lit("10.0.0."), "user_id").alias("sourceip"), F.sha2(F.col("event_id").cast("string"), 256).alias("requestbody"),
     )
@@ -78,7 +82,7 @@ def _lines_folder(spark: SparkSession, sf_dir: str) -> str:
 @query("source_parquet_parts", f"select (bucket << 32) | i as event_id, bucket as file_id, i as record_index, 'gateway_request' as log_type, '10.0.0.' || user_id as source_ip, case user_id % 5 when 0 then null else (user_id % 5)::varchar end as identity_name from {PLACED}")
 def source_parquet_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row groups of large Parquet files are parts; record numbers go through each file."""
-    found = ingest(spark, scan(spark, _rows_folder(spark, sf_dir)).candidates, split_bytes=SMALL_PARTS)
+    found = ingest(spark, scan(spark, _rows_folder(spark, sf_dir)).candidates, split_bytes=SMALL_PARTS, columns=["source_ip", "identity_name"])
     return found.where("file_status is null").select("event_id", "file_id", "record_index", "log_type", "source_ip", "identity_name")
 
 

@@ -29,6 +29,8 @@ from logsieve.sources.remote import in_tasks
 from logsieve.sources.splits import BATCH_ROWS, Footers, Part, line_blocks, parquet_blocks, text_pieces
 
 COLUMNS = [f.split(" ")[0] for f in EVENTS.split(", ")]
+#: Columns that are always built: what names an event, and what outcomes are told by.
+KEYS = ("event_id", "file_id", "record_index", "log_type")
 OUTCOME = "file_status string, file_note string, malformed long"
 #: Compressed bytes of a part of a large file.
 SPLIT_BYTES = 16 << 20
@@ -71,7 +73,14 @@ def by_line(log_type: str) -> bool:
     return log_type == "alb_access" or log_type in LINE_TYPES
 
 
-def line_event(line: str, log_type: str, wanted: frozenset[str] | None = None) -> dict[str, Any] | None:
+def built(columns: list[str] | None) -> str:
+    """The canonical columns as DDL: those asked for, and the keys; all if None."""
+    if unknown := set(columns or ()) - set(COLUMNS):
+        raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
+    return ", ".join(f for f in EVENTS.split(", ") if columns is None or (name := f.split(" ")[0]) in columns or name in KEYS)
+
+
+def line_event(line: str | dict[str, Any], log_type: str, wanted: frozenset[str] | None = None) -> dict[str, Any] | None:
     """The event of a line, or None if it is malformed."""
     return alb_event(line, wanted) if log_type == "alb_access" else json_event(line, log_type, wanted)
 
@@ -89,7 +98,7 @@ def read_events(path: str, log_type: str, file: BinaryIO, mapping: FieldMap, out
         if lines:
             # Every non-empty line takes a number, malformed ones too.
             i = 0
-            for block in parquet_blocks(file, part, footers) if parquet else line_blocks(file, part):
+            for block in parquet_blocks(file, part, footers, parsed=True) if parquet else line_blocks(file, part):
                 for line in block:
                     event = line_event(line, log_type, wanted)
                     if event is None:
@@ -139,29 +148,31 @@ def batches_of(rows: Iterator[dict[str, Any]], schema: pa.Schema) -> Iterator[pa
         yield columns_of(held, schema)
 
 
-def read_contents(files: DataFrame, overrides: dict[str, list[str]] | None = None) -> DataFrame:
+def read_contents(files: DataFrame, overrides: dict[str, list[str]] | None = None, columns: list[str] | None = None) -> DataFrame:
     """Events of (file_id, path, content) rows, and a row with ``file_status`` for each file.
 
     Events have ``event_id = file_id << 32 | record_index`` and null outcome columns. A null content is
-    opened by its path in the task.
+    opened by its path in the task. Of the canonical ``columns`` only those asked for (and ``KEYS``) are built.
     """
-    mapping = FieldMap(overrides)
+    mapping, shape = FieldMap(overrides), f"{built(columns)}, {OUTCOME}"
+    wanted = None if columns is None else frozenset(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file_id, path, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "path", "content")), strict=True):
-                yield from batches_of(file_rows(Part(file_id, path, 0), content, mapping), _SCHEMA)
+                yield from batches_of(file_rows(Part(file_id, path, 0), content, mapping, wanted=wanted), arrow_schema(shape))
 
-    return files.select("file_id", "path", "content").mapInArrow(run, f"{EVENTS}, {OUTCOME}")
+    return files.select("file_id", "path", "content").mapInArrow(run, shape)
 
 
-def _source(spark: SparkSession, what: str, files: list[tuple[int, str, int]], split_bytes: int, overrides: dict[str, list[str]] | None, opener: str | None):
+def _source(spark: SparkSession, what: str, files: list[tuple[int, str, int]], split_bytes: int, overrides: dict[str, list[str]] | None, opener: str | None, columns: list[str] | None = None):
     from logsieve.sources.source import reader
 
-    return reader(spark, opener=opener, overrides=json.dumps(overrides or {}), what=what, outcomes="true", splitBytes=str(split_bytes), files=json.dumps(files)).load()
+    found = reader(spark, opener=opener, overrides=json.dumps(overrides or {}), what=what, outcomes="true", splitBytes=str(split_bytes), files=json.dumps(files))
+    return (found if columns is None else found.schema(f"{built(columns)}, {OUTCOME}, part int")).load()
 
 
-def _in_parts(spark: SparkSession, files: list[tuple[int, str, int]], split_bytes: int, overrides: dict[str, list[str]] | None, opener: str | None) -> DataFrame:
+def _in_parts(spark: SparkSession, files: list[tuple[int, str, int]], split_bytes: int, overrides: dict[str, list[str]] | None, opener: str | None, columns: list[str] | None) -> DataFrame:
     """Events and outcomes of large files: their parts are counted first, which costs a decompression.
 
     Counts give each part its first record number. A file whose parts don't fit together (it is damaged, has one
@@ -177,12 +188,12 @@ def _in_parts(spark: SparkSession, files: list[tuple[int, str, int]], split_byte
         numbers = spark.createDataFrame(starts, "file_id long, part int, first long")
         numbers = F.broadcast(numbers) if len(starts) <= BROADCAST_PARTS else numbers
         split = [f for f in files if f[0] not in whole]
-        rows = _source(spark, "events", split, split_bytes, overrides, opener).join(numbers, ["file_id", "part"])
+        rows = _source(spark, "events", split, split_bytes, overrides, opener, columns).join(numbers, ["file_id", "part"])
         event = F.col("file_status").isNull()
         moved = {c: F.when(event, F.col(c) + F.col("first")).otherwise(F.col(c)) for c in ("record_index", "event_id")}
-        out.append(rows.withColumns(moved).select(*COLUMNS, "file_status", "file_note", "malformed"))
+        out.append(rows.withColumns(moved).select(*[f.split(" ")[0] for f in built(columns).split(", ")], "file_status", "file_note", "malformed"))
     if whole:
-        out.append(_by_blocks(spark, [f for f in files if f[0] in whole], overrides, opener))
+        out.append(_by_blocks(spark, [f for f in files if f[0] in whole], overrides, opener, columns))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -202,46 +213,49 @@ def file_outcomes(rows: DataFrame) -> DataFrame:
     return found.select("file_id", "log_type", status.alias("status"), "records", "malformed", note.alias("note"))
 
 
-def _by_blocks(spark: SparkSession, files: list[tuple[int, str, int]], overrides: dict[str, list[str]] | None, opener: str | None) -> DataFrame:
+def _by_blocks(spark: SparkSession, files: list[tuple[int, str, int]], overrides: dict[str, list[str]] | None, opener: str | None, columns: list[str] | None) -> DataFrame:
     """Events and outcomes of files that one task each has to read: lines go to all cores in blocks."""
     blocks = _source(spark, "blocks", files, 0, None, opener)
     cores = spark.sparkContext.defaultParallelism
-    mapping = FieldMap(overrides)
+    mapping, shape = FieldMap(overrides), f"{built(columns)}, {OUTCOME}"
+    wanted = None if columns is None else frozenset(columns)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(shape)
         for batch in batches:
             for row in batch.to_pylist():
                 if row["file_status"] is not None:  # how the reading ended; the block tells of its lines itself
-                    yield columns_of([Outcome(row["file_status"], row["file_note"]).row(row["file_id"], row["log_type"])], _SCHEMA)
+                    yield columns_of([Outcome(row["file_status"], row["file_note"]).row(row["file_id"], row["log_type"])], schema)
                     continue
                 found, bad = [], 0
                 for i, line in enumerate(row["lines"]):
-                    event = line_event(line, row["log_type"]) if by_line(row["log_type"]) else audit_event(json.loads(line), mapping)
+                    event = line_event(line, row["log_type"], wanted) if by_line(row["log_type"]) else audit_event(json.loads(line), mapping, wanted)
                     if event is None:
                         bad += 1
                         continue
                     index = row["first"] + i
                     found.append(event | {"record_index": index, "event_id": row["file_id"] << 32 | index, "file_id": row["file_id"], "log_type": "cloudtrail" if row["log_type"] == "unknown" else row["log_type"]})
                 if found:
-                    yield columns_of(found, _SCHEMA)
-                yield columns_of([Outcome("read", None, len(found), bad).row(row["file_id"], row["log_type"])], _SCHEMA)
+                    yield columns_of(found, schema)
+                yield columns_of([Outcome("read", None, len(found), bad).row(row["file_id"], row["log_type"])], schema)
 
-    return blocks.repartition(4 * cores).mapInArrow(parse, f"{EVENTS}, {OUTCOME}")
+    return blocks.repartition(4 * cores).mapInArrow(parse, shape)
 
 
-def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str, list[str]] | None = None, split_bytes: int = SPLIT_BYTES, opener: str | None = None) -> DataFrame:
+def ingest(spark: SparkSession, candidates: list[Candidate], overrides: dict[str, list[str]] | None = None, split_bytes: int = SPLIT_BYTES, opener: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Events of the candidates, and rows with ``file_status``: one a file as :func:`read_contents` gives it, of files
-    larger than ``split_bytes`` one a part. :func:`file_outcomes` puts them together."""
+    larger than ``split_bytes`` one a part. :func:`file_outcomes` puts them together. Of the canonical ``columns`` only
+    those asked for (and ``KEYS``) are built."""
     near = [(c.file_id, c.path, c.size) for c in candidates if in_tasks(c.path, opener)]
     far = [(c.file_id, c.path) for c in candidates if not in_tasks(c.path, opener)]
     small, large = [f for f in near if f[2] <= split_bytes], [f for f in near if f[2] > split_bytes]
     out = []
     if small or not (large or far):
-        out.append(_source(spark, "events", small, 0, overrides, opener).drop("part"))
+        out.append(_source(spark, "events", small, 0, overrides, opener, columns).drop("part"))
     if large:
-        out.append(_in_parts(spark, large, split_bytes, overrides, opener))
+        out.append(_in_parts(spark, large, split_bytes, overrides, opener, columns))
     if far:
-        out.append(read_contents(read_files(spark, far), overrides))
+        out.append(read_contents(read_files(spark, far), overrides, columns))
     return reduce(DataFrame.unionByName, out)
 
 

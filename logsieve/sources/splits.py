@@ -268,14 +268,22 @@ class Footers:
         return self.footer
 
 
-def parquet_blocks(file: BinaryIO, part: Part, footers: Footers | None = None) -> Iterator[list[str]]:
-    """Rows of the part's row groups as JSON lines."""
+def parquet_blocks(file: BinaryIO, part: Part, footers: Footers | None = None, parsed: bool = False) -> Iterator[list]:
+    """Rows of the part's row groups as JSON lines; with ``parsed`` as records, where JSON would give back the same."""
+    import pyarrow as pa
     import pyarrow.parquet as pq
 
     footer = (footers or Footers()).of(file, part.path)
-    if groups := footer.groups(part):
-        for batch in pq.ParquetFile(file, metadata=footer.metadata).iter_batches(BATCH_ROWS, row_groups=groups):
-            yield [json.dumps(row, default=str, separators=(",", ":"), ensure_ascii=False) for row in batch.to_pylist()]
+    if not (groups := footer.groups(part)):
+        return
+    table = pq.ParquetFile(file, metadata=footer.metadata)
+    names, kinds = table.schema_arrow.names, table.schema_arrow.types
+    texts = [pa.types.is_string(k) or pa.types.is_large_string(k) for k in kinds]
+    parsed = parsed and all(text or pa.types.is_integer(k) or pa.types.is_boolean(k) or pa.types.is_null(k) for text, k in zip(texts, kinds, strict=True))
+    for batch in table.iter_batches(BATCH_ROWS, row_groups=groups):
+        columns = [c.to_numpy(zero_copy_only=False).tolist() if text else c.to_pylist() for c, text in zip(batch.columns, texts, strict=True)]
+        rows = [dict(zip(names, values, strict=True)) for values in zip(*columns, strict=True)]
+        yield rows if parsed else [json.dumps(row, default=str, separators=(",", ":"), ensure_ascii=False) for row in rows]
 
 
 def extent_of(file: BinaryIO, part: Part, parquet: bool, footers: Footers | None = None) -> Extent:

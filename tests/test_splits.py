@@ -5,6 +5,7 @@ import os
 import random
 import time
 import zlib
+from datetime import datetime
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -141,6 +142,38 @@ def test_split_files_give_what_unsplit_ones_give(spark, folder):
     assert {r[0]: r[3] for r in whole[1]} == {0: "parsed", 1: "parsed", 2: "parsed", 3: "parsed", 4: "failed", 5: "parsed"}
 
 
+def test_only_columns_asked_for_are_built(spark, folder):
+    found = scan_folder(folder).candidates
+    names = ["event_id", "file_id", "record_index", "log_type", "event_name", "request"]
+    rows = lambda df: sorted((tuple(r) for r in df.select(*names, "file_status", "malformed").collect()), key=str)
+    for some in (found, found[1:2]):
+        few = ingest(spark, some, split_bytes=4000, columns=["event_name", "request"])
+        assert few.columns == [*names, "file_status", "file_note", "malformed"] and rows(few) == rows(ingest(spark, some, split_bytes=4000))
+    contents = spark.createDataFrame([(c.file_id, c.path, bytearray(open(c.path, "rb").read())) for c in found[2:4]], "file_id long, path string, content binary")
+    assert rows(read_contents(contents, columns=["event_name", "request"])) == rows(read_contents(contents))
+    with pytest.raises(ValueError):
+        ingest(spark, found, columns=["nothing"])
+
+
+def test_records_of_parquet_give_what_their_json_gives(tmp_path):
+    from logsieve.sources.normalize import json_event
+
+    plain = [{"requestedtimeutc": f"2026-01-01 00:00:0{i}", "httpmethod": "GET", "apipath": x, "memberid": i or None, "sourceip": None if i % 2 else "192.0.2.1", "more": i % 2 == 0} for i, x in enumerate(["/p", 'é"😀\\\n', "", None])]
+    others = [r | {"number": x, "list": ["a"], "at": datetime(2026, 1, 1, 0, 0, i)} for i, (r, x) in enumerate(zip(plain, [1.5, float("nan"), None, float("inf")], strict=True))]
+    for rows, kind in ((plain, dict), (others, str)):
+        pq.write_table(pa.Table.from_pylist(rows), path := str(tmp_path / "rows.parquet"))
+        part = S.Part(0, path, os.path.getsize(path))
+        texts, records = ([x for block in S.parquet_blocks(open(path, "rb"), part, parsed=p) for x in block] for p in (False, True))
+        assert len(texts) == len(rows) and {type(r) for r in records} == {kind}
+        assert texts == [json.dumps(r, default=str, separators=(",", ":"), ensure_ascii=False) for r in rows]
+        for wanted in (None, frozenset({"raw"}), frozenset({"request"})):
+            got = [json_event(r, "gateway_request", wanted) for r in records]
+            want = [json_event(t, "gateway_request", wanted) for t in texts]
+            if wanted == {"request"}:  # a line is there anyway
+                got, want = ([e and {k: v for k, v in e.items() if k != "raw"} for e in x] for x in (got, want))
+            assert got == want and sum(e is None for e in got) == 2 * (kind is str)
+
+
 def test_large_files_use_many_tasks(spark, folder):
     found = {os.path.basename(c.path): c for c in scan_folder(folder).candidates}
     files = [(c.file_id, c.path, c.size) for c in found.values() if c.size > 4000]
